@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words_of
+from .common import let
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -48,6 +48,23 @@ RULES = (
 )
 
 
+def window_hashes(words: Column, width: int) -> Column:
+    """64-bit hashes of all ``width``-word windows, in order; the text has ``width`` words at least.
+
+    Windows grow by joining the hashes of shorter ones, so each costs a few steps whatever its width.
+    """
+    n = F.size(words)
+
+    def grown(h: Column, cur: Column, k: int) -> Column:
+        if k == width:
+            return F.slice(cur, 1, n - (width - 1))
+        double = 2 * k <= width
+        other = F.slice(cur if double else h, k + 1, n)
+        return let(F.zip_with(cur, other, lambda a, b: F.xxhash64(a, b)), lambda c: grown(h, c, k + (k if double else 1)))
+
+    return let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: grown(h, h, 1))
+
+
 def repeat_words(words: Column, width: int = 5) -> Column:
     """Words inside ``width``-word windows found twice or more in the text, the first ones included.
 
@@ -76,7 +93,7 @@ def repeat_words(words: Column, width: int = 5) -> Column:
 
         return let(let(by_hash, starts), lambda p: F.when(F.size(p) > 0, total(p)).otherwise(F.lit(0).cast("long")))
 
-    hashes = F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice(words, i, width)))
+    hashes = window_hashes(words, width)
     zero = F.lit(0).cast("long")
     return F.when(n > width, let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(covered(h)))).otherwise(zero)
 
@@ -84,17 +101,18 @@ def repeat_words(words: Column, width: int = 5) -> Column:
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The counts and ratios that rules refer to, one row per document."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    split = base.select("id", "t", words_of(F.col("t")).alias("w"), F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    pieces = base.select("id", "t", F.split("t", r"[\x20\x09-\x0D]", -1).alias("p"))
+    split = pieces.select("id", "t", F.size("p").alias("gaps"), F.array_remove("p", "").alias("w"), F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     n, lines = F.size("w"), F.size("lines")
     share = lambda count, of: F.when(of > 0, count / of).otherwise(F.lit(0.0))
     counted = split.select(
         "id",
         n.cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        (F.length("t") - F.col("gaps") + 1).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (lines - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("w")).alias("n_repeat_words"),
-        share(F.size(F.filter("w", lambda x: F.lower(x).isin(STOP_WORDS))), n).alias("stop_word_ratio"),
+        share(F.size(F.filter("w", lambda x: x.isin(STOP_WORDS + [s.capitalize() for s in STOP_WORDS]))), n).alias("stop_word_ratio"),
         share(F.size(F.filter("lines", lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))), lines).alias("bullet_line_ratio"),
         share(F.size(F.filter("lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))), lines).alias("ellipsis_line_ratio"),
         lines.alias("n_lines"),
