@@ -67,3 +67,82 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
     return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _secret_sql() -> str:
+    from .secret_scan import BASE_RULES, RULES
+
+    def spans(i, r):
+        p = r.pattern.replace("'", "''")
+        return f"""
+  SELECT doc_id, {i} AS k, '{r.kind}' AS kind, CAST(coalesce(list_sum(list_transform(g[1:j], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:j-1], lambda x: length(x))), 0) AS BIGINT) AS s, length(m[j]) AS n
+  FROM (SELECT doc_id, g, m, v, unnest(range(1, len(m) + 1)) AS j FROM
+    (SELECT doc_id, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {r.group}) AS v FROM b))
+  WHERE length(v[j]) >= {r.least}"""
+
+    found = " UNION ALL ".join(spans(i, r) for i, r in enumerate(RULES))
+    n = len(BASE_RULES)
+    return f"""
+WITH b AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+a AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(concat(kind, ':', s, ':', s + n), ',' ORDER BY s, k) FILTER (k < {n}) AS base, string_agg(concat(kind, ':', s, ':', s + n), ',' ORDER BY s, k) AS spans
+  FROM f GROUP BY doc_id)
+SELECT b.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM b LEFT JOIN a ON b.doc_id = a.doc_id"""
+
+
+@query(_secret_sql())
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spans of every document."""
+    from .secret_scan import BASE_RULES, RULES, joined, scan
+
+    s = scan(table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda x: x["kind"] < len(BASE_RULES))
+    return s.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(joined(base, RULES), 256).alias("base_sha256"), joined(F.col("spans"), RULES).alias("spans"))
+
+
+def _url_sql() -> str:
+    from .url_filter import RULES, TWO_LABEL_SUFFIXES
+
+    rules = " UNION ALL ".join(f"SELECT '{r.target}' AS rule, '{r.target.partition('/')[0]}' AS rh, '/{r.target.partition('/')[2]}' AS rp, '{r.verdict}' AS rv" for r in RULES)
+    two = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+    rho = "least(greatest((q - n * p * p - p * (1 - p) * (g - 1)) / (p * (1 - p) * (n - nn / n - (g - 1))), 0.001), 0.999)"
+    k = lambda name, t: f"""{name} AS (SELECT CASE WHEN g < 2 OR p * (1 - p) <= 0 OR n - nn / n - (g - 1) <= 0 THEN 2.0 ELSE 1 / ({rho}) - 1 END AS k, p
+  FROM (SELECT count(*) AS g, sum(n)::DOUBLE AS n, sum(n * n)::DOUBLE AS nn, sum(bad * bad / n) AS q, sum(bad) / sum(n) AS p FROM {t}))"""
+    return rf"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+b AS (
+  SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
+hd AS (
+  SELECT host, CASE WHEN num THEN bare WHEN two IN ({two}) THEN three ELSE two END AS domain, CASE WHEN num THEN '' WHEN two IN ({two}) THEN two ELSE l[-1] END AS suffix
+  FROM (SELECT host, bare, l, regexp_matches(bare, '^[0-9.]+$|^\[') AS num, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three
+        FROM (SELECT host, bare, string_split(bare, '.') AS l FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*|\.)$', '') AS bare FROM b)))),
+h AS (SELECT host, domain, suffix, count(*) AS n, sum(toxic)::BIGINT AS bad FROM b JOIN labels ON page_id = doc_id JOIN hd USING (host) WHERE toxic IS NOT NULL GROUP BY ALL),
+d AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM h GROUP BY ALL),
+{k('ks', 's')}, {k('kd', 'd')}, {k('kh', 'h')},
+r AS (
+  SELECT host, m, n0 + kh.k AS total FROM (
+    SELECT host, coalesce(h.n, 0) AS n0, (coalesce(h.bad, 0) + kh.k * md) / (coalesce(h.n, 0) + kh.k) AS m FROM (
+      SELECT hd.host, (coalesce(d.bad, 0) + kd.k * ms) / (coalesce(d.n, 0) + kd.k) AS md FROM (
+        SELECT hd.host, hd.domain, (coalesce(s.bad, 0) + ks.k * ks.p) / (coalesce(s.n, 0) + ks.k) AS ms FROM hd LEFT JOIN s USING (suffix), ks) hd LEFT JOIN d USING (domain), kd) x
+    LEFT JOIN h USING (host), kh), kh),
+rules AS ({rules}),
+f AS (SELECT page_id, rule, rv, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, rule DESC) AS o
+      FROM b JOIN rules ON (host = rh OR ends_with(host, concat('.', rh))) AND starts_with(path, rp))
+SELECT b.page_id, b.host, b.path, f.rule, coalesce(rv, CASE WHEN m - 1.645 * sqrt(m * (1 - m) / (total + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM b LEFT JOIN f ON b.page_id = f.page_id AND o = 1 LEFT JOIN r ON b.host = r.host"""
+
+
+@query(_url_sql())
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page; a label of the same number as the page is its outcome (toxic: bad)."""
+    from .url_filter import judge
+
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic").alias("bad"))
+    return judge(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
