@@ -146,3 +146,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic").alias("bad"))
     return judge(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of links at two bits or fewer."""
+    from .simhash import simhash
+
+    return simhash(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
