@@ -154,3 +154,18 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash
 
     return simhash(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def vocabulary() -> str:
+    """The public vocabulary file that the contracts name."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 ids."""
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary())
