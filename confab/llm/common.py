@@ -82,3 +82,16 @@ def attempt_name() -> str:
 
     t = TaskContext.get()
     return f"part-{t.partitionId():06d}-{t.taskAttemptId()}"
+
+
+def held(key, make):
+    """What ``make`` returns, kept by the Python process.
+
+    Functions reach workers by value, so a module's own globals would last for one task only.
+    """
+    import sys
+
+    kept = sys.__dict__.setdefault("_confab_held", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -169,3 +169,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query()
+def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to files and read back."""
+    from .token_codec import encode_corpus, read_files
+
+    return read_files(encode_corpus(table(spark, sf_dir, "documents"), vocabulary())).select("doc_id", "start", "n_tokens", "ids_crc32")
