@@ -177,3 +177,17 @@ def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_codec import encode_corpus, read_files
 
     return read_files(encode_corpus(table(spark, sf_dir, "documents"), vocabulary())).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha256(h) AS digest FROM p),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f""")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    from .warc import read_archives, write_archives
+
+    return read_archives(write_archives(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
