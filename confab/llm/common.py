@@ -84,14 +84,14 @@ def attempt_name() -> str:
     return f"part-{t.partitionId():06d}-{t.taskAttemptId()}"
 
 
-def held(key, make):
-    """What ``make`` returns, kept by the Python process.
+def held(name, version, make):
+    """What ``make`` returns, kept by the Python process until another version of ``name`` is asked for.
 
     Functions reach workers by value, so a module's own globals would last for one task only.
     """
     import sys
 
     kept = sys.__dict__.setdefault("_confab_held", {})
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if name not in kept or kept[name][0] != version:
+        kept[name] = version, make()
+    return kept[name][1]

@@ -191,3 +191,20 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archives, write_archives
 
     return read_archives(write_archives(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def pieces() -> str:
+    """The public piece vocabulary of the language models."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that aren't held out."""
+    from .langid import fit, identify, is_held_out
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, fit(docs, pieces()), pieces())
+    return out.select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")

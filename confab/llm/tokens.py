@@ -96,4 +96,4 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder of a vocabulary file."""
-    return held(("encoder", path), lambda: Encoder(path))
+    return held("encoder", path, lambda: Encoder(path))
