@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, window_hashes
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -48,23 +48,6 @@ RULES = (
 )
 
 
-def window_hashes(words: Column, width: int) -> Column:
-    """64-bit hashes of all ``width``-word windows, in order; the text has ``width`` words at least.
-
-    Windows grow by joining the hashes of shorter ones, so each costs a few steps whatever its width.
-    """
-    n = F.size(words)
-
-    def grown(h: Column, cur: Column, k: int) -> Column:
-        if k == width:
-            return F.slice(cur, 1, n - (width - 1))
-        double = 2 * k <= width
-        other = F.slice(cur if double else h, k + 1, n)
-        return let(F.zip_with(cur, other, lambda a, b: F.xxhash64(a, b)), lambda c: grown(h, c, k + (k if double else 1)))
-
-    return let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: grown(h, h, 1))
-
-
 def repeat_words(words: Column, width: int = 5) -> Column:
     """Words inside ``width``-word windows found twice or more in the text, the first ones included.
 

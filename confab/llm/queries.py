@@ -208,3 +208,40 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, fit(docs, pieces()), pieces())
     return out.select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def _decontamination_sql() -> str:
+    from .decontaminate import ENOUGH, LITERALS, SHARE, TRIM, UNITS, WINDOW
+
+    units, trim = ", ".join(f"'{u}'" for u in UNITS), TRIM.replace("'", "''")
+
+    def windows(name: str, table: str, id_col: str) -> str:
+        return rf"""
+{name}_w AS (SELECT id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM
+  (SELECT {id_col} AS id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM {table})),
+{name}_c AS (SELECT id, i, trim(x, '{trim}') AS c, coalesce(lag(x) OVER (PARTITION BY id ORDER BY i), '.') AS b FROM {name}_w),
+{name}_k AS (SELECT id, i, lower(c) AS low, CASE WHEN c >= '0' AND c < ':' THEN '<num>' WHEN lower(c) IN ({units}) AND regexp_matches(b, '^[^\p{{L}}]*[0-9]') THEN '<unit>'
+    WHEN regexp_matches(c, '^\p{{Lu}}\p{{Ll}}') AND NOT regexp_matches(b, '[.!?:]["'')\]]*$') THEN '<name>' ELSE lower(c) END AS t FROM {name}_c WHERE c <> ''),
+{name}_l AS (SELECT id, list(t ORDER BY i) AS t, list(CASE WHEN t IN ('<num>', '<unit>', '<name>') AND t <> low THEN low END ORDER BY i) AS v FROM {name}_k GROUP BY id),
+{name} AS (SELECT id, p, CASE WHEN len(t) < {WINDOW} THEN concat('short ', array_to_string(t, ' ')) ELSE array_to_string(t[p+1:p+{WINDOW}], ' ') END AS h, v[p+1:p+{WINDOW}] AS v
+  FROM (SELECT id, t, v, unnest(range(0, greatest(len(t) - {WINDOW} + 1, 1))) AS p FROM {name}_l))"""
+
+    return f"""
+WITH {windows("d", "documents", "doc_id")}, {windows("b", "benchmark", "item_id")},
+items AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM b WHERE len(list_filter(v, lambda x: x IS NOT NULL)) <= {WINDOW - LITERALS}),
+hits AS (SELECT d.id, items.id AS item, n, d.p - items.p AS place, items.p AS spot, items.v AS a, d.v AS b FROM d JOIN items ON d.h = items.h),
+seen AS (SELECT id, item, n, place, count(DISTINCT spot) AS matched FROM hits GROUP BY ALL),
+vals AS (SELECT DISTINCT id, item, place, x, y FROM (SELECT id, item, place, unnest(a) AS x, unnest(b) AS y FROM hits) WHERE x IS NOT NULL),
+cons AS (SELECT id, item, place, count(DISTINCT x) = count(*) AND count(DISTINCT y) = count(*) AS ok, count(*) FILTER (x <> y) AS changed FROM vals GROUP BY ALL),
+good AS (SELECT s.*, coalesce(changed, 0) AS changed FROM seen s LEFT JOIN cons c ON s.id = c.id AND s.item = c.item AND s.place = c.place
+  WHERE matched >= least(ceil(n * {SHARE}), {ENOUGH}) AND coalesce(ok, true))
+SELECT id AS doc_id, item AS item_id, CAST(matched AS BIGINT) AS matched, CAST(n AS BIGINT) AS windows, CAST(place AS BIGINT) AS place, CAST(changed AS BIGINT) AS changed FROM
+  (SELECT *, row_number() OVER (PARTITION BY id, item ORDER BY matched DESC, place, changed) AS o FROM good) WHERE o = 1"""
+
+
+@query(_decontamination_sql())
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item."""
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
