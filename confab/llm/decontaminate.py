@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Words lose their outer punctuation and case; numbers, names (capitalised inside a sentence)
-and units (after a number) become typed placeholders.  Windows of the templates of documents
+Words are runs of letters and digits in lower case; numbers, names (capitalised inside a
+sentence) and units (after a number) become typed placeholders.  Windows of the templates of documents
 and items are joined by hash; windows on one diagonal are one occurrence of the item.  An
 occurrence counts if enough of the item's windows match and its slots are consistent: one
 value of the item always stands for one value of the document and the other way round, so a
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, window_hashes, words_of
+from .common import let, window_hashes
 
 WINDOW = 8
 #: Words of a window that must not be placeholders, for items' windows.
@@ -28,47 +28,70 @@ SHARE = 0.5
 ENOUGH = 25
 #: Above so many windows of items the join is left to Spark instead of broadcast.
 BROADCAST_WINDOWS = 200_000
-# Characters trimmed off words, and the units.
-TRIM = ".,;:!?\"'()[]{}<>*_~`|#%&$€£+-–—…“”„‘’«»/\\"
+# The units.
 UNITS = (
     "kg g mg lb lbs oz ton tons km m cm mm mile miles foot feet ft inch inches yard yards second seconds minute minutes hour hours day days week weeks "
     "month months year years dollar dollars euro euros cent cents percent liter liters litre litres ml gallon gallons degree degrees mph kmh"
 ).split()
 _SEP = "\u001f"
+_NAME, _UNIT = "\u0002", "\u0003"
+#: These patterns mean the same in Java's and RE2's dialects; they mark a name (inside a sentence) and a unit (after a number).
+NAME_PATTERN = r"([\p{L}\p{N},;)] )(\p{Lu}\p{Ll})"
+UNIT_PATTERN = rf"([0-9] ?)({'|'.join(UNITS)})([^\p{{L}}]|$)"
+TOKEN_PATTERN = r"[0-9]+(?:[.,][0-9]+)*\p{L}*|[\x02\x03]?[\p{L}\p{N}]+"
 
 
-def tokens(text: Column) -> Column:
-    """Array of (``t``: template word, ``v``: value of a placeholder, else null)."""
-    w = words_of(text)
+def marked(text: Column) -> Column:
+    """The text in lower case, with a mark before names and before units."""
+    t = F.coalesce(text, F.lit(""))
+    t = F.when(t.rlike("[\\x02\\x03]"), F.translate(t, _NAME + _UNIT, "")).otherwise(t)
+    low = F.lower(F.regexp_replace(t, NAME_PATTERN, f"$1{_NAME}$2"))
+    return let(low, lambda m: F.when(m.rlike("[0-9]"), F.regexp_replace(m, UNIT_PATTERN, f"$1{_UNIT}$2$3")).otherwise(m))
 
-    def token(c: Column, before: Column) -> Column:
-        low = F.lower(c)
-        number = (c >= "0") & (c < ":")
-        unit = low.isin(UNITS) & before.rlike("^[^\\p{L}]*[0-9]")
-        capital = ((c >= "A") & (c < "[")) | (c >= "À")
-        name = capital & c.rlike("^\\p{Lu}\\p{Ll}") & ~before.rlike("[.!?:][\"')\\]]*$")
-        t = F.when(number, F.lit("<num>")).when(unit, F.lit("<unit>")).when(name, F.lit("<name>")).otherwise(low)
-        return F.struct(t.alias("t"), F.when(number | unit | name, low).alias("v"))
 
-    def all_of(words: Column) -> Column:
-        before = F.slice(F.concat(F.array(F.lit(".")), words), 1, F.size(words))
-        found = F.zip_with(F.transform(words, lambda x: F.btrim(x, F.lit(TRIM))), before, token)
-        return F.filter(found, lambda x: x["t"] != "")
+def template(token: Column) -> Column:
+    number = (token >= "0") & (token < ":")
+    return F.when(number, F.lit("<num>")).when(F.startswith(token, F.lit(_NAME)), F.lit("<name>")).when(F.startswith(token, F.lit(_UNIT)), F.lit("<unit>")).otherwise(token)
 
-    return let(w, all_of)
+
+def value(token: Column) -> Column:
+    """What a placeholder stands for; null for other words."""
+    number = (token >= "0") & (token < ":")
+    return F.when(number, token).when(token < "\u0004", F.substring(token, 2, 1 << 30))
+
+
+def window_array(text: Column, width: int) -> Column:
+    """Array of (``h``, ``slots``: values, in order, null if none) of a text's windows.
+
+    One nested expression, so that each step is computed once for whatever follows.
+    """
+
+    def hashes(t: Column) -> Column:
+        whole = F.array(F.xxhash64(F.array_join(t, " "), F.lit(width)))
+        return F.when(F.size(t) < width, whole).otherwise(window_hashes(t, width))
+
+    plain = lambda t: F.transform(hashes(t), lambda h: F.struct(h.alias("h"), F.lit(None).cast("string").alias("slots")))
+
+    def slotted(w: Column) -> Column:
+        def both(v: Column) -> Column:
+            at = lambda i: F.array_join(F.slice(v, i + 1, width), _SEP)
+            filled = lambda i: let(at(i), lambda s: F.when(s != "", s))
+            return F.transform(let(F.transform(w, template), hashes), lambda h, i: F.struct(h.alias("h"), filled(i).alias("slots")))
+
+        return let(F.transform(w, value), both)
+
+    def of(m: Column) -> Column:
+        some = m.rlike("[0-9\\x02\\x03]")
+        none = F.array().cast("array<struct<h:bigint,slots:string>>")
+        each = lambda w: F.when(F.size(w) == 0, none).when(some, slotted(w)).otherwise(plain(w))
+        return let(F.regexp_extract_all(m, F.lit(TOKEN_PATTERN), F.lit(0)), each)
+
+    return let(marked(text), of)
 
 
 def windows(rows: DataFrame, id_col: str, text_col: str, width: int = WINDOW) -> DataFrame:
-    """``id``, ``pos`` (word), ``h`` and ``slots`` (values, in order, null if none) of every template window."""
-    toks = rows.select(F.col(id_col).cast("long").alias("id"), tokens(F.col(text_col)).alias("k"))
-    parts = toks.select("id", F.col("k.t").alias("t"), F.col("k.v").alias("v")).where(F.size("t") > 0)
-    whole = F.array(F.xxhash64(F.array_join("t", " "), F.lit(width)))
-    hashed = parts.select("id", "v", F.size("t").alias("n"), F.when(F.size("t") < width, whole).otherwise(window_hashes(F.col("t"), width)).alias("h"))
-    values = lambda i: F.array_join(F.slice("v", i + 1, width), _SEP)
-    slotted = F.transform("h", lambda h, i: F.struct(h.alias("h"), F.when(values(i) != "", values(i)).alias("slots")))
-    plain = F.transform("h", lambda h: F.struct(h.alias("h"), F.lit(None).cast("string").alias("slots")))
-    each = F.when(F.exists("v", lambda x: x.isNotNull()), slotted).otherwise(plain)
-    out = hashed.select("id", F.posexplode(each).alias("pos", "x"))
+    """``id``, ``pos`` (word), ``h`` and ``slots`` of every template window."""
+    out = rows.select(F.col(id_col).cast("long").alias("id"), F.posexplode(window_array(F.col(text_col), width)).alias("pos", "x"))
     return out.select("id", "pos", F.col("x.h").alias("h"), F.col("x.slots").alias("slots"))
 
 

@@ -211,18 +211,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decontamination_sql() -> str:
-    from .decontaminate import ENOUGH, LITERALS, SHARE, TRIM, UNITS, WINDOW
-
-    units, trim = ", ".join(f"'{u}'" for u in UNITS), TRIM.replace("'", "''")
+    from .decontaminate import ENOUGH, LITERALS, NAME_PATTERN, SHARE, TOKEN_PATTERN, UNIT_PATTERN, WINDOW
 
     def windows(name: str, table: str, id_col: str) -> str:
         return rf"""
-{name}_w AS (SELECT id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM
-  (SELECT {id_col} AS id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM {table})),
-{name}_c AS (SELECT id, i, trim(x, '{trim}') AS c, coalesce(lag(x) OVER (PARTITION BY id ORDER BY i), '.') AS b FROM {name}_w),
-{name}_k AS (SELECT id, i, lower(c) AS low, CASE WHEN c >= '0' AND c < ':' THEN '<num>' WHEN lower(c) IN ({units}) AND regexp_matches(b, '^[^\p{{L}}]*[0-9]') THEN '<unit>'
-    WHEN regexp_matches(c, '^\p{{Lu}}\p{{Ll}}') AND NOT regexp_matches(b, '[.!?:]["'')\]]*$') THEN '<name>' ELSE lower(c) END AS t FROM {name}_c WHERE c <> ''),
-{name}_l AS (SELECT id, list(t ORDER BY i) AS t, list(CASE WHEN t IN ('<num>', '<unit>', '<name>') AND t <> low THEN low END ORDER BY i) AS v FROM {name}_k GROUP BY id),
+{name}_m AS (SELECT {id_col} AS id, regexp_replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '[\x02\x03]', '', 'g'), '{NAME_PATTERN}', concat('\1', chr(2), '\2'), 'g')), '{UNIT_PATTERN}', concat('\1', chr(3), '\2\3'), 'g') AS m FROM {table}),
+{name}_w AS (SELECT id, regexp_extract_all(m, '{TOKEN_PATTERN}') AS w FROM {name}_m),
+{name}_l AS (SELECT id, list_transform(w, lambda x: CASE WHEN x >= '0' AND x < ':' THEN '<num>' WHEN starts_with(x, chr(2)) THEN '<name>' WHEN starts_with(x, chr(3)) THEN '<unit>' ELSE x END) AS t,
+    list_transform(w, lambda x: CASE WHEN x >= '0' AND x < ':' THEN x WHEN starts_with(x, chr(2)) OR starts_with(x, chr(3)) THEN x[2:] END) AS v FROM {name}_w WHERE len(w) > 0),
 {name} AS (SELECT id, p, CASE WHEN len(t) < {WINDOW} THEN concat('short ', array_to_string(t, ' ')) ELSE array_to_string(t[p+1:p+{WINDOW}], ' ') END AS h, v[p+1:p+{WINDOW}] AS v
   FROM (SELECT id, t, v, unnest(range(0, greatest(len(t) - {WINDOW} + 1, 1))) AS p FROM {name}_l))"""
 
