@@ -273,9 +273,10 @@ def identify(docs: DataFrame, model: Model, vocabulary: str, id_col: str = "doc_
         pieces, probs, langs, prior = sent.value
         m = held("langid", (langs, probs), lambda: Model(Pieces(pieces), np.frombuffer(probs).reshape(len(pieces), len(langs)), langs, prior))
         for b in batches:
-            out = m.predict(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], [*keep, "lang_pred", "score"])
+            out = m.predict(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], [*keep, "lang_pred", "score"])
 
-    src = docs.select(*keep, F.col(text_col).alias("_langid_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", lang_pred string, score double"
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    src = docs.select(*keep, *[F.col(text_col).alias("_langid_text")][: at == len(keep)])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(keep)]) + ", lang_pred string, score double"
     return src.mapInArrow(run, schema)

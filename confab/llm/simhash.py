@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8_bytes, written
+from .common import ascii_lower, small_batches, utf8_bytes, window_hashes, words_of, written
 
 #: A routing block with more fingerprints than this is split on its remaining bits.
 HOT_BLOCK = 1 << 16
@@ -175,25 +175,20 @@ def _signed(x: int) -> int:
 
 
 def routed(codes: DataFrame, most: int, hot: int = HOT_BLOCK) -> DataFrame:
-    """``fp`` with the ``mask`` of a block and its bits ``key``; near codes meet in one block at least."""
-    done, masks = None, [0]
-    now = codes.select("fp", F.lit(0).cast("long").alias("mask"))
-    while masks:
+    """``codes`` with the ``mask`` of a block and its bits ``key``; near ``fp`` meet in one block at least."""
+    own, done, masks = codes.columns, None, [0]
+    now = codes.select("*", F.lit(0).cast("long").alias("mask"))
+    while True:
         deal = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)).cast("long"), F.array(*[F.lit(_signed(b)).cast("long") for b in _blocks(m, most + 1)]))])
-        now = now.select("fp", F.explode(F.element_at(deal, F.col("mask"))).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+        now = now.select(*own, F.explode(F.element_at(deal, F.col("mask"))).alias("mask")).select("*", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
         masks = sorted({b for m in masks for b in _blocks(m, most + 1)})
-        if 64 - max(bin(m).count("1") for m in masks) <= hot.bit_length() - 1:  # so few free bits cannot make a hot block
-            done = now if done is None else done.unionByName(now)
-            break
-        crowded = written(now.groupBy("mask", "key").count().where(F.col("count") > hot).select("mask", "key"), "hot-blocks")
-        if crowded.isEmpty():
-            done = now if done is None else done.unionByName(now)
-            break
-        calm = now.join(crowded, ["mask", "key"], "left_anti")
+        last = 64 - max(bin(m).count("1") for m in masks) <= hot.bit_length() - 1  # so few free bits cannot make a hot block
+        crowded = None if last else written(now.groupBy("mask", "key").count().where(F.col("count") > hot).select("mask", "key"), "hot-blocks")
+        if last or crowded.isEmpty():
+            return now if done is None else done.unionByName(now)
+        calm = now.join(crowded, ["mask", "key"], "left_anti").select(*own, "mask", "key")
         done = calm if done is None else done.unionByName(calm)
-        now = now.join(crowded, ["mask", "key"], "left_semi").select("fp", "mask")
-        now = written(now, "crowded")
-    return done
+        now = written(now.join(crowded, ["mask", "key"], "left_semi").select(*own, "mask"), "crowded")
 
 
 def links(codes: DataFrame, most: int = 2, hot: int = HOT_BLOCK) -> DataFrame:
@@ -249,3 +244,117 @@ def simhash(docs: DataFrame, most: int = 2, width: int = 3, id_col: str = "doc_i
     moved = grouped.select("fp", "label").join(lowest, "label").select("fp", "component_id")
     of = codes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return each.join(of, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "fp", "component_id")
+
+
+def leaders(node: np.ndarray, fp: np.ndarray, check: np.ndarray, size: np.ndarray, most: int, most_check: int, ratio: float, together: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(member, leader) pairs of near fingerprints in one block.
+
+    The index leaves out what has no near fingerprint.  Of the rest, the smallest node that is
+    near no leader becomes one; the others are paired with every leader that they are near.
+    Leaders are not near each other, so a dense group gives few pairs a member.
+    """
+    index = GrayIndex(fp)
+    near = np.zeros(len(index.codes), bool)
+    for i, j in index.links(most):
+        near[i] = near[j] = True
+    codes, times = np.unique(fp, return_counts=True)
+    some = np.flatnonzero(np.isin(fp, index.codes[near]) | np.isin(fp, codes[times > 1]))
+    rest = some[np.argsort(node[some], kind="stable")]
+
+    def close(a, b):
+        a, b = a[:, None], b[None, :]
+        ok = (np.bitwise_count(fp[a] ^ fp[b]) <= most) & (np.bitwise_count(check[a] ^ check[b]) <= most_check)
+        return ok & (np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b]))
+
+    members, heads = [], []
+    while len(rest) > 1:
+        head = rest[:together]
+        inner, chosen = close(head, head), []
+        for i in range(len(head)):
+            if not inner[i, chosen].any():
+                chosen.append(i)
+        lead, left = head[chosen], []
+        for k in range(0, len(rest), 1 << 14):
+            part = rest[k : k + (1 << 14)]
+            hit = close(part, lead)
+            i, j = np.nonzero(hit & (part[:, None] != lead[None, :]))
+            members.append(part[i])
+            heads.append(lead[j])
+            left.append(part[~hit.any(1) & ~np.isin(part, lead)])
+        rest = np.concatenate(left)
+    if not members:
+        return node[:0], node[:0]
+    return node[np.concatenate(members)], node[np.concatenate(heads)]
+
+
+def near_copies(
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, most: int = 7, index_width: int = 2, most_check: int = 20, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(``id_col``, ``group_id``): documents joined by verified near copies, the smallest id names the group.
+
+    Two texts are near copies if their sets of ``width``-word shingles have a Jaccard similarity
+    of ``similarity`` or more.  Candidates come from the Gray-order index over fingerprints of
+    ``index_width``-word shingles (they move less than longer ones when a word changes), at
+    ``most`` bits; a second fingerprint, of ``width``-word shingles, and the sizes drop most
+    false ones; the rest are verified exactly.  Members that fail against all their leaders go
+    through the index again among themselves, until none is left.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    src = src.where("id is not null")
+    keyed = src.select("id", F.xxhash64("t").alias("th"), "t")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = utf8_bytes(b.column(2))
+            fps = [np.array([fingerprint(t, w) for t in texts], np.uint64).view(np.int64) for w in (index_width, width)]
+            size = np.array([len(shingles_of(t, width)[1]) for t in texts], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (*fps, size))], ["id", "th", "fp", "fp_check", "size"])
+
+    each = written(keyed.mapInArrow(run, "id long, th long, fp long, fp_check long, size long"), "signatures")
+    nodes = written(each.groupBy("th", "fp", "fp_check", "size").agg(F.min("id").alias("node")), "nodes")
+
+    def local(batches):
+        import pyarrow as pa
+
+        cols = [np.concatenate(c) for c in zip(*([b.column(k).to_numpy(zero_copy_only=False) for k in range(6)] for b in batches))]
+        if not cols:
+            return
+        order = np.lexsort((cols[5], cols[4]))
+        node, fp, check, size, mask, key = (c[order] for c in cols)
+        cut = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]), True])
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if b - a > 1:
+                m, h = leaders(node[a:b], fp[a:b].view(np.uint64), check[a:b].view(np.uint64), size[a:b], most, most_check, similarity)
+                if len(m):
+                    yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h)], ["a", "b"])
+
+    words = words_of(ascii_lower(F.col("t")))
+    whole = F.array(F.xxhash64(F.array_join("w", " ")))
+    left, edges = nodes.select("node", "fp", F.col("fp_check").alias("check"), "size"), None
+    n = left.count()
+    while n > 1:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (most + 1) * n // PART_ROWS + 1)
+        dealt = routed(left, most).repartition(parts, "mask", "key").select("node", "fp", "check", "size", "mask", "key")
+        pairs = written(dealt.mapInArrow(local, "a long, b long").distinct(), "candidates")
+        asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        asked = asked.join(nodes.select(F.col("node").alias("id"), "th"), "id")
+        texts = keyed.join(asked, ["id", "th"], "left_semi").dropDuplicates(["id"]).select("id", words.alias("w"))
+        sets = written(texts.select("id", F.array_distinct(F.when(F.size("w") < width, whole).otherwise(window_hashes(F.col("w"), width))).alias("s")), "shingle-sets")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        common = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
+        good = written(common.where(F.col("n") >= similarity * (F.col("m") - F.col("n"))).select("a", "b"), "near-copies")
+        edges = good if edges is None else edges.unionByName(good)
+        failed = pairs.select(F.col("a").alias("node")).distinct().join(good.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
+        left = written(left.join(failed, "node", "left_semi").select("node", "fp", "check", "size"), "unverified")
+        n = left.count()
+    of = nodes.select("th", "fp", "fp_check", "size", "node")
+    if edges is not None:
+        label = components(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        of = of.join(label, "node", "left").select("th", "fp", "fp_check", "size", F.coalesce("label", "node").alias("group_id"))
+    else:
+        of = of.select("th", "fp", "fp_check", "size", F.col("node").alias("group_id"))
+    return each.join(of, ["th", "fp", "fp_check", "size"]).select(F.col("id").alias(id_col), "group_id")
