@@ -4,7 +4,401 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from confab.functions import clock, payload, text
+from confab.operators import metrics, report, segments, tasks
+from confab.sources.files import first_results, route
+
+from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"""
+WITH {X.TEXTS},
+m AS (SELECT meeting_id, count(DISTINCT label) AS speakers, count(*) AS turns, greatest(0.0, max(end_s) - min(start_s)) AS d, count(start_s) AS n FROM labelled GROUP BY meeting_id)
+SELECT m.meeting_id, CASE WHEN n = 0 THEN 'N/A' WHEN d < 60 THEN concat(printf('%.1f', d), 's') ELSE concat(CAST(round_even(d, 0) AS BIGINT) // 60, 'm ', CAST(round_even(d, 0) AS BIGINT) % 60, 's') END AS duration,
+       speakers, turns, sha256(trim(transcript_text, ' ' || chr(10))) AS cache_key
+FROM m JOIN texts ON m.meeting_id = texts.meeting_id""")
+def meeting_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: duration, speakers, turns and transcript key of every meeting."""
+    s = X.segments(spark, sf_dir)
+    m = metrics.meeting_metrics(s).select("meeting_id", "duration", "speakers", "turns")
+    return m.join(segments.transcripts(s).select("meeting_id", text.content_key(F.col("transcript_text")).alias("cache_key")), "meeting_id")
+
+
+@query(f"WITH {X.LABELLED} SELECT meeting_id, seg_no, label, start_clock, end_clock, concat(label, ' [', start_clock, ' - ', end_clock, ']', chr(10), transcript) AS segment FROM labelled")
+def segments_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = X.segments(spark, sf_dir)
+    whole = segments.segment_text(F.col("speaker_id"), F.col("start_s"), F.col("end_s"), F.col("transcript"))
+    return s.select("meeting_id", "seg_no", segments.speaker_label(F.col("speaker_id")).alias("label"), clock.format_clock(F.col("start_s")).alias("start_clock"), clock.format_clock(F.col("end_s")).alias("end_clock"), whole.alias("segment"))
+
+
+@query(f"WITH {X.TEXTS} SELECT meeting_id, transcript_text FROM texts")
+def transcript_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.meeting_texts(spark, sf_dir)
+
+
+_LOOSE = r"(?i)^((?:speaker|spk)\s*[\w.-]*)(?:\s*\[([^\]-]+)\s*-\s*([^\]]+)\])?\s*:?\s*(.*)$"
+
+
+def _clock_value(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '^\\s*[0-9]+:[0-9]+\\s*$') THEN TRY_CAST(split_part(trim({c}), ':', 1) AS DOUBLE) * 60 + TRY_CAST(split_part(trim({c}), ':', 2) AS DOUBLE) END"
+
+
+@query(rf"""
+WITH {X.TEXTS},
+l AS (SELECT meeting_id, unnest(list_filter(list_transform(string_split(transcript_text, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS line, generate_subscripts(list_filter(list_transform(string_split(transcript_text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1) AS p FROM texts),
+h AS (SELECT *, regexp_matches(line, '{_LOOSE}') AS head FROM l),
+g AS (SELECT *, sum(head::INT) OVER (PARTITION BY meeting_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS grp FROM h),
+b AS (SELECT meeting_id, grp, min(line) FILTER (head) AS hl, string_agg(CASE WHEN head THEN nullif(trim(regexp_extract(line, '{_LOOSE}', 4)), '') ELSE line END, ' ' ORDER BY p) AS transcript FROM g WHERE grp > 0 GROUP BY meeting_id, grp),
+f AS (SELECT *, regexp_extract(hl, '{_LOOSE}', 1) AS lab, regexp_extract(hl, '{_LOOSE}', 2) AS st, regexp_extract(hl, '{_LOOSE}', 3) AS en FROM b WHERE transcript <> '')
+SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY grp) - 1 AS seg_no,
+       CASE WHEN regexp_extract(lab, '(\d+)', 1) <> '' THEN CAST(greatest(0, CAST(regexp_extract(lab, '(\d+)', 1) AS BIGINT) - 1) AS VARCHAR) ELSE trim(lab) END AS speaker_id,
+       {_clock_value("st")} AS start_s, {_clock_value("en")} AS end_s, transcript FROM f""")
+def parse_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text form read back into segments."""
+    return segments.explode_segments(X.meeting_texts(spark, sf_dir), "transcript_text").withColumn("seg_no", F.col("seg_no").cast("long"))
+
+
+_STRICT = r"(?i)^\s*Speaker\s+\S+(?:\s+\[[^\]]+\])?\s*:?\s*$"
+
+
+def _damaged(meeting: str, t: str) -> str:
+    return f"CASE WHEN {meeting} % 2 = 0 THEN replace({t}, 'Speaker 2 [', 'Talker 2 [') ELSE {t} END"
+
+
+@query(rf"""
+WITH {X.TEXTS}, d AS (SELECT meeting_id, transcript_text AS o, {_damaged("meeting_id", "transcript_text")} AS c FROM texts),
+n AS (SELECT meeting_id, len(list_filter(string_split(o, chr(10)), lambda x: regexp_matches(x, '{_STRICT}'))) AS headers, len(list_filter(string_split(c, chr(10)), lambda x: regexp_matches(x, '{_STRICT}'))) AS kept FROM d)
+SELECT meeting_id, headers, kept, CASE WHEN kept < headers THEN 'Cleaned transcript appears to be missing speaker labels or timestamp headers.' END AS error FROM n""")
+def header_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = X.meeting_texts(spark, sf_dir).select("meeting_id", F.col("transcript_text").alias("o"), F.expr(_damaged("meeting_id", "transcript_text")).alias("c"))
+    return t.select("meeting_id", segments.header_count(F.col("o")).cast("long").alias("headers"), segments.header_count(F.col("c")).cast("long").alias("kept"), payload.cleaned_error(F.col("o"), F.col("c")).alias("error"))
+
+
+_SECONDS = "list_reduce(list_transform(string_split({x}, ':'), lambda v: CAST(v AS BIGINT)), lambda a, b: a * 60 + b)"
+
+
+@query(rf"""
+WITH {X.TEXTS}, r AS (SELECT meeting_id, regexp_extract_all(transcript_text, '{metrics.RANGE}', 1) AS a, regexp_extract_all(transcript_text, '{metrics.RANGE}', 2) AS b FROM texts),
+s AS (SELECT meeting_id, CASE WHEN len(a) > 0 THEN {_SECONDS.format(x="a[1]")} END AS f, CASE WHEN len(b) > 0 THEN {_SECONDS.format(x="b[-1]")} END AS l FROM r)
+SELECT meeting_id, CASE WHEN l > f THEN concat(greatest(1, CAST(round_even((l - f) / 60, 0) AS BIGINT)), ' min') ELSE 'N/A' END AS duration FROM s""")
+def transcript_duration_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.meeting_texts(spark, sf_dir).select("meeting_id", metrics.duration_of_text(F.col("transcript_text")).alias("duration"))
+
+
+@query(rf"WITH {X.TEXTS} SELECT meeting_id, CAST(len(list_distinct(regexp_extract_all(transcript_text, '(?m)^(Speaker\s+\S+)', 1))) AS BIGINT) AS speakers FROM texts")
+def transcript_speakers_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.meeting_texts(spark, sf_dir).select("meeting_id", metrics.speakers_of_text(F.col("transcript_text")).cast("long").alias("speakers"))
+
+
+@query(f"""
+WITH {X.LABELLED}, f AS (SELECT meeting_id, label, min(seg_no) AS first_seg FROM labelled GROUP BY ALL)
+SELECT meeting_id, label, first_seg, concat('s', (row_number() OVER (PARTITION BY meeting_id ORDER BY first_seg, label) - 1) % 4 + 1) AS slot FROM f""")
+def speaker_color_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.colour_slots(X.segments(spark, sf_dir))
+
+
+_MESSY = "concat('  ', replace(text, '. ', ' \r\n\r\n\r\n '), '\t')"
+
+
+@query(r"""
+WITH a AS (SELECT doc_id, concat('  ', replace(text, '. ', concat(' ', chr(13), chr(10), chr(13), chr(10), chr(13), chr(10), ' ')), chr(9)) AS t FROM documents),
+b AS (SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(t, '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(x, concat(' ', chr(9)))), chr(10)) AS t FROM a)
+SELECT doc_id, trim(regexp_replace(t, '\n{3,}', concat(chr(10), chr(10)), 'g'), concat(' ', chr(10))) AS normalised FROM b""")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.table(spark, sf_dir, "documents").select("doc_id", text.normalise(F.expr(_MESSY)).alias("normalised"))
+
+
+@query(rf"""
+WITH {X.TEXTS}, b AS (SELECT meeting_id, list_filter(string_split_regex(trim(transcript_text, concat(' ', chr(10))), '\n\s*\n'), lambda x: trim(x, concat(' ', chr(10))) <> '') AS b FROM texts),
+u AS (SELECT meeting_id, unnest(b) AS x, generate_subscripts(b, 1) - 1 AS block FROM b)
+SELECT meeting_id, CAST(block AS BIGINT) AS block, trim(string_split(x, chr(10))[1]) AS header, trim(array_to_string(string_split(x, chr(10))[2:], chr(10)), concat(' ', chr(10))) AS body FROM u""")
+def transcript_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = X.meeting_texts(spark, sf_dir).select("meeting_id", F.posexplode(text.blocks(F.col("transcript_text"))).alias("block", "b"))
+    return t.select("meeting_id", F.col("block").cast("long").alias("block"), "b.header", "b.body")
+
+
+_CLEAN = "x"
+for _k, _v in text.CLEANUP.items():
+    _CLEAN = f"regexp_replace({_CLEAN}, '(?i)\\b{_k}\\b', '{_v.replace(chr(39), chr(39) * 2)}', 'g')"
+
+
+@query(rf"""
+WITH a AS (SELECT conv_id, turn, list_transform(string_split(replace(replace(text, ' the ', ' teh '), ' of ', ' api '), chr(10)), lambda x: trim(x)) AS l FROM conversations),
+b AS (SELECT conv_id, turn, list_transform(l, lambda x: {_CLEAN}) AS w, l FROM a)
+SELECT conv_id, turn, array_to_string(list_transform(list_zip(l, w), lambda z: CASE WHEN z[1] = '' OR starts_with(lower(z[1]), 'speaker ') THEN z[1]
+  ELSE concat(upper(z[2][1]), z[2][2:], CASE WHEN right(z[2], 1) IN ('.', '?', '!') THEN '' ELSE '.' END) END), chr(10)) AS cleaned FROM b""")
+def rule_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.replace(F.replace("text", F.lit(" the "), F.lit(" teh ")), F.lit(" of "), F.lit(" api "))
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.rule_cleanup(raw).alias("cleaned"))
+
+
+def _answers(name: str, rows: str, item: str, key: str) -> str:
+    """SQL of the six shapes of an answer, and of the error of each."""
+    return f"""
+{name} AS (SELECT meeting_id, meeting_id % 6 AS k, list(x ORDER BY ord) AS items FROM (SELECT *, {item} AS x FROM {rows}) GROUP BY meeting_id)"""
+
+
+def _shape_errors(one: str, response: str, checks: str) -> str:
+    return f"""CASE k WHEN 2 THEN '{one} response must be an object.' WHEN 3 THEN '{one} response is not valid JSON.' WHEN 4 THEN '{response}'
+  WHEN 5 THEN concat('{one} ', len(items) + 1, ' must be a JSON object.') ELSE {checks} END"""
+
+
+_BAD_DECISION = "list_filter(list_transform(range(1, len(items) + 1), lambda i: CASE WHEN items[i].decision = '' THEN concat('Decision ', i, ' is missing decision text.') END), lambda e: e IS NOT NULL)[1]"
+_DECISION_ROWS = f"""
+WITH {X.DECISIONS}, {_answers("a", "decided", "{'decision': decision, 'confidence': lower(trim(confidence))}", "decisions")},
+e AS (SELECT *, {_shape_errors("Decision", payload.DECISIONS.response, _BAD_DECISION)} AS error FROM a)"""
+
+
+@query(f"""{_DECISION_ROWS}
+SELECT meeting_id, CAST(i - 1 AS BIGINT) AS ord, items[i].decision AS decision, CAST(NULL AS VARCHAR) AS owner, CAST(NULL AS VARCHAR) AS timestamp, items[i].confidence AS confidence
+FROM (SELECT *, unnest(range(1, len(items) + 1)) AS i FROM e WHERE error IS NULL)""")
+def decisions_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = X.decision_responses(spark, sf_dir).select("meeting_id", payload.parse_items(F.col("response"), payload.DECISIONS).alias("r"))
+    return r.select("meeting_id", F.posexplode("r.items").alias("ord", "x")).select("meeting_id", F.col("ord").cast("long").alias("ord"), "x.*")
+
+
+@query(f"{_DECISION_ROWS} SELECT meeting_id, error FROM e")
+def payload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.decision_responses(spark, sf_dir).select("meeting_id", payload.parse_items(F.col("response"), payload.DECISIONS)["error"].alias("error"))
+
+
+_ACTION_ROWS = f"""
+WITH {X.ACTIONS}, {_answers("a", "actions", "{'task': task, 'owner': owner, 'due_date': due_date, 'status': status}", "action_items")},
+e AS (SELECT *, {_shape_errors("Action item", payload.ACTIONS.response, "NULL")} AS error FROM a)"""
+
+
+@query(f"""{_ACTION_ROWS}
+SELECT meeting_id, CAST(i - 1 AS BIGINT) AS ord, items[i].task AS task, items[i].owner AS owner, items[i].due_date AS due_date, CAST(NULL AS VARCHAR) AS timestamp, items[i].status AS status
+FROM (SELECT *, unnest(range(1, len(items) + 1)) AS i FROM e WHERE error IS NULL)""")
+def action_items_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = X.action_responses(spark, sf_dir).select("meeting_id", payload.parse_items(F.col("response"), payload.ACTIONS).alias("r"))
+    return r.select("meeting_id", F.posexplode("r.items").alias("ord", "x")).select("meeting_id", F.col("ord").cast("long").alias("ord"), "x.*")
+
+
+def _point_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = X.segments(spark, sf_dir)
+    body = F.struct(F.concat(F.lit("Point "), F.col("seg_no").cast("string")).alias("point"), F.array(segments.speaker_label(F.col("speaker_id")), F.lit(" ")).alias("speakers"), clock.format_clock(F.col("start_s")).alias("timestamp"))
+    return X.responses(s.select("meeting_id", F.col("seg_no").alias("ord"), F.to_json(body).alias("item")), "key_discussion_points")
+
+
+@query(f"""WITH {X.LABELLED}, n AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY seg_no) - 1 AS ord FROM labelled WHERE meeting_id % 6 < 2)
+SELECT meeting_id, ord, concat('Point ', seg_no) AS point, label AS speakers, start_clock AS timestamp FROM n""")
+def key_points_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _point_answers(spark, sf_dir).select("meeting_id", F.posexplode(payload.parse_items(F.col("response"), payload.POINTS)["items"]).alias("ord", "x"))
+    return r.select("meeting_id", F.col("ord").cast("long").alias("ord"), "x.point", F.array_join("x.speakers", ", ").alias("speakers"), "x.timestamp")
+
+
+def _analysis_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-analysis answers over the meetings' own texts, some of them broken."""
+    t = X.meeting_texts(spark, sf_dir)
+    d = X.listed(X.decisions(spark, sf_dir).where("decision <> ''"), "decisions")
+    a = X.listed(X.action_items(spark, sf_dir), "action_items")
+    p = X.segments(spark, sf_dir).groupBy("meeting_id").agg(F.count("*").alias("n"))
+    rows = t.join(d, "meeting_id").join(a, "meeting_id").join(p, "meeting_id")
+    title = F.when(F.col("meeting_id") % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit("Meeting "), F.col("meeting_id").cast("string")))
+    summary = F.struct(title.alias("title"), F.lit("Short.").alias("short_summary"), F.lit("The discussion focused on orders.").alias("detailed_summary"), F.array(F.lit("orders"), F.lit(" ")).alias("topics_discussed"))
+    points = F.array(F.struct(F.lit("Orders were reviewed").alias("point"), F.array(F.lit("Speaker 1")).alias("speakers")))
+    body = F.struct(F.expr(_damaged("meeting_id", "transcript_text")).alias("cleaned_transcript"), summary.alias("summary"), points.alias("key_discussion_points"), "decisions", "action_items")
+    return rows.select("meeting_id", "transcript_text", F.to_json(body).alias("response"))
+
+
+@query(rf"""
+WITH {X.TEXTS}, {X.DECISIONS}, {X.ACTIONS},
+h AS (SELECT meeting_id, len(list_filter(string_split(transcript_text, chr(10)), lambda x: regexp_matches(x, '{_STRICT}'))) AS a, len(list_filter(string_split({_damaged("meeting_id", "transcript_text")}, chr(10)), lambda x: regexp_matches(x, '{_STRICT}'))) AS b FROM texts),
+d AS (SELECT meeting_id, count(*) AS decisions FROM decided WHERE decision <> '' GROUP BY meeting_id), k AS (SELECT meeting_id, count(*) AS action_items FROM actions GROUP BY meeting_id),
+j AS (SELECT *, CASE WHEN b < a THEN 'Cleaned transcript appears to be missing speaker labels or timestamp headers.' WHEN meeting_id % 5 = 0 THEN 'Meeting summary is missing a title.' END AS error FROM h JOIN d USING (meeting_id) JOIN k USING (meeting_id))
+SELECT meeting_id, error, CASE WHEN error IS NULL THEN concat('Meeting ', meeting_id) END AS title, CASE WHEN error IS NULL THEN 1 ELSE 0 END AS points,
+       CASE WHEN error IS NULL THEN decisions ELSE 0 END AS decisions, CASE WHEN error IS NULL THEN action_items ELSE 0 END AS action_items FROM j""")
+def full_analysis_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _analysis_answers(spark, sf_dir).select("meeting_id", payload.parse_analysis(F.col("response"), F.col("transcript_text")).alias("r"))
+    counts = metrics.list_counts(F.col("r.key_discussion_points"), F.col("r.decisions"), F.col("r.action_items"))
+    return r.select("meeting_id", "r.error", F.col("r.summary.title").alias("title"), *counts).withColumnRenamed("discussion_points", "points")
+
+
+def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _analysis_answers(spark, sf_dir).select("meeting_id", payload.parse_analysis(F.col("response"), F.col("transcript_text")).alias("r")).where("r.error is null")
+    return r.select("meeting_id", "r.cleaned_transcript", "r.summary", "r.key_discussion_points", "r.decisions", "r.action_items")
+
+
+@query()
+def minutes_of_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain-text minutes of every meeting that parses."""
+    return report.minutes_text(report.report_model(_analyses(spark, sf_dir), today=F.lit("2024-01-01")))
+
+
+@query(f"""WITH {X.ACTIONS}, t AS (SELECT *, lower(concat_ws(' ', task, coalesce(due_date, ''), status)) AS x FROM actions)
+SELECT meeting_id, ord, coalesce(owner, 'Unassigned') AS owner, coalesce(due_date, 'N/A') AS due_date, CASE WHEN regexp_matches(x, '{"|".join(report.HIGH)}') THEN 'High' WHEN regexp_matches(x, '{"|".join(report.MEDIUM)}') THEN 'Medium' ELSE 'Low' END AS priority FROM t""")
+def action_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = X.action_items(spark, sf_dir).select("meeting_id", "ord", "owner", "due_date", F.struct("task", "owner", "due_date", "status").alias("a"))
+    return a.select("meeting_id", "ord", text.or_else(F.col("owner"), "Unassigned").alias("owner"), text.or_else(F.col("due_date"), "N/A").alias("due_date"), report.priority(F.col("a")).alias("priority"))
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, d = X.listed(X.action_items(spark, sf_dir), "actions"), X.listed(X.decisions(spark, sf_dir), "decided")
+    j = a.where("meeting_id % 10 <> 3").join(d.where("meeting_id % 10 <> 4"), "meeting_id", "full")
+    empty = lambda c: F.coalesce(c, F.array().cast(j.schema[c].dataType)).alias(c)
+    return j.select("meeting_id", empty("actions"), empty("decided"))
+
+
+_LISTS = f"""{X.ACTIONS}, {X.DECISIONS},
+la AS (SELECT meeting_id, list({X.STEP} ORDER BY ord) AS steps, list_sort(list_distinct(list(owner) FILTER (owner IS NOT NULL))) AS owners FROM actions WHERE meeting_id % 10 <> 3 GROUP BY meeting_id),
+ld AS (SELECT meeting_id, list_filter(list({X.PHRASE} ORDER BY ord)[1:3], lambda x: x <> '') AS phrases FROM decided WHERE meeting_id % 10 <> 4 GROUP BY meeting_id),
+j AS (SELECT meeting_id, steps, owners, phrases FROM la FULL JOIN ld USING (meeting_id))"""
+_STEPS = "array_to_string(list_concat(coalesce(steps, []), list_transform(coalesce(phrases, []), lambda x: concat('Team will proceed in line with: ', x, '.'))), chr(10))"
+
+
+@query(f"WITH {_LISTS} SELECT meeting_id, {_STEPS} AS next_steps FROM j")
+def next_steps_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lists(spark, sf_dir).select("meeting_id", F.array_join(report.next_steps(F.col("actions"), F.col("decided"), "docx"), "\n").alias("next_steps"))
+
+
+@query(f"WITH {_LISTS} SELECT meeting_id, CASE WHEN steps IS NULL THEN '{report.NO_STEPS}' ELSE {_STEPS} END AS next_steps FROM j")
+def next_steps_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lists(spark, sf_dir).select("meeting_id", F.array_join(report.next_steps(F.col("actions"), F.col("decided"), "pdf"), "\n").alias("next_steps"))
+
+
+@query(f"""WITH {_LISTS}
+SELECT meeting_id, array_to_string(list_filter([CASE WHEN meeting_id % 3 = 0 THEN '{report.STOCK}' ELSE 'The meeting focused on orders.' END,
+  CASE WHEN len(coalesce(phrases, [])) > 0 THEN concat('Key decisions included ', array_to_string(phrases, '; '), '.') END,
+  CASE WHEN steps IS NOT NULL THEN concat('Follow-up activities were assigned to ', CASE WHEN len(coalesce(owners, [])) > 0 THEN array_to_string(owners[1:4], ', ') ELSE 'the assigned owners' END, ', with progress to be tracked through the action items below.') END],
+  lambda x: x IS NOT NULL), chr(10)) AS summary FROM j""")
+def exec_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    detailed = F.when(F.col("meeting_id") % 3 == 0, F.lit("")).otherwise(F.lit("The discussion focused on orders. "))
+    s = report.executive_summary(detailed, F.lit(None).cast("string"), F.col("decided"), F.col("actions"))
+    return _lists(spark, sf_dir).select("meeting_id", F.array_join(s, "\n").alias("summary"))
+
+
+@query(f"WITH {X.DECISIONS} SELECT meeting_id, ord, decision FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY ord) AS n FROM decided) WHERE n <= 3")
+def topk_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("meeting_id").orderBy("ord"))
+    return X.decisions(spark, sf_dir).withColumn("n", n).where("n <= 3").select("meeting_id", "ord", "decision")
+
+
+@query(rf"""
+WITH {X.TEXTS}, r AS (SELECT meeting_id, transcript_text, regexp_extract_all(transcript_text, '{metrics.RANGE}', 1) AS a, regexp_extract_all(transcript_text, '{metrics.RANGE}', 2) AS b FROM texts),
+s AS (SELECT *, CASE WHEN len(a) > 0 THEN {_SECONDS.format(x="a[1]")} END AS f, CASE WHEN len(b) > 0 THEN {_SECONDS.format(x="b[-1]")} END AS l, len(list_distinct(regexp_extract_all(transcript_text, '(?m)^(Speaker\s+\S+)', 1))) AS n FROM r)
+SELECT meeting_id, CASE meeting_id % 3 WHEN 0 THEN '2024-05-01' WHEN 1 THEN '2024-06-01' ELSE '2024-01-01' END AS date,
+  CASE WHEN meeting_id % 2 = 0 THEN '1 hour' WHEN l > f THEN concat(greatest(1, CAST(round_even((l - f) / 60, 0) AS BIGINT)), ' min') ELSE 'N/A' END AS duration, CASE WHEN n > 0 THEN CAST(n AS VARCHAR) ELSE 'N/A' END AS speakers_detected FROM s""")
+def report_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("meeting_id")
+    info = F.create_map(F.lit("Date"), F.when(k % 3 == 0, "2024-05-01").otherwise(""), F.lit("Generated Date"), F.when(k % 3 == 1, "2024-06-01").otherwise(""), F.lit("Duration"), F.when(k % 2 == 0, "1 hour").otherwise(""))
+    m = X.meeting_texts(spark, sf_dir).select("meeting_id", report.metadata(info, F.col("transcript_text"), F.lit("2024-01-01")).alias("m"))
+    return m.select("meeting_id", "m.date", "m.duration", "m.speakers_detected")
+
+
+@query("SELECT doc_id, sha256(text) AS cache_key, sha256(concat('T', chr(10), chr(10), 'S', chr(10), chr(10), text)) AS versioned_key FROM documents")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.table(spark, sf_dir, "documents").select("doc_id", text.content_key(F.col("text")).alias("cache_key"), text.versioned_key("T", "S", F.col("text")).alias("versioned_key"))
+
+
+@query("SELECT sha256(text) AS cache_key, min(doc_id) AS doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY 1")
+def cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that a cache of every third document's key doesn't hold, each key once."""
+    d = X.table(spark, sf_dir, "documents").select("doc_id", text.content_key(F.col("text")).alias("cache_key"))
+    return d.groupBy("cache_key").agg(F.min("doc_id").alias("doc_id")).join(d.where("doc_id % 3 = 0").select("cache_key"), "cache_key", "left_anti")
+
+
+@query("SELECT conv_id, turn, concat('Read <transcript>', chr(10), text, chr(10), '</transcript> and ', text) AS prompt FROM conversations")
+def prompt_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.fill("Read <transcript>\n{transcript}\n</transcript> and {transcript}", F.col("text")).alias("prompt"))
+
+
+@query("SELECT conv_id, turn, text AS payload FROM conversations")
+def prompt_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = prompt_fill(spark, sf_dir)
+    return p.select("conv_id", "turn", text.prompt_payload(F.col("prompt")).alias("payload"))
+
+
+@query("""
+SELECT event_id, unnest(range(0, 5)) AS i, CASE WHEN event_id % 6 > unnest(range(0, 5)) THEN 'done' WHEN event_id % 6 = unnest(range(0, 5)) THEN 'active' ELSE 'waiting' END AS status, CAST(event_id % 6 * 20 AS INTEGER) AS percent FROM events""")
+def stage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    active = (F.col("event_id") % 6).cast("int")
+    e = X.table(spark, sf_dir, "events").select("event_id", metrics.stage_percent(active).alias("percent"), F.posexplode(metrics.stage_status(["a", "b", "c", "d", "e"], active)).alias("i", "s"))
+    return e.select("event_id", F.col("i").cast("long").alias("i"), "s.status", "percent")
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE event_type IS DISTINCT FROM b")
+def upload_log_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.changed_rows(X.table(spark, sf_dir, "events"), "event_type", ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT doc_id, concat('doc:', n_chars) AS signature, CASE WHEN n_chars * 5000 / 1048576 <= 10 THEN 'about 1-3 minutes' WHEN n_chars * 5000 / 1048576 <= 50 THEN 'about 3-7 minutes' ELSE '7+ minutes' END AS estimate FROM documents")
+def size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.table(spark, sf_dir, "documents").select("doc_id", text.upload_signature(F.lit("doc"), F.col("n_chars")).alias("signature"), text.duration_estimate(F.col("n_chars") * 5000).alias("estimate"))
+
+
+def speech_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speech-to-text answers of every meeting, with blank, odd and bad entries."""
+    s = X.segments(spark, sf_dir)
+    k = F.col("seg_no") + F.col("meeting_id")
+    number = F.when(k % 11 == 0, F.lit('"bad"')).otherwise(F.coalesce(F.col("start_s").cast("string"), F.lit("null")))
+    entry = F.concat(F.lit('{"transcript": '), F.when(k % 5 == 0, F.lit('" "')).otherwise(F.to_json(F.array("transcript")).substr(F.lit(2), F.length(F.to_json(F.array("transcript"))) - 2)), F.lit(', "speaker_id": '), F.coalesce(F.concat(F.lit('"'), F.col("speaker_id"), F.lit('"')), F.lit("null")), F.lit(', "start_time_seconds": '), number, F.lit(', "end_time_seconds": '), F.col("end_s").cast("string"), F.lit("}"))
+    item = F.when(k % 7 == 0, F.lit('"loose"')).otherwise(entry)
+    rows = s.select("meeting_id", F.struct("seg_no", item.alias("e")).alias("x")).groupBy("meeting_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]), ", ").alias("e"))
+    return rows.select("meeting_id", F.concat(F.lit('{"transcript": "  ", "language_code": "en", "diarized_transcript": {"entries": ['), F.col("e"), F.lit("]}}")).alias("value"))
+
+
+@query(f"""WITH {X.SEGMENTS}, k AS (SELECT *, seg_no + meeting_id AS k FROM segments)
+SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY seg_no) - 1 AS seg_no, trim(transcript, concat(' ', chr(10))) AS transcript, speaker_id, CASE WHEN k % 11 <> 0 THEN start_s END AS start_s, end_s FROM k WHERE k % 5 <> 0 AND k % 7 <> 0""")
+def stt_payload_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = speech_payloads(spark, sf_dir).select("meeting_id", F.posexplode(payload.parse_speech(F.col("value"))["segments"]).alias("seg_no", "s"))
+    return p.select("meeting_id", F.col("seg_no").cast("long").alias("seg_no"), "s.transcript", "s.speaker_id", F.col("s.start_time_seconds").alias("start_s"), F.col("s.end_time_seconds").alias("end_s"))
+
+
+@query("""SELECT job, min(CASE WHEN f % 3 = 2 THEN f END) AS file FROM (SELECT conv_id // 10 AS job, conv_id AS f FROM conversations) GROUP BY job""")
+def speech_first_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of ten files a job the first, by name, with a transcript (a third of them has one)."""
+    c = X.table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    body = F.when(F.col("conv_id") % 3 == 2, F.col("conv_id").cast("string")).otherwise(F.lit(" "))
+    files = c.select((F.col("conv_id") / 10).cast("long").alias("j"), F.format_string("%012d.json", "conv_id").alias("path"), F.concat(F.lit('{"transcript": "'), body, F.lit('"}')).alias("value"))
+    return first_results(files, F.col("j")).select("job", F.col("transcript").cast("long").alias("file"))
+
+
+@query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+def xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.table(spark, sf_dir, "pages").select("page_id", text.xml_escape(F.col("html")).alias("escaped"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.table(spark, sf_dir, "pages").select("page_id", text.html_escape(F.col("html")).alias("escaped"))
+
+
+@query("SELECT c_custkey, concat(c_name[1:6], '...') AS masked FROM customer")
+def mask_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.table(spark, sf_dir, "customer").select("c_custkey", text.mask(F.col("c_name")).alias("masked"))
+
+
+@query("SELECT event_id, CASE WHEN value < 30 AND event_id % 2 = 0 THEN 'realtime' ELSE 'batch' END AS route FROM events")
+def speech_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.table(spark, sf_dir, "events").select("event_id", route(F.col("value"), F.col("event_id") % 2 == 1).alias("route"))
+
+
+@query(f"WITH {X.TEXTS} SELECT meeting_id, transcript_text AS cleaned_transcript, CAST(NULL AS VARCHAR) AS error FROM texts")
+def cleanup_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleanup verb through a backend that returns the transcript it was given."""
+    t = X.meeting_texts(spark, sf_dir).select("meeting_id", text.strip(F.col("transcript_text")).alias("transcript_text"))
+
+    class Echo:
+        def generate(self, prompt, *, system_prompt=None):
+            return prompt.split("<transcript>\n", 1)[1].rsplit("\n</transcript>", 1)[0]
+
+    return tasks.run_task(t, "cleanup", Echo)[0].select("meeting_id", "cleaned_transcript", "error")
+
+
