@@ -288,7 +288,7 @@ def leaders(node: np.ndarray, fp: np.ndarray, check: np.ndarray, size: np.ndarra
 
 
 def near_copies(
-    docs: DataFrame, similarity: float = 0.8, width: int = 5, most: int = 7, index_width: int = 2, most_check: int = 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, most: int = 7, index_width: int = 2, most_check: int = 14, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(``id_col``, ``group_id``): documents joined by verified near copies, the smallest id names the group.
 
@@ -297,7 +297,7 @@ def near_copies(
     ``index_width``-word shingles (they move less than longer ones when a word changes), at
     ``most`` bits; a second fingerprint, of ``width``-word shingles, and the sizes drop most
     false ones; the rest are verified exactly.  Members that fail against all their leaders go
-    through the index again among themselves, until none is left.
+    through the index again among themselves, until a round verifies nothing.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -347,6 +347,8 @@ def near_copies(
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         common = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
         good = written(common.where(F.col("n") >= similarity * (F.col("m") - F.col("n"))).select("a", "b"), "near-copies")
+        if good.isEmpty():
+            break
         edges = good if edges is None else edges.unionByName(good)
         failed = pairs.select(F.col("a").alias("node")).distinct().join(good.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
         left = written(left.join(failed, "node", "left_semi").select("node", "fp", "check", "size"), "unverified")
