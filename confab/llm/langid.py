@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import held, small_batches, written
 
 #: Labelled documents per language that the fit takes, about (all if there are fewer).
-FIT_ROWS = 2000
+FIT_ROWS = 500
 ROUNDS = 3
 PIECE_CHARS = 10
 PART = 32
@@ -232,6 +232,7 @@ def fit(docs: DataFrame, vocabulary: str, fit_rows: int = FIT_ROWS, rounds: int
     words = written(some.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "fit-words")
     prior = np.log(np.array([have[c] for c in languages], float) / sum(have.values()))
     model = Model(Pieces(pieces), np.full((len(pieces), len(languages)), 1 / len(pieces)), languages, prior)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((pieces, model.probs[:-1].tobytes(), languages))
 
@@ -251,7 +252,7 @@ def fit(docs: DataFrame, vocabulary: str, fit_rows: int = FIT_ROWS, rounds: int
             p, c = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(c, pa.int32()), pa.array(total[p, c])], ["piece", "lang", "n"])
 
-        rows = words.mapInArrow(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        rows = words.repartition(parts, "word").mapInArrow(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros((len(pieces), len(languages)))
         counts[rows["piece"], rows["lang"]] = rows["n"]
         pooled = counts.sum(1, keepdims=True) / max(counts.sum(), 1)
