@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from confab.functions.clock import to_float
-from confab.functions.text import optional, strip, strip_fence
+from confab.functions.text import let, optional, strip, strip_fence
 from confab.operators.segments import header_count
 
 _V = "array<variant>"
@@ -135,9 +135,8 @@ def items_of(raw: Column, spec: Items) -> Column:
 
 def parse_items(response: Column, spec: Items) -> Column:
     """struct(items, error) of a response of one list task."""
-    obj = parse_object(response, spec.one)
-    got = items_of(field(obj["value"], spec.key), spec)
-    return F.struct(F.when(obj["error"].isNull(), got["items"]).alias("items"), F.coalesce(obj["error"], got["error"]).alias("error"))
+    both = let(parse_object(response, spec.one), lambda obj: F.struct(obj["error"].alias("error"), items_of(field(obj["value"], spec.key), spec).alias("got")))
+    return let(both, lambda x: F.struct(F.when(x["error"].isNull(), x["got"]["items"]).alias("items"), F.coalesce(x["error"], x["got"]["error"]).alias("error")))
 
 
 def cleaned_error(original: Column, cleaned: Column) -> Column:
@@ -182,17 +181,23 @@ def parse_summary(response: Column) -> Column:
 
 def parse_analysis(response: Column, original: Column) -> Column:
     """struct(cleaned_transcript, summary, key_discussion_points, decisions, action_items, error) of a full analysis."""
-    obj = parse_object(response, "Meeting summary")
-    v = obj["value"]
-    cleaned, raw = required(v, "cleaned_transcript"), field(v, "summary")
-    own = field(v, "topics_discussed")
-    topics = F.when(own.isNull() | (kind_of(own) == "VOID"), field(raw, "topics_discussed")).otherwise(own)
-    s = summary_of(raw, topics)
-    lists = [items_of(F.coalesce(field(v, x.key), F.parse_json(F.lit("[]"))), x) for x in (POINTS, DECISIONS, ACTIONS)]
-    no_summary = F.when(~is_object(raw), F.lit("Full analysis response must include a summary object."))
-    error = F.coalesce(obj["error"], cleaned_error(original, cleaned), no_summary, _not_list(topics), summary_error(s), *[x["error"] for x in lists])
-    ok = lambda c, name: F.when(error.isNull(), c).alias(name)
-    return F.struct(ok(cleaned, "cleaned_transcript"), ok(s, "summary"), *[ok(x["items"], k.key) for x, k in zip(lists, (POINTS, DECISIONS, ACTIONS))], error.alias("error"))
+    lists = (POINTS, DECISIONS, ACTIONS)
+
+    def parts(obj: Column) -> Column:
+        v = obj["value"]
+        raw, own = field(v, "summary"), field(v, "topics_discussed")
+        topics = F.when(own.isNull() | (kind_of(own) == "VOID"), field(raw, "topics_discussed")).otherwise(own)
+        cleaned = required(v, "cleaned_transcript")
+        before = F.coalesce(obj["error"], cleaned_error(original, cleaned), F.when(~is_object(raw), F.lit("Full analysis response must include a summary object.")), _not_list(topics))
+        each = [items_of(F.coalesce(field(v, x.key), F.parse_json(F.lit("[]"))), x).alias(x.key) for x in lists]
+        return F.struct(cleaned.alias("cleaned"), summary_of(raw, topics).alias("s"), before.alias("before"), *each)
+
+    def result(p: Column) -> Column:
+        error = F.coalesce(p["before"], summary_error(p["s"]), *[p[x.key]["error"] for x in lists])
+        ok = lambda c, name: F.when(error.isNull(), c).alias(name)
+        return F.struct(ok(p["cleaned"], "cleaned_transcript"), ok(p["s"], "summary"), *[ok(p[x.key]["items"], x.key) for x in lists], error.alias("error"))
+
+    return let(let(parse_object(response, "Meeting summary"), parts), result)
 
 
 def parse_speech(payload: Column) -> Column:
