@@ -74,6 +74,7 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 def transcripts_of_files(files: DataFrame) -> DataFrame:
     """(``path``, ``text``, ``segments``, ``transcript``, ``error``) of rows of the binary-file source.
 
+    Spark's file source lists no empty files; rows without content are reported as such.
     Plain UTF-8 text never leaves the JVM; only other encodings and document formats go to Python.
     """
     src = files.select("path", suffix(F.col("path")).alias("kind"), "content")
