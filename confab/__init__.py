@@ -1 +1,10 @@
-"""Meeting-transcript analytics on Spark DataFrames."""
+"""Meeting-transcript analytics on Spark DataFrames.
+
+Functions that run in Python workers are pickled by value: executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
