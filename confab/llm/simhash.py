@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small_batches, utf8_bytes, window_hashes, words_of, written
+from .common import small_batches, utf8_bytes, written
 
 #: A routing block with more fingerprints than this is split on its remaining bits.
 HOT_BLOCK = 1 << 16
@@ -246,45 +246,97 @@ def simhash(docs: DataFrame, most: int = 2, width: int = 3, id_col: str = "doc_i
     return each.join(of, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "fp", "component_id")
 
 
-def leaders(node: np.ndarray, fp: np.ndarray, check: np.ndarray, size: np.ndarray, most: int, most_check: int, ratio: float, together: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(member, leader) pairs of near fingerprints in one block.
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles; a text without words has one."""
+    from xxhash import xxh64_digest
+
+    buffer, starts, ends = shingles_of(text, width)
+    raw = b"".join([xxh64_digest(buffer[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]) or xxh64_digest(b"")
+    return np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
+
+
+def crowd(fp: np.ndarray, check: np.ndarray, size: np.ndarray, mask: int, most: int, most_check: int, ratio: float) -> np.ndarray:
+    """Which members of a block have a candidate partner there.
 
-    The index leaves out what has no near fingerprint.  Of the rest, the smallest node that is
-    near no leader becomes one; the others are paired with every leader that they are near.
-    Leaders are not near each other, so a dense group gives few pairs a member.
+    A pair belongs to the first of the ``most`` + 1 top blocks that it agrees on (and to the
+    blocks split from that one), so that near pairs do not meet in every block.
     """
+    codes, first, inverse, times = np.unique(fp, return_index=True, return_inverse=True, return_counts=True)
+    tops = _blocks(0, most + 1)
+
+    def owned(diff):
+        out, rest = np.zeros(len(diff), bool), np.ones(len(diff), bool)
+        for top in tops:
+            same = rest & (diff & np.uint64(top) == 0)
+            if top & mask == top:
+                out |= same
+            rest &= ~same
+        return out
+
+    near = (times > 1) & owned(np.zeros(len(codes), np.uint64))
     index = GrayIndex(fp)
-    near = np.zeros(len(index.codes), bool)
+    at = np.searchsorted(codes, index.codes)
     for i, j in index.links(most):
-        near[i] = near[j] = True
-    codes, times = np.unique(fp, return_counts=True)
-    some = np.flatnonzero(np.isin(fp, index.codes[near]) | np.isin(fp, codes[times > 1]))
-    rest = some[np.argsort(node[some], kind="stable")]
-
-    def close(a, b):
-        a, b = a[:, None], b[None, :]
-        ok = (np.bitwise_count(fp[a] ^ fp[b]) <= most) & (np.bitwise_count(check[a] ^ check[b]) <= most_check)
-        return ok & (np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b]))
-
-    members, heads = [], []
-    while len(rest) > 1:
-        head = rest[:together]
-        inner, chosen = close(head, head), []
-        for i in range(len(head)):
-            if not inner[i, chosen].any():
-                chosen.append(i)
-        lead, left = head[chosen], []
-        for k in range(0, len(rest), 1 << 14):
-            part = rest[k : k + (1 << 14)]
-            hit = close(part, lead)
-            i, j = np.nonzero(hit & (part[:, None] != lead[None, :]))
-            members.append(part[i])
-            heads.append(lead[j])
-            left.append(part[~hit.any(1) & ~np.isin(part, lead)])
-        rest = np.concatenate(left)
-    if not members:
-        return node[:0], node[:0]
-    return node[np.concatenate(members)], node[np.concatenate(heads)]
+        i, j = at[i], at[j]
+        x, y = first[i], first[j]
+        fits = (np.bitwise_count(check[x] ^ check[y]) <= most_check) & (np.minimum(size[x], size[y]) >= ratio * np.maximum(size[x], size[y]))
+        ok = owned(codes[i] ^ codes[j]) & (fits | (times[i] > 1) | (times[j] > 1))
+        near[i[ok]] = near[j[ok]] = True
+    return near[inverse]
+
+
+def verified_forest(fp: list[int], check: list[int], size: list[int], sets: list[np.ndarray], most: int, most_check: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join the members of a block as all its verified candidate pairs would.
+
+    Two sets of the similarity share one of the rarest shingles of each (all but the
+    similarity's share of it, plus one), so a member is compared only with earlier ones that
+    it shares such a shingle with, and with none of its own group.
+    """
+    values, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(values))
+    place, single = rank[inverse], int((times == 1).sum())
+    root, out, at = list(range(len(sets))), [], 0
+    held: dict[int, dict[int, list[int]]] = {}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for v, mine in enumerate(sets):
+        n = len(mine)
+        rare = np.sort(place[at : at + n])[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+        rare, at = rare[rare >= single].tolist(), at + n
+        tried: set[int] = set()
+        for s in rare:
+            for r, members in held.get(s, {}).items():
+                if top(r) == top(v):
+                    continue
+                for u in members:
+                    if u in tried:
+                        continue
+                    tried.add(u)
+                    if (fp[u] ^ fp[v]).bit_count() > most or (check[u] ^ check[v]).bit_count() > most_check or min(size[u], size[v]) < similarity * max(size[u], size[v]):
+                        continue
+                    common = len(np.intersect1d(sets[u], mine, assume_unique=True))
+                    if common >= similarity * (n + len(sets[u]) - common):
+                        out.append((v, u))
+                        a, b = top(u), top(v)
+                        root[max(a, b)] = min(a, b)
+                        break
+        for s in rare:
+            groups: dict[int, list[int]] = {}
+            for r, members in held.get(s, {}).items():
+                k = top(r)
+                if k in groups:
+                    groups[k] += members
+                else:
+                    groups[k] = members
+            groups.setdefault(top(v), []).append(v)
+            held[s] = groups
+    return out
 
 
 def near_copies(
@@ -296,8 +348,8 @@ def near_copies(
     of ``similarity`` or more.  Candidates come from the Gray-order index over fingerprints of
     ``index_width``-word shingles (they move less than longer ones when a word changes), at
     ``most`` bits; a second fingerprint, of ``width``-word shingles, and the sizes drop most
-    false ones; the rest are verified exactly.  Members that fail against all their leaders go
-    through the index again among themselves, until a round verifies nothing.
+    false ones.  The shingle sets of documents with a candidate partner are dealt to the blocks
+    of their pairs and verified exactly there: groups are those of all verified candidate pairs.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -316,47 +368,70 @@ def near_copies(
 
     each = written(keyed.mapInArrow(run, "id long, th long, fp long, fp_check long, size long"), "signatures")
     nodes = written(each.groupBy("th", "fp", "fp_check", "size").agg(F.min("id").alias("node")), "nodes")
+    names, kinds = ["mask", "key", "node", "th", "fp", "fp_check", "size"], "mask long, key long, node long, th long, fp long, fp_check long, size long"
 
-    def local(batches):
+    def partnered(batches):
         import pyarrow as pa
 
-        cols = [np.concatenate(c) for c in zip(*([b.column(k).to_numpy(zero_copy_only=False) for k in range(6)] for b in batches))]
+        cols = [np.concatenate(c) for c in zip(*([b.column(k).to_numpy(zero_copy_only=False) for k in range(7)] for b in batches))]
         if not cols:
             return
-        order = np.lexsort((cols[5], cols[4]))
-        node, fp, check, size, mask, key = (c[order] for c in cols)
+        order = np.lexsort((cols[1], cols[0]))
+        cols = [c[order] for c in cols]
+        mask, key, fp, check, size = cols[0], cols[1], cols[4].view(np.uint64), cols[5].view(np.uint64), cols[6]
         cut = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]), True])
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
             if b - a > 1:
-                m, h = leaders(node[a:b], fp[a:b].view(np.uint64), check[a:b].view(np.uint64), size[a:b], most, most_check, similarity)
-                if len(m):
-                    yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h)], ["a", "b"])
-
-    words = words_of(ascii_lower(F.col("t")))
-    whole = F.array(F.xxhash64(F.array_join("w", " ")))
-    left, edges = nodes.select("node", "fp", F.col("fp_check").alias("check"), "size"), None
-    n = left.count()
-    while n > 1:
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (most + 1) * n // PART_ROWS + 1)
-        dealt = routed(left, most).repartition(parts, "mask", "key").select("node", "fp", "check", "size", "mask", "key")
-        pairs = written(dealt.mapInArrow(local, "a long, b long").distinct(), "candidates")
-        asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        asked = asked.join(nodes.select(F.col("node").alias("id"), "th"), "id")
-        texts = keyed.join(asked, ["id", "th"], "left_semi").dropDuplicates(["id"]).select("id", words.alias("w"))
-        sets = written(texts.select("id", F.array_distinct(F.when(F.size("w") < width, whole).otherwise(window_hashes(F.col("w"), width))).alias("s")), "shingle-sets")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        common = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
-        good = written(common.where(F.col("n") >= similarity * (F.col("m") - F.col("n"))).select("a", "b"), "near-copies")
-        if good.isEmpty():
-            break
-        edges = good if edges is None else edges.unionByName(good)
-        failed = pairs.select(F.col("a").alias("node")).distinct().join(good.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
-        left = written(left.join(failed, "node", "left_semi").select("node", "fp", "check", "size"), "unverified")
-        n = left.count()
-    of = nodes.select("th", "fp", "fp_check", "size", "node")
-    if edges is not None:
-        label = components(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-        of = of.join(label, "node", "left").select("th", "fp", "fp_check", "size", F.coalesce("label", "node").alias("group_id"))
-    else:
-        of = of.select("th", "fp", "fp_check", "size", F.col("node").alias("group_id"))
+                near = a + np.flatnonzero(crowd(fp[a:b], check[a:b], size[a:b], int(mask[a]) & (1 << 64) - 1, most, most_check, similarity))
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[near]) for c in cols], names)
+
+    def with_sets(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            sets = [shingle_set(t, width) for t in utf8_bytes(b.column(5))]
+            blocks = b.column(6)
+            times = np.diff(blocks.offsets.to_numpy())
+            row = np.repeat(np.arange(b.num_rows), times)
+            for k in range(0, len(row), 512):
+                some, pair = row[k : k + 512], blocks.flatten().slice(k, 512)
+                parts = [sets[i] for i in some]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in parts]), pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pair.field(0), pair.field(1), *(b.column(c).take(pa.array(some)) for c in (0, 2, 3, 4)), lists], ["mask", "key", "node", "fp", "fp_check", "size", "s"])
+
+    def joined(batches):
+        import pyarrow as pa
+
+        def links_of(rows):
+            node, fp, check, size, sets = zip(*rows)
+            found = [(node[i], node[j]) for i, j in verified_forest(fp, check, size, sets, most, most_check, similarity) if node[i] != node[j]]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], ["a", "b"])
+
+        now, rows = None, []
+        for b in batches:
+            fp, check = (b.column(k).to_numpy(zero_copy_only=False).view(np.uint64).tolist() for k in (3, 4))
+            lists = b.column(6)
+            for i, (mask, key, node, size) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 5)))):
+                if (mask, key) != now:
+                    if len(rows) > 1:
+                        yield from links_of(rows)
+                    now, rows = (mask, key), []
+                rows.append((node, fp[i], check[i], size, lists[i].values.to_numpy(zero_copy_only=False).view(np.uint64).copy()))
+        if len(rows) > 1:
+            yield from links_of(rows)
+
+    def parts(rows: int, each: int) -> int:
+        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // each + 1)
+
+    dealt = routed(nodes.select("node", "th", "fp", "fp_check", "size"), most).repartition(parts((most + 1) * nodes.count(), PART_ROWS), "mask", "key").select(*names)
+    wanted = written(dealt.mapInArrow(partnered, kinds), "candidates")
+    blocks = wanted.groupBy(F.col("node").alias("id"), "th", "fp", "fp_check", "size").agg(F.collect_list(F.struct("mask", "key")).alias("blocks"))  # at most the blocks of a fingerprint
+    texts = keyed.join(blocks, ["id", "th"]).select("id", "th", "fp", "fp_check", "size", "t", "blocks")
+    sets = texts.mapInArrow(with_sets, "mask long, key long, node long, fp long, fp_check long, size long, s array<long>")
+    met = sets.repartition(parts(wanted.count(), PART_ROWS >> 4), "mask", "key").sortWithinPartitions("mask", "key", "node")
+    edges = written(met.mapInArrow(joined, "a long, b long").distinct(), "near-copies")
+    label = components(edges)
+    of = nodes.join(label, "node", "left").select("th", "fp", "fp_check", "size", F.coalesce("label", "node").alias("group_id"))
     return each.join(of, ["th", "fp", "fp_check", "size"]).select(F.col("id").alias(id_col), "group_id")

@@ -77,6 +77,31 @@ def test_near_copies_are_verified(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
+def test_near_copies_do_not_hide_behind_others(spark):
+    # document 1 fails against 2, or both: 2 and 3 are joined all the same.  The repeated words keep the fingerprints near
+    words = [f"w{i}" for i in range(400)]
+    often = "ten words that stand again and again on every page " * 300
+
+    def changed(places, by):
+        out = list(words)
+        for i in places:
+            out[i] = by
+        return often + " ".join(out)
+
+    rare, more = range(10, 400, 40), [30, 150, 300]
+    first, second, third = changed([], ""), changed(rare, "new"), changed([*rare, *more], "new")
+    closer = changed([i for i in rare if i > 120], "new")
+    for rows, want in (([first, second, third], {1: 1, 2: 2, 3: 2}), ([first, second, closer], {1: 1, 2: 1, 3: 1})):
+        rows = list(enumerate(rows, 1))
+        sets = {i: simhash.shingle_set(t.encode(), 5) for i, t in rows}
+        fps = {(i, w): simhash.fingerprint(t.encode(), w) for i, t in rows for w in (2, 5)}
+        alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+        assert alike(1, 2) < 0.8 <= alike(2, 3) and (alike(1, 3) >= 0.8) == (want[2] == 1)
+        assert all((fps[a, w] ^ fps[b, w]).bit_count() <= most for a in (1, 2) for b in (2, 3) for w, most in ((2, 7), (5, 14)))
+        got = {r["doc_id"]: r["group_id"] for r in simhash.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert got == want
+
+
 def test_warc_round_trip(spark, docs):
     pages = spark.createDataFrame([(3, "u", "x" * 200), (1, None, "x" * 200), (2, "v", "short"), (4, "v", "short"), (5, "é", None), (None, "n", "x" * 200), (6, "u", "é" * 50)], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in warc.read_archives(warc.write_archives(pages), with_payload=True).collect()}
