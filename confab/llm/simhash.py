@@ -363,7 +363,7 @@ def near_copies(
         for b in batches:
             texts = utf8_bytes(b.column(2))
             fps = [np.array([fingerprint(t, w) for t in texts], np.uint64).view(np.int64) for w in (index_width, width)]
-            size = np.array([len(shingles_of(t, width)[1]) for t in texts], np.int64)
+            size = np.array([len(shingle_set(t, width)) for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (*fps, size))], ["id", "th", "fp", "fp_check", "size"])
 
     each = written(keyed.mapInArrow(run, "id long, th long, fp long, fp_check long, size long"), "signatures")

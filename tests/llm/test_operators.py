@@ -102,6 +102,12 @@ def test_near_copies_do_not_hide_behind_others(spark):
         assert got == want
 
 
+def test_near_copies_count_distinct_shingles(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_copies(spark.createDataFrame([(1, text), (2, f"{text} {text}")], SCHEMA)).collect()}
+    assert got == {1: 1, 2: 1}
+
+
 def test_warc_round_trip(spark, docs):
     pages = spark.createDataFrame([(3, "u", "x" * 200), (1, None, "x" * 200), (2, "v", "short"), (4, "v", "short"), (5, "é", None), (None, "n", "x" * 200), (6, "u", "é" * 50)], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in warc.read_archives(warc.write_archives(pages), with_payload=True).collect()}
