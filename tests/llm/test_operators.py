@@ -244,6 +244,30 @@ def test_repeated_passages(spark):
     assert got == {0: (100, 159, 0), 1: (0, 59, 0), 3: (10, 89, 3), 4: (70, 149, 3)}
 
 
+def test_exact_repeats_do_not_hide_behind_others(spark):
+    import random
+
+    r = random.Random(2)
+    text = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows, want = [], {}
+    for k in range(0, 240, 20):
+        # c shares its words 0-60 with a, 20-75 with b
+        c = text(90)
+        rows += [(k, text(9) + c[:61] + text(9)), (k + 1, text(12) + c[20:76] + text(7)), (k + 2, c)]
+        want |= {k: [(9, 69)], k + 1: [(12, 67)], k + 2: [(0, 75)]}
+        # the first holds 40 words of the passage, and all of it later
+        p = text(60)
+        rows += [(k + 3, text(5) + p[:40] + text(80) + p + text(5)), (k + 4, text(30) + p)]
+        want |= {k + 3: [(125, 184)], k + 4: [(30, 89)]}
+        # five hold short pieces of a passage
+        p = text(60)
+        rows += [(k + 5 + i, text(60) + p[12 * i : 12 * i + 12] + text(60)) for i in range(5)] + [(k + 10, text(20) + p), (k + 11, p + text(20))]
+        want |= {k + 10: [(20, 79)], k + 11: [(0, 59)]}
+    found = compact_windows.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], SCHEMA)).collect()
+    got = {d: sorted((x["start"], x["end"]) for x in found if x["doc_id"] == d) for d in {x["doc_id"] for x in found}}
+    assert got == want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
