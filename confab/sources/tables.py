@@ -5,24 +5,47 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
-def shared_dir(spark) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests), a temporary folder."""
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder of a local session.
+
+    A cluster's executors do not see the driver's folders, so there the setting is required.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="confab-")
     return _OWN[app]
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/confab/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read again: computed once, kept when executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/confab/{name}-{uuid.uuid4().hex}"
+    """``df`` written as Parquet into the shared folder and read again.
+
+    Cuts the lineage: what was computed survives the loss of executors, and expensive
+    (or attempt-dependent) columns are computed once.
+    """
+    path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a :func:`written` table that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
