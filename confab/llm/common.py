@@ -2,54 +2,43 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from confab.functions.text import let
+from confab.sources.tables import discard, shared_dir, work_path, written
+
+__all__ = ["GAP", "WORD", "ascii_lower", "attempt_name", "discard", "filesystem", "fresh", "held", "let", "named", "shared_dir", "sliced", "utf8_bytes", "window_hashes", "words_of", "work_path", "written"]
+
 #: Java regex for a word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
-_OWN: dict[str, str] = {}
-
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset (tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="confab-")
-    return _OWN[app]
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/confab/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again.
-
-    Cuts the lineage: what was computed survives the loss of executors, and expensive
-    (or attempt-dependent) columns are computed once.
-    """
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column of ``taken`` is called so (letter case aside)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch handed to Python; whole texts can be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
+def sliced(batches, text: int, most: int = 1 << 21):
+    """Arrow batches cut so that each has about ``most`` bytes of texts (column number ``text``), one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, inside higher-order functions too."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    for b in batches:
+        part = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+        cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for at, end in zip(cut, cut[1:]):
+            if end > at:
+                yield b.slice(at, end - at)
 
 
 def window_hashes(words: Column, width: int) -> Column:

@@ -19,8 +19,9 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import held, small_batches, written
+from .common import fresh, held, named, sliced, written
 
 #: Labelled documents per language that the fit takes, about (all if there are fewer).
 FIT_ROWS = 500
@@ -45,7 +46,10 @@ def vocabulary_pieces(path: str, most: int = PIECE_CHARS) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case; numeric characters such as fractions are no letters."""
     found = _WORD.findall(text.lower())
+    if not all(map(str.isalpha, found)):
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
     if found and max(map(len, found)) > PART:
         found = [w[k : k + PART] for w in found for k in range(0, len(w), PART)]
     return found
@@ -222,7 +226,7 @@ def fit(docs: DataFrame, vocabulary: str, fit_rows: int = FIT_ROWS, rounds: int
 
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches, 1):
             seen = Counter()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for w, n in Counter(words_of(text or "")).items():
@@ -261,23 +265,27 @@ def fit(docs: DataFrame, vocabulary: str, fit_rows: int = FIT_ROWS, rounds: int
     return model
 
 
-def identify(docs: DataFrame, model: Model, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (the id alone by default) with ``lang_pred`` and ``score``; only texts are looked at."""
-    small_batches(docs.sparkSession)
+def identify(
+    docs: DataFrame, model: Model, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, pred_col: str = "lang_pred", score_col: str = "score"
+) -> DataFrame:
+    """``keep`` (the id alone by default) with ``pred_col`` and ``score_col``; only texts are looked at.
+
+    Kept columns of these two names give way to the results.
+    """
     names = vocabulary_pieces(vocabulary)
     sent = docs.sparkSession.sparkContext.broadcast((names, model.probs[:-1].tobytes(), model.languages, model.prior))
-    keep = keep or [id_col]
+    keep = [c for c in keep or [id_col] if c.lower() not in (pred_col.lower(), score_col.lower())]
 
     def run(batches):
         import pyarrow as pa
 
         pieces, probs, langs, prior = sent.value
         m = held("langid", (langs, probs), lambda: Model(Pieces(pieces), np.frombuffer(probs).reshape(len(pieces), len(langs)), langs, prior))
-        for b in batches:
+        for b in sliced(batches, at):
             out = m.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], [*keep, pred_col, score_col])
 
     at = keep.index(text_col) if text_col in keep else len(keep)
-    src = docs.select(*keep, *[F.col(text_col).alias("_langid_text")][: at == len(keep)])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(keep)]) + ", lang_pred string, score double"
+    src = docs.select(*map(named, keep), *[named(text_col).alias(fresh("text", keep))][: at == len(keep)])
+    schema = StructType([*src.schema.fields[: len(keep)], StructField(pred_col, StringType()), StructField(score_col, DoubleType())])
     return src.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import sliced, written
 from .tokens import encoder
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -30,13 +30,12 @@ PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's pieces: start and length in its own ids, and the CRC-32 of the ids."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
         enc = encoder(vocabulary)
-        for b in batches:
+        for b in sliced(batches, 1):
             out = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = np.append(enc.encode(text), np.uint32(end_id)).astype("<u4")

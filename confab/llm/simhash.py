@@ -23,7 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8_bytes, written
+from .common import discard, sliced, utf8_bytes, written
+from .elements import majority, mixed, per_text, pieces_of, text_shingles, word_hashes
 
 #: A routing block with more fingerprints than this is split on its remaining bits.
 HOT_BLOCK = 1 << 16
@@ -51,27 +52,18 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     n = len(starts)
     if not n:
         return 0
-    counts = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 16):
-        some = b"".join([xxh64_digest(buffer[a:b], seed) for a, b in zip(starts[k : k + (1 << 16)].tolist(), ends[k : k + (1 << 16)].tolist())])
-        m = len(some) // 8
-        # eight bit flags to a 64-bit lane: up to 255 rows add up without overflow
-        lanes = np.unpackbits(np.frombuffer(some, np.uint8)).view(np.uint64).reshape(m, 8)
-        full = m - m % 255
-        sums = [lanes[:full].reshape(-1, 255, 8).sum(1), lanes[full:].sum(0, keepdims=True)]
-        counts += np.concatenate(sums).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    some = lambda k: b"".join([xxh64_digest(buffer[a:b], seed) for a, b in zip(starts[k : k + (1 << 16)].tolist(), ends[k : k + (1 << 16)].tolist())])
+    return majority(np.frombuffer(some(k), np.uint64) for k in range(0, n, 1 << 16))
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id`` and signed 64-bit ``fp`` of every document."""
-    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches, 1):
             fps = np.array([fingerprint(t, width) for t in utf8_bytes(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
 
@@ -101,8 +93,12 @@ class GrayIndex:
             shared = np.bitwise_and.reduceat(mask, at) & ~(low ^ high)
             self.levels.append((low & shared, shared))
 
-    def links(self, most: int, chunk: int = 1 << 14):
-        """Batches (i, j) of places of codes that differ in ``most`` bits at most, i < j, each pair once."""
+    def links(self, most: int, chunk: int = 1 << 14, done: np.ndarray | None = None):
+        """Batches (i, j) of places of codes that differ in ``most`` bits at most, i < j, each pair once.
+
+        Codes that the caller sets in ``done`` meanwhile need no further links: pairs of which
+        both are done may be left out, so a dense group does not cost the square of its size.
+        """
         if len(self.codes) < 2:
             return
         zero = np.zeros(1, np.int64)
@@ -112,8 +108,14 @@ class GrayIndex:
             if len(a) > chunk:
                 todo += [(level, *(x[k : k + chunk] for x in (a, b, sum_, seen))) for k in range(0, len(a), chunk)]
                 continue
+            if done is not None:
+                open_ = np.concatenate([[0], np.cumsum(~done)])
+                width, last = self.fanout**level, len(done)
+                left = [open_[np.minimum((x + 1) * width, last)] > open_[np.minimum(x * width, last)] for x in (a, b)]
+                a, b, sum_, seen = (x[left[0] | left[1]] for x in (a, b, sum_, seen))
             if level == 0:
-                yield a, b
+                if len(a):
+                    yield a, b
                 continue
             pattern, mask = self.levels[level - 1]
             f = self.fanout
@@ -174,21 +176,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def routed(codes: DataFrame, most: int, hot: int = HOT_BLOCK) -> DataFrame:
-    """``codes`` with the ``mask`` of a block and its bits ``key``; near ``fp`` meet in one block at least."""
-    own, done, masks = codes.columns, None, [0]
+def routed(codes: DataFrame, most: int, hot: int = HOT_BLOCK, by: list[str] | None = None) -> DataFrame:
+    """``codes`` with the ``mask`` of a block and its bits ``key``; near ``fp`` (of equal ``by``) meet in one block at least."""
+    own, done, masks, block = codes.columns, None, [0], [*(by or []), "mask", "key"]
     now = codes.select("*", F.lit(0).cast("long").alias("mask"))
     while True:
         deal = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)).cast("long"), F.array(*[F.lit(_signed(b)).cast("long") for b in _blocks(m, most + 1)]))])
         now = now.select(*own, F.explode(F.element_at(deal, F.col("mask"))).alias("mask")).select("*", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
         masks = sorted({b for m in masks for b in _blocks(m, most + 1)})
         last = 64 - max(bin(m).count("1") for m in masks) <= hot.bit_length() - 1  # so few free bits cannot make a hot block
-        crowded = None if last else written(now.groupBy("mask", "key").count().where(F.col("count") > hot).select("mask", "key"), "hot-blocks")
+        crowded = None if last else written(now.groupBy(*block).count().where(F.col("count") > hot).select(*block), "hot-blocks")
         if last or crowded.isEmpty():
             return now if done is None else done.unionByName(now)
-        calm = now.join(crowded, ["mask", "key"], "left_anti").select(*own, "mask", "key")
+        calm = now.join(crowded, block, "left_anti").select(*own, "mask", "key")
         done = calm if done is None else done.unionByName(calm)
-        now = written(now.join(crowded, ["mask", "key"], "left_semi").select(*own, "mask"), "crowded")
+        now = written(now.join(crowded, block, "left_semi").select(*own, "mask"), "crowded")
 
 
 def links(codes: DataFrame, most: int = 2, hot: int = HOT_BLOCK) -> DataFrame:
@@ -227,7 +229,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "stars")
+        old, now = now, written(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "stars")
+        discard(old)
     else:
         raise RuntimeError(f"components are not settled after {rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
@@ -246,22 +249,19 @@ def simhash(docs: DataFrame, most: int = 2, width: int = 3, id_col: str = "doc_i
     return each.join(of, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "fp", "component_id")
 
 
-def shingle_set(text: bytes | None, width: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles; a text without words has one."""
-    from xxhash import xxh64_digest
-
-    buffer, starts, ends = shingles_of(text, width)
-    raw = b"".join([xxh64_digest(buffer[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]) or xxh64_digest(b"")
-    return np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
+def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; a text of fewer words has one, of all of them."""
+    return np.unique(text_shingles(words, width))
 
 
-def crowd(fp: np.ndarray, check: np.ndarray, size: np.ndarray, mask: int, most: int, most_check: int, ratio: float) -> np.ndarray:
-    """Which members of a block have a candidate partner there.
+def crowd(fps: list[np.ndarray], table: int, size: np.ndarray, mask: int, most: int, ratio: float) -> np.ndarray:
+    """Which members of a block of a table have a candidate partner there.
 
-    A pair belongs to the first of the ``most`` + 1 top blocks that it agrees on (and to the
-    blocks split from that one), so that near pairs do not meet in every block.
+    A pair belongs to the first table in which it is near, and there to the first of the
+    ``most`` + 1 top blocks that it agrees on (and to the blocks split from that one), so that
+    near pairs do not meet in every block.
     """
-    codes, first, inverse, times = np.unique(fp, return_index=True, return_inverse=True, return_counts=True)
+    codes, first, inverse, times = np.unique(fps[table], return_index=True, return_inverse=True, return_counts=True)
     tops = _blocks(0, most + 1)
 
     def owned(diff):
@@ -273,20 +273,26 @@ def crowd(fp: np.ndarray, check: np.ndarray, size: np.ndarray, mask: int, most:
             rest &= ~same
         return out
 
-    near = (times > 1) & owned(np.zeros(len(codes), np.uint64))
-    index = GrayIndex(fp)
+    # codes of several members: all of them are kept where the block owns equal codes, or a near one does
+    many = times > 1
+    near = many & owned(np.zeros(len(codes), np.uint64))
+    index = GrayIndex(fps[table])
     at = np.searchsorted(codes, index.codes)
-    for i, j in index.links(most):
-        i, j = at[i], at[j]
-        x, y = first[i], first[j]
-        fits = (np.bitwise_count(check[x] ^ check[y]) <= most_check) & (np.minimum(size[x], size[y]) >= ratio * np.maximum(size[x], size[y]))
-        ok = owned(codes[i] ^ codes[j]) & (fits | (times[i] > 1) | (times[j] > 1))
-        near[i[ok]] = near[j[ok]] = True
+    done = near[at]
+    for i, j in index.links(most, done=done):
+        x, y = at[i], at[j]
+        p, q = first[x], first[y]
+        fits = np.minimum(size[p], size[q]) >= ratio * np.maximum(size[p], size[q])
+        for f in fps[:table]:
+            fits &= np.bitwise_count(f[p] ^ f[q]) > most
+        ok = owned(codes[x] ^ codes[y]) & (fits | many[x] | many[y])
+        near[x[ok]] = near[y[ok]] = True
+        done[i[ok]] = done[j[ok]] = True
     return near[inverse]
 
 
-def verified_forest(fp: list[int], check: list[int], size: list[int], sets: list[np.ndarray], most: int, most_check: int, similarity: float) -> list[tuple[int, int]]:
-    """Links (i, j) that join the members of a block as all its verified candidate pairs would.
+def verified_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join the members of a block as all their pairs of the similarity would.
 
     Two sets of the similarity share one of the rarest shingles of each (all but the
     similarity's share of it, plus one), so a member is compared only with earlier ones that
@@ -318,10 +324,11 @@ def verified_forest(fp: list[int], check: list[int], size: list[int], sets: list
                     if u in tried:
                         continue
                     tried.add(u)
-                    if (fp[u] ^ fp[v]).bit_count() > most or (check[u] ^ check[v]).bit_count() > most_check or min(size[u], size[v]) < similarity * max(size[u], size[v]):
+                    other = len(sets[u])
+                    if min(other, n) < similarity * max(other, n):
                         continue
                     common = len(np.intersect1d(sets[u], mine, assume_unique=True))
-                    if common >= similarity * (n + len(sets[u]) - common):
+                    if common >= similarity * (n + other - common):
                         out.append((v, u))
                         a, b = top(u), top(v)
                         root[max(a, b)] = min(a, b)
@@ -340,98 +347,102 @@ def verified_forest(fp: list[int], check: list[int], size: list[int], sets: list
 
 
 def near_copies(
-    docs: DataFrame, similarity: float = 0.8, width: int = 5, most: int = 7, index_width: int = 2, most_check: int = 14, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, most: int = 7, index_width: int = 2, tables: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(``id_col``, ``group_id``): documents joined by verified near copies, the smallest id names the group.
 
     Two texts are near copies if their sets of ``width``-word shingles have a Jaccard similarity
-    of ``similarity`` or more.  Candidates come from the Gray-order index over fingerprints of
-    ``index_width``-word shingles (they move less than longer ones when a word changes), at
-    ``most`` bits; a second fingerprint, of ``width``-word shingles, and the sizes drop most
-    false ones.  The shingle sets of documents with a candidate partner are dealt to the blocks
-    of their pairs and verified exactly there: groups are those of all verified candidate pairs.
+    of ``similarity`` or more.  Candidates come from Gray-order indexes over ``tables``
+    independent fingerprints of ``index_width``-word shingles (they move less than longer ones
+    when a word changes), at ``most`` bits in any of them; the numbers of distinct shingles
+    drop pairs that cannot have the similarity.  The shingle sets of documents with a candidate
+    partner are dealt to the blocks of their pairs and verified exactly there: groups are those
+    of all verified pairs of a block.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     src = src.where("id is not null")
     keyed = src.select("id", F.xxhash64("t").alias("th"), "t")
+    fps = [f"fp{k}" for k in range(tables)]
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            texts = utf8_bytes(b.column(2))
-            fps = [np.array([fingerprint(t, w) for t in texts], np.uint64).view(np.int64) for w in (index_width, width)]
-            size = np.array([len(shingle_set(t, width)) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (*fps, size))], ["id", "th", "fp", "fp_check", "size"])
+        for b in sliced(batches, 2):
+            each, size = [], []
+            for words in per_text(*word_hashes(utf8_bytes(b.column(2)))):
+                short = text_shingles(words, index_width)
+                each.append([majority(pieces_of(mixed(short + np.uint64(k)))) for k in range(tables)])
+                size.append(len(shingle_set(words, width)))
+            cols = np.array(each, np.uint64).reshape(-1, tables).T.copy().view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, cols), pa.array(size, pa.int64())], ["id", "th", *fps, "size"])
 
-    each = written(keyed.mapInArrow(run, "id long, th long, fp long, fp_check long, size long"), "signatures")
-    nodes = written(each.groupBy("th", "fp", "fp_check", "size").agg(F.min("id").alias("node")), "nodes")
-    names, kinds = ["mask", "key", "node", "th", "fp", "fp_check", "size"], "mask long, key long, node long, th long, fp long, fp_check long, size long"
+    each = written(keyed.mapInArrow(run, f"id long, th long, {', '.join(f'{c} long' for c in fps)}, size long"), "signatures")
+    own = ["th", *fps, "size"]
+    nodes = written(each.groupBy(*own).agg(F.min("id").alias("node")), "nodes")
+    names = ["tab", "mask", "key", "node", "th", "size", *fps]
 
     def partnered(batches):
         import pyarrow as pa
 
-        cols = [np.concatenate(c) for c in zip(*([b.column(k).to_numpy(zero_copy_only=False) for k in range(7)] for b in batches))]
+        cols = [np.concatenate(c) for c in zip(*([b.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))] for b in batches))]
         if not cols:
             return
-        order = np.lexsort((cols[1], cols[0]))
+        order = np.lexsort((cols[2], cols[1], cols[0]))
         cols = [c[order] for c in cols]
-        mask, key, fp, check, size = cols[0], cols[1], cols[4].view(np.uint64), cols[5].view(np.uint64), cols[6]
-        cut = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]), True])
+        tab, mask, key, size, codes = cols[0], cols[1], cols[2], cols[5], [c.view(np.uint64) for c in cols[6:]]
+        cut = np.flatnonzero(np.r_[True, (tab[1:] != tab[:-1]) | (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]), True])
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
             if b - a > 1:
-                near = a + np.flatnonzero(crowd(fp[a:b], check[a:b], size[a:b], int(mask[a]) & (1 << 64) - 1, most, most_check, similarity))
+                near = a + np.flatnonzero(crowd([c[a:b] for c in codes], int(tab[a]), size[a:b], int(mask[a]) & (1 << 64) - 1, most, similarity))
                 if len(near):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[near]) for c in cols], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c[near]) for c in cols[:5]], names[:5])
 
     def with_sets(batches):
         import pyarrow as pa
 
-        for b in batches:
-            sets = [shingle_set(t, width) for t in utf8_bytes(b.column(5))]
-            blocks = b.column(6)
-            times = np.diff(blocks.offsets.to_numpy())
-            row = np.repeat(np.arange(b.num_rows), times)
+        for b in sliced(batches, 1):
+            sets = [shingle_set(w, width) for w in per_text(*word_hashes(utf8_bytes(b.column(1))))]
+            blocks = b.column(2)
+            row = np.repeat(np.arange(b.num_rows), np.diff(blocks.offsets.to_numpy()))
             for k in range(0, len(row), 512):
                 some, pair = row[k : k + 512], blocks.flatten().slice(k, 512)
                 parts = [sets[i] for i in some]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in parts]), pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pair.field(0), pair.field(1), *(b.column(c).take(pa.array(some)) for c in (0, 2, 3, 4)), lists], ["mask", "key", "node", "fp", "fp_check", "size", "s"])
+                yield pa.RecordBatch.from_arrays([*(pair.field(c) for c in range(3)), b.column(0).take(pa.array(some)), lists], ["tab", "mask", "key", "node", "s"])
 
     def joined(batches):
         import pyarrow as pa
 
         def links_of(rows):
-            node, fp, check, size, sets = zip(*rows)
-            found = [(node[i], node[j]) for i, j in verified_forest(fp, check, size, sets, most, most_check, similarity) if node[i] != node[j]]
+            node, sets = zip(*rows)
+            found = [(node[i], node[j]) for i, j in verified_forest(sets, similarity) if node[i] != node[j]]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], ["a", "b"])
 
         now, rows = None, []
         for b in batches:
-            fp, check = (b.column(k).to_numpy(zero_copy_only=False).view(np.uint64).tolist() for k in (3, 4))
-            lists = b.column(6)
-            for i, (mask, key, node, size) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 5)))):
-                if (mask, key) != now:
+            lists = b.column(4)
+            for i, (tab, mask, key, node) in enumerate(zip(*(b.column(k).to_pylist() for k in range(4)))):
+                if (tab, mask, key) != now:
                     if len(rows) > 1:
                         yield from links_of(rows)
-                    now, rows = (mask, key), []
-                rows.append((node, fp[i], check[i], size, lists[i].values.to_numpy(zero_copy_only=False).view(np.uint64).copy()))
+                    now, rows = (tab, mask, key), []
+                rows.append((node, lists[i].values.to_numpy(zero_copy_only=False).view(np.uint64).copy()))
         if len(rows) > 1:
             yield from links_of(rows)
 
     def parts(rows: int, each: int) -> int:
         return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // each + 1)
 
-    dealt = routed(nodes.select("node", "th", "fp", "fp_check", "size"), most).repartition(parts((most + 1) * nodes.count(), PART_ROWS), "mask", "key").select(*names)
-    wanted = written(dealt.mapInArrow(partnered, kinds), "candidates")
-    blocks = wanted.groupBy(F.col("node").alias("id"), "th", "fp", "fp_check", "size").agg(F.collect_list(F.struct("mask", "key")).alias("blocks"))  # at most the blocks of a fingerprint
-    texts = keyed.join(blocks, ["id", "th"]).select("id", "th", "fp", "fp_check", "size", "t", "blocks")
-    sets = texts.mapInArrow(with_sets, "mask long, key long, node long, fp long, fp_check long, size long, s array<long>")
-    met = sets.repartition(parts(wanted.count(), PART_ROWS >> 4), "mask", "key").sortWithinPartitions("mask", "key", "node")
+    codes = nodes.select("node", *own, F.posexplode(F.array(*fps)).alias("tab", "fp"))
+    dealt = routed(codes, most, by=["tab"]).repartition(parts(tables * (most + 1) * nodes.count(), PART_ROWS), "tab", "mask", "key").select(*names)
+    wanted = written(dealt.mapInArrow(partnered, "tab int, mask long, key long, node long, th long"), "candidates")
+    blocks = wanted.groupBy("node", "th").agg(F.collect_list(F.struct("tab", "mask", "key")).alias("blocks"))  # at most the blocks of the fingerprints
+    texts = keyed.withColumnRenamed("id", "node").join(blocks, ["node", "th"]).select("node", "t", "blocks")
+    sets = texts.mapInArrow(with_sets, "tab int, mask long, key long, node long, s array<long>")
+    met = sets.repartition(parts(wanted.count(), PART_ROWS >> 4), "tab", "mask", "key").sortWithinPartitions("tab", "mask", "key", "node")
     edges = written(met.mapInArrow(joined, "a long, b long").distinct(), "near-copies")
     label = components(edges)
-    of = nodes.join(label, "node", "left").select("th", "fp", "fp_check", "size", F.coalesce("label", "node").alias("group_id"))
-    return each.join(of, ["th", "fp", "fp_check", "size"]).select(F.col("id").alias(id_col), "group_id")
+    of = nodes.join(label, "node", "left").select(*own, F.coalesce("label", "node").alias("group_id"))
+    return each.join(of, own).select(F.col("id").alias(id_col), "group_id")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attempt_name, filesystem, small_batches, work_path, written
+from .common import attempt_name, filesystem, sliced, work_path, written
 from .tokens import encoder
 
 MAGIC = b"RANSIDS1"
@@ -212,7 +212,6 @@ class Reader:
 
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Table]:
     """(``doc_id``, ``ids`` as 16- or 32-bit numbers) of every document, and the table of all ids' counts."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -222,7 +221,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "
         kind = "<u2" if wide <= 1 << 16 else "<u4"
         seen = np.zeros(wide, np.int64)
         no = pa.array([], pa.int64())
-        for b in batches:
+        for b in sliced(batches, 1):
             out = []
             for text in b.column(1).to_pylist():
                 ids = np.append(enc.encode(text), np.uint32(end_id))

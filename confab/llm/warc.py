@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attempt_name, filesystem, small_batches, work_path, written
+from .common import attempt_name, filesystem, sliced, work_path, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 DATE = "2024-01-01T00:00:00Z"
@@ -195,7 +195,6 @@ def write_archives(pages: DataFrame, path: str | None = None, least: int = 100,
 
     Archives bear the name of their task attempt; the (written) list holds accepted ones alone.
     """
-    small_batches(pages.sparkSession)
     path = path or work_path(pages.sparkSession, "warc")
 
     def run(batches):
@@ -209,7 +208,7 @@ def write_archives(pages: DataFrame, path: str | None = None, least: int = 100,
                 name = f"{attempt_name()}.wacz"
                 sink = fs.open_output_stream(f"{root}/{name}")
                 writer = ArchiveWriter(sink)
-            for page, url, payload, digest, revisit, refers in zip(*(c.to_pylist() for c in b.columns)):
+            for page, url, payload, digest, revisit, refers in (row for part in sliced([b], 2) for row in zip(*(c.to_pylist() for c in part.columns))):
                 writer.add(record_id(page), warc_record(page, url, payload, digest, refers, revisit))
         if writer is not None:
             writer.close()
