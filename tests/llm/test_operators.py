@@ -228,9 +228,15 @@ def test_windows_are_the_cartesian_tree():
         return out
 
     rng = np.random.default_rng(0)
-    for n, least, high in ((200, 5, 1 << 60), (300, 46, 1 << 60), (300, 7, 20), (46, 46, 9), (3, 5, 9)):
-        h = rng.integers(0, high, n).astype(np.uint64)
+    for n, least, bits in ((200, 5, 60), (300, 46, 60), (300, 7, 4), (46, 46, 3), (3, 5, 3)):
+        h = rng.integers(0, 1 << bits, n).astype(np.uint64) << np.uint64(63 - bits)
         assert set(zip(*(x.tolist() for x in compact_windows.windows(h, least)))) == brute(h, 0, n - 1, least, set())
+        if n < 300:
+            continue
+        # two texts in a row
+        valid = np.ones(n, bool)
+        valid[120:124] = False
+        assert set(zip(*(x.tolist() for x in compact_windows.windows(h, least, valid)))) == brute(h, 124, n - 1, least, brute(h, 0, 119, least, set()))
 
 
 def test_repeated_passages(spark):
