@@ -48,35 +48,37 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE)
 
 
-class Counts:
-    """Lengths still available."""
-
-    def __init__(self, counts: np.ndarray):
-        self.n = counts.astype(np.int64).copy()
+class Complements:
+    """Which one, two or three available lengths have a given sum.
+
+    Pairs are indexed by their sum (all pairs of the lengths present, the longer length
+    descending); triples by their sum through their longest length and the pair index.
+    """
+
+    def __init__(self, counts: np.ndarray, most: int):
+        self.n = counts
+        self.lengths = np.flatnonzero(counts)[::-1]
+        shorter = [self.lengths[(self.lengths <= a) & (self.lengths <= most - a)] for a in self.lengths]
+        longer = np.repeat(self.lengths, [len(b) for b in shorter]).astype(np.int32)
+        sums = longer + np.concatenate([np.empty(0, np.int64), *shorter]).astype(np.int32)
+        order = np.argsort(sums, kind="stable")
+        self.longer = longer[order].astype(np.int64)
+        self.first = np.searchsorted(sums[order], np.arange(most + 2))
 
     def single(self, gap: int) -> list[int] | None:
         return [gap] if gap < len(self.n) and self.n[gap] > 0 else None
 
     def pair(self, gap: int, most: int | None = None) -> list[int] | None:
-        """Two lengths with sum ``gap``; the longer one first, as long as can be, not above ``most``."""
-        high = min(gap - 1, len(self.n) - 1, most or gap)
-        low = (gap + 1) // 2
-        if high < low:
-            return None
-        a = self.n[low : high + 1]
-        b = self.n[gap - high : gap - low + 1][::-1]
-        hit = (a > 0) & (b > 0)
-        if gap % 2 == 0:
-            hit[0] = a[0] > 1
-        at = np.flatnonzero(hit)
-        return [low + int(at[-1]), gap - low - int(at[-1])] if len(at) else None
+        """Two lengths with sum ``gap``, the longer one first, as long as can be, not above ``most``."""
+        a = self.longer[self.first[gap] : self.first[gap + 1]]
+        if most is not None:
+            a = a[a <= most]
+        free = np.flatnonzero((self.n[a] > 0) & (self.n[gap - a] > (2 * a == gap)))
+        return [int(a[free[0]]), gap - int(a[free[0]])] if len(free) else None
 
     def triple(self, gap: int) -> list[int] | None:
         """Three lengths with sum ``gap``, the longest first."""
-        high = min(gap - 2, len(self.n) - 1)
-        for a in (np.flatnonzero(self.n[: high + 1])[::-1]).tolist():
-            if 3 * a < gap:
-                return None
+        for a in self.lengths[(self.lengths <= gap - 2) & (3 * self.lengths >= gap) & (self.n[self.lengths] > 0)].tolist():
             self.n[a] -= 1
             rest = self.pair(gap - a, a)
             self.n[a] += 1
@@ -87,36 +89,58 @@ class Counts:
     def exact(self, gap: int) -> list[int] | None:
         return self.single(gap) or self.pair(gap) or self.triple(gap)
 
-    def longest(self, most: int) -> int:
-        at = np.flatnonzero(self.n[1 : most + 1])
-        return int(at[-1]) + 1 if len(at) else 0
+
+def best_fit(left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """Patterns for the lengths ``left``: the longest first, each into the smallest gap that holds it."""
+    open_: dict[int, list[list]] = {}  # gap: [pattern, sequences]
+    gaps = np.zeros(capacity + 1, bool)
+
+    def put(gap: int, pattern: list[int], times: int) -> None:
+        open_.setdefault(gap, []).append([pattern, times])
+        gaps[gap] = True
+
+    for x in np.flatnonzero(left)[::-1].tolist():
+        m = int(left[x])
+        while m:
+            at = x + int(gaps[x:].argmax())
+            if gaps[at]:
+                group = open_[at][-1]
+                k = min(m, group[1])
+                group[1] -= k
+                pattern = group[0]
+                if not group[1]:
+                    open_[at].pop()
+                    gaps[at] = bool(open_[at])
+                put(at - x, [*pattern, x], k)
+                m -= k
+            else:
+                fit = capacity // x
+                times, copies = (m // fit, fit) if m >= fit else (1, m)
+                put(capacity - x * copies, [x] * copies, times)
+                m -= times * copies
+    return [(pattern, times) for groups in open_.values() for pattern, times in groups]
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
-    """Patterns (lengths, times used) that place all ``counts[length]`` pieces."""
-    left, out = Counts(counts), []
-
-    def use(pattern: list[int]) -> None:
-        sizes, need = np.unique(pattern, return_counts=True)
-        times = int((left.n[sizes] // need).min())
-        left.n[sizes] -= need * times
-        out.append((pattern, times))
-
-    while first := left.longest(capacity):
-        pattern, gap = [first], capacity - first
-        left.n[first] -= 1
-        while gap:
-            fill = left.exact(gap) or [x for x in (left.longest(gap),) if x]
-            if not fill:
+    """Patterns (lengths, times used) that place all ``counts[length]`` pieces.
+
+    First, the longest pieces first, combinations that fill a sequence exactly are used as
+    often as their lengths are available; then what is left goes best fit.
+    """
+    left, out = counts.astype(np.int64).copy(), []
+    index = Complements(left, capacity)
+    for first in index.lengths.tolist():
+        while left[first]:
+            left[first] -= 1
+            fill = index.exact(capacity - first) if first < capacity else []
+            left[first] += 1
+            if fill is None:
                 break
-            for x in fill:
-                left.n[x] -= 1
-            pattern += fill
-            gap -= sum(fill)
-        for x in pattern:
-            left.n[x] += 1
-        use(pattern)
-    return out
+            sizes, need = np.unique([first, *fill], return_counts=True)
+            times = int((left[sizes] // need).min())
+            left[sizes] -= need * times
+            out.append(([first, *fill], times))
+    return out + best_fit(left, capacity)
 
 
 def slots(patterns: list[tuple[list[int], int]]) -> list[np.ndarray]:
