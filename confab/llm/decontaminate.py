@@ -1,16 +1,21 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Words are runs of letters and digits in lower case; numbers, names (capitalised inside a
-sentence) and units (after a number) become typed placeholders.  Windows of the templates of documents
-and items are joined by hash; windows on one diagonal are one occurrence of the item.  An
-occurrence counts if enough of the item's windows match and its slots are consistent: one
-value of the item always stands for one value of the document and the other way round, so a
-question asked again with other numbers or names is caught, and a text that merely has slots
-in the same places is not.
-
-Null and blank texts have no windows.  Items of fewer words than a window are compared with
-whole documents.  Rows that repeat an id count as one document.  Columns other than the ids
-and the texts are ignored.
+sentence) and units (after a number) become typed placeholders, and numbers or names in a row
+become one, so that a name of two words fits one of one word.  Windows of the templates of
+documents and items are joined by hash; a window of hardly any other words is hashed as it is
+instead.  Windows on one diagonal, or on diagonals a few words apart (words were put in or
+left out), are one occurrence of the item.  An occurrence counts if enough of the item's
+windows match and its slots are consistent: one value of the item always stands for one value
+of the document and the other way round, so a question asked again with other numbers or names
+is caught, and a text that merely has slots in the same places is not.
+
+Null and blank texts have no windows; an empty table gives an empty result.  Items of fewer
+words than a window are searched by windows of their own length, items of fewer than
+``SHORTEST`` are compared with whole documents.  Of several occurrences of an item in a
+document the one with most windows is returned, then the first.  Rows that repeat an id count
+as one document.  Texts of any length are searched whole.  Columns other than the ids and the
+texts are ignored.
 """
 
 from __future__ import annotations
@@ -18,11 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, window_hashes
+from .common import let, named, window_hashes
 
 WINDOW = 8
-#: Words of a window that must not be placeholders, for items' windows.
-LITERALS = 5
+#: Windows with fewer words that are no placeholders are hashed as they are.
+LITERALS = 3
+#: Items of fewer words are found in documents that consist of them alone.
+SHORTEST = 4
+#: Diagonals within so many words count as one occurrence.
+BAND = 8
 SHARE = 0.5
 #: So many matching windows are enough, however long the item is.
 ENOUGH = 25
@@ -35,17 +44,18 @@ UNITS = (
 ).split()
 _SEP = "\u001f"
 _NAME, _UNIT = "\u0002", "\u0003"
-#: These patterns mean the same in Java's and RE2's dialects; they mark a name (inside a sentence) and a unit (after a number).
-NAME_PATTERN = r"([\p{L}\p{N},;)] )(\p{Lu}\p{Ll})"
+# A name (inside a sentence; what is before it is looked at, not consumed, so names can follow each other) and a unit (after a number).
+NAME_PATTERN = r"(?<=[\p{L}\p{N},;)] )(\p{Lu}\p{Ll})"
 UNIT_PATTERN = rf"([0-9] ?)({'|'.join(UNITS)})([^\p{{L}}]|$)"
-TOKEN_PATTERN = r"[0-9]+(?:[.,][0-9]+)*\p{L}*|[\x02\x03]?[\p{L}\p{N}]+"
+_NUMBER, _LETTERS = r"[0-9]+(?:[.,][0-9]+)*\p{L}*", r"[\p{L}\p{N}]+"
+TOKEN_PATTERN = rf"{_NUMBER}(?:[ ,;]+{_NUMBER})*|\x02{_LETTERS}(?: \x02{_LETTERS})*|\x03?{_LETTERS}"
 
 
 def marked(text: Column) -> Column:
     """The text in lower case, with a mark before names and before units."""
     t = F.coalesce(text, F.lit(""))
     t = F.when(t.rlike("[\\x02\\x03]"), F.translate(t, _NAME + _UNIT, "")).otherwise(t)
-    low = F.lower(F.regexp_replace(t, NAME_PATTERN, f"$1{_NAME}$2"))
+    low = F.lower(F.regexp_replace(t, NAME_PATTERN, f"{_NAME}$1"))
     return let(low, lambda m: F.when(m.rlike("[0-9]"), F.regexp_replace(m, UNIT_PATTERN, f"$1{_UNIT}$2$3")).otherwise(m))
 
 
@@ -57,28 +67,31 @@ def template(token: Column) -> Column:
 def value(token: Column) -> Column:
     """What a placeholder stands for; null for other words."""
     number = (token >= "0") & (token < ":")
-    return F.when(number, token).when(token < "\u0004", F.substring(token, 2, 1 << 30))
+    return F.when(number, token).when(token < "\u0004", F.translate(token, _NAME + _UNIT, ""))
 
 
-def window_array(text: Column, width: int) -> Column:
+def window_array(text: Column, width: int, whole: bool = True) -> Column:
     """Array of (``h``, ``slots``: values, in order, null if none) of a text's windows.
 
-    One nested expression, so that each step is computed once for whatever follows.
+    A shorter text is one window if ``whole``, else none.  One nested expression, so that each
+    step is computed once for whatever follows.
     """
 
     def hashes(t: Column) -> Column:
-        whole = F.array(F.xxhash64(F.array_join(t, " "), F.lit(width)))
-        return F.when(F.size(t) < width, whole).otherwise(window_hashes(t, width))
+        one = F.array(F.xxhash64(F.array_join(t, " "), F.lit(width))) if whole else F.array().cast("array<bigint>")
+        return F.when(F.size(t) < width, one).otherwise(window_hashes(t, width))
 
     plain = lambda t: F.transform(hashes(t), lambda h: F.struct(h.alias("h"), F.lit(None).cast("string").alias("slots")))
 
     def slotted(w: Column) -> Column:
-        def both(v: Column) -> Column:
-            at = lambda i: F.array_join(F.slice(v, i + 1, width), _SEP)
-            filled = lambda i: let(at(i), lambda s: F.when(s != "", s))
-            return F.transform(let(F.transform(w, template), hashes), lambda h, i: F.struct(h.alias("h"), filled(i).alias("slots")))
+        def both(v: Column, literal: Column) -> Column:
+            part = lambda i: F.slice(v, i + 1, width)
+            filled = lambda p: let(F.array_join(p, _SEP), lambda s: F.when(s != "", s))
+            few = lambda p: F.size(F.array_compact(p)) > width - LITERALS
+            window = lambda h, i: let(part(i), lambda p: F.struct(F.when(few(p), F.xxhash64(F.element_at(literal, i + 1), F.lit(1))).otherwise(h).alias("h"), filled(p).alias("slots")))
+            return F.transform(let(F.transform(w, template), hashes), window)
 
-        return let(F.transform(w, value), both)
+        return let(F.transform(w, value), lambda v: let(hashes(w), lambda literal: both(v, literal)))
 
     def of(m: Column) -> Column:
         some = m.rlike("[0-9\\x02\\x03]")
@@ -89,9 +102,9 @@ def window_array(text: Column, width: int) -> Column:
     return let(marked(text), of)
 
 
-def windows(rows: DataFrame, id_col: str, text_col: str, width: int = WINDOW) -> DataFrame:
-    """``id``, ``pos`` (word), ``h`` and ``slots`` of every template window."""
-    out = rows.select(F.col(id_col).cast("long").alias("id"), F.posexplode(window_array(F.col(text_col), width)).alias("pos", "x"))
+def windows(rows: DataFrame, id_col: str, text_col: str, width: int = WINDOW, whole: bool = True) -> DataFrame:
+    """``id``, ``pos`` (word of the template), ``h`` and ``slots`` of every template window."""
+    out = rows.select(named(id_col).cast("long").alias("id"), F.posexplode(window_array(named(text_col), width, whole)).alias("pos", "x"))
     return out.select("id", "pos", F.col("x.h").alias("h"), F.col("x.slots").alias("slots"))
 
 
@@ -105,17 +118,16 @@ def consistent(pairs: Column) -> Column:
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, share: float = SHARE, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """Documents that hold an item: ``id_col``, ``item_col``, ``matched`` of ``windows``, ``place`` (word), ``changed`` slots."""
-    items = windows(benchmark, item_col, item_text_col, width).withColumnsRenamed({"id": "item", "pos": "at", "slots": "a"})
-    n_slots = F.when(F.col("a").isNull(), F.lit(0)).otherwise(F.size(F.split("a", _SEP)))
-    items = items.where(n_slots <= width - LITERALS)
-    size = items.groupBy("item").agg(F.count("*").alias("windows"))
-    items = items.join(size, "item")
-    if items.count() <= BROADCAST_WINDOWS:
-        items = F.broadcast(items)
-    hits = windows(docs, id_col, text_col, width).withColumnRenamed("slots", "b").join(items, "h")
+    """Documents that hold an item: ``id_col``, ``item_col``, ``matched`` of ``windows``, ``place`` (word of the template), ``changed`` slots."""
+    words = F.size(F.regexp_extract_all(marked(named(item_text_col)), F.lit(TOKEN_PATTERN), F.lit(0)))
+    lengths = [r["n"] for r in benchmark.select(words.alias("n")).where(f"n >= {SHORTEST} and n < {width}").distinct().collect()]  # fewer than a window's words
+    hits = found(docs, windows(benchmark, item_col, item_text_col, width), id_col, text_col, width, True)
+    for n in sorted(lengths):
+        hits = hits.unionByName(found(docs, windows(benchmark.where(words == n), item_col, item_text_col, n), id_col, text_col, n, False))
+    groups = F.array(*[F.struct(F.lit(k).alias("kind"), x.cast("long").alias("line")) for k, x in enumerate((F.col("d"), F.floor(F.col("d") / BAND), F.floor((F.col("d") + BAND // 2) / BAND)))])
     pair = F.when(F.col("a").isNotNull(), F.struct("a", "b"))
-    seen = hits.groupBy("id", "item", "windows", (F.col("pos") - F.col("at")).alias("place")).agg(F.count_distinct("at").alias("matched"), F.collect_set(pair).alias("pairs"))
+    spread = hits.select("id", "item", "windows", "at", "d", pair.alias("pair"), F.explode(groups).alias("g"))
+    seen = spread.groupBy("id", "item", "windows", "g").agg(F.count_distinct("at").alias("matched"), F.min("d").alias("place"), F.collect_set("pair").alias("pairs"))
     enough = F.least(F.ceil(F.col("windows") * F.lit(share)), F.lit(ENOUGH))
     changed = F.size(F.filter(F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.arrays_zip(F.split(p["a"], _SEP).alias("a"), F.split(p["b"], _SEP).alias("b"))))), lambda x: x["a"] != x["b"]))
     good = seen.where(F.col("matched") >= enough).where(consistent(F.col("pairs"))).select("id", "item", "windows", "matched", "place", changed.cast("long").alias("changed"))
@@ -124,3 +136,13 @@ def contaminated(
         F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("m.matched").alias("matched"), F.col("m.windows").alias("windows"),
         (-F.col("m.place")).cast("long").alias("place"), (-F.col("m.changed")).alias("changed"),
     )
+
+
+def found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, width: int, whole: bool) -> DataFrame:
+    """Document windows that are windows of ``items``: ``id``, ``item``, its ``windows``, ``at``, diagonal ``d``, slots ``a`` and ``b``."""
+    items = items.withColumnsRenamed({"id": "item", "pos": "at", "slots": "a"})
+    items = items.join(items.groupBy("item").agg(F.count("*").alias("windows")), "item")
+    if items.count() <= BROADCAST_WINDOWS:
+        items = F.broadcast(items)
+    hits = windows(docs, id_col, text_col, width, whole).withColumnRenamed("slots", "b").join(items, "h")
+    return hits.select("id", "item", "windows", "at", (F.col("pos") - F.col("at")).alias("d"), "a", "b")

@@ -211,28 +211,44 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decontamination_sql() -> str:
-    from .decontaminate import ENOUGH, LITERALS, NAME_PATTERN, SHARE, TOKEN_PATTERN, UNIT_PATTERN, WINDOW
+    # the operator's documented rules, written out once more
+    units = (
+        "kg|g|mg|lb|lbs|oz|ton|tons|km|m|cm|mm|mile|miles|foot|feet|ft|inch|inches|yard|yards|second|seconds|minute|minutes|hour|hours|day|days|week|weeks|"
+        "month|months|year|years|dollar|dollars|euro|euros|cent|cents|percent|liter|liters|litre|litres|ml|gallon|gallons|degree|degrees|mph|kmh"
+    )
+    number = r"[0-9]+(?:[.,][0-9]+)*\p{L}*"
+    token = rf"{number}(?:[ ,;]+{number})*|\x02[\p{{L}}\p{{N}}]+(?: \x02[\p{{L}}\p{{N}}]+)*|\x03?[\p{{L}}\p{{N}}]+"
+    # twice, as a name of two letters is consumed with what stands before the next one
+    name = lambda t: rf"regexp_replace({t}, '([\p{{L}}\p{{N}},;)] )(\p{{Lu}}\p{{Ll}})', concat('\1', chr(2), '\2'), 'g')"
 
-    def windows(name: str, table: str, id_col: str) -> str:
+    def texts(to: str, table: str, id_col: str) -> str:
         return rf"""
-{name}_m AS (SELECT {id_col} AS id, regexp_replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '[\x02\x03]', '', 'g'), '{NAME_PATTERN}', concat('\1', chr(2), '\2'), 'g')), '{UNIT_PATTERN}', concat('\1', chr(3), '\2\3'), 'g') AS m FROM {table}),
-{name}_w AS (SELECT id, regexp_extract_all(m, '{TOKEN_PATTERN}') AS w FROM {name}_m),
-{name}_l AS (SELECT id, list_transform(w, lambda x: CASE WHEN x >= '0' AND x < ':' THEN '<num>' WHEN starts_with(x, chr(2)) THEN '<name>' WHEN starts_with(x, chr(3)) THEN '<unit>' ELSE x END) AS t,
-    list_transform(w, lambda x: CASE WHEN x >= '0' AND x < ':' THEN x WHEN starts_with(x, chr(2)) OR starts_with(x, chr(3)) THEN x[2:] END) AS v FROM {name}_w WHERE len(w) > 0),
-{name} AS (SELECT id, p, CASE WHEN len(t) < {WINDOW} THEN concat('short ', array_to_string(t, ' ')) ELSE array_to_string(t[p+1:p+{WINDOW}], ' ') END AS h, v[p+1:p+{WINDOW}] AS v
-  FROM (SELECT id, t, v, unnest(range(0, greatest(len(t) - {WINDOW} + 1, 1))) AS p FROM {name}_l))"""
-
+{to}_w AS (SELECT id, regexp_extract_all(regexp_replace(lower({name(name('t'))}), '([0-9] ?)({units})([^\p{{L}}]|$)', concat('\1', chr(3), '\2\3'), 'g'), '{token}') AS w
+  FROM (SELECT {id_col} AS id, regexp_replace(coalesce(text, ''), '[\x02\x03]', '', 'g') AS t FROM {table})),
+{to}_l AS (SELECT id, w, list_transform(w, lambda x: CASE WHEN x >= '0' AND x < ':' THEN '<num>' WHEN starts_with(x, chr(2)) THEN '<name>' WHEN starts_with(x, chr(3)) THEN '<unit>' ELSE x END) AS t,
+    list_transform(w, lambda x: CASE WHEN x >= '0' AND x < ':' THEN x WHEN starts_with(x, chr(2)) OR starts_with(x, chr(3)) THEN replace(replace(x, chr(2), ''), chr(3), '') END) AS v FROM {to}_w WHERE len(w) > 0)"""
+
+    def windows(of: str, n: str, where: str) -> str:
+        """Windows of n words; shorter texts are one."""
+        return f"""SELECT id, p, v[p+1:p+{n}] AS v, CASE WHEN len(list_filter(v[p+1:p+{n}], lambda x: x IS NOT NULL)) > {n} - 3 THEN concat('words ', array_to_string(w[p+1:p+{n}], ' ')) ELSE array_to_string(t[p+1:p+{n}], ' ') END AS h
+  FROM (SELECT id, t, v, w, unnest(range(0, greatest(len(t) - {n} + 1, 1))) AS p FROM {of}_l WHERE {where})"""
+
+    short = " UNION ALL ".join(
+        f"""SELECT d.id, i.id AS item, 1 AS n, i.p AS spot, d.p - i.p AS place, i.v AS a, d.v AS b FROM ({windows("d", str(n), f"len(t) >= {n}")}) d JOIN ({windows("b", str(n), f"len(t) = {n}")}) i ON d.h = i.h""" for n in range(4, 8)
+    )
     return f"""
-WITH {windows("d", "documents", "doc_id")}, {windows("b", "benchmark", "item_id")},
-items AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM b WHERE len(list_filter(v, lambda x: x IS NOT NULL)) <= {WINDOW - LITERALS}),
-hits AS (SELECT d.id, items.id AS item, n, d.p - items.p AS place, items.p AS spot, items.v AS a, d.v AS b FROM d JOIN items ON d.h = items.h),
-seen AS (SELECT id, item, n, place, count(DISTINCT spot) AS matched FROM hits GROUP BY ALL),
-vals AS (SELECT DISTINCT id, item, place, x, y FROM (SELECT id, item, place, unnest(a) AS x, unnest(b) AS y FROM hits) WHERE x IS NOT NULL),
-cons AS (SELECT id, item, place, count(DISTINCT x) = count(*) AND count(DISTINCT y) = count(*) AS ok, count(*) FILTER (x <> y) AS changed FROM vals GROUP BY ALL),
-good AS (SELECT s.*, coalesce(changed, 0) AS changed FROM seen s LEFT JOIN cons c ON s.id = c.id AND s.item = c.item AND s.place = c.place
-  WHERE matched >= least(ceil(n * {SHARE}), {ENOUGH}) AND coalesce(ok, true))
+WITH {texts("d", "documents", "doc_id")}, {texts("b", "benchmark", "item_id")},
+dw AS (SELECT *, CASE WHEN c < 8 THEN 'whole' END AS k FROM ({windows("d", "8", "true")}) JOIN (SELECT id, len(t) AS c FROM d_l) USING (id)),
+bw AS (SELECT *, CASE WHEN c < 8 THEN 'whole' END AS k, count(*) OVER (PARTITION BY id) AS n FROM ({windows("b", "8", "true")}) JOIN (SELECT id, len(t) AS c FROM b_l) USING (id)),
+hits AS (SELECT d.id, i.id AS item, n, i.p AS spot, d.p - i.p AS place, i.v AS a, d.v AS b FROM dw d JOIN bw i ON d.h = i.h AND d.k IS NOT DISTINCT FROM i.k UNION ALL {short}),
+g AS (SELECT *, unnest([{{'kind': 0, 'line': place}}, {{'kind': 1, 'line': CAST(floor(place / 8) AS BIGINT)}}, {{'kind': 2, 'line': CAST(floor((place + 4) / 8) AS BIGINT)}}]) AS g FROM hits),
+seen AS (SELECT id, item, n, g, count(DISTINCT spot) AS matched, min(place) AS place FROM g GROUP BY id, item, n, g),
+vals AS (SELECT DISTINCT id, item, n, g, x, y FROM (SELECT id, item, n, g, unnest(a) AS x, unnest(b) AS y FROM g) WHERE x IS NOT NULL),
+cons AS (SELECT id, item, n, g, count(DISTINCT x) = count(*) AND count(DISTINCT y) = count(*) AS ok, count(*) FILTER (x <> y) AS changed FROM vals GROUP BY id, item, n, g),
+good AS (SELECT s.*, coalesce(changed, 0) AS changed FROM seen s LEFT JOIN cons c ON s.id = c.id AND s.item = c.item AND s.n = c.n AND s.g = c.g
+  WHERE matched >= least(ceil(s.n * 0.5), 25) AND coalesce(ok, true))
 SELECT id AS doc_id, item AS item_id, CAST(matched AS BIGINT) AS matched, CAST(n AS BIGINT) AS windows, CAST(place AS BIGINT) AS place, CAST(changed AS BIGINT) AS changed FROM
-  (SELECT *, row_number() OVER (PARTITION BY id, item ORDER BY matched DESC, place, changed) AS o FROM good) WHERE o = 1"""
+  (SELECT *, row_number() OVER (PARTITION BY id, item ORDER BY matched DESC, place, n DESC, changed) AS o FROM good) WHERE o = 1"""
 
 
 @query(_decontamination_sql())

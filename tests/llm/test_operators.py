@@ -209,13 +209,60 @@ def test_forward_pass_sums_all_segmentations():
     assert np.allclose(np.exp(m.log_probs(["abc"]))[0, 0], want)
 
 
+def leaks(spark, items, texts):
+    b = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
+    d = spark.createDataFrame(list(enumerate(texts, 1)), SCHEMA)
+    return {(r["doc_id"], r["item_id"]): r["changed"] for r in decontaminate.contaminated(d, b).collect()}
+
+
 def test_decontamination(spark):
     item = "A train leaves the old station at 5 pm and travels 60 miles with Anna before Anna meets Bob again on the hill at noon"
-    b = spark.createDataFrame([(1, item), (2, "short item here"), (3, None)], "item_id long, text string")
     other = item.replace("5", "7").replace("60", "80").replace("Anna", "Maria").replace("Bob", "Tom")
-    d = spark.createDataFrame([(1, "x y z. " + other), (2, other.replace("before Maria", "before Zoe")), (3, "Short item here!"), (4, None), (5, "a short item here indeed"), (6, item)], SCHEMA)
-    got = {(r["doc_id"], r["item_id"]): r["changed"] for r in decontaminate.contaminated(d, b).collect()}
-    assert got == {(1, 1): 4, (3, 2): 0, (6, 1): 0}
+    texts = ["x y z. " + other, other.replace("before Maria", "before Zoe"), "Too short!", None, "a too short indeed", item, "He said: what is the least prime number of all?", ""]
+    got = leaks(spark, [item, "too short", None, "What is the least prime number?", ""], texts)
+    assert got == {(1, 1): 4, (3, 2): 0, (6, 1): 0, (7, 4): 0}
+
+
+def test_decontamination_of_dense_slots(spark):
+    # numbers in a row, names of two letters in a row, and hardly any other words
+    item = "Add 12 15 18 21 24 27 30 33 36 and 39 then divide the sum by 4 and report what is left please now"
+    names = "The lists that Al Bo Cy and Ed Fu wrote were read aloud by their teachers in the old school hall on the hill"
+    dense = "Take 1 kg of 2 kg of 3 kg of 4 kg of 5 kg of 6 kg"
+    texts = [f"we ask: {item}", "so " + item.replace("12 15 18", "7 9").replace("by 4", "by 5"), names, names.replace("Al Bo Cy", "Di Gu").replace("Ed Fu", "Mo"), f"x {dense} y"]
+    assert set(leaks(spark, [item, names, dense], texts)) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)}
+
+
+def test_decontamination_across_diagonals(spark):
+    item = "once upon a day the old farmer and Anna drove over a very long road to the market where they sold all apples and pears they had"
+    words = item.split()
+    longer, shorter, name = words[:13] + ["rather"] + words[13:], words[:12] + words[13:], item.replace("Anna", "Mary Ann")
+    assert set(leaks(spark, [item], [" ".join(longer), " ".join(shorter), name, " ".join(words[13:] + words[:13])])) == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_decontamination_recall(spark):
+    """Items asked again with other numbers and names, and a word put in."""
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
+    who = lambda: " ".join(word().capitalize() for _ in range(r.randint(1, 2)))
+    items, texts = [], []
+    for _ in range(60):
+        plain = [word() for _ in range(r.randint(16, 40))]
+        slots = sorted(r.sample(range(1, len(plain) - 1), len(plain) // 6))
+        kinds = [r.choice((who, lambda: str(r.randint(2, 999)))) for _ in slots]
+
+        def filled(extra=None):
+            out = list(plain)
+            for k, kind in zip(slots, kinds):
+                out[k] = kind()
+            return " ".join(out if extra is None else out[:extra] + [word()] + out[extra:])
+
+        items.append(filled())
+        texts += [f"{word()} {word()} {filled()} {word()}", f"{word()} {filled(r.randint(5, len(plain) - 5))}"]
+    got = leaks(spark, items, texts)
+    assert all(i == (d + 1) // 2 for d, i in got)
+    assert sum((2 * i - 1, i) in got for i in range(1, 61)) >= 57 and sum((2 * i, i) in got for i in range(1, 61)) >= 54
 
 
 def test_windows_are_the_cartesian_tree():
