@@ -31,14 +31,25 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/confab/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch for Python workers while a table is written.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again.
 
     Cuts the lineage: what was computed survives the loss of executors, and expensive
-    (or attempt-dependent) columns are computed once.
+    (or attempt-dependent) columns are computed once.  Python workers get small Arrow batches
+    meanwhile; the session's own setting comes back.
     """
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = work_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_BATCH, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
