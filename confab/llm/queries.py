@@ -70,24 +70,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _secret_sql() -> str:
-    from .secret_scan import BASE_RULES, RULES
+    # (kind, pattern, group, least characters): the contract's own three, then the rules that the method adds
+    rules = (
+        ("assign", r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+        ("access", "AKIA[A-Z0-9]+", 0, 18),
+        ("hex", "[0-9a-f]+", 0, 16),
+        ("private_key", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 0),
+        ("gh_token", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+        ("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+        ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}", 0, 0),
+        ("map_key", "AIza[A-Za-z0-9_-]{35}", 0, 0),
+    )
 
-    def spans(i, r):
-        p = r.pattern.replace("'", "''")
+    def spans(i, kind, p, group, least):
         return f"""
-  SELECT doc_id, {i} AS k, '{r.kind}' AS kind, CAST(coalesce(list_sum(list_transform(g[1:j], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:j-1], lambda x: length(x))), 0) AS BIGINT) AS s, length(m[j]) AS n
+  SELECT doc_id, {i} AS k, '{kind}' AS kind, CAST(coalesce(list_sum(list_transform(g[1:j], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:j-1], lambda x: length(x))), 0) AS BIGINT) AS s, length(m[j]) AS n
   FROM (SELECT doc_id, g, m, v, unnest(range(1, len(m) + 1)) AS j FROM
-    (SELECT doc_id, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {r.group}) AS v FROM b))
-  WHERE length(v[j]) >= {r.least}"""
+    (SELECT doc_id, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v FROM b))
+  WHERE length(v[j]) >= {least}"""
 
-    found = " UNION ALL ".join(spans(i, r) for i, r in enumerate(RULES))
-    n = len(BASE_RULES)
+    found = " UNION ALL ".join(spans(i, *r) for i, r in enumerate(rules))
     return f"""
 WITH b AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS ({found}),
 a AS (
   SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
-         string_agg(concat(kind, ':', s, ':', s + n), ',' ORDER BY s, k) FILTER (k < {n}) AS base, string_agg(concat(kind, ':', s, ':', s + n), ',' ORDER BY s, k) AS spans
+         string_agg(concat(kind, ':', s, ':', s + n), ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(concat(kind, ':', s, ':', s + n), ',' ORDER BY s, k) AS spans
   FROM f GROUP BY doc_id)
 SELECT b.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans

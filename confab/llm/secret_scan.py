@@ -1,14 +1,19 @@
 """Secret scan by a trigram inverted index, in DataFrame functions only.
 
-Each rule's regex yields a Boolean query over trigrams (:mod:`.trigrams`).  The index keeps,
-for each trigram that some query names, its posting list over the documents.  In the scan the
-posting lists are bit slices aligned with the rows: bit k of a document says whether it is on
-the list of trigram k.  Intersecting postings is then one bitwise AND a clause, without moving
-any text; candidates are verified by the regex, and rules without mandatory trigrams verify
-every text.  :func:`postings` gives the same index as (trigram, document) rows.
-
-Null and empty texts have no spans.  Positions are code points, ends exclusive.  Repeated rows
-give repeated results; columns other than the id and the text are ignored.
+Each rule's regex yields a Boolean query over trigrams (:mod:`.trigrams`): a text that matches
+holds all trigrams of one of its clauses.  The index lists, for each trigram that some query
+names, the texts that hold it (by a hash of the text, so equal texts are one posting).  Posting
+lists are kept in buckets of texts, so that none grows with the corpus; in each bucket the lists
+of a clause are intersected and the clauses of a rule united.  The candidates (hash and rules, a
+few bytes a text) go back to the rows, where the regexes of their rules verify them; rules
+without mandatory trigrams verify every text.  A hash that two texts share makes a needless
+verification at most.
+
+Candidates are sent to all tasks while they are few (counted), else joined by hash.  Null and
+empty texts have no spans.  Positions are code points, ends exclusive.  Spans are in order of
+start, then rule.  Repeated rows give repeated results, texts of any length are scanned whole,
+an empty table gives an empty result; columns other than the text are passed on unread, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trigrams
-from .common import let
+from .common import let, named, written
 
 
 @dataclass(frozen=True)
@@ -45,47 +50,53 @@ RULES = BASE_RULES + (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
 )
-_SLICE = 62
+#: Texts of a bucket of posting lists, about.
+BUCKET_TEXTS = 2_000
+#: So many candidates are sent to all tasks; beyond, texts are joined by their hash.
+BROADCAST_TEXTS = 1_000_000
 
 
 def needed_trigrams(rules: tuple[Rule, ...]) -> list[str]:
-    """Every trigram that a rule's query names, sorted; its place is its bit."""
+    """Every trigram that a rule's query names, sorted."""
     return sorted({t for r in rules for clause in trigrams.query(r.pattern) or () for t in clause})
 
 
-def bit_slices(lowered: Column, terms: list[str]) -> list[Column]:
-    """Posting bits of a lower-cased text, 62 trigrams to a number."""
-    out = []
-    for k in range(0, len(terms), _SLICE):
-        bits = [F.when(F.contains(lowered, F.lit(t)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(terms[k : k + _SLICE])]
-        total = bits[0]
-        for b in bits[1:]:
-            total = total.bitwiseOR(b)
-        out.append(total)
-    return out
-
-
-def candidate(rule: Rule, terms: list[str], slices: list[Column]) -> Column:
-    """Whether the intersected posting lists of some clause hold the document."""
-    clauses = trigrams.query(rule.pattern)
-    if clauses is None:
-        return F.lit(True)
-    place = {t: i for i, t in enumerate(terms)}
-    out = F.lit(False)
-    for clause in clauses:
-        hit = F.lit(True)
-        for s in range(len(slices)):
-            if mask := sum(1 << (place[t] - s * _SLICE) for t in clause if place[t] // _SLICE == s):
-                hit = hit & (slices[s].bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
-        out = out | hit
-    return out
-
-
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index as rows (trigram, document id), for the trigrams that the rules name."""
-    low = docs.select(F.col(id_col).alias(id_col), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
-    terms = F.array(*map(F.lit, needed_trigrams(rules)))
-    return low.select(F.explode(F.filter(terms, lambda t: F.contains(F.col("low"), t))).alias("trigram"), id_col)
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """(``trigram``, ``hash``) of every text and trigram that the rules name."""
+    text = F.coalesce(named(text_col), F.lit(""))
+    low = docs.select(F.xxhash64(text).alias("hash"), F.lower(text).alias("low"))
+    terms = F.array(*map(F.lit, needed_trigrams(rules))).cast("array<string>")
+    return low.select(F.explode(F.filter(terms, lambda t: F.contains(F.col("low"), t))).alias("trigram"), "hash")
+
+
+def posting_lists(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The index: ``bucket``, ``lists`` (trigram to the hashes of its texts, each once)."""
+    buckets = docs.count() // BUCKET_TEXTS + 1
+    dealt = postings(docs, rules, text_col).select(F.pmod("hash", F.lit(buckets)).alias("bucket"), "trigram", "hash")
+    lists = dealt.groupBy("bucket", "trigram").agg(F.collect_set("hash").alias("hashes"))
+    return lists.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "hashes"))).alias("lists"))
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(``hash``, ``rules``): texts whose trigrams satisfy the queries; bit k of ``rules`` is rule k."""
+    none = F.array().cast("array<bigint>")
+    each = []
+    for k, rule in enumerate(rules):
+        clauses = trigrams.query(rule.pattern)
+        if clauses is None:
+            continue
+        found = none
+        for clause in clauses:
+            lists = [F.coalesce(F.try_element_at("lists", F.lit(t)), none) for t in sorted(clause)]
+            both = lists[0]
+            for other in lists[1:]:
+                both = F.array_intersect(both, other)
+            found = F.array_union(found, both)
+        each.append(F.struct(F.lit(1 << k).alias("bit"), found.alias("hashes")))
+    if not each:
+        return index.select(F.lit(0).cast("long").alias("hash"), F.lit(0).cast("long").alias("rules")).limit(0)
+    rows = index.select(F.explode(F.array(*each)).alias("x")).select(F.col("x.bit").cast("long").alias("bit"), F.explode("x.hashes").alias("hash"))
+    return rows.groupBy("hash").agg(F.bit_or("bit").alias("rules"))
 
 
 def matches(text: Column, rule: Rule, number: int) -> Column:
@@ -116,17 +127,33 @@ def joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out_col: str = "spans") -> DataFrame:
-    """``id_col`` (or the columns ``keep``) with ``out_col``: array of (start, kind, end) by start, then kind."""
-    terms = needed_trigrams(rules)
-    src = docs.select(*[F.col(c) for c in (keep or [id_col])], F.coalesce(F.col(text_col), F.lit("")).alias("_scan_text"))
-    low = src.select("*", F.lower("_scan_text").alias("_scan_low"))
-    indexed = low.select("*", *[s.alias(f"_scan_bits{k}") for k, s in enumerate(bit_slices(F.col("_scan_low"), terms))]).drop("_scan_low")
-    slices = [F.col(c) for c in indexed.columns if c.startswith("_scan_bits")]
+def scanned(docs: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``t`` (its text) and ``spans``: array of (start, kind, end)."""
+    hits = written(candidates(posting_lists(docs, rules, text_col), rules), "secret-candidates")
+    if hits.count() <= BROADCAST_TEXTS:
+        hits = F.broadcast(hits)
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), F.coalesce(named(text_col), F.lit("")).alias("t"))
+    met = rows.select("*", F.xxhash64("t").alias("hash")).join(hits, "hash", "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    each = [F.when(candidate(r, terms, slices), matches(F.col("_scan_text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
-    out = indexed.select("*", F.sort_array(F.concat(*each)).alias(out_col))
-    return out.drop("_scan_text", "_scan_low", *[c for c in out.columns if c.startswith("_scan_bits")])
+    each = [
+        matches(F.col("t"), r, k) if trigrams.query(r.pattern) is None else F.when(F.col("rules").bitwiseAND(F.lit(1 << k).cast("long")) != 0, matches(F.col("t"), r, k)).otherwise(none)
+        for k, r in enumerate(rules)
+    ]
+    return met.select("row", "t", F.sort_array(F.concat(*each)).alias("spans"))
+
+
+def field(name: str) -> Column:
+    """A column inside ``row``."""
+    return F.col("row").getField(name)
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out_col: str = "spans") -> DataFrame:
+    """``id_col`` (or the columns ``keep``) with ``out_col``: array of (start, kind, end) by start, then kind.
+
+    A kept column called ``out_col`` gives way to it.
+    """
+    keep = [c for c in keep or [id_col] if c.lower() != out_col.lower()]
+    return scanned(docs, rules, text_col).select(*[field(c).alias(c) for c in keep], F.col("spans").alias(out_col))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
@@ -134,9 +161,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
 
     A null text stays null, a text without spans is unchanged.
     """
-    found = scan(docs, rules, text_col=text_col, keep=list(docs.columns), out_col="_scan_spans")
+    found = scanned(docs, rules, text_col)
     names = F.array(*[F.lit(r.kind) for r in rules])
-    text = F.col(text_col)
+    text = F.col("t")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
@@ -145,5 +172,5 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.when(F.size("_scan_spans") > 0, F.aggregate("_scan_spans", start, step, rest)).otherwise(text)
-    return found.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(field(text_col))
+    return found.select(*[(clean if c == text_col else field(c)).alias(c) for c in docs.columns])

@@ -152,7 +152,44 @@ def test_secret_spans(docs):
     assert (5, 3) in got and (5, 0) in got and (2, 0) in got
     clean = {r["text"] for r in secret_scan.redact(docs).collect()}
     assert "[assign] [access] [hex]" in clean and None in clean
-    assert {r["trigram"] for r in secret_scan.postings(docs).where("doc_id = 5").collect()} >= {"tok", "oke", "ken", "aki", "kia"}
+
+
+def test_secret_index_finds_what_the_patterns_find(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    parts = ["password", "PassWd", "secret: ", "tok", "token", "=", " : ", "\"", "api_key", "APIKEY", "abcdefghijklmnop", "AKIA", "AKIAABCDEFGHIJKLMN", "deadbeef" * 3, "é ", "\n", "ghp_" + "a1" * 18, "xoxb-1234567890", "eyJabcdefghi.eyJabcdefghi", "AIza" + "x" * 35, "-----BEGIN RSA PRIVATE KEY-----", " words "]
+    texts = [None, "", *("".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(300)), "z" * 100_000 + " token=abcdefghijklmnop"]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+
+    def brute(t):
+        out = []
+        for k, rule in enumerate(secret_scan.RULES):
+            for m in re.finditer(rule.pattern, t or "", re.ASCII):
+                if len(m.group(rule.group)) >= rule.least:
+                    out.append((m.start(), k, m.end()))
+        return sorted(out)
+
+    want = {i: brute(t) for i, t in enumerate(texts)}
+    for few, most in ((2_000, 1_000_000), (10, 0)):
+        monkeypatch.setattr(secret_scan, "BUCKET_TEXTS", few)
+        monkeypatch.setattr(secret_scan, "BROADCAST_TEXTS", most)
+        assert {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in secret_scan.scan(docs).collect()} == want
+    lists = {t: set(h) for r in secret_scan.posting_lists(docs).collect() for t, h in r["lists"].items()}
+    assert {"tok", "oke", "ken", "aki", "kia"} <= set(lists)
+    # a rule's candidates hold all that it matches, and texts without its trigrams aren't among them
+    rules = {r["hash"]: r["rules"] for r in secret_scan.candidates(secret_scan.posting_lists(docs)).collect()}
+    assert all(v & 4 == 0 for v in rules.values()) and 0 < len(rules) < len(set(texts))
+
+
+def test_secrets_of_empty_tables_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    names = ("row", "t", "hash", "rules", "spans", "_scan_text", "lists")
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmnop"), (1, None)], SCHEMA).select("*", *[F.lit(c).alias(c) for c in names])
+    clean = secret_scan.redact(docs)
+    assert clean.columns == docs.columns and {(r["text"], r["row"], r["hash"]) for r in clean.collect()} == {("[assign]", "row", "hash"), (None, "row", "hash")}
+    assert secret_scan.scan(docs.limit(0)).count() == secret_scan.redact(docs.limit(0)).count() == 0
 
 
 def test_packing_places_everything(docs):
