@@ -3,20 +3,24 @@
 All files share one frequency table, made from the counts of all ids.  A file is a run of
 independent blocks; a block interleaves many coder lanes, so each step codes a row of ids at
 once.  The footer holds a checkpoint per block (place, first id, checksums) and the document
-table, so blocks can be decoded in parallel, in any order, and damage is found where it is.
+table, so blocks can be decoded in parallel, in any order, and damage is found where it is:
+reading takes the footers first, then every task decodes blocks from their checkpoints.  The
+number of files follows the number of ids.
 
 File layout, little-endian: magic, length and CRC of the table, the table (symbols, frequencies);
-blocks; footer (zlib: checkpoints, document ids and lengths); footer length and CRC; magic.
+blocks; footer (zlib: numbers of blocks and documents, checkpoints, document ids, which are
+null, lengths); footer length and CRC; magic.
 Block: ids, lanes, words, CRC of the payload, CRC of the ids; final lane states; words.
 
-Null texts are encoded as empty ones.  Documents without an id come first.  Repeated rows
-are encoded as often as they occur.
+Null and empty texts have the end id alone.  Documents without an id come first; the order of
+rows with one id is not defined.  Repeated rows are encoded as often as they occur.  Texts of
+any length are encoded whole, over as many blocks as they need.  An empty table has no files.
+Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
 import io
-import json
 import struct
 import zlib
 
@@ -24,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attempt_name, filesystem, sliced, work_path, written
+from .common import attempt_name, discard, filesystem, held, named, sliced, work_path, written
 from .tokens import encoder
 
 MAGIC = b"RANSIDS1"
@@ -32,6 +36,8 @@ BITS = 20
 LOW = np.uint64(1 << 31)
 BLOCK_IDS = 1 << 20
 LANES = 2048
+#: Ids of a file, about.
+FILE_IDS = 1 << 24
 _HEAD = "<IIIII"
 
 
@@ -166,7 +172,9 @@ class Writer:
     def close(self) -> None:
         if self.waiting:
             self._flush(self.waiting)
-        foot = zlib.compress(json.dumps({"marks": self.marks, "docs": self.docs, "sizes": self.sizes, "ids": self.ids}).encode(), 1)
+        docs = np.array([0 if d is None else d for d in self.docs], "<i8")
+        parts = (np.array([len(self.marks), len(docs)], "<i8"), np.array(self.marks, "<i8"), docs, np.array([d is None for d in self.docs], np.uint8), np.array(self.sizes, "<i8"))
+        foot = zlib.compress(b"".join(x.tobytes() for x in parts), 1)
         self._put(foot + struct.pack("<II", len(foot), zlib.crc32(foot)) + MAGIC)
 
 
@@ -185,9 +193,14 @@ class Reader:
         data = self._get(16, m)
         if zlib.crc32(foot) != crc or zlib.crc32(data) != table_crc:
             raise ValueError("checksum does not match")
-        info = json.loads(zlib.decompress(foot))
+        info = zlib.decompress(foot)
         self.table = Table.from_bytes(data)
-        self.marks, self.docs, self.sizes, self.ids = info["marks"], info["docs"], info["sizes"], info["ids"]
+        blocks, n = struct.unpack_from("<qq", info)
+        self.marks = np.frombuffer(info, "<i8", 3 * blocks, 16).reshape(blocks, 3).tolist()
+        at = 16 + 24 * blocks
+        null = np.frombuffer(info, np.uint8, n, at + 8 * n).tolist()
+        self.docs = [None if x else d for d, x in zip(np.frombuffer(info, "<i8", n, at).tolist(), null)]
+        self.sizes = np.frombuffer(info, "<i8", n, at + 9 * n)
 
     def _get(self, at: int, n: int) -> bytes:
         self.source.seek(at)
@@ -196,22 +209,31 @@ class Reader:
     def block(self, k: int) -> np.ndarray:
         return decode_block(self._get(*self.marks[k][:2]), self.table)
 
-    def documents(self):
-        """(document id, first id's place in the file, ids), in order."""
-        have, k, at = np.empty(0, "<u4"), 0, 0
-        for doc, n in zip(self.docs, self.sizes):
-            parts, need = [], n
-            while need:
-                if not len(have):
-                    have, k = self.block(k), k + 1
-                parts.append(have[:need])
-                have, need = have[len(parts[-1]) :], need - len(parts[-1])
-            yield doc, at, parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, "<u4")
-            at += n
+    def starts(self) -> np.ndarray:
+        """The place of each document's first id in the file."""
+        return np.cumsum(self.sizes) - self.sizes
 
 
-def tokenised(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Table]:
-    """(``doc_id``, ``ids`` as 16- or 32-bit numbers) of every document, and the table of all ids' counts."""
+def span(get, table: Table, marks: list, first: int, sizes: list[int]):
+    """The ids of consecutive documents whose first id is at ``first``, from the blocks at ``marks`` alone."""
+    have, k = np.empty(0, "<u4"), 0
+    skip = first - marks[0][2]
+    for n in sizes:
+        parts, need = [], n
+        while need:
+            if not len(have):
+                have, k = decode_block(get(*marks[k][:2]), table)[skip:], k + 1
+                skip = 0
+            parts.append(have[:need])
+            have, need = have[len(parts[-1]) :], need - len(parts[-1])
+        yield parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, "<u4")
+
+
+def tokenised(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Table, int]:
+    """(``doc_id``, ``ids`` as 16- or 32-bit numbers) of every document, the table of all ids' counts, and how many there are.
+
+    The rows are those of a written table (its other rows are the counts of each task).
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -222,24 +244,20 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "
         seen = np.zeros(wide, np.int64)
         no = pa.array([], pa.int64())
         for b in sliced(batches, 1):
-            out = []
-            for text in b.column(1).to_pylist():
-                ids = np.append(enc.encode(text), np.uint32(end_id))
-                seen += np.bincount(ids, minlength=wide)[:wide] if len(ids) > 4096 else 0
-                if len(ids) <= 4096:
-                    np.add.at(seen, ids, 1)
-                out.append(ids.astype(kind).tobytes())
+            each = [np.append(enc.encode(text), np.uint32(end_id)).astype(kind) for text in b.column(1).to_pylist()]
+            seen += np.bincount(np.concatenate(each), minlength=wide)
+            out = [ids.tobytes() for ids in each]
             empty = pa.array([None] * len(out), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.array([kind == "<u4"] * len(out)), empty, empty], ["doc_id", "ids", "wide", "symbols", "counts"])
         at = np.flatnonzero(seen)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.bool_()), pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([seen[at].tolist()], pa.list_(pa.int64()))], ["doc_id", "ids", "wide", "symbols", "counts"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     both = written(src.mapInArrow(run, "doc_id long, ids binary, wide boolean, symbols array<long>, counts array<long>"), "ids")
     each = both.where("symbols is not null").select(F.explode(F.arrays_zip("symbols", "counts")).alias("x"))
     total = each.groupBy(F.col("x.symbols").alias("symbol")).agg(F.sum("x.counts").alias("n")).collect()  # at most the vocabulary's size
-    return both.where("ids is not null").select("doc_id", "ids", "wide"), Table.of_counts({r["symbol"]: r["n"] for r in total})
+    return both, Table.of_counts({r["symbol"]: r["n"] for r in total}), sum(r["n"] for r in total)
 
 
 def write_files(rows: DataFrame, table: Table, path: str, files: int) -> DataFrame:
@@ -271,35 +289,64 @@ def write_files(rows: DataFrame, table: Table, path: str, files: int) -> DataFra
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([f"{path}/{name}"]), pa.array([writer.ids], pa.int64())], ["number", "path", "ids"])
 
-    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    ordered = rows.where("ids is not null").select("doc_id", "ids", "wide").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
     return written(ordered.mapInArrow(run, "number int, path string, ids long"), "token-files")
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """Each document of the files: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``, ``ids``."""
+    """Each document of the files: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``, ``ids``.
+
+    Footers are read first; then the documents that begin in a block are decoded together, from
+    the block's checkpoint, wherever their file lies.
+    """
     before = F.sum("ids").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
     placed = files.select("path", F.coalesce(before, F.lit(0)).alias("base"))
+    unit = "path string, base long, first long, marks array<array<long>>, docs array<long>, sizes array<long>"
 
-    def run(batches):
+    def units(batches):
         import pyarrow as pa
 
+        names = [x.split()[0] for x in unit.split(", ")]
         for b in batches:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 fs, name = filesystem(path)
-                out, held = [[], [], [], [], []], 0
                 with fs.open_input_file(name) as f:
-                    for doc, at, ids in Reader(f, f.size()).documents():
+                    r = Reader(f, f.size())
+                starts, firsts = r.starts(), [m[2] for m in r.marks]
+                cut = [*np.searchsorted(starts, firsts).tolist(), len(starts)]
+                for k, (a, z) in enumerate(zip(cut, cut[1:])):
+                    if a == z:
+                        continue
+                    last = int(np.searchsorted(firsts, starts[z - 1] + r.sizes[z - 1]))  # a long document goes on in further blocks
+                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                    row = (path, base, int(starts[a]), r.marks[k : max(last, k + 1)], r.docs[a:z], r.sizes[a:z].tolist())
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for path, base, first, marks, docs, sizes in zip(*(c.to_pylist() for c in b.columns)):
+                fs, name = filesystem(path)
+                with fs.open_input_file(name) as f:
+                    n = struct.unpack("<I", f.read_at(4, 8))[0]
+                    table = held("table", path, lambda: Table.from_bytes(f.read_at(n, 16)))
+                    out, kept, at = [[], [], [], [], []], 0, first
+                    for doc, ids in zip(docs, span(lambda p, m: f.read_at(m, p), table, marks, first, sizes)):
                         raw = ids.tobytes()
                         for c, x in zip(out, (doc, base + at, len(ids), zlib.crc32(raw), raw)):
                             c.append(x)
-                        held += len(raw)
-                        if held > 8 << 20:
+                        at += len(ids)
+                        kept += len(raw)
+                        if kept > 8 << 20:
                             yield _rows(pa, out)
-                            out, held = [[], [], [], [], []], 0
+                            out, kept = [[], [], [], [], []], 0
                 yield _rows(pa, out)
 
     n = max(1, files.count())
-    return placed.repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    found = placed.repartition(n, "path").mapInArrow(units, unit)
+    spread = found.repartition(max(n, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path", "first")
+    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def _rows(pa, out):
@@ -309,6 +356,7 @@ def _rows(pa, out):
 
 def encode_corpus(docs: DataFrame, vocabulary: str, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenises and writes all documents; the list of files."""
-    spark = docs.sparkSession
-    rows, frequencies = tokenised(docs, vocabulary, end_id, id_col, text_col)
-    return write_files(rows, frequencies, path or work_path(spark, "rans"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows, frequencies, ids = tokenised(docs, vocabulary, end_id, id_col, text_col)
+    files = write_files(rows, frequencies, path or work_path(docs.sparkSession, "rans"), ids // FILE_IDS + 1)
+    discard(rows)
+    return files

@@ -232,6 +232,27 @@ def test_token_files(docs, spark):
         at += r["n_tokens"]
 
 
+def test_token_files_of_many_blocks_and_files(spark, monkeypatch):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    # small blocks, so that documents go on over several; small files; nulls, equal ids, an id that is null
+    rows = [(i, "the words of document %d " % i * (i % 7 * 40)) for i in range(60)] + [(3, None), (None, "x"), (70, "long text " * 5000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(token_codec.Writer.__init__, "__defaults__", (512,))
+    monkeypatch.setattr(token_codec, "FILE_IDS", 4096)
+    files = token_codec.encode_corpus(docs, queries.vocabulary())
+    assert files.count() > 3
+    got = sorted(token_codec.read_files(files).collect(), key=lambda r: r["start"])
+    t = Tokenizer.from_file(queries.vocabulary())
+    want = {(d, zlib.crc32(np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4").tobytes())) for d, x in rows}
+    assert {(r["doc_id"], r["ids_crc32"]) for r in got} == want and len(got) == len(rows)
+    assert [r["doc_id"] for r in got] == [None, *sorted(d for d, _ in rows if d is not None)]
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
+    assert token_codec.read_files(token_codec.encode_corpus(docs.limit(0), queries.vocabulary())).count() == 0
+
+
 def test_blocks_report_damage():
     ids = np.random.default_rng(0).integers(0, 500, 5000)
     table = token_codec.Table.of_counts(dict(zip(*(x.tolist() for x in np.unique(ids, return_counts=True)))))
