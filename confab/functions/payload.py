@@ -172,11 +172,15 @@ def _not_list(topics: Column) -> Column:
 
 def parse_summary(response: Column) -> Column:
     """struct(summary, error)."""
-    obj = parse_object(response, "Meeting summary")
-    topics = field(obj["value"], "topics_discussed")
-    s = summary_of(obj["value"], topics)
-    error = F.coalesce(obj["error"], _not_list(topics), summary_error(s))
-    return F.struct(F.when(error.isNull(), s).alias("summary"), error.alias("error"))
+
+    def parts(obj: Column) -> Column:
+        topics = field(obj["value"], "topics_discussed")
+        return F.struct(summary_of(obj["value"], topics).alias("s"), F.coalesce(obj["error"], _not_list(topics)).alias("before"))
+
+    def result(p: Column) -> Column:
+        return let(F.coalesce(p["before"], summary_error(p["s"])), lambda e: F.struct(F.when(e.isNull(), p["s"]).alias("summary"), e.alias("error")))
+
+    return let(let(parse_object(response, "Meeting summary"), parts), result)
 
 
 def parse_analysis(response: Column, original: Column) -> Column:
@@ -200,6 +204,29 @@ def parse_analysis(response: Column, original: Column) -> Column:
     return let(let(parse_object(response, "Meeting summary"), parts), result)
 
 
+def batch_failure(job: Column) -> Column:
+    """Why a batch job failed, from its JSON state: the first failed file's message; null if it did not."""
+    v = F.try_parse_json(job)
+    failed = F.coalesce(F.try_variant_get(v, "$.failed", _V), F.array().cast(_V))
+    message = F.when(F.size(failed) > 0, text_field(F.try_element_at(failed, F.lit(1)), "error_message")).otherwise(F.lit("Unknown batch job failure."))
+    return F.when(F.lower(text_field(v, "job_state")) == "failed", F.coalesce(message, F.lit("Unknown batch job failure.")))
+
+
+def speech_result_error(result: Column) -> Column:
+    """Why a transcription result (JSON with ``transcript`` and ``segments``) is not one; null if it is."""
+    v = F.try_parse_json(result)
+    text, segments = field(v, "transcript"), field(v, "segments")
+    each = F.coalesce(F.try_variant_get(segments, "$", _V), F.array().cast(_V))
+    odd = first(F.transform(each, lambda x, i: F.when(~is_object(x), F.concat(F.lit("Segment "), (i + 1).cast("string"), F.lit(" must be an object.")))))
+    return F.coalesce(
+        F.when(~is_object(v), F.lit("Transcription result must be an object.")),
+        F.when(F.coalesce(kind_of(text) != "STRING", F.lit(True)), F.lit("Transcript must be a string.")),
+        F.when(~F.coalesce(F.startswith(kind_of(segments), F.lit("ARRAY")), F.lit(False)), F.lit("Segments must be a list.")),
+        odd,
+        F.when((strip(text_field(v, "transcript")) == "") & (F.size(each) == 0), F.lit("Transcription result contains no transcript text or segments.")),
+    )
+
+
 def parse_speech(payload: Column) -> Column:
     """struct(transcript, language_code, segments, error) of a speech-to-text payload; wrong shapes count as absent."""
     v = F.try_parse_json(payload)

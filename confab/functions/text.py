@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 #: Unicode white space plus the separators that Java's class leaves out.
 BLANK = r"[\s\x1c-\x1f]"
-_ENDS = rf"(?U)^{BLANK}+|{BLANK}+$"
+# The same as characters, and what ends a line.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
 
 
 def let(value: Column, body) -> Column:
@@ -20,7 +22,13 @@ def let(value: Column, body) -> Column:
 
 def strip(c: Column) -> Column:
     """Trims Unicode white space."""
-    return F.regexp_replace(c, _ENDS, "")
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def lines_of(c: Column) -> Column:
+    """The lines of a text; the end of the last line begins no further one."""
+    lines = F.split(c, LINE_END, -1)
+    return let(lines, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -48,8 +56,8 @@ def normalise(c: Column) -> Column:
 
 def strip_fence(c: Column) -> Column:
     """The inside of a text that is one fenced block; any other text unchanged."""
-    lines = F.split(c, r"\R", -1)
-    fenced = F.startswith(c, F.lit("```")) & (F.size(lines) >= 2) & (strip(F.element_at(lines, -1)) == "```")
+    lines = lines_of(c)
+    fenced = F.startswith(c, F.lit("```")) & (F.size(lines) >= 2) & (strip(F.try_element_at(lines, F.lit(-1))) == "```")
     return F.when(fenced, strip(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 2, F.lit(0))), "\n"))).otherwise(c)
 
 
@@ -151,12 +159,12 @@ def rule_cleanup(c: Column, table: Mapping[str, str] = CLEANUP) -> Column:
 
 
 def blocks(c: Column, joined_by_blank: bool = False) -> Column:
-    """Blocks between blank lines: array of (header, body); the body's lines joined by LF, or non-blank ones by a space."""
+    """Blocks between blank lines: array of (header, body); the body's trimmed lines joined by LF, or non-blank ones by a space."""
 
     def block(b: Column) -> Column:
-        lines = F.split(b, "\n", -1)
-        rest = F.slice(lines, 2, F.size(lines))
-        body = F.array_join(F.filter(F.transform(rest, strip), lambda x: x != ""), " ") if joined_by_blank else F.array_join(rest, "\n")
+        lines = lines_of(strip(b))
+        rest = F.transform(F.slice(lines, 2, F.size(lines)), strip)
+        body = F.array_join(F.filter(rest, lambda x: x != ""), " ") if joined_by_blank else F.array_join(rest, "\n")
         return F.struct(strip(F.element_at(lines, 1)).alias("header"), strip(body).alias("body"))
 
     return F.transform(F.filter(F.split(strip(c), r"(?U)\n\s*\n", -1), lambda b: strip(b) != ""), block)

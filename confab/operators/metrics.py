@@ -25,11 +25,11 @@ def span_label(seconds: Column) -> Column:
     return F.when(seconds.isNull(), F.lit("N/A")).otherwise(format_elapsed(seconds))
 
 
-def meeting_metrics(segments: DataFrame, by: str = "meeting_id") -> DataFrame:
-    """Per meeting: duration, distinct speaker labels, turns.  Combined map-side, one shuffle."""
+def meeting_metrics(segments: DataFrame, by: str = "meeting_id", *more: Column) -> DataFrame:
+    """Per meeting: duration, distinct speaker labels, turns, and ``more`` aggregates.  One shuffle."""
     known = F.when(F.col("end_s").isNotNull() & F.col("start_s").isNotNull(), F.lit(1))
     has = (F.count("start_s") > 0) & (F.count("end_s") > 0)
-    out = segments.groupBy(by).agg(F.when(has, span_seconds()).alias("duration_s"), F.count_distinct(speaker_label(F.col("speaker_id"))).alias("speakers"), F.count("*").alias("turns"), F.count(known).alias("timed_turns"))
+    out = segments.groupBy(by).agg(F.when(has, span_seconds()).alias("duration_s"), F.size(F.collect_set(speaker_label(F.col("speaker_id")))).cast("long").alias("speakers"), F.count("*").alias("turns"), F.count(known).alias("timed_turns"), *more)
     return out.withColumn("duration", span_label(F.col("duration_s")))
 
 

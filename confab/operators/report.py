@@ -9,15 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from confab.functions.text import blank_to_null, blocks, lower_first, or_else, professional, sanitise, strip, strip_dots
+from confab.functions.text import blank_to_null, blocks, let, lower_first, or_else, professional, sanitise, strip, strip_dots
 
 from .metrics import duration_of_text, speakers_of_text
 
+# Titles, section names, and what a report says where there is nothing.
 STOCK = "The meeting covered the listed agenda items and produced the outcomes captured in this report."
 NO_STEPS = "No next steps were identified."
 TITLES = {"docx": "Meeting", "pdf": "Minutes of Meeting"}
 TRANSCRIPT_TITLES = {"docx": "Minutes of Meeting", "pdf": "Transcript Report"}
 NO_TOPICS = {"docx": "No topics were extracted.", "pdf": "No items were extracted."}
+NO_POINTS = "No key discussion points were extracted."
+NO_DECISIONS = "No decisions were extracted."
+NO_ACTIONS = "No action items were extracted."
+NO_TRANSCRIPT = "No cleaned transcript was available."
+COLUMNS = ("Task", "Owner", "Due Date", "Priority", "Status")
 # Words that make an action urgent or at least due soon.
 HIGH = ("urgent", "today", "tomorrow", "blocked", "critical")
 MEDIUM = ("this week", "friday", "next demo", "review", "validate")
@@ -77,11 +83,16 @@ def topics(values: Column, flavor: str = "docx", most: int = 8) -> Column:
 def key_points(points: Column, most: int = 6) -> Column:
     """Text and source line of the first points."""
     line = lambda p: F.concat(F.lit("Timestamp: "), or_else(p["timestamp"], "N/A"), F.lit(" | Speaker(s): "), or_else(F.array_join(p["speakers"], ", "), "N/A"))
-    return F.transform(F.slice(points, 1, most), lambda p: F.struct(professional(p["point"]).alias("point"), line(p).alias("source")))
+    return F.transform(F.slice(points, 1, most), lambda p: F.struct(strip(F.coalesce(p["point"], F.lit(""))).alias("point"), line(p).alias("source")))
 
 
-def numbered_decisions(decisions: Column) -> Column:
-    return F.transform(decisions, lambda d, i: F.concat((i + 1).cast("string"), F.lit(". "), professional(d["decision"])))
+def decision_sentences(decisions: Column) -> Column:
+    """Every decision as a sentence; their numbers come from the list's style or are written out."""
+    return F.transform(decisions, lambda d: professional(d["decision"]))
+
+
+def numbered(lines: Column) -> Column:
+    return F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
 
 
 def action_table(actions: Column) -> Column:
@@ -89,7 +100,7 @@ def action_table(actions: Column) -> Column:
     return F.transform(
         actions,
         lambda a: F.struct(
-            professional(a["task"]).alias("task"), or_else(a["owner"], "Unassigned").alias("owner"), or_else(a["due_date"], "N/A").alias("due_date"), priority(a).alias("priority"), or_else(a["status"], "N/A").alias("status")
+            F.coalesce(a["task"], F.lit("")).alias("task"), or_else(a["owner"], "Unassigned").alias("owner"), or_else(a["due_date"], "N/A").alias("due_date"), priority(a).alias("priority"), or_else(a["status"], "N/A").alias("status")
         ),
     )
 
@@ -127,7 +138,7 @@ def report_model(analyses: DataFrame, flavor: str = "docx", info: str | None = N
         executive_summary(F.col("summary.detailed_summary"), F.col("summary.short_summary"), decisions, actions).alias("executive_summary"),
         topics(F.col("summary.topics_discussed"), flavor).alias("topics"),
         key_points(points).alias("key_points"),
-        numbered_decisions(decisions).alias("decisions"),
+        decision_sentences(decisions).alias("decisions"),
         action_table(actions).alias("action_items"),
         next_steps(actions, decisions, flavor).alias("next_steps"),
         blocks(text, flavor == "pdf").alias("transcript"),
@@ -143,6 +154,76 @@ def minutes_text(model: DataFrame, by: str = "meeting_id") -> DataFrame:
         F.array(F.col("title"), F.concat(F.lit("Date: "), F.col("metadata.date")), F.concat(F.lit("Duration: "), F.col("metadata.duration")), F.concat(F.lit("Speakers: "), F.col("metadata.speakers_detected"))),
         part("EXECUTIVE SUMMARY", F.col("executive_summary")), part("TOPICS", bullets(F.col("topics"))),
         part("KEY POINTS", F.transform("key_points", lambda p: F.concat(F.lit("- "), p["point"], F.lit(" ("), p["source"], F.lit(")")))),
-        part("DECISIONS", F.col("decisions")), part("ACTION ITEMS", table), part("NEXT STEPS", bullets(F.col("next_steps"))),
+        part("DECISIONS", numbered(F.col("decisions"))), part("ACTION ITEMS", table), part("NEXT STEPS", bullets(F.col("next_steps"))),
     )
     return model.select(by, F.array_join(lines, "\n").alias("minutes"))
+
+
+PART = "struct<kind:string,text:string,cells:array<string>>"
+
+
+def part(kind: str, text: str | Column | None = None, cells: list[Column] | None = None) -> Column:
+    """One piece of a document: what it is, its text, its table cells."""
+    words = text if isinstance(text, Column) else F.lit(text)
+    return F.struct(F.lit(kind).alias("kind"), words.cast("string").alias("text"), (F.array(*cells) if cells else F.lit(None)).cast("array<string>").alias("cells"))
+
+
+def parts(kind: str, lines: Column, none: str | None = None) -> Column:
+    """A piece per line; a paragraph ``none`` where there is no line."""
+    each = F.transform(lines, lambda x: part(kind, x))
+    return each if none is None else F.when(F.size(lines) > 0, each).otherwise(F.array(part("paragraph", none)))
+
+
+def minutes_document(model: DataFrame, flavor: str = "docx", by: str = "meeting_id", generated_by: str = "confab") -> DataFrame:
+    """(``by``, ``parts``): a report model as an ordered array of document pieces, for the DOCX and PDF sinks."""
+    head = lambda name: F.array(part("heading", name))
+    rule = [part("rule")] if flavor == "docx" else []
+
+    def pieces(m: Column) -> Column:
+        info = [part("row", None, [F.lit(k), m["metadata"][f]]) for k, f in (("Date", "date"), ("Duration", "duration"), ("Speakers Detected", "speakers_detected"), ("Generated By", "generated_by"))]
+        no_topics = m["topics"] == F.array(F.lit(NO_TOPICS[flavor]))
+        points = F.flatten(F.transform(m["key_points"], lambda p: F.array(part("bullet", p["point"]), part("note", p["source"]))))
+        rows = F.transform(m["action_items"], lambda a: part("row", None, [a[k] for k in ("task", "owner", "due_date", "priority", "status")]))
+        table = F.concat(F.array(part("columns", None, [F.lit(c) for c in COLUMNS])), rows)
+        no_steps = m["next_steps"] == F.array(F.lit(NO_STEPS))
+        return F.concat(
+            F.array(part("title", "MINUTES OF MEETING"), *rule, part("strong", m["title"])),
+            head("Meeting Information"), F.array(*info),
+            head("EXECUTIVE SUMMARY"), parts("paragraph", m["executive_summary"]),
+            head("TOPICS DISCUSSED"), F.when(no_topics, parts("paragraph", m["topics"])).otherwise(parts("bullet", m["topics"])),
+            head("KEY DISCUSSION POINTS"), F.when(F.size(m["key_points"]) > 0, points).otherwise(F.array(part("paragraph", NO_POINTS))),
+            head("DECISIONS TAKEN"), parts("numbered", m["decisions"], NO_DECISIONS),
+            head("ACTION ITEMS"), F.when(F.size(m["action_items"]) > 0, table).otherwise(F.array(part("paragraph", NO_ACTIONS))),
+            head("NEXT STEPS"), F.when(no_steps, parts("paragraph", m["next_steps"])).otherwise(parts("bullet", m["next_steps"])),
+            F.array(*rule, part("end", f"Generated by {generated_by}")),
+        )
+
+    # the model's columns are bound once, so that none is computed for every use
+    whole = F.struct("title", "metadata", "executive_summary", "topics", "key_points", "decisions", "action_items", "next_steps")
+    return model.select(by, let(whole, pieces).alias("parts"))
+
+
+def transcript_document(analyses: DataFrame, flavor: str = "docx", info: str | None = None, by: str = "meeting_id") -> DataFrame:
+    """(``by``, ``parts``): the transcript report, blocks of a speaker header and a body."""
+    given = F.try_element_at(F.col(info), F.lit("Source File")) if info else F.lit(None).cast("string")
+    text = strip(F.coalesce("cleaned_transcript", F.lit("")))
+    source = F.when(F.coalesce(given, F.lit("")) != "", F.array(part("paragraph", F.concat(F.lit("Source Audio File: "), given)))).otherwise(F.array().cast(f"array<{PART}>"))
+    speech = lambda b: F.when(b["body"] != "", F.array(part("strong", b["header"]), part("paragraph", b["body"]))).otherwise(F.array(part("strong", b["header"])))
+    body = F.when(text != "", F.flatten(F.transform(blocks(text, flavor == "pdf"), speech))).otherwise(F.array(part("paragraph", NO_TRANSCRIPT)))
+    title = F.coalesce(blank_to_null(F.col("summary.title")), F.lit(TRANSCRIPT_TITLES[flavor]))
+    return analyses.select(by, F.concat(F.array(part("title", title), part("note", "Transcript Report")), source, F.array(part("heading", "Cleaned Transcript")), body).alias("parts"))
+
+
+def shown(results: DataFrame, transcript: str = "transcript", result: str = "summary") -> DataFrame:
+    """What a page displays: rows with a transcript and a result."""
+    return results.where((strip(F.coalesce(F.col(transcript), F.lit(""))) != "") & F.col(result).isNotNull())
+
+
+def card_point(p: Column) -> Column:
+    """A discussion point as a page shows it: defaults differ from those of the documents."""
+    return F.concat_ws(" | ", or_else(p["timestamp"], "--:--"), p["point"], or_else(F.array_join(p["speakers"], ", "), "N/A"))
+
+
+def card_action(a: Column) -> Column:
+    """An action item as a page shows it."""
+    return F.concat_ws(" | ", a["task"], or_else(a["owner"], "Unassigned"), or_else(a["due_date"], "No due date"), or_else(a["timestamp"], "--:--"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confab.functions.clock import format_clock, parse_clock
-from confab.functions.text import BLANK, normalise, strip
+from confab.functions.text import BLANK, lines_of, normalise, strip
 
 SEGMENT = "struct<transcript:string,speaker_id:string,start_time_seconds:double,end_time_seconds:double>"
 #: Fixed value: a line that is nothing but a speaker header.
@@ -43,11 +43,16 @@ def segment_text(speaker_id: Column, start: Column, end: Column, transcript: Col
     return F.concat(speaker_label(speaker_id), F.lit(" ["), format_clock(start), F.lit(" - "), format_clock(end), F.lit("]\n"), transcript)
 
 
-def transcripts(segments: DataFrame, by: str = "meeting_id", order: str = "seg_no") -> DataFrame:
-    """One text per meeting: its segments in order, a blank line between them."""
+def transcript_of_group(order: str = "seg_no") -> Column:
+    """Aggregate: the text form of a meeting's segments in order, a blank line between them."""
     text = segment_text(F.col("speaker_id"), F.col("start_s"), F.col("end_s"), F.col("transcript"))
-    rows = segments.select(by, F.struct(F.col(order).alias("o"), text.alias("t")).alias("x"))
-    return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n\n").alias("transcript_text"))
+    each = F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))
+    return F.array_join(F.transform(F.array_sort(each), lambda x: x["t"]), "\n\n")
+
+
+def transcripts(segments: DataFrame, by: str = "meeting_id", order: str = "seg_no") -> DataFrame:
+    """One text per meeting."""
+    return segments.groupBy(by).agg(transcript_of_group(order).alias("transcript_text"))
 
 
 def transcript_of(segments: Column, transcript: Column) -> Column:
@@ -68,7 +73,7 @@ def parse_segments(text: Column) -> Column:
     A header line starts a segment, the lines up to the next one are its body, joined by
     blanks; segments without a body and lines before the first header are left out.
     """
-    lines = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: x != "")
+    lines = F.filter(F.transform(lines_of(text), strip), lambda x: x != "")
     empty = F.array().cast("array<struct<head:string,body:array<string>>>")
     start = F.struct(empty.alias("done"), F.lit(None).cast("string").alias("head"), F.array().cast("array<string>").alias("body"))
 
@@ -100,7 +105,7 @@ def explode_segments(meetings: DataFrame, text_col: str, by: str = "meeting_id")
 
 def header_count(text: Column) -> Column:
     """Lines that are a speaker header and nothing else."""
-    return F.size(F.filter(F.split(text, r"\R", -1), lambda x: x.rlike(STRICT_HEADER)))
+    return F.size(F.filter(lines_of(text), lambda x: x.rlike(STRICT_HEADER)))
 
 
 def headers_kept(original: Column, cleaned: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.functions import payload as P
@@ -30,6 +30,31 @@ class Unavailable(Exception):
     """Raised by a backend that should be asked again later."""
 
 
+def status_of(error: Exception) -> int | None:
+    """The status code that a backend's error carries in one way or another, read from its text at last."""
+    for holder, name in ((error, "code"), (error, "status_code"), (getattr(error, "response", None), "status_code")):
+        try:
+            return int(getattr(holder, name, None))
+        except (TypeError, ValueError):
+            continue
+    return 503 if "503" in str(error) else None
+
+
+def is_unavailable(error: Exception) -> bool:
+    """Whether asking again later can help."""
+    return isinstance(error, Unavailable) or status_of(error) == 503 or "UNAVAILABLE" in str(error).upper()
+
+
+class ModelBackend:
+    """A backend around any client: ``call(model, prompt, system_prompt, temperature)`` returns the text."""
+
+    def __init__(self, call: Callable[[str, str, str | None, float], str], model: str, temperature: float = 0.2):
+        self.call, self.model, self.temperature = call, model, temperature
+
+    def generate(self, prompt: str, *, system_prompt: str | None = None) -> str:
+        return self.call(self.model, prompt, system_prompt, self.temperature)
+
+
 # Templates in our own words; `{transcript}` is where the text goes.
 _HEAD = "You prepare minutes of a meeting. Use only what the transcript says.\n<transcript>\n{transcript}\n</transcript>\n"
 TEMPLATES = {
@@ -59,21 +84,12 @@ class Options:
     system_prompt: str | None = None
     delays: tuple[float, ...] = (2.0, 5.0, 10.0)
 
-
-class RuleCleanup:
-    """Deterministic backend of the cleanup task: answers with the repaired transcript."""
-
-    def generate(self, prompt: str, *, system_prompt: str | None = None) -> str:
-        import re
-
-        m = re.search(r"<transcript>\s*(.*?)\s*</transcript>", prompt, re.S)
-        lines = []
-        for line in (m.group(1) if m else prompt).splitlines():
-            s = line.strip()
-            if s and not s.lower().startswith("speaker "):
-                s = s[0].upper() + s[1:] + ("" if s[-1] in ".?!" else ".")
-            lines.append(s)
-        return "\n".join(lines)
+    @classmethod
+    def from_folder(cls, spark: SparkSession, path: str, **more) -> Options:
+        """Templates from the UTF-8 files ``<task>.md`` of a folder; tasks without a file keep their own."""
+        files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(path).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.md$", 1).alias("task"))
+        found = {r["task"]: r["value"] for r in files.where(F.col("task").isin(list(TEMPLATES))).collect()}  # one row a task
+        return cls(templates=TEMPLATES | found, **more)
 
 
 class Constant:
@@ -87,19 +103,19 @@ class Constant:
 
 
 def with_retries(backend: Backend, delays: tuple[float, ...], sleep=time.sleep) -> Callable[[str, str | None], tuple[str | None, str | None]]:
-    """(answer, error) of a prompt; only ``Unavailable`` is tried again."""
+    """(answer, error) of a prompt; only errors that say so are tried again, after the ``delays``."""
 
     def ask(prompt: str, system_prompt: str | None):
         for wait in (*delays, None):
             try:
                 answer = (backend.generate(prompt, system_prompt=system_prompt) or "").strip()
                 return (answer, None) if answer else (None, "The backend gave an empty answer.")
-            except Unavailable as e:
+            except Exception as e:  # noqa: BLE001  one row's failure is that row's error
+                if not is_unavailable(e):
+                    return None, f"The backend failed: {e}"
                 if wait is None:
                     return None, f"The backend is unavailable: {e}"
                 sleep(wait)
-            except Exception as e:  # noqa: BLE001  one row's failure is that row's error
-                return None, f"The backend failed: {e}"
 
     return ask
 
@@ -149,13 +165,23 @@ def run_task(
 
 
 class Summarizer:
-    """The six verbs over DataFrames of meetings, with a cache for full analyses."""
+    """The six verbs over meetings, with a cache for full analyses.
+
+    Meetings are a DataFrame with ``meeting_id`` and ``transcript_text``, or texts (numbered from 0).
+    """
 
     def __init__(self, factory: Callable[[], Backend], options: Options = Options()):
         self.factory, self.options, self.cache = factory, options, None
 
-    def _one(self, meetings: DataFrame, task: str) -> DataFrame:
-        return run_task(meetings, task, self.factory, self.options)[0]
+    @staticmethod
+    def meetings(given: DataFrame | str | list[str]) -> DataFrame:
+        if isinstance(given, DataFrame):
+            return given
+        texts = [given] if isinstance(given, str) else list(given)
+        return SparkSession.active().createDataFrame(list(enumerate(texts)), "meeting_id long, transcript_text string")
+
+    def _one(self, meetings: DataFrame | str | list[str], task: str) -> DataFrame:
+        return run_task(self.meetings(meetings), task, self.factory, self.options)[0]
 
     def cleanup_transcript(self, meetings: DataFrame) -> DataFrame:
         return self._one(meetings, "cleanup")
@@ -173,7 +199,7 @@ class Summarizer:
         return self._one(meetings, "key_discussion_points")
 
     def analyze_meeting(self, meetings: DataFrame) -> DataFrame:
-        out, self.cache = run_task(meetings, "analysis", self.factory, self.options, self.cache)
+        out, self.cache = run_task(self.meetings(meetings), "analysis", self.factory, self.options, self.cache)
         return out
 
 

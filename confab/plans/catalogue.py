@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from confab.functions import clock, payload, text
 from confab.operators import metrics, report, segments, tasks
-from confab.sources.files import first_results, route
+from confab.sources.files import audio_error, first_results, route
+from confab.sources.sinks import analysis_json, output_path
+from confab.sources.tables import written
 
 from . import fixtures as X
 
@@ -35,9 +37,8 @@ SELECT m.meeting_id, CASE WHEN n = 0 THEN 'N/A' WHEN d < 60 THEN concat(printf('
 FROM m JOIN texts ON m.meeting_id = texts.meeting_id""")
 def meeting_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: duration, speakers, turns and transcript key of every meeting."""
-    s = X.segments(spark, sf_dir)
-    m = metrics.meeting_metrics(s).select("meeting_id", "duration", "speakers", "turns")
-    return m.join(segments.transcripts(s).select("meeting_id", text.content_key(F.col("transcript_text")).alias("cache_key")), "meeting_id")
+    m = metrics.meeting_metrics(X.segments(spark, sf_dir), "meeting_id", segments.transcript_of_group().alias("transcript_text"))
+    return m.select("meeting_id", "duration", "speakers", "turns", text.content_key(F.col("transcript_text")).alias("cache_key"))
 
 
 @query(f"WITH {X.LABELLED} SELECT meeting_id, seg_no, label, start_clock, end_clock, concat(label, ' [', start_clock, ' - ', end_clock, ']', chr(10), transcript) AS segment FROM labelled")
@@ -127,7 +128,7 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""
 WITH {X.TEXTS}, b AS (SELECT meeting_id, list_filter(string_split_regex(trim(transcript_text, concat(' ', chr(10))), '\n\s*\n'), lambda x: trim(x, concat(' ', chr(10))) <> '') AS b FROM texts),
 u AS (SELECT meeting_id, unnest(b) AS x, generate_subscripts(b, 1) - 1 AS block FROM b)
-SELECT meeting_id, CAST(block AS BIGINT) AS block, trim(string_split(x, chr(10))[1]) AS header, trim(array_to_string(string_split(x, chr(10))[2:], chr(10)), concat(' ', chr(10))) AS body FROM u""")
+SELECT meeting_id, CAST(block AS BIGINT) AS block, trim(string_split(trim(x, concat(' ', chr(10))), chr(10))[1]) AS header, trim(array_to_string(list_transform(string_split(trim(x, concat(' ', chr(10))), chr(10))[2:], lambda l: trim(l)), chr(10)), concat(' ', chr(10))) AS body FROM u""")
 def transcript_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.meeting_texts(spark, sf_dir).select("meeting_id", F.posexplode(text.blocks(F.col("transcript_text"))).alias("block", "b"))
     return t.select("meeting_id", F.col("block").cast("long").alias("block"), "b.header", "b.body")
@@ -151,7 +152,7 @@ def rule_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _answers(name: str, rows: str, item: str, key: str) -> str:
     """SQL of the six shapes of an answer, and of the error of each."""
     return f"""
-{name} AS (SELECT meeting_id, meeting_id % 6 AS k, list(x ORDER BY ord) AS items FROM (SELECT *, {item} AS x FROM {rows}) GROUP BY meeting_id)"""
+{name} AS (SELECT meeting_id, abs(meeting_id) % 6 AS k, list(x ORDER BY ord) AS items FROM (SELECT *, {item} AS x FROM {rows}) GROUP BY meeting_id)"""
 
 
 def _shape_errors(one: str, response: str, checks: str) -> str:
@@ -204,27 +205,60 @@ def key_points_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("meeting_id", F.col("ord").cast("long").alias("ord"), "x.point", F.array_join("x.speakers", ", ").alias("speakers"), "x.timestamp")
 
 
-def _analysis_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full-analysis answers over the meetings' own texts, some of them broken."""
-    t = X.meeting_texts(spark, sf_dir)
-    d = X.listed(X.decisions(spark, sf_dir).where("decision <> ''"), "decisions")
-    a = X.listed(X.action_items(spark, sf_dir), "action_items")
-    p = X.segments(spark, sf_dir).groupBy("meeting_id").agg(F.count("*").alias("n"))
-    rows = t.join(d, "meeting_id").join(a, "meeting_id").join(p, "meeting_id")
-    title = F.when(F.col("meeting_id") % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit("Meeting "), F.col("meeting_id").cast("string")))
-    summary = F.struct(title.alias("title"), F.lit("Short.").alias("short_summary"), F.lit("The discussion focused on orders.").alias("detailed_summary"), F.array(F.lit("orders"), F.lit(" ")).alias("topics_discussed"))
-    points = F.array(F.struct(F.lit("Orders were reviewed").alias("point"), F.array(F.lit("Speaker 1")).alias("speakers")))
-    body = F.struct(F.expr(_damaged("meeting_id", "transcript_text")).alias("cleaned_transcript"), summary.alias("summary"), points.alias("key_discussion_points"), "decisions", "action_items")
-    return rows.select("meeting_id", "transcript_text", F.to_json(body).alias("response"))
+def _json_text(c: Column) -> Column:
+    whole = F.to_json(F.array(c))
+    return whole.substr(F.lit(2), F.length(whole) - 2)
 
 
-@query(rf"""
-WITH {X.TEXTS}, {X.DECISIONS}, {X.ACTIONS},
-h AS (SELECT meeting_id, len(list_filter(string_split(transcript_text, chr(10)), lambda x: regexp_matches(x, '{_STRICT}'))) AS a, len(list_filter(string_split({_damaged("meeting_id", "transcript_text")}, chr(10)), lambda x: regexp_matches(x, '{_STRICT}'))) AS b FROM texts),
-d AS (SELECT meeting_id, count(*) AS decisions FROM decided WHERE decision <> '' GROUP BY meeting_id), k AS (SELECT meeting_id, count(*) AS action_items FROM actions GROUP BY meeting_id),
-j AS (SELECT *, CASE WHEN b < a THEN 'Cleaned transcript appears to be missing speaker labels or timestamp headers.' WHEN meeting_id % 5 = 0 THEN 'Meeting summary is missing a title.' END AS error FROM h JOIN d USING (meeting_id) JOIN k USING (meeting_id))
-SELECT meeting_id, error, CASE WHEN error IS NULL THEN concat('Meeting ', meeting_id) END AS title, CASE WHEN error IS NULL THEN 1 ELSE 0 END AS points,
-       CASE WHEN error IS NULL THEN decisions ELSE 0 END AS decisions, CASE WHEN error IS NULL THEN action_items ELSE 0 END AS action_items FROM j""")
+def _numbers(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _analysis_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-analysis answers over the meetings' own texts; half of them break one rule each."""
+    m = F.col("meeting_id")
+    k = m % 16
+    open_ = F.when((F.col("decision") == "") & (k != 8), F.concat(F.lit("left item "), F.col("ord").cast("string"), F.lit(" open"))).otherwise(F.col("decision"))
+    d = X.listed(X.decisions(spark, sf_dir).withColumn("decision", open_), "decisions")
+    a = X.listed(X.action_items(spark, sf_dir), "action_items")
+    rows = X.meeting_texts(spark, sf_dir).join(d, "meeting_id", "left").join(a, "meeting_id", "left")
+    changed = lambda name, field, value: F.transform(name, lambda x, i: x.withField(field, F.when((k == {"decisions": 6, "action_items": 7}[name]) & (i == 0), F.lit(value)).otherwise(x[field])))
+    lists = F.struct(changed("decisions", "confidence", "maybe").alias("decisions"), changed("action_items", "status", " ").alias("action_items"))
+    points = F.transform(_numbers(m % 9 + 1), lambda i: F.struct(F.when((k == 5) & (i == 1), F.lit(" ")).otherwise(F.concat(F.lit("Point "), i.cast("string"))).alias("point"), F.array(F.lit("Speaker 1"), F.lit(" ")).alias("speakers"), F.when(i % 2 == 0, F.concat(F.lit("00:0"), i.cast("string"))).alias("timestamp")))
+    topics = F.transform(_numbers(m % 11), lambda i: F.concat(F.lit("topic "), i.cast("string")))
+    title = F.when(k == 4, F.lit(" ")).otherwise(F.concat(F.lit("Meeting "), m.cast("string")))
+    summary = F.when(k == 2, F.lit('"oops"')).otherwise(F.to_json(F.struct(title.alias("title"), F.lit("Short.").alias("short_summary"), F.lit("The discussion focused on orders.").alias("detailed_summary"), topics.alias("topics_discussed"))))
+    cleaned = F.when(k == 1, F.replace("transcript_text", F.lit("Speaker 2 ["), F.lit("Talker 2 ["))).otherwise(F.col("transcript_text"))
+    inner = F.regexp_replace(F.to_json(lists), r"^\{|\}$", "")
+    body = F.concat(
+        F.lit('{"cleaned_transcript": '), _json_text(cleaned), F.lit(', "summary": '), summary, F.when(k == 3, F.lit(', "topics_discussed": "oops"')).otherwise(F.lit("")),
+        F.lit(', "key_discussion_points": '), F.to_json(points), F.when(inner != "", F.concat(F.lit(", "), inner)).otherwise(F.lit("")), F.lit("}"),
+    )
+    return rows.select("meeting_id", "transcript_text", F.when(k == 0, F.lit("not json")).otherwise(body).alias("response"))
+
+
+_ANALYSIS = rf"""
+{X.TEXTS}, {X.DECISIONS}, {X.ACTIONS},
+h AS (SELECT meeting_id, transcript_text, meeting_id % 16 AS k, len(list_filter(string_split(transcript_text, chr(10)), lambda x: regexp_matches(x, '{_STRICT}'))) AS a,
+        len(list_filter(string_split(CASE WHEN meeting_id % 16 = 1 THEN replace(transcript_text, 'Speaker 2 [', 'Talker 2 [') ELSE transcript_text END, chr(10)), lambda x: regexp_matches(x, '{_STRICT}'))) AS b FROM texts),
+said AS (SELECT meeting_id, ord, CASE WHEN decision = '' AND meeting_id % 16 <> 8 THEN concat('left item ', ord, ' open') ELSE decision END AS decision FROM decided),
+ds AS (SELECT meeting_id, list(decision ORDER BY ord) AS ds, list({X.PHRASE} ORDER BY ord) AS phrases FROM said GROUP BY meeting_id),
+ac AS (SELECT meeting_id, list({X.STEP} ORDER BY ord) AS steps, list_sort(list_distinct(list(owner) FILTER (owner IS NOT NULL))) AS owners,
+         list(concat(task, ' | ', coalesce(owner, 'Unassigned'), ' | ', coalesce(due_date, 'N/A'), ' | ', {{priority}}, ' | ', status) ORDER BY ord) AS rows FROM (SELECT *, lower(concat_ws(' ', task, coalesce(due_date, ''), status)) AS x FROM actions) GROUP BY meeting_id),
+j AS (SELECT *, CASE WHEN k = 0 THEN 'Meeting summary response is not valid JSON.' WHEN b < a THEN 'Cleaned transcript appears to be missing speaker labels or timestamp headers.'
+  WHEN k = 2 THEN 'Full analysis response must include a summary object.' WHEN k = 3 THEN 'topics_discussed must be a list.' WHEN k = 4 THEN 'Meeting summary is missing a title.'
+  WHEN meeting_id % 11 = 0 THEN 'Meeting summary is missing topics discussed.' WHEN k = 5 THEN 'Key discussion point 1 is missing point text.'
+  WHEN k = 6 AND ds IS NOT NULL THEN 'Decision 1 has invalid confidence ''maybe''; expected high, medium, or low.'
+  WHEN k = 8 AND list_contains(ds, '') THEN concat('Decision ', list_position(ds, ''), ' is missing decision text.')
+  WHEN k = 7 AND steps IS NOT NULL THEN 'Action item 1 is missing status.' END AS error
+  FROM h LEFT JOIN ds USING (meeting_id) LEFT JOIN ac USING (meeting_id))""".replace(
+    "{priority}", f"CASE WHEN regexp_matches(x, '{'|'.join(report.HIGH)}') THEN 'High' WHEN regexp_matches(x, '{'|'.join(report.MEDIUM)}') THEN 'Medium' ELSE 'Low' END"
+)
+
+
+@query(f"""WITH {_ANALYSIS}
+SELECT meeting_id, error, CASE WHEN error IS NULL THEN concat('Meeting ', meeting_id) END AS title, CASE WHEN error IS NULL THEN CAST(meeting_id % 9 + 1 AS INTEGER) ELSE 0 END AS points,
+       CASE WHEN error IS NULL THEN CAST(len(coalesce(ds, [])) AS INTEGER) ELSE 0 END AS decisions, CASE WHEN error IS NULL THEN CAST(len(coalesce(steps, [])) AS INTEGER) ELSE 0 END AS action_items FROM j""")
 def full_analysis_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _analysis_answers(spark, sf_dir).select("meeting_id", payload.parse_analysis(F.col("response"), F.col("transcript_text")).alias("r"))
     counts = metrics.list_counts(F.col("r.key_discussion_points"), F.col("r.decisions"), F.col("r.action_items"))
@@ -232,16 +266,205 @@ def full_analysis_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analyses that parse, written: reports use each field many times, and parse no answer twice."""
     r = _analysis_answers(spark, sf_dir).select("meeting_id", payload.parse_analysis(F.col("response"), F.col("transcript_text")).alias("r")).where("r.error is null")
-    return r.select("meeting_id", "r.cleaned_transcript", "r.summary", "r.key_discussion_points", "r.decisions", "r.action_items")
-
-
-@query()
+    return written(r.select("meeting_id", "r.cleaned_transcript", "r.summary", "r.key_discussion_points", "r.decisions", "r.action_items"), "analyses")
+
+
+_SENTENCE = "concat(upper(x[1]), x[2:], CASE WHEN right(x, 1) IN ('.', '?', '!') THEN '' ELSE '.' END)"
+_MODEL = rf"""{_ANALYSIS},
+t AS (SELECT *, regexp_extract_all(transcript_text, '{metrics.RANGE}', 1) AS f, regexp_extract_all(transcript_text, '{metrics.RANGE}', 2) AS l, len(list_distinct(regexp_extract_all(transcript_text, '(?m)^(Speaker\s+\S+)', 1))) AS n FROM j WHERE error IS NULL),
+t2 AS (SELECT *, CASE WHEN len(f) > 0 THEN {_SECONDS.format(x="f[1]")} END AS began, CASE WHEN len(l) > 0 THEN {_SECONDS.format(x="l[-1]")} END AS ended FROM t),
+model AS (SELECT meeting_id, transcript_text, concat('Meeting ', meeting_id) AS title, '2024-01-01' AS date, CASE WHEN ended > began THEN concat(greatest(1, CAST(round_even((ended - began) / 60, 0) AS BIGINT)), ' min') ELSE 'N/A' END AS duration,
+  CASE WHEN n > 0 THEN CAST(n AS VARCHAR) ELSE 'N/A' END AS speakers,
+  list_filter(['The meeting focused on orders.', CASE WHEN ds IS NOT NULL THEN concat('Key decisions included ', array_to_string(phrases[1:3], '; '), '.') END,
+    CASE WHEN steps IS NOT NULL THEN concat('Follow-up activities were assigned to ', CASE WHEN len(coalesce(owners, [])) > 0 THEN array_to_string(owners[1:4], ', ') ELSE 'the assigned owners' END, ', with progress to be tracked through the action items below.') END], lambda x: x IS NOT NULL) AS paras,
+  list_transform(range(1, least(meeting_id % 11, 8) + 1), lambda i: concat('topic ', i)) AS topics,
+  list_transform(range(1, least(meeting_id % 9 + 1, 6) + 1), lambda i: {{{{'point': concat('Point ', i), 'source': concat('Timestamp: ', CASE WHEN i % 2 = 0 THEN concat('00:0', i) ELSE 'N/A' END, ' | Speaker(s): Speaker 1')}}}}) AS points,
+  list_transform(coalesce(ds, []), lambda x: {_SENTENCE}) AS sentences, coalesce(rows, []) AS rows,
+  CASE WHEN steps IS NULL AND ds IS NULL THEN ['{report.NO_STEPS}'] ELSE list_concat(coalesce(steps, []), list_transform(coalesce(phrases, [])[1:3], lambda x: concat('Team will proceed in line with: ', x, '.'))) END AS next
+  FROM t2)""".replace("{{", "{").replace("}}", "}")
+
+
+@query(rf"""WITH {_MODEL}
+SELECT meeting_id, array_to_string(list_concat([title, concat('Date: ', date), concat('Duration: ', duration), concat('Speakers: ', speakers), '', 'EXECUTIVE SUMMARY'], paras, ['', 'TOPICS'], list_transform(topics, lambda x: concat('- ', x)),
+  ['', 'KEY POINTS'], list_transform(points, lambda x: concat('- ', x.point, ' (', x.source, ')')), ['', 'DECISIONS'], list_transform(sentences, lambda x, i: concat(i, '. ', x)), ['', 'ACTION ITEMS'], rows, ['', 'NEXT STEPS'], list_transform(next, lambda x: concat('- ', x))), chr(10)) AS minutes FROM model""")
 def minutes_of_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain-text minutes of every meeting that parses."""
     return report.minutes_text(report.report_model(_analyses(spark, sf_dir), today=F.lit("2024-01-01")))
 
 
+def _pieces(documents: DataFrame) -> DataFrame:
+    """A row per document piece, table cells joined."""
+    rows = documents.select("meeting_id", F.posexplode("parts").alias("ord", "p"))
+    return rows.select("meeting_id", F.col("ord").cast("long").alias("ord"), F.col("p.kind").alias("kind"), F.coalesce("p.text", F.array_join("p.cells", " | ")).alias("text"))
+
+
+_EACH = "list_transform({1}, lambda x: {{'kind': '{0}', 'text': x}})"
+_ONE = "[{{'kind': '{0}', 'text': {1}}}]"
+
+
+def _document_sql(flavor: str) -> str:
+    each, one = (lambda k, x: _EACH.format(k, x)), (lambda k, x: _ONE.format(k, x))
+    rule = [one("rule", "NULL")] if flavor == "docx" else []
+    head = lambda t: one("heading", f"'{t}'")
+    none = f"len(rows) = 0 AND len(sentences) = 0" if flavor == "docx" else "len(rows) = 0"
+    steps = f"CASE WHEN {none} THEN {one('paragraph', chr(39) + report.NO_STEPS + chr(39))} ELSE {each('bullet', 'next')} END"
+    parts = [
+        one("title", "'MINUTES OF MEETING'"), *rule, one("strong", "title"), head("Meeting Information"), each("row", "[concat('Date | ', date), concat('Duration | ', duration), concat('Speakers Detected | ', speakers), 'Generated By | confab']"),
+        head("EXECUTIVE SUMMARY"), each("paragraph", "paras"), head("TOPICS DISCUSSED"), each("bullet", "topics"), head("KEY DISCUSSION POINTS"),
+        "flatten(list_transform(points, lambda x: [{'kind': 'bullet', 'text': x.point}, {'kind': 'note', 'text': x.source}]))",
+        head("DECISIONS TAKEN"), f"CASE WHEN len(sentences) > 0 THEN {each('numbered', 'sentences')} ELSE {one('paragraph', chr(39) + report.NO_DECISIONS + chr(39))} END",
+        head("ACTION ITEMS"), f"CASE WHEN len(rows) > 0 THEN list_concat({one('columns', chr(39) + ' | '.join(report.COLUMNS) + chr(39))}, {each('row', 'rows')}) ELSE {one('paragraph', chr(39) + report.NO_ACTIONS + chr(39))} END",
+        head("NEXT STEPS"), steps, *rule, one("end", "'Generated by confab'"),
+    ]
+    return f"""WITH {_MODEL}, d AS (SELECT meeting_id, list_concat({', '.join(parts)}) AS parts FROM model)
+SELECT meeting_id, CAST(i - 1 AS BIGINT) AS ord, parts[i].kind AS kind, CASE WHEN parts[i].kind = 'rule' THEN NULL ELSE parts[i].text END AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM d)"""
+
+
+@query(_document_sql("docx"))
+def minutes_document_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of the minutes, as the DOCX sink writes them."""
+    return _pieces(report.minutes_document(report.report_model(_analyses(spark, sf_dir), today=F.lit("2024-01-01"))))
+
+
+@query(_document_sql("pdf"))
+def minutes_document_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of the minutes, as the PDF sink writes them."""
+    return _pieces(report.minutes_document(report.report_model(_analyses(spark, sf_dir), "pdf", today=F.lit("2024-01-01")), "pdf"))
+
+
+def _transcript_sql(flavor: str) -> str:
+    strong, body = _ONE.format("strong", "y.header"), _ONE.format("paragraph", "y.body")
+    lines = "list_transform(string_split(trim(x, concat(' ', chr(10))), chr(10)), lambda l: trim(l))"
+    text = f"trim(array_to_string({lines}[2:], chr(10)), concat(' ', chr(10)))" if flavor == "docx" else f"array_to_string(list_filter({lines}[2:], lambda l: l <> ''), ' ')"
+    return rf"""
+WITH {X.TEXTS}, b AS (SELECT meeting_id, list_transform(list_filter(string_split_regex(trim(transcript_text, concat(' ', chr(10))), '\n\s*\n'), lambda x: trim(x, concat(' ', chr(10))) <> ''), lambda x: {{'header': {lines}[1], 'body': {text}}}) AS b FROM texts),
+d AS (SELECT meeting_id, list_concat([{{'kind': 'title', 'text': CASE WHEN meeting_id % 4 = 0 THEN '{report.TRANSCRIPT_TITLES[flavor]}' ELSE concat('Meeting ', meeting_id) END}}, {{'kind': 'note', 'text': 'Transcript Report'}}],
+  CASE WHEN meeting_id % 3 = 0 THEN [{{'kind': 'paragraph', 'text': concat('Source Audio File: ', meeting_id, '.wav')}}] ELSE [] END, [{{'kind': 'heading', 'text': 'Cleaned Transcript'}}],
+  flatten(list_transform(b, lambda y: CASE WHEN y.body <> '' THEN list_concat({strong}, {body}) ELSE {strong} END))) AS parts FROM b)
+SELECT meeting_id, CAST(i - 1 AS BIGINT) AS ord, parts[i].kind AS kind, parts[i].text AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM d)"""
+
+
+def _transcript_reports(spark: SparkSession, sf_dir: str, flavor: str) -> DataFrame:
+    m = F.col("meeting_id")
+    title = F.when(m % 4 == 0, F.lit(" ")).otherwise(F.concat(F.lit("Meeting "), m.cast("string")))
+    info = F.create_map(F.lit("Source File"), F.when(m % 3 == 0, F.concat(m.cast("string"), F.lit(".wav"))).otherwise(F.lit("")))
+    rows = X.meeting_texts(spark, sf_dir).select("meeting_id", F.col("transcript_text").alias("cleaned_transcript"), F.struct(title.alias("title")).alias("summary"), info.alias("info"))
+    return _pieces(report.transcript_document(rows, flavor, "info"))
+
+
+@query(_transcript_sql("docx"))
+def transcript_report_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _transcript_reports(spark, sf_dir, "docx")
+
+
+@query(_transcript_sql("pdf"))
+def transcript_report_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _transcript_reports(spark, sf_dir, "pdf")
+
+
+@query("""SELECT conv_id, turn, CASE conv_id % 9 WHEN 0 THEN 'Meeting summary response is empty.' WHEN 1 THEN 'Meeting summary response is not valid JSON.' WHEN 2 THEN 'Meeting summary response must be an object.' WHEN 3 THEN 'topics_discussed must be a list.'
+  WHEN 4 THEN 'Meeting summary is missing a title.' WHEN 5 THEN 'Meeting summary is missing a short summary.' WHEN 6 THEN 'Meeting summary is missing a detailed summary.' WHEN 7 THEN 'Meeting summary is missing topics discussed.' END AS error,
+  CASE WHEN conv_id % 9 = 8 THEN concat('T', turn) END AS title, CASE WHEN conv_id % 9 = 8 THEN trim(text, concat(' ', chr(10))) END AS detailed, CASE WHEN conv_id % 9 = 8 THEN 'None, 7, a' END AS topics FROM conversations""")
+def summary_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary answers, one in nine whole, the others with one fault each."""
+    k = F.col("conv_id") % 9
+    some = lambda n, c: F.when(k == n, F.lit('" "')).otherwise(c)
+    topics = F.when(k == 3, F.lit('"a"')).when(k == 7, F.lit('[" "]')).otherwise(F.lit('[null, " ", 7, " a "]'))
+    whole = F.concat(F.lit('{"title": '), some(4, _json_text(F.concat(F.lit("T"), F.col("turn").cast("string")))), F.lit(', "short_summary": '), some(5, F.lit('"s"')), F.lit(', "detailed_summary": '), some(6, _json_text(F.col("text"))), F.lit(', "topics_discussed": '), topics, F.lit("}"))
+    answer = F.when(k == 0, F.lit(" ")).when(k == 1, F.lit("{oops")).when(k == 2, F.concat(F.lit("["), whole, F.lit("]"))).otherwise(F.concat(F.lit("```json\n"), whole, F.lit("\n```")))
+    r = X.table(spark, sf_dir, "conversations").select("conv_id", "turn", payload.parse_summary(answer).alias("r"))
+    return r.select("conv_id", "turn", "r.error", F.col("r.summary.title").alias("title"), F.col("r.summary.detailed_summary").alias("detailed"), F.array_join("r.summary.topics_discussed", ", ").alias("topics"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Action item 1 is missing task.' WHEN 1 THEN 'Action item 2 is missing status.' WHEN 2 THEN 'Action item 2 must be a JSON object.' END AS action_error,
+  CASE doc_id % 6 WHEN 0 THEN 'Key discussion point 1 speakers must be a list.' WHEN 1 THEN 'Key discussion point 1 is missing speakers.' WHEN 2 THEN 'Key discussion point 2 is missing point text.' WHEN 3 THEN 'Key discussion point response must include a key_discussion_points list.' END AS point_error,
+  CASE doc_id % 6 WHEN 0 THEN 'Decision 1 is missing decision text.' WHEN 1 THEN 'Decision 1 is missing confidence.' WHEN 2 THEN concat('Decision 2 has invalid confidence ''', 'sure', '''; expected high, medium, or low.') END AS decision_error,
+  CASE doc_id % 6 WHEN 0 THEN 'Cleanup response is empty.' WHEN 1 THEN 'Cleanup response must be an object.' WHEN 2 THEN 'Cleaned transcript is empty.' WHEN 3 THEN 'Cleaned transcript appears to be missing speaker labels or timestamp headers.' END AS cleanup_error FROM labels""")
+def answer_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fault of list items and of the cleanup answer, in the order of the checks."""
+    k = F.col("doc_id") % 6
+    pick = lambda *texts: F.element_at(F.array(*map(F.lit, texts)), (k + 1).cast("int"))
+    good = '{"task": "t", "status": "open"}'
+    actions = pick(f'[{{"task": " ", "status": ""}}, {good}]', f'[{good}, {{"task": "t"}}]', f"[{good}, 7]", f"[{good}]", "[]", f"[{good}, {good}]")
+    point = '{"point": "p", "speakers": ["a"]}'
+    points = pick('[{"point": "p", "speakers": "a"}]', '[{"point": "p"}]', f'[{point}, {{"speakers": ["a"]}}]', '"x"', "[]", f"[{point}]")
+    said = '{"decision": "d", "confidence": " HIGH "}'
+    decided = pick('[{"decision": "", "confidence": "odd"}]', '[{"decision": "d"}]', f'[{said}, {{"decision": "d", "confidence": "Sure"}}]', "[]", f"[{said}]", f"[{said}, {said}]")
+    cleanup = pick("``` ", "[1]", '{"cleaned_transcript": " "}', "no header", '{"cleaned_transcript": "Speaker 1:\\nhello"}', "Speaker 2 [00:01 - 00:02]\nhello")
+    of = lambda key, items: F.concat(F.lit(f'{{"{key}": '), items, F.lit("}"))
+    empty = F.when(k == 0, F.lit("")).otherwise(cleanup)
+    return X.table(spark, sf_dir, "labels").select(
+        "doc_id", payload.parse_items(of("action_items", actions), payload.ACTIONS)["error"].alias("action_error"), payload.parse_items(of("key_discussion_points", points), payload.POINTS)["error"].alias("point_error"),
+        payload.parse_items(of("decisions", decided), payload.DECISIONS)["error"].alias("decision_error"), payload.parse_cleanup(empty, F.lit("Speaker 1:\nhi"))["error"].alias("cleanup_error"),
+    )
+
+
+@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN concat('file ', conv_id, ' is damaged') WHEN 1 THEN 'Unknown batch job failure.' END AS batch_error,
+  CASE turn % 7 WHEN 0 THEN 'Transcription result must be an object.' WHEN 1 THEN 'Transcript must be a string.' WHEN 2 THEN 'Segments must be a list.' WHEN 3 THEN 'Segment 2 must be an object.' WHEN 4 THEN 'Transcription result contains no transcript text or segments.' END AS result_error,
+  CASE turn % 3 WHEN 0 THEN 'Payload is not valid JSON.' WHEN 1 THEN 'Speech to text returned an empty transcript.' END AS payload_error,
+  CASE WHEN turn % 3 = 2 THEN concat(trim(text, concat(' ', chr(10))), ' again') ELSE '' END AS plain FROM conversations""")
+def speech_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed batch jobs, results of a wrong shape, payloads without text, and texts made of segments."""
+    t, body = F.col("turn"), _json_text(F.col("text"))
+    job = F.when(t % 4 == 0, F.concat(F.lit('{"job_state": "Failed", "failed": [{"error_message": "file '), F.col("conv_id").cast("string"), F.lit(' is damaged"}, {"error_message": "other"}]}'))).when(t % 4 == 1, F.lit('{"job_state": "FAILED", "failed": []}')).otherwise(F.lit('{"job_state": "Completed"}'))
+    r = t % 7
+    result = (
+        F.when(r == 0, F.lit("[]")).when(r == 1, F.lit('{"transcript": 7, "segments": []}')).when(r == 2, F.concat(F.lit('{"transcript": '), body, F.lit("}"))).when(r == 3, F.lit('{"transcript": "", "segments": [{}, 7]}'))
+        .when(r == 4, F.lit('{"transcript": " ", "segments": []}')).when(r == 5, F.lit('{"transcript": "", "segments": [{}]}')).otherwise(F.concat(F.lit('{"transcript": '), body, F.lit(', "segments": []}')))
+    )
+    speech = F.when(t % 3 == 0, F.lit("oops")).when(t % 3 == 1, F.lit('{"transcript": " "}')).otherwise(F.concat(F.lit('{"diarized_transcript": {"entries": [{"transcript": '), body, F.lit('}, 7, {"transcript": "again"}]}}')))
+    p = payload.parse_speech(speech)
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", payload.batch_failure(job).alias("batch_error"), payload.speech_result_error(result).alias("result_error"), p["error"].alias("payload_error"), p["transcript"].alias("plain"))
+
+
+@query("""SELECT event_id, printf('%02d:%02d.%03d', CAST(round_even(value * 1000, 0) AS BIGINT) // 60000, CAST(round_even(value * 1000, 0) AS BIGINT) // 1000 % 60, CAST(round_even(value * 1000, 0) AS BIGINT) % 1000) AS clock_ms,
+  CAST(CASE WHEN event_id % 10 > 2 THEN 0 WHEN event_id % 10 = 0 THEN 2 WHEN event_id % 10 = 1 THEN 5 ELSE 10 END AS DOUBLE) AS delay, printf('%.2f MB', round_even(event_id * 1000 / 1048576, 2)) AS size,
+  CASE event_id % 4 WHEN 0 THEN 'mp3' WHEN 1 THEN 'wav' WHEN 2 THEN 'ogg' ELSE '' END AS kind,
+  CASE WHEN event_id % 5 = 0 THEN 'The audio file is empty.' WHEN event_id % 4 = 2 THEN 'Unsupported audio format ''.ogg''. Supported formats: .aac, .m4a, .mp3, .mp4, .wav.' WHEN event_id % 4 = 3 THEN 'Unsupported audio format ''unknown''. Supported formats: .aac, .m4a, .mp3, .mp4, .wav.' END AS audio_error,
+  CASE WHEN event_id % 2 = 0 THEN concat('/given/', event_id) ELSE concat('/out/minutes_of_meeting_20240102_030405_', event_id, '.docx') END AS path,
+  concat('Upload: ', event_type, CASE WHEN event_id % 2 = 0 THEN concat(' (user=''', user_id, ''')') ELSE '' END) AS log FROM events""")
+def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clocks with milliseconds, waits, sizes, kinds, audio checks, output paths and log lines."""
+    e = F.col("event_id")
+    name = F.concat(F.lit("/a.b/file"), e.cast("string"), F.element_at(F.array(*map(F.lit, (".MP3", ".wav", ".tar.ogg", ""))), (e % 4 + 1).cast("int")))
+    size = F.when(e % 5 == 0, 0).otherwise(e)
+    path = output_path(F.lit("/out"), "minutes_of_meeting", F.lit("2024-01-02 03:04:05").cast("timestamp"), e, "docx", F.when(e % 2 == 0, F.concat(F.lit("/given/"), e.cast("string"))).otherwise(F.lit("")))
+    details = F.when(e % 2 == 0, F.create_map(F.lit("user"), F.col("user_id").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    return X.table(spark, sf_dir, "events").select(
+        "event_id", clock.format_clock_ms(F.col("value")).alias("clock_ms"), F.coalesce(clock.retry_delay((e % 10 + 1).cast("int")).cast("double"), F.lit(0.0)).alias("delay"), text.size_label(e * 1000).alias("size"),
+        text.suffix(name).alias("kind"), audio_error(name, size).alias("audio_error"), path.alias("path"), text.log_line(F.lit("Upload"), F.col("event_type"), details).alias("log"),
+    )
+
+
+@query(f"""WITH {X.LABELLED}, n AS (SELECT meeting_id, CAST(count(DISTINCT label) AS INTEGER) AS speakers FROM labelled GROUP BY meeting_id)
+SELECT l.meeting_id, seg_no, CASE WHEN seg_no % 2 = 0 THEN speakers WHEN seg_no % 4 = 1 THEN 1 ELSE 0 END AS speakers, CASE WHEN label LIKE '%2' THEN 2 WHEN label LIKE '%3' THEN 3 ELSE 1 END AS colour,
+  CASE WHEN speaker_id = '0' THEN 'Speaker 1' WHEN speaker_id = '1' THEN 'Speaker 2' WHEN speaker_id IS NULL THEN 'Speaker Speaker 9' ELSE concat('Speaker ', speaker_id) END AS old_label,
+  concat_ws(' | ', coalesce(nullif(start_clock, '--:--'), '--:--'), transcript, CASE WHEN seg_no % 3 = 0 THEN 'N/A' ELSE label END) AS card,
+  concat('[', CASE WHEN start_s IS NULL THEN 'N/A' ELSE start_clock END, '] ', transcript, ' (', CASE WHEN seg_no % 3 = 0 THEN 'N/A' ELSE label END, ')') AS verbose FROM labelled l JOIN n USING (meeting_id)""")
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages and the long report show of each segment, and the speakers of nested meetings."""
+    s = X.segments(spark, sf_dir)
+    nested = s.groupBy("meeting_id").agg(F.collect_list(F.struct("speaker_id", "seg_no")).alias("all"))  # a meeting's segments
+    n, label = F.col("seg_no"), segments.speaker_label(F.col("speaker_id"))
+    one = F.struct(F.when(F.col("start_s").isNotNull(), clock.format_clock(F.col("start_s"))).alias("timestamp"), F.col("transcript").alias("point"), F.when(n % 3 != 0, F.array(label)).otherwise(F.array().cast("array<string>")).alias("speakers"))
+    rows = s.join(nested, "meeting_id").select("*", one.alias("p"))
+    none = F.array().cast(rows.schema["all"].dataType)
+    speakers = metrics.speakers_of(F.when(n % 2 == 0, F.col("all")).otherwise(none), F.when(n % 4 == 1, F.col("transcript")).otherwise(F.lit(" ")))
+    verbose = F.element_at(report.verbose_lines(F.array("p"), F.array().cast("array<struct<timestamp:string,decision:string,owner:string,confidence:string>>"))[0], 1)
+    old = segments.speaker_label_plain(F.coalesce("speaker_id", F.lit("Speaker 9")))
+    return rows.select("meeting_id", "seg_no", speakers.cast("int").alias("speakers"), metrics.colour_of_label(label).alias("colour"), old.alias("old_label"), report.card_point(F.col("p")).alias("card"), verbose.alias("verbose"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN 'None of it.' ELSE concat(['The meeting addressed', 'The meeting addressed', 'The meeting focused on', 'The meeting focused on', 'Participants reviewed'][doc_id % 6 + 1], ' ', text) END AS clean,
+  to_json({'doc_id': doc_id, 'none': NULL::VARCHAR}) AS json FROM documents""")
+def phrases_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stock phrases before every text, and rows serialised with their nulls."""
+    raw = F.when(F.col("doc_id") % 6 == 5, F.lit("None of it.")).otherwise(F.concat(F.try_element_at(F.array(*map(F.lit, text.PHRASES)), (F.col("doc_id") % 6 + 1).cast("int")), F.lit(" "), F.col("text")))
+    return X.table(spark, sf_dir, "documents").select("doc_id", text.sanitise(raw).alias("clean"), analysis_json(F.struct("doc_id", F.lit(None).cast("string").alias("none"))).alias("json"))
+
+
 @query(f"""WITH {X.ACTIONS}, t AS (SELECT *, lower(concat_ws(' ', task, coalesce(due_date, ''), status)) AS x FROM actions)
 SELECT meeting_id, ord, coalesce(owner, 'Unassigned') AS owner, coalesce(due_date, 'N/A') AS due_date, CASE WHEN regexp_matches(x, '{"|".join(report.HIGH)}') THEN 'High' WHEN regexp_matches(x, '{"|".join(report.MEDIUM)}') THEN 'Medium' ELSE 'Low' END AS priority FROM t""")
 def action_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,14 +474,14 @@ def action_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, d = X.listed(X.action_items(spark, sf_dir), "actions"), X.listed(X.decisions(spark, sf_dir), "decided")
-    j = a.where("meeting_id % 10 <> 3").join(d.where("meeting_id % 10 <> 4"), "meeting_id", "full")
+    j = a.join(d, "meeting_id", "full")
     empty = lambda c: F.coalesce(c, F.array().cast(j.schema[c].dataType)).alias(c)
     return j.select("meeting_id", empty("actions"), empty("decided"))
 
 
 _LISTS = f"""{X.ACTIONS}, {X.DECISIONS},
-la AS (SELECT meeting_id, list({X.STEP} ORDER BY ord) AS steps, list_sort(list_distinct(list(owner) FILTER (owner IS NOT NULL))) AS owners FROM actions WHERE meeting_id % 10 <> 3 GROUP BY meeting_id),
-ld AS (SELECT meeting_id, list_filter(list({X.PHRASE} ORDER BY ord)[1:3], lambda x: x <> '') AS phrases FROM decided WHERE meeting_id % 10 <> 4 GROUP BY meeting_id),
+la AS (SELECT meeting_id, list({X.STEP} ORDER BY ord) AS steps, list_sort(list_distinct(list(owner) FILTER (owner IS NOT NULL))) AS owners FROM actions GROUP BY meeting_id),
+ld AS (SELECT meeting_id, list_filter(list({X.PHRASE} ORDER BY ord)[1:3], lambda x: x <> '') AS phrases FROM decided GROUP BY meeting_id),
 j AS (SELECT meeting_id, steps, owners, phrases FROM la FULL JOIN ld USING (meeting_id))"""
 _STEPS = "array_to_string(list_concat(coalesce(steps, []), list_transform(coalesce(phrases, []), lambda x: concat('Team will proceed in line with: ', x, '.'))), chr(10))"
 

@@ -1,8 +1,11 @@
-"""Deterministic meetings derived from the supplied tables, in Spark and in DuckDB SQL."""
+"""Deterministic meetings derived from the supplied tables, in Spark and in DuckDB SQL.
+
+All rows are used; the number of meetings grows with the tables, so that each has a few items.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from confab.operators.segments import transcripts
@@ -22,14 +25,20 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def action_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 25 = 0 or o_orderkey < 300")
+    o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     verb = F.when(key % 2 == 1, F.lit("Ship")).otherwise(F.lit("Review"))
     tail = F.when(key % 3 == 0, "...").when(key % 3 == 1, ".").otherwise("")
     due = F.when(F.col("o_orderpriority") == "1-URGENT", "today").when(F.col("o_orderpriority") == "2-HIGH", "Friday").when(F.col("o_orderpriority") == "3-MEDIUM", "n/a")
     status = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "done").otherwise("Blocked")
     owner = F.when(F.col("o_custkey") % 5 != 0, F.concat(F.lit("Owner "), (F.col("o_custkey") % 17).cast("string")))
-    return o.select((key % 100).alias("meeting_id"), key.alias("ord"), F.concat(verb, F.lit(" order "), key.cast("string"), tail).alias("task"), owner.alias("owner"), due.alias("due_date"), F.lit(None).cast("string").alias("timestamp"), status.alias("status"))
+    return o.select(F.floor(key / 40).alias("meeting_id"), key.alias("ord"), F.concat(verb, F.lit(" order "), key.cast("string"), tail).alias("task"), owner.alias("owner"), due.alias("due_date"), F.lit(None).cast("string").alias("timestamp"), status.alias("status"))
+
+
+def decided_in(doc: Column) -> Column:
+    """The meeting of a decision: ten in a row; some meetings have decisions alone."""
+    m = F.floor(doc / 10)
+    return F.when(m % 10 == 3, -m).otherwise(m)
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +46,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id").cast("string")
     text = F.when(F.col("doc_id") % 11 == 0, F.lit("")).when(F.col("quality") == 1, F.concat(F.lit("they talked about item "), n)).otherwise(F.concat(F.lit("approved item "), n, F.lit("!")))
     confidence = F.when(F.col("toxic") == 1, "low").when(F.col("quality") == 1, "HIGH ").otherwise("medium")
-    return d.select((F.col("doc_id") % 100).alias("meeting_id"), F.col("doc_id").alias("ord"), text.alias("decision"), F.lit(None).cast("string").alias("owner"), F.lit(None).cast("string").alias("timestamp"), confidence.alias("confidence"))
+    return d.select(decided_in(F.col("doc_id")).alias("meeting_id"), F.col("doc_id").alias("ord"), text.alias("decision"), F.lit(None).cast("string").alias("owner"), F.lit(None).cast("string").alias("timestamp"), confidence.alias("confidence"))
 
 
 def listed(rows: DataFrame, name: str) -> DataFrame:
@@ -51,7 +60,7 @@ def responses(items: DataFrame, key: str) -> DataFrame:
     """Model answers in six shapes, whole and broken, from items with a JSON text ``item``."""
     rows = items.groupBy("meeting_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "item"))), lambda e: e["item"]), ", ").alias("body"))
     whole = F.concat(F.lit(f'{{"{key}": ['), F.col("body"), F.lit("]}"))
-    k = F.col("meeting_id") % 6
+    k = F.abs("meeting_id") % 6
     text = (
         F.when(k == 0, whole).when(k == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(k == 2, F.concat(F.lit("["), F.col("body"), F.lit("]")))
         .when(k == 3, F.lit("not json")).when(k == 4, F.lit(f'{{"{key}": "oops"}}')).otherwise(F.concat(F.lit(f'{{"{key}": ['), F.col("body"), F.lit(", 7]}")))
@@ -92,15 +101,15 @@ LABELLED = f"{SEGMENTS}, labelled AS (SELECT *, {LABEL} AS label, {clock_sql('st
 TEXTS = f"{LABELLED}, texts AS (SELECT meeting_id, string_agg(concat(label, ' [', start_clock, ' - ', end_clock, ']', chr(10), transcript), chr(10) || chr(10) ORDER BY seg_no) AS transcript_text FROM labelled GROUP BY meeting_id)"
 ACTIONS = """
 actions AS (
-  SELECT o_orderkey % 100 AS meeting_id, o_orderkey AS ord,
+  SELECT o_orderkey // 40 AS meeting_id, o_orderkey AS ord,
          concat(CASE WHEN o_orderkey % 2 = 1 THEN 'Ship' ELSE 'Review' END, ' order ', o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '...' WHEN 1 THEN '.' ELSE '' END) AS task,
          CASE WHEN o_custkey % 5 <> 0 THEN concat('Owner ', o_custkey % 17) END AS owner,
          CASE o_orderpriority WHEN '1-URGENT' THEN 'today' WHEN '2-HIGH' THEN 'Friday' WHEN '3-MEDIUM' THEN 'n/a' END AS due_date,
          CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' ELSE 'Blocked' END AS status
-  FROM orders WHERE o_orderkey % 25 = 0 OR o_orderkey < 300)"""
+  FROM orders)"""
 DECISIONS = """
 decided AS (
-  SELECT doc_id % 100 AS meeting_id, doc_id AS ord,
+  SELECT CASE WHEN doc_id // 10 % 10 = 3 THEN -(doc_id // 10) ELSE doc_id // 10 END AS meeting_id, doc_id AS ord,
          CASE WHEN doc_id % 11 = 0 THEN '' WHEN quality = 1 THEN concat('they talked about item ', doc_id) ELSE concat('approved item ', doc_id, '!') END AS decision,
          CASE WHEN toxic = 1 THEN 'low' WHEN quality = 1 THEN 'HIGH ' ELSE 'medium' END AS confidence FROM labels)"""
 #: The phrase of a decision without its closing full stop (no stock phrase occurs in these rows in its exact case).

@@ -5,16 +5,21 @@ from __future__ import annotations
 import io
 import os
 import zipfile
+from collections.abc import Callable
+from typing import Protocol
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confab.functions.payload import parse_speech
+from confab.functions.payload import batch_failure, parse_speech
 from confab.functions.text import normalise, suffix
 from confab.operators.segments import parse_segments, plain_transcript
+from confab.sources.tables import written
 
 TRANSCRIPT_SUFFIXES = ("docx", "pdf", "txt")
+#: Clips below this go the direct way.
+SHORT_SECONDS = 30.0
 AUDIO_SUFFIXES = ("aac", "m4a", "mp3", "mp4", "wav")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -96,31 +101,120 @@ def transcripts_of_files(files: DataFrame) -> DataFrame:
 
 
 def audio_files(files: DataFrame) -> DataFrame:
-    """Audio rows with ``kind`` and ``error`` for unsupported or empty ones."""
+    """Audio rows with ``kind`` and ``error`` for empty or unsupported ones."""
     kind = suffix(F.col("path"))
-    error = F.when(~kind.isin(*AUDIO_SUFFIXES), F.lit("Unsupported audio format. Supported formats: " + ", ".join(AUDIO_SUFFIXES))).when(F.col("length") == 0, F.lit("The audio file is empty."))
-    return files.select("*", kind.alias("kind"), error.alias("error"))
+    return files.select("*", kind.alias("kind"), audio_error(F.col("path"), F.col("length")).alias("error"))
 
 
-def wav_seconds(content: Column) -> Column:
-    """Duration from a canonical RIFF header (44 bytes): data bytes over bytes a second; null if it is none."""
-    number = lambda at, n: _little(content, at, n)
-    good = (F.substring(content, 1, 4) == F.encode(F.lit("RIFF"), "UTF-8")) & (F.substring(content, 37, 4) == F.encode(F.lit("data"), "UTF-8"))
-    return F.when(good & (number(29, 4) > 0), number(41, 4) / number(29, 4))
+def audio_error(path: Column, length: Column) -> Column:
+    """Why a file is no audio source; null if it is one."""
+    kind = suffix(path)
+    known = ", ".join(f".{s}" for s in sorted(AUDIO_SUFFIXES))
+    shown = F.when(kind != "", F.concat(F.lit("."), kind)).otherwise(F.lit("unknown"))
+    return F.when(F.coalesce(length, F.lit(0)) == 0, F.lit("The audio file is empty.")).when(~kind.isin(*AUDIO_SUFFIXES), F.concat(F.lit("Unsupported audio format '"), shown, F.lit(f"'. Supported formats: {known}.")))
 
 
-def _little(content: Column, at: int, n: int) -> Column:
-    """A little-endian number of ``n`` bytes from place ``at`` (1-based)."""
-    byte = lambda k: F.conv(F.hex(F.substring(content, at + k, 1)), 16, 10).cast("long")
-    total = byte(0)
-    for k in range(1, n):
-        total = total + byte(k) * (1 << 8 * k)
-    return total
+class Converter(Protocol):
+    """Turns audio of any supported kind into WAV (16-bit PCM, first audio stream)."""
+
+    def to_wav(self, data: bytes, kind: str) -> bytes: ...
+
+
+def converted(files: DataFrame, factory: Callable[[], Converter]) -> DataFrame:
+    """(``path``, ``wav``, ``error``) of audio files, by a converter made once a partition; nothing is converted twice."""
+    src = audio_files(files).select("path", "kind", "content", "error")
+
+    def run(batches):
+        import pyarrow as pa
+
+        tool = None
+        for b in batches:
+            paths, out = b.column(0).to_pylist(), []
+            for kind, content, error in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
+                wav = None
+                if error is None:
+                    try:
+                        tool = tool or factory()
+                        wav = tool.to_wav(content, kind) or None
+                        error = None if wav else "The converted audio file is empty."
+                    except Exception as e:  # noqa: BLE001  a damaged file is that row's error
+                        error = f"The audio could not be converted: {e}"
+                out.append((wav, error))
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array([w for w, _ in out], pa.binary()), pa.array([e for _, e in out], pa.string())], ["path", "wav", "error"])
+
+    return written(src.mapInArrow(run, "path string, wav binary, error string"), "wav")
+
+
+class SpeechBackend(Protocol):
+    """A speech-to-text service: JSON payload of one clip, or of a batch job's file."""
+
+    def realtime(self, wav: bytes) -> str: ...
+
+    def batch(self, wav: bytes, diarize: bool, speakers: int | None) -> str: ...
+
+
+def transcribed(clips: DataFrame, factory: Callable[[], SpeechBackend], diarize: bool = False, speakers: int | None = None) -> DataFrame:
+    """(``path``, ``transcript``, ``language_code``, ``segments``, ``error``) of (``path``, ``wav``) rows.
+
+    Short clips without diarization go the direct way, others as batch jobs; a failed job's
+    first message is the error.  Each clip is sent once.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        service = None
+        for b in batches:
+            out = []
+            for path, wav in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    seconds, error = wav_header(wav or b"")
+                    service = service or factory()
+                    short = error is None and seconds < SHORT_SECONDS and not diarize
+                    out.append((path, None if error else service.realtime(wav) if short else service.batch(wav, diarize, speakers), error))
+                except Exception as e:  # noqa: BLE001  one clip's failure is that row's error
+                    out.append((path, None, f"Speech to text failed: {e}"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)] if out else [pa.array([], pa.string())] * 3, ["path", "payload", "failed"])
+
+    rows = written(clips.select("path", "wav").mapInArrow(run, "path string, payload string, failed string"), "speech")
+    got = rows.select("path", F.coalesce("failed", batch_failure(F.col("payload"))).alias("failed"), parse_speech(F.col("payload")).alias("r"))
+    field = lambda name: F.when(F.col("failed").isNull(), F.col(f"r.{name}")).alias(name)
+    return got.select("path", *map(field, ("transcript", "language_code", "segments")), F.coalesce("failed", "r.error").alias("error"))
+
+
+def wav_header(data: bytes) -> tuple[float | None, str | None]:
+    """(seconds, error): frames over rate, from the chunks of a RIFF file in whatever order."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        return None, "Not a WAV file."
+    at, rate, block = 12, None, None
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        if name == b"fmt ":
+            rate, block = int.from_bytes(data[at + 12 : at + 16], "little"), int.from_bytes(data[at + 20 : at + 22], "little")
+        if name == b"data":
+            if not rate or not block:
+                return None, "The WAV file has an invalid sample rate."
+            return min(size, len(data) - at - 8) // block / rate, None
+        at += 8 + size + size % 2
+    return None, "The WAV file has no audio data."
+
+
+def wav_seconds(files: DataFrame) -> DataFrame:
+    """(``path``, ``seconds``, ``error``) of files with ``content``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = [wav_header(x or b"") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.string())], ["path", "seconds", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, seconds double, error string")
 
 
 def route(seconds: Column, diarize: Column) -> Column:
     """``realtime`` for short clips without diarization, else ``batch``."""
-    return F.when((seconds < 30.0) & ~diarize, F.lit("realtime")).otherwise(F.lit("batch"))
+    return F.when((seconds < SHORT_SECONDS) & ~diarize, F.lit("realtime")).otherwise(F.lit("batch"))
 
 
 def speech_results(spark: SparkSession, path: str, by: Column | None = None) -> DataFrame:

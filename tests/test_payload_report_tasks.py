@@ -74,22 +74,10 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("\ufeffSpeaker 1: hé".encode())
     (tmp_path / "b.txt").write_bytes("Speaker 2: x".encode("utf-16"))
     (tmp_path / "c.txt").write_bytes(b"caf\xe9!")
-    (tmp_path / "d.docx").write_bytes(sinks.docx_bytes(["Speaker 1:", "a < b"]))
+    (tmp_path / "d.docx").write_bytes(sinks.docx_bytes([{"kind": "strong", "text": "Speaker 1:", "cells": None}, {"kind": "paragraph", "text": "a < b", "cells": None}]))
     (tmp_path / "f.rtf").write_bytes(b"x")
     empty = spark.createDataFrame([("/e.txt", bytearray())], "path string, content binary")  # the file source itself skips empty files
     rows = files.read_files(spark, str(tmp_path)).select("path", "content").unionByName(empty)
     got = {r["path"].rpartition("/")[2]: r for r in files.transcripts_of_files(rows).collect()}
     assert got["a.txt"]["segments"][0]["transcript"] == "hé" and got["b.txt"]["segments"][0]["speaker_id"] == "1" and got["c.txt"]["text"] == "café!"
     assert got["d.docx"]["segments"][0]["transcript"] == "a < b" and "empty" in got["e.txt"]["error"] and "Unsupported" in got["f.rtf"]["error"]
-    assert sinks.pdf_bytes(["(x)"]).startswith(b"%PDF")
-
-
-def test_wav_seconds(spark):
-    import io
-    import wave
-
-    out = io.BytesIO()
-    with wave.open(out, "wb") as w:
-        w.setnchannels(1), w.setsampwidth(2), w.setframerate(8000), w.writeframes(b"\0\0" * 4000)
-    df = spark.createDataFrame([(bytearray(out.getvalue()),), (bytearray(b"x"),)], "c binary").select(files.wav_seconds(F.col("c")).alias("s"))
-    assert [r["s"] for r in df.collect()] == [0.5, None]
