@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fresh, held, named, sliced, written
+from .common import held, named, sliced, written
 
 #: Labelled documents per language that the fit takes, about (all if there are fewer).
 FIT_ROWS = 500
@@ -283,9 +283,11 @@ def identify(
         m = held("langid", (langs, probs), lambda: Model(Pieces(pieces), np.frombuffer(probs).reshape(len(pieces), len(langs)), langs, prior))
         for b in sliced(batches, at):
             out = m.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], [*keep, pred_col, score_col])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], out_names)
 
     at = keep.index(text_col) if text_col in keep else len(keep)
-    src = docs.select(*map(named, keep), *[named(text_col).alias(fresh("text", keep))][: at == len(keep)])
-    schema = StructType([*src.schema.fields[: len(keep)], StructField(pred_col, StringType()), StructField(score_col, DoubleType())])
-    return src.mapInArrow(run, schema)
+    # numbered names in between: columns may have names that Spark cannot pass to Python
+    src = docs.select(*[named(c).alias(f"c{k}") for k, c in enumerate(keep)], *[named(text_col).alias("text")][: at == len(keep)])
+    schema = StructType([*src.schema.fields[: len(keep)], StructField("pred", StringType()), StructField("score", DoubleType())])
+    out_names = schema.names
+    return src.mapInArrow(run, schema).toDF(*keep, pred_col, score_col)
