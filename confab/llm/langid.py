@@ -8,8 +8,9 @@ expected piece counts of a bounded sample of labelled documents.
 
 Words are maximal runs of letters, lower-cased; runs above 32 letters are scored in parts of
 32.  Null texts and texts without a letter are ``und`` with score 0.  Without any labelled
-document every text is ``und``.  Repeated rows give repeated results; rows without an id are
-held out.
+document every text is ``und``.  Of equally likely languages the first by name is taken.
+Repeated rows give repeated results; rows without an id are held out.  Texts of any length are
+scored whole, an empty table gives an empty result.
 """
 
 from __future__ import annotations

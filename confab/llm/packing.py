@@ -11,7 +11,9 @@ Pieces then take their places in parallel: each gets its rank among the pieces o
 third of all pieces share is no single task), and a rank falls into one plan slot.
 
 Null and empty texts are one piece with the end id alone.  Repeated rows are packed as often
-as they occur; columns other than the id and the text are ignored.
+as they occur; which of equally long pieces takes which place is settled by hash, id and piece.
+Texts of any length are encoded whole, an empty table gives an empty result; columns other than
+the id and the text are ignored.
 """
 
 from __future__ import annotations

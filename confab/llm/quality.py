@@ -1,7 +1,9 @@
 """Quality rules: a threshold table compiled into one Spark projection, no user functions.
 
 A null or blank text has zero words and every count zero (it fails the length rule).
-Repeated rows give repeated results; columns other than the id and the text are ignored.
+A measure that equals its bound passes.  Repeated rows give repeated results, texts of any
+length are measured whole, an empty table gives an empty result; columns other than the id and
+the text are ignored.
 """
 
 from __future__ import annotations

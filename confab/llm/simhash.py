@@ -14,7 +14,9 @@ until the groups are small (at most 2^bits can be left), so no task depends on a
 
 Null and blank texts have fingerprint zero, linked like any other.  Null ids are kept: their
 component is the smallest id reachable, null if there is none.  Repeated rows and repeated
-ids are allowed; columns other than the id and the text are ignored.
+ids are allowed: each row gets its own fingerprint, and links by all of its id's rows.  Texts of
+any length count whole, a shingle after the other.  A bit that exactly half of the hashes have
+is 0.  An empty table gives an empty result; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations

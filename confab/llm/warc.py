@@ -9,7 +9,13 @@ ranges.  Nothing is extracted.
 Of records with equal payloads of at least ``least`` bytes, the one with the smallest id is a
 response, the others revisit it; smaller payloads are always responses.  Null payloads are
 empty.  Rows that repeat the smallest id are responses each; a row without an id revisits an
-equal payload that has one, and is a response where none has.
+equal payload that has one, and is a response where none has.  Payloads of any length are one
+record.  An empty table has no archives; columns other than the id, the url and the payload are
+ignored.
+
+Digests that several pages share are sent to all tasks while they are few (counted).  Beyond,
+those of very many pages still are (they are few at any size), and the rest are joined, so no
+payload of a third of all pages meets in one task.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attempt_name, filesystem, sliced, work_path, written
+from .common import attempt_name, filesystem, named, sliced, work_path, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 DATE = "2024-01-01T00:00:00Z"
@@ -177,15 +183,26 @@ def record_ranges(source: io.RawIOBase, size: int) -> list[tuple[int, int]]:
     return [(base + int(a), int(b)) for _, a, b in (line.split() for line in source.read(n).decode().splitlines())]
 
 
+#: So many shared digests are sent to all tasks; of more, those of so many pages.
+BROADCAST_DIGESTS = 200_000
+HOT_DIGEST = 1_000
+
+
 def planned(pages: DataFrame, least: int = 100, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Pages with payload, digest, ``revisit`` and ``refers_to``.
 
     Only digests and ids are combined (before their shuffle); payloads move once.
     """
-    src = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
+    src = pages.select(named(id_col).cast("long").alias("page"), named(url_col).alias("url"), F.coalesce(named(payload_col), F.lit("")).cast("binary").alias("payload"))
     src = src.select("*", F.sha2("payload", 256).alias("digest"))
     first = src.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1")
-    out = src.join(first.select("digest", "first"), "digest", "left")
+    first = written(first, "digests")
+    few = first.count() <= BROADCAST_DIGESTS
+    often = 0 if few else max(HOT_DIGEST, (first.agg(F.sum("n")).first()[0] or 0) // BROADCAST_DIGESTS)
+    out = src.join(F.broadcast(first.where(F.col("n") > often).select("digest", "first")), "digest", "left")
+    if not few:
+        rest = out.where("first is null").drop("first").join(first.where(F.col("n") <= often).select("digest", "first"), "digest", "left")
+        out = out.where("first is not null").select(*rest.columns).unionByName(rest)
     revisit = F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))
     return out.select("page", "url", "payload", "digest", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
 

@@ -117,6 +117,17 @@ def test_warc_round_trip(spark, docs):
     assert got[6]["payload_bytes"] == 100 and got[6]["payload_digest"] == hashlib.sha256(("é" * 50).encode()).hexdigest() and got[3]["payload_bytes"] == 200
 
 
+def test_shared_payloads_in_any_plan(spark, monkeypatch):
+    rows = [(i, f"u{i}", "x" * 200) for i in range(40)] + [(100 + i, "v", "y" * (150 + i // 2)) for i in range(20)] + [(7, "again", "x" * 200), (None, "n", "z" * 300), (9, None, "z" * 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    show = lambda: sorted(map(repr, warc.read_archives(warc.write_archives(pages)).drop("url").collect()))
+    want = show()
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 1)
+    monkeypatch.setattr(warc, "HOT_DIGEST", 5)
+    assert show() == want and len(want) == 63 and sum("revisit" in x for x in want) == 40 + 10 + 1
+    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+
+
 def test_zip_directory_is_read_without_the_library():
     out = io.BytesIO()
     w = warc.ArchiveWriter(out)
