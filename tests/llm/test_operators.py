@@ -421,3 +421,55 @@ def test_pipeline_stages(spark):
     assert 0 in kept and 10 not in kept and {2, 3, 4, 5} <= kept
     clean = {r["doc_id"]: r for r in steps["secret_scan"](spark, known, "").collect()}
     assert clean[12]["text"].endswith("[assign]") and clean[12]["n_chars"] == len(clean[12]["text"]) and clean[0]["text"] == rows[0][1]
+
+
+def test_recall_of_similar_passages(spark):
+    import random
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    rows, places, at = [], [], 0
+    for _ in range(80):
+        p = text(120)
+        q = list(p)
+        for i in r.sample(range(120), 2):
+            q[i] = word()
+        for passage in (p, q):
+            before = r.randint(0, 80)
+            rows.append((at, " ".join(text(before) + passage + text(40))))
+            places.append((at, before, before + 119))
+            at += 1
+    # a passage that very many texts hold, each with a change of its own
+    common = text(150)
+    many = range(at, at + 120)
+    for i in many:
+        mine = list(common)
+        mine[r.randrange(150)] = word()
+        rows.append((i, " ".join(text(30) + mine + text(30))))
+        places.append((i, 30, 179))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for all_pairs, leaders in ((compact_windows.ALL_PAIRS, compact_windows.LEADERS), (8, 2)):
+        got = {}
+        for x in compact_windows.repeated_passages(docs, all_pairs=all_pairs, leaders=leaders).collect():
+            got.setdefault(x["doc_id"], []).append((x["start"], x["end"], x["class_id"]))
+        found = [d for d, a, b in places if any(min(b, e) - max(a, s) + 1 >= 0.9 * (b - a + 1) for s, e, _ in got.get(d, ()))]
+        assert len([d for d in found if d < at]) >= 0.95 * at and len([d for d in found if d >= at]) == 120
+        assert {c for d in many for *_, c in got[d]} == {at}
+
+
+def test_repeats_inside_and_across_documents(spark):
+    import random
+
+    r = random.Random(12)
+    text = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    p, line = text(70), text(9)
+    rows = [(1, text(50) + p + text(50) + p + text(20)), (2, text(20) + p), (3, line * 400), (4, text(5) + line * 30), (5, ["same"] * 3000), (6, ["same"] * 60), (7, text(49)), (8, text(50))]
+    rows += [(9, rows[-1][1]), (10, rows[-2][1]), (11, rows[1][1])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    for all_pairs in (compact_windows.ALL_PAIRS, 2):
+        found = compact_windows.repeated_passages(spark.createDataFrame(rows, SCHEMA), all_pairs=all_pairs, leaders=1).collect()
+        got = {d: sorted((x["start"], x["end"]) for x in found if x["doc_id"] == d) for d in {x["doc_id"] for x in found}}
+        # copies of a whole text are passages from 50 words on
+        assert got == {1: [(50, 119), (170, 239)], 2: [(0, 89)], 11: [(0, 89)], 3: [(0, 3599)], 4: [(5, 274)], 5: [(0, 2999)], 6: [(0, 59)], 8: [(0, 49)], 9: [(0, 49)]}
+        assert {x["members"] for x in found if x["doc_id"] in (1, 2, 11)} == {3}
