@@ -61,3 +61,12 @@ def format_elapsed(c: Column) -> Column:
 def retry_delay(attempt: Column, delays: tuple[int, ...] = (2, 5, 10)) -> Column:
     """Seconds to wait before retry ``attempt`` (from 1); null when there is none left."""
     return F.try_element_at(F.array(*map(F.lit, delays)), attempt.cast("int"))
+
+
+# How dates and times are written.
+DAY, MINUTE, SECOND = "yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyyMMdd_HHmmss"
+
+
+def written_time(at: Column | None, form: str = DAY) -> Column:
+    """A point in time in one of the forms above; now if none is given."""
+    return F.date_format(F.current_timestamp() if at is None else at, form)

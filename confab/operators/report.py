@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from confab.functions.clock import MINUTE, written_time
 from confab.functions.text import blank_to_null, blocks, let, lower_first, or_else, professional, sanitise, strip, strip_dots
 
 from .metrics import duration_of_text, speakers_of_text
@@ -124,6 +125,14 @@ def metadata(info: Column, transcript: Column, today: Column, generated_by: str
     )
 
 
+def information(info: Column, at: Column | None = None, generated_by: str = "confab") -> Column:
+    """The long form of the meeting information, a map: when and by whom it was made, then what is given and not empty."""
+    made = F.create_map(F.lit("Generated On"), written_time(at, MINUTE), F.lit("Prepared By"), F.lit(generated_by))
+    given = F.map_filter(info, lambda k, v: F.coalesce(v, F.lit("")) != "")
+    own = F.map_filter(made, lambda k, v: ~F.array_contains(F.map_keys(given), k))
+    return F.map_concat(own, given)
+
+
 def report_model(analyses: DataFrame, flavor: str = "docx", info: str | None = None, today: Column | None = None, by: str = "meeting_id") -> DataFrame:
     """One row per meeting with all sections of its minutes, ready for a sink."""
     none = F.create_map().cast("map<string,string>")
@@ -133,7 +142,7 @@ def report_model(analyses: DataFrame, flavor: str = "docx", info: str | None = N
     return analyses.select(
         by,
         F.coalesce(blank_to_null(F.col("summary.title")), F.lit(TITLES[flavor])).alias("title"),
-        metadata(infos, text, today if today is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd")).alias("metadata"),
+        metadata(infos, text, today if today is not None else written_time(None)).alias("metadata"),
         F.when(F.coalesce(F.try_element_at(infos, F.lit("Source File")), F.lit("")) != "", F.try_element_at(infos, F.lit("Source File"))).alias("source_file"),
         executive_summary(F.col("summary.detailed_summary"), F.col("summary.short_summary"), decisions, actions).alias("executive_summary"),
         topics(F.col("summary.topics_discussed"), flavor).alias("topics"),

@@ -525,6 +525,16 @@ def report_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("meeting_id", "m.date", "m.duration", "m.speakers_detected")
 
 
+@query("""SELECT * FROM (SELECT event_id, unnest(['Generated On', 'Prepared By', 'Place']) AS field, unnest([strftime(ts, '%Y-%m-%d %H:%M'), CASE WHEN event_id % 2 = 0 THEN 'confab' ELSE event_type END, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END]) AS value,
+  strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events) WHERE value IS NOT NULL""")
+def information_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long form of the information of a meeting: empty values are left out, given ones come before our own."""
+    e = F.col("event_id")
+    info = F.create_map(F.lit("Prepared By"), F.when(e % 2 == 0, F.lit("")).otherwise(F.col("event_type")), F.lit("Place"), F.when(e % 3 != 0, F.col("user_id").cast("string")), F.lit("Other"), F.lit(""))
+    rows = X.table(spark, sf_dir, "events").select("event_id", "ts", F.explode(report.information(info, F.col("ts"))).alias("field", "value"))
+    return rows.select("event_id", "field", "value", clock.written_time(F.col("ts")).alias("day"), clock.written_time(F.col("ts"), clock.SECOND).alias("stamp"))
+
+
 @query("SELECT doc_id, sha256(text) AS cache_key, sha256(concat('T', chr(10), chr(10), 'S', chr(10), chr(10), text)) AS versioned_key FROM documents")
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "documents").select("doc_id", text.content_key(F.col("text")).alias("cache_key"), text.versioned_key("T", "S", F.col("text")).alias("versioned_key"))

@@ -9,6 +9,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from confab.functions.clock import SECOND, written_time
 from confab.operators.report import minutes_document, minutes_text, report_model, transcript_document
 from confab.sources.tables import written
 
@@ -29,7 +30,7 @@ def write_text(model: DataFrame, path: str, by: str = "meeting_id") -> None:
 
 def output_path(directory: Column, stem: str, at: Column, meeting: Column, extension: str, given: Column | None = None) -> Column:
     """The given path, else directory, stem, second and meeting (so that two in one second differ)."""
-    made = F.concat(directory, F.lit(f"/{stem}_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit("_"), meeting.cast("string"), F.lit(f".{extension}"))
+    made = F.concat(directory, F.lit(f"/{stem}_"), written_time(at, SECOND), F.lit("_"), meeting.cast("string"), F.lit(f".{extension}"))
     return made if given is None else F.coalesce(F.when(given != "", given), made)
 
 

@@ -215,3 +215,16 @@ def test_drop_folder_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
     rows = spark.createDataFrame([("2024-01-01 00:00:01", 1, "a"), ("2024-01-01 00:04:59", 1, "a"), ("2024-01-01 00:05:00", 1, "a")], "t string, meeting_id int, speaker_id string").withColumn("ts", F.col("t").cast("timestamp"))
     assert sorted(r["turns"] for r in drop_folder.active_speakers(rows).collect()) == [1, 2]
+
+
+def test_pdf_text_by_the_optional_library(spark, monkeypatch):
+    import sys
+    import types
+
+    class Reader:
+        def __init__(self, source):
+            self.pages = [types.SimpleNamespace(extract_text=lambda t=t: t) for t in (" one ", None, "  ", "two")]
+
+    assert files.extract("pdf", b"%PDF") in ((None, "PDF support is not installed."),) or "pypdf" in sys.modules
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=Reader))
+    assert files.extract("pdf", b"%PDF") == ("one\n\ntwo", None) and files.extract("pdf", b"")[1] == "The uploaded transcript file is empty."
