@@ -445,6 +445,8 @@ def near_copies(
     sets = texts.mapInArrow(with_sets, "tab int, mask long, key long, node long, s array<long>")
     met = sets.repartition(parts(wanted.count(), PART_ROWS >> 4), "tab", "mask", "key").sortWithinPartitions("tab", "mask", "key", "node")
     edges = written(met.mapInArrow(joined, "a long, b long").distinct(), "near-copies")
+    discard(wanted)
     label = components(edges)
+    discard(edges)
     of = nodes.join(label, "node", "left").select(*own, F.coalesce("label", "node").alias("group_id"))
     return each.join(of, own).select(F.col("id").alias(id_col), "group_id")
