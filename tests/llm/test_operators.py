@@ -423,6 +423,40 @@ def test_pipeline_stages(spark):
     assert clean[12]["text"].endswith("[assign]") and clean[12]["n_chars"] == len(clean[12]["text"]) and clean[0]["text"] == rows[0][1]
 
 
+def test_windows_meet_alike_however_rows_are_cut():
+    rng = np.random.default_rng(4)
+    sig = np.sort(rng.integers(0, 60, 3000) ** 2 // 40)
+    doc = rng.integers(0, 30, 3000)
+    doc[sig == sig[1500]] = 7  # one group of one document
+    rows = sorted(zip(sig.tolist(), doc.tolist(), range(3000)))
+    cols = [np.array(c) for c in zip(*rows)]
+
+    def meet(step):
+        m, pairs, large = compact_windows.Meeting(8, 3), set(), set()
+        for k in [*range(0, 3000, step), None]:
+            part = [c[k : k + step] for c in cols] if k is not None else [np.empty(0, np.int64)] * 3
+            p, q = m.add(*part, last=k is None)
+            pairs |= set(zip(*(x.tolist() for x in p)))
+            large |= set(zip(*(x.tolist() for x in q)))
+        return pairs, large
+
+    pairs, large = meet(3000)
+    groups = {}
+    for s, d, p in rows:
+        groups.setdefault(s, []).append((d, p))
+    small = {(b[0], b[1], a[0], a[1]) for g in groups.values() if len(g) <= 8 for i, a in enumerate(g) for b in g[i + 1 :] if a[0] != b[0]}
+    assert small <= pairs and large >= {(s, *x) for s, g in groups.items() if len(g) > 8 and len({d for d, _ in g}) > 1 for x in g}
+    for step in (1, 7, 64, 500):
+        other, more = meet(step)
+        # rows of large groups are never left out, and all of their documents meet a leader
+        assert small <= other and more >= large
+        for s, g in groups.items():
+            docs = {d for d, _ in g}
+            if len(g) > 8 and len(docs) > 1:
+                places = {p for _, p in g}
+                assert {d for d, p, h, q in other if p in places} | {h for d, p, h, q in other if p in places} == docs
+
+
 def test_recall_of_similar_passages(spark):
     import random
 
