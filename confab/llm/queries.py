@@ -276,3 +276,29 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .compact_windows import repeated_passages
 
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def byte_vocabulary() -> str:
+    """The public byte-level BPE file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, and its ids decoded again."""
+    from .bpe import decode, encode
+
+    out = decode(encode(table(spark, sf_dir, "documents"), byte_vocabulary()), byte_vocabulary(), keep=("doc_id", "ids"))
+    shown = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(shown, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's tokens of two vocabularies, aligned."""
+    from .alignment import align
+
+    texts, _ = align(table(spark, sf_dir, "documents"), byte_vocabulary(), pieces(), digest=True)
+    return texts.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
