@@ -302,3 +302,41 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     texts, _ = align(table(spark, sf_dir, "documents"), byte_vocabulary(), pieces(), digest=True)
     return texts.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def _vector_sql() -> str:
+    def nearest(t: int) -> str:
+        """Of each part the smallest distance and, below it, the smallest number: distance * 256 + number."""
+        return f"""a{t} AS MATERIALIZED (
+  SELECT r, p, min(d) AS best FROM (SELECT x.r, x.p, sum((v - m) * (v - m)) * 256 + c AS d FROM x JOIN c{t} USING (p, j) GROUP BY x.r, x.p, c) GROUP BY r, p)"""
+
+    rounds = ",\n".join(
+        f"""{nearest(t)},
+c{t + 1} AS MATERIALIZED (
+  SELECT c{t}.p, c{t}.c, c{t}.j, coalesce((s - ((s % n) + n) % n) // n, m) AS m FROM c{t} LEFT JOIN (
+    SELECT x.p, CAST(best % 256 AS BIGINT) AS c, j, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM x JOIN a{t} ON x.r = a{t}.r AND x.p = a{t}.p GROUP BY ALL) u
+  ON c{t}.p = u.p AND c{t}.c = u.c AND c{t}.j = u.j)"""
+        for t in range(4)
+    )
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, embedding AS e, row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (
+  SELECT r, i // (len(e) // 4) AS p, i % (len(e) // 4) AS j, CAST(floor(1024 * CAST(e[i + 1] AS DOUBLE)) AS BIGINT) AS v FROM (SELECT r, e, unnest(range(len(e))) AS i FROM k)),
+c0 AS MATERIALIZED (SELECT p, r AS c, j, v AS m FROM x WHERE r < 256),
+{rounds},
+{nearest(4)},
+f AS (SELECT r, string_agg(format('{{:02x}}', CAST(best % 256 AS BIGINT)), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a4 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(m, ',' ORDER BY p, c, j)) FROM c4) AS codebooks_sha256
+FROM k JOIN f USING (r)"""
+
+
+@query(_vector_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by codebooks learnt from all of them."""
+    from .vector_codes import compress
+
+    coded, books = compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
