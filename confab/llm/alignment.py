@@ -54,10 +54,17 @@ def encoded(texts: list[str | None], a_path: str, b_path: str) -> tuple[np.ndarr
     return ids_a[keep_a], size_a[keep_a], n_a * same, ids_b[keep_b], size_b[keep_b], n_b * same
 
 
+def union1d(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``np.union1d`` of two ascending arrays, which a stable sort merges in one go."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+
+
 def elementary(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ends, token of A and token of B of each elementary interval, whether both end with it)."""
     ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
-    ends = np.union1d(ends_a, ends_b)
+    ends = union1d(ends_a, ends_b)
     own_a, own_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
     return ends, own_a, own_b, (ends_a[own_a] == ends) & (ends_b[own_b] == ends)
 

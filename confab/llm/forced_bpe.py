@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 
@@ -73,8 +74,69 @@ def _merge_long(symbols: list[int], pairs: dict[tuple[int, int], tuple[float, in
     return [x for x in symbols if x >= 0]
 
 
+class Merges:
+    """All merges of a vocabulary, for many short fragments at once.
+
+    Every round joins in each fragment its best pair (the leftmost of equal ones), until none is left;
+    ranks are looked up for the neighbours of what was joined alone.
+    """
+
+    def __init__(self, pairs: dict[tuple[int, int], tuple[float, int]]):
+        at = np.array([a << 32 | b for a, b in pairs] or [0], np.int64)
+        order = np.argsort(at)
+        self.at = at[order]
+        self.rank = np.unique(np.array([r for r, _ in pairs.values()] or [0]), return_inverse=True)[1][order]
+        self.new = np.array([n for _, n in pairs.values()] or [0], np.int64)[order]
+        self.never = len(pairs)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, what the pair becomes) of neighbours."""
+        key = left << 32 | right
+        k = np.minimum(np.searchsorted(self.at, key), len(self.at) - 1)
+        return np.where((self.at[k] == key) & (left >= 0) & (right >= 0), self.rank[k], self.never), self.new[k]
+
+    def apply(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols that are left, in order; how many of each fragment); no fragment is empty."""
+        out, left, number = [], np.zeros(len(sizes), np.int64), np.arange(len(sizes))
+        symbols, rank, new = symbols.astype(np.int64), np.full(len(symbols), self.never), np.zeros(len(symbols), np.int64)
+        if len(symbols) > 1:
+            rank[:-1], new[:-1] = self._ranks(symbols[:-1], symbols[1:])
+            rank[np.cumsum(sizes) - 1] = self.never
+        while len(sizes):
+            starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+            best = np.minimum.reduceat(rank, starts)
+            over = best == self.never
+            if over.any():
+                ends = over[owner]
+                out.append((number[over], symbols[ends], sizes[over]))
+                left[number[over]] = sizes[over]
+                symbols, rank, new, number, sizes, best = symbols[~ends], rank[~ends], new[~ends], number[~over], sizes[~over], best[~over]
+                if not len(sizes):
+                    break
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.flatnonzero(rank == best[owner])
+            at = at[np.r_[True, owner[at[1:]] != owner[at[:-1]]]]
+            symbols[at] = new[at]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            closes = (at + 2 >= len(symbols)) | (owner[np.minimum(at + 2, len(symbols) - 1)] != owner[at])
+            symbols, owner, rank, new, sizes = symbols[keep], owner[keep], rank[keep], new[keep], sizes - 1
+            at = at - np.arange(len(at))
+            rank[at] = self.never
+            own = at[~closes]
+            rank[own], new[own] = self._ranks(symbols[own], symbols[own + 1])
+            own = at[(at > 0) & (owner[np.maximum(at - 1, 0)] == owner[at])] - 1
+            rank[own], new[own] = self._ranks(symbols[own], symbols[own + 1])
+        if not out:
+            return symbols, left
+        number, sizes = np.concatenate([o[0] for o in out]), np.concatenate([o[2] for o in out])
+        flat, starts = np.concatenate([o[1] for o in out]), np.cumsum(sizes) - sizes
+        order = np.argsort(number)
+        return gathered(flat, starts[order], sizes[order]), left
+
+
 class Fragments:
-    """Ids of fragments in one growing array; ``encode`` gives those of a new one."""
+    """Ids of fragments in one growing array; ``encode`` gives those of new ones, one after the other, and their numbers."""
 
     def __init__(self, encode):
         self.encode = encode
@@ -84,34 +146,44 @@ class Fragments:
         self.number: dict = {}
         self.long = 0
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
 
-    def _learn(self, fragment) -> None:
-        ids, k = self.encode(fragment), len(self.number)
-        if k == len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
+    def _learn(self, new: list) -> None:
+        ids, sizes = self.encode(new)
+        k, end = len(self.number), len(self.number) + len(new)
+        while end > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[k], self.size[k] = self.used, len(ids)
+        self.start[k:end], self.size[k:end] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += len(ids)
-        self.number[fragment] = k
+        self.number.update(zip(new, range(k, end)))
+        self.long += sum(n for n in map(len, new) if n > LONG)
 
     def ids(self, fragments: list) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all fragments, in order, and the number of ids of each."""
         if len(self.number) > MOST_FRAGMENTS or self.long > MOST_LONG:
             self.clear()
         known = self.number
-        try:
-            at = np.fromiter(map(known.__getitem__, fragments), np.int64, len(fragments))
-        except KeyError:
-            for f in set(fragments).difference(known):
-                self._learn(f)
-                self.long += len(f) * (len(f) > LONG)
-            at = np.fromiter(map(known.__getitem__, fragments), np.int64, len(fragments))
-        start, size = self.start[at], self.size[at]
-        out = gathered(self.flat, start, size)
-        return out, size
+        at = np.fromiter(map(known.get, fragments, repeat(-1)), np.int64, len(fragments))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            new = [fragments[k] for k in unknown.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            at[unknown] = np.fromiter(map(known.__getitem__, new), np.int64, len(new))
+        size = self.size[at].astype(np.int64)
+        return gathered(self.flat, self.start[at], size), size
+
+
+def _in_turn(parts: list, short: np.ndarray, many: tuple[np.ndarray, np.ndarray], one) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of ``parts``: of those marked ``short`` as worked out together, of others by ``one``."""
+    if short.all():
+        return many
+    ids, sizes = many
+    ends, at = np.cumsum(sizes), iter(range(len(sizes)))
+    rows = [ids[ends[k] - sizes[k] : ends[k]] if (k := next(at) if s else -1) >= 0 else np.array(one(p), np.int64) for p, s in zip(parts, short.tolist())]
+    return np.concatenate([np.empty(0, np.int64), *rows]), np.fromiter(map(len, rows), np.int64, len(rows))
 
 
 def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -177,7 +249,14 @@ class ByteBpe:
                 self.inside[x << 8 | y] = True
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.kind = np.full(0x110000, _UNSEEN, np.int8)
-        self.fragments = Fragments(lambda f: merge([self.single[b] for b in f], self.pairs))
+        self.merges, self.symbols = Merges(self.pairs), np.array(self.single, np.int64)
+        self.fragments = Fragments(self._encode)
+
+    def _encode(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        short = sizes <= SHORT
+        joined = b"".join(new if short.all() else [f for f in new if len(f) <= SHORT])
+        return _in_turn(new, short, self.merges.apply(self.symbols[np.frombuffer(joined, np.uint8)], sizes[short]), lambda f: merge([self.single[b] for b in f], self.pairs))
 
     def kinds(self, points: np.ndarray) -> np.ndarray:
         """Letter, number, white space or other, as the library's own pattern sees each character."""
@@ -305,6 +384,11 @@ class PieceBpe:
         self.names = {v: c for c, v in self.symbol.items()}
         known = normal | self.symbol
         self.pairs = {(known[t[:k]], known[t[k:]]): (-spec.pieces[normal[t]].score, normal[t]) for t in long for k in range(1, len(t)) if t[:k] in known and t[k:] in known}
+        self.merges = Merges(self.pairs)
+        #: The symbol of each character, and whether it is a piece by itself.
+        self.symbols, self.single = np.full(0x110000, -1, np.int64), np.zeros(0x110000, bool)
+        for c, i in self.symbol.items():
+            self.symbols[ord(c)], self.single[ord(c)] = i, i < n
         #: Numbers of the characters of longer pieces (others: 0), and pairs that stand next to each other inside some piece.
         self.index = np.zeros(0x110000, np.uint16)
         self.index[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
@@ -314,12 +398,21 @@ class PieceBpe:
             self.inside[at[:-1], at[1:]] = True
         self.fragments = Fragments(self._encode)
 
-    def _encode(self, fragment: str) -> list[int]:
+    def _one(self, fragment: str) -> list[int]:
+        """The ids of a fragment by itself; characters that are no pieces become bytes."""
         out: list[int] = []
-        for s in merge([self.symbol.get(c, -ord(c) - 2) for c in fragment], self.pairs) if len(fragment) > 1 else [self.symbol.get(fragment, -ord(fragment) - 2)]:
+        for s in merge([self.symbol.get(c, -ord(c) - 2) for c in fragment], self.pairs):
             out += [s] if 0 <= s < self.count else [self.byte[b] for b in (self.names[s] if s >= 0 else chr(-s - 2)).encode()]
         return out
 
+    def _encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        points, ends = code_points(new)
+        symbols, sizes = self.symbols[points], np.diff(np.r_[0, ends])
+        plain = np.minimum.reduceat(self.single[points], ends - sizes)
+        short = (sizes <= SHORT) & plain
+        kept = np.repeat(short, sizes)
+        return _in_turn(new, short, self.merges.apply(symbols[kept], sizes[short]), self._one)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, in order, and the number of ids of each; empty texts have none."""
         if not self.plain:
