@@ -1,50 +1,37 @@
 """Text-generation tasks over many meetings: prompts, pluggable backends, cache, typed results.
 
-Each distinct cache key is generated once: requests are reduced to keys, those in the cache
-are left out by an anti-join, the rest goes through the backend in one pass per partition and
-is written before anything reads it, so plan rewrites never call the backend twice.
+Each distinct cache key is generated once: requests are written with their keys, keys that the
+cache holds are left out, the rest goes through the backend in one pass per partition (several
+requests in flight, see :mod:`.dispatch`) and is written before anything reads it, so plan
+rewrites never call the backend twice.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from confab.functions import payload as P
+from confab.functions.checks import strict
 from confab.functions.text import content_key, fill, strip, versioned_key
-from confab.sources.tables import written
+from confab.operators.dispatch import Limits, Unavailable, attempt, dispatch, is_unavailable, status_of
+from confab.sources.answers import AnswerStore
+from confab.sources.tables import work_path, written
+
+__all__ = ["Backend", "Calls", "Constant", "Limits", "ModelBackend", "Options", "Summarizer", "Unavailable", "is_unavailable", "status_of", "with_retries"]
 
 
 class Backend(Protocol):
-    """``generate`` answers one prompt; built once per partition by the factory that tasks take."""
+    """``generate`` answers one prompt; built once per partition by the factory that tasks take, asked from several threads."""
 
     def generate(self, prompt: str, *, system_prompt: str | None = None) -> str: ...
 
 
-class Unavailable(Exception):
-    """Raised by a backend that should be asked again later."""
-
-
-def status_of(error: Exception) -> int | None:
-    """The status code that a backend's error carries in one way or another, read from its text at last."""
-    for holder, name in ((error, "code"), (error, "status_code"), (getattr(error, "response", None), "status_code")):
-        try:
-            return int(getattr(holder, name, None))
-        except (TypeError, ValueError):
-            continue
-    return 503 if "503" in str(error) else None
-
-
-def is_unavailable(error: Exception) -> bool:
-    """Whether asking again later can help."""
-    return isinstance(error, Unavailable) or status_of(error) == 503 or "UNAVAILABLE" in str(error).upper()
-
-
 class ModelBackend:
     """A backend around any client: ``call(model, prompt, system_prompt, temperature)`` returns the text."""
 
@@ -78,11 +65,17 @@ EMPTY = "Transcript is empty."
 
 @dataclass(frozen=True)
 class Options:
-    """Templates by task, the system prompt, and the waits before a backend is asked again."""
+    """Templates by task, the system prompt, and how a backend is asked.
+
+    ``limits`` hold for each partition, ``limits.per_second`` for all together: with a budget the requests go
+    through ``lanes`` partitions, and each has its share of it.  ``strict``: a failed check is an exception.
+    """
 
     templates: dict[str, str] = field(default_factory=lambda: dict(TEMPLATES))
     system_prompt: str | None = None
-    delays: tuple[float, ...] = (2.0, 5.0, 10.0)
+    limits: Limits = Limits()
+    lanes: int = 32
+    strict: bool = False
 
     @classmethod
     def from_folder(cls, spark: SparkSession, path: str, **more) -> Options:
@@ -103,37 +96,67 @@ class Constant:
 
 
 def with_retries(backend: Backend, delays: tuple[float, ...], sleep=time.sleep) -> Callable[[str, str | None], tuple[str | None, str | None]]:
-    """(answer, error) of a prompt; only errors that say so are tried again, after the ``delays``."""
+    """(answer, error) of a prompt by itself; only errors that say so are tried again, after the ``delays``."""
 
     def ask(prompt: str, system_prompt: str | None):
         for wait in (*delays, None):
-            try:
-                answer = (backend.generate(prompt, system_prompt=system_prompt) or "").strip()
-                return (answer, None) if answer else (None, "The backend gave an empty answer.")
-            except Exception as e:  # noqa: BLE001  one row's failure is that row's error
-                if not is_unavailable(e):
-                    return None, f"The backend failed: {e}"
-                if wait is None:
-                    return None, f"The backend is unavailable: {e}"
-                sleep(wait)
+            answer, error, again = attempt(lambda p: backend.generate(p, system_prompt=system_prompt), prompt)
+            if wait is None or not again:
+                return answer, error
+            sleep(wait)
 
     return ask
 
 
-def generate(prompts: DataFrame, factory: Callable[[], Backend], options: Options = Options()) -> DataFrame:
-    """(``cache_key``, ``response``, ``backend_error``) of (``cache_key``, ``prompt``); written once."""
-    system_prompt, delays = options.system_prompt, options.delays
+@dataclass
+class Calls:
+    """What one run asked for, filled when its answers are written: observed on the rows as they are written,
+    so that a task which is run again counts once."""
+
+    keys: int = 0
+    hits: int = 0
+    asked: int = 0
+    calls: int = 0
+    retries: int = 0
+    failed: int = 0
+
+
+def generate(prompts: DataFrame, factory: Callable[[], Backend], options: Options = Options(), calls: Calls | None = None) -> DataFrame:
+    """(``cache_key``, ``response``, ``backend_error``, ``attempts``) of (``cache_key``, ``prompt``); written once."""
+    system_prompt, limits, src = options.system_prompt, options.limits, prompts.select("cache_key", "prompt")
+    if limits.per_second:
+        src, limits = src.repartition(options.lanes, "cache_key"), replace(limits, per_second=limits.per_second / options.lanes)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        ask = None
-        for b in batches:
-            ask = ask or with_retries(factory(), delays)
-            got = [ask(p, system_prompt) for p in b["prompt"]]
-            yield pd.DataFrame({"cache_key": b["cache_key"], "response": [x for x, _ in got], "backend_error": [e for _, e in got]})
+        backend = None
+
+        def ask(prompt: str) -> str:
+            return backend.generate(prompt, system_prompt=system_prompt)
+
+        def requests():
+            nonlocal backend
+            for b in batches:
+                backend = backend or factory()
+                yield from zip(b["cache_key"], b["prompt"])
+
+        done = []
+        for answer in dispatch(requests(), ask, limits):
+            done.append(answer)
+            if len(done) == 256:
+                yield pd.DataFrame(done, columns=names)
+                done = []
+        yield pd.DataFrame(done, columns=names)
 
-    return written(prompts.select("cache_key", "prompt").mapInPandas(run, "cache_key string, response string, backend_error string"), "responses")
+    names = ["cache_key", "response", "backend_error", "attempts"]
+    made = src.mapInPandas(run, "cache_key string, response string, backend_error string, attempts int")
+    seen = Observation()
+    out = written(made.observe(seen, F.count("*").alias("asked"), F.sum("attempts").alias("calls"), F.sum(F.col("attempts") - 1).alias("retries"), F.count("backend_error").alias("failed")), "responses")
+    if calls is not None:
+        for name, n in seen.get.items():
+            setattr(calls, name, n or 0)
+    return out
 
 
 def request_keys(meetings: DataFrame, task: str, options: Options = Options(), text_col: str = "transcript_text") -> DataFrame:
@@ -147,31 +170,58 @@ def misses(requests: DataFrame, cache: DataFrame | None) -> DataFrame:
     return distinct if cache is None else distinct.join(cache.select("cache_key"), "cache_key", "left_anti")
 
 
+def _unknown(requests: DataFrame, known: DataFrame | None, seen: Observation) -> DataFrame:
+    """One row per key that ``known`` (distinct keys) doesn't hold; how many keys there are, and how many it holds, is observed."""
+    distinct = requests.dropDuplicates(["cache_key"])
+    found = distinct.withColumn("_hit", F.lit(False)) if known is None else distinct.join(known.select("cache_key", F.lit(True).alias("_hit")), "cache_key", "left")
+    return found.observe(seen, F.count("*").alias("keys"), F.count_if("_hit").alias("hits")).where("not coalesce(_hit, false)").drop("_hit")
+
+
 def run_task(
-    meetings: DataFrame, task: str, factory: Callable[[], Backend], options: Options = Options(), cache: DataFrame | None = None, by: str = "meeting_id", text_col: str = "transcript_text"
-) -> tuple[DataFrame, DataFrame]:
-    """(results, cache with what is new): per meeting the parsed fields of the task and ``error``."""
-    keyed = request_keys(meetings.select(by, F.coalesce(F.col(text_col), F.lit("")).alias("text")), task, options, "text")
-    text = strip(F.col("text"))
-    asked = misses(keyed.where(text != ""), cache)
-    new = generate(asked.select("cache_key", fill(options.templates[task], text).alias("prompt")), factory, options)
+    meetings: DataFrame, task: str, factory: Callable[[], Backend], options: Options = Options(), cache: DataFrame | AnswerStore | None = None, by: str = "meeting_id", text_col: str = "transcript_text",
+    calls: Calls | None = None,
+) -> tuple[DataFrame, DataFrame | AnswerStore]:
+    """(results, cache with what is new): per meeting the parsed fields of the task and ``error``.
+
+    A store is appended to, and plans do not grow with its age; a DataFrame comes back as a larger one.
+    """
+    keyed = written(request_keys(meetings.select(by, F.coalesce(F.col(text_col), F.lit("")).alias("text")), task, options, "text"), "requests")
+    text, store = strip(F.col("text")), isinstance(cache, AnswerStore)
+    wanted = keyed.where(text != "")
+    known = cache.answers(wanted) if store else cache.dropDuplicates(["cache_key"]) if cache is not None else None
+    seen = Observation()
+    asked = _unknown(wanted, known, seen).select("cache_key", fill(options.templates[task], text).alias("prompt"))
+    new = generate(asked, factory, options, calls)
+    if calls is not None:
+        calls.keys, calls.hits = seen.get["keys"], seen.get["hits"]
     good = new.where("response is not null").select("cache_key", "response")
-    kept = good if cache is None else cache.select("cache_key", "response").unionByName(good)
-    answers = kept.join(new.select("cache_key", "backend_error").where("backend_error is not null"), "cache_key", "full")
-    joined = keyed.join(answers, "cache_key", "left")
+    if store:
+        cache.append(good)
+        kept, answers = cache, cache.answers(wanted)
+    else:
+        kept = answers = good if cache is None else cache.select("cache_key", "response").unionByName(good)
+    failures = new.select("cache_key", "backend_error").where("backend_error is not null")
+    joined = keyed.join(answers, "cache_key", "left").join(failures, "cache_key", "left")
     got = joined.select(by, "cache_key", F.when(text == "", F.lit(EMPTY)).otherwise(F.col("backend_error")).alias("_before"), PARSERS[task](F.col("response"), text).alias("_r"))
     names = [f.name for f in got.schema["_r"].dataType.fields if f.name != "error"]
-    return got.select(by, "cache_key", *[F.when(F.col("_before").isNull(), F.col(f"_r.{n}")).alias(n) for n in names], F.coalesce("_before", "_r.error").alias("error")), kept
+    out = got.select(by, "cache_key", *[F.when(F.col("_before").isNull(), F.col(f"_r.{n}")).alias(n) for n in names], F.coalesce("_before", "_r.error").alias("error"))
+    return strict(out) if options.strict else out, kept
 
 
 class Summarizer:
-    """The six verbs over meetings, with a cache for full analyses.
+    """The six verbs over meetings, with a durable cache for full analyses.
 
     Meetings are a DataFrame with ``meeting_id`` and ``transcript_text``, or texts (numbered from 0).
+    Without a ``store`` the cache lives in the shared work folder.
     """
 
-    def __init__(self, factory: Callable[[], Backend], options: Options = Options()):
-        self.factory, self.options, self.cache = factory, options, None
+    def __init__(self, factory: Callable[[], Backend], options: Options = Options(), store: AnswerStore | None = None):
+        self.factory, self.options, self.store, self.calls = factory, options, store, Calls()
+
+    @property
+    def cache(self) -> DataFrame:
+        """(``cache_key``, ``response``) of what has been answered."""
+        return self.store.answers()
 
     @staticmethod
     def meetings(given: DataFrame | str | list[str]) -> DataFrame:
@@ -181,7 +231,8 @@ class Summarizer:
         return SparkSession.active().createDataFrame(list(enumerate(texts)), "meeting_id long, transcript_text string")
 
     def _one(self, meetings: DataFrame | str | list[str], task: str) -> DataFrame:
-        return run_task(self.meetings(meetings), task, self.factory, self.options)[0]
+        self.calls = Calls()
+        return run_task(self.meetings(meetings), task, self.factory, self.options, calls=self.calls)[0]
 
     def cleanup_transcript(self, meetings: DataFrame) -> DataFrame:
         return self._one(meetings, "cleanup")
@@ -199,8 +250,10 @@ class Summarizer:
         return self._one(meetings, "key_discussion_points")
 
     def analyze_meeting(self, meetings: DataFrame) -> DataFrame:
-        out, self.cache = run_task(self.meetings(meetings), "analysis", self.factory, self.options, self.cache)
-        return out
+        rows = self.meetings(meetings)
+        self.store = self.store or AnswerStore(rows.sparkSession, work_path(rows.sparkSession, "answers"))
+        self.calls = Calls()
+        return run_task(rows, "analysis", self.factory, self.options, self.store, calls=self.calls)[0]
 
 
 def analysis_key(text: Column) -> Column:

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from confab.functions import clock, payload, text
-from confab.operators import metrics, report, segments, tasks
+from confab.functions import clock, payload, sql, text
+from confab.operators import increments, metrics, report, segments, tasks
+from confab.sources.answers import AnswerStore
 from confab.sources.files import audio_error, first_results, route
 from confab.sources.sinks import analysis_json, output_path
-from confab.sources.tables import written
+from confab.sources.tables import work_path, written
+from confab.streaming import keyed
 
 from . import fixtures as X
 
@@ -53,6 +55,19 @@ def transcript_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.meeting_texts(spark, sf_dir)
 
 
+@query(f"""
+WITH {X.LABELLED}
+SELECT meeting_id, CASE WHEN count(start_s) = 0 THEN 'N/A' WHEN greatest(0.0, max(end_s) - min(start_s)) < 60 THEN concat(printf('%.1f', greatest(0.0, max(end_s) - min(start_s))), 's')
+  ELSE concat(CAST(round_even(max(end_s) - min(start_s), 0) AS BIGINT) // 60, 'm ', CAST(round_even(max(end_s) - min(start_s), 0) AS BIGINT) % 60, 's') END AS duration,
+  count(DISTINCT label) AS speakers, count(*) AS turns, count(start_s) AS timed_turns FROM labelled GROUP BY meeting_id""")
+def metrics_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of all meetings from stored states, to which five increments were added, one of them twice."""
+    s, store = X.segments(spark, sf_dir), increments.MetricStore(spark, work_path(spark, "metric-states"))
+    for k in (3, 0, 4, 0, 1, 2):
+        store.add(s.where(F.col("seg_no") % 5 == k), f"part {k}")
+    return store.metrics().select("meeting_id", "duration", "speakers", "turns", "timed_turns")
+
+
 _LOOSE = r"(?i)^((?:speaker|spk)\s*[\w.-]*)(?:\s*\[([^\]-]+)\s*-\s*([^\]]+)\])?\s*:?\s*(.*)$"
 
 
@@ -60,7 +75,7 @@ def _clock_value(c: str) -> str:
     return f"CASE WHEN regexp_matches({c}, '^\\s*[0-9]+:[0-9]+\\s*$') THEN TRY_CAST(split_part(trim({c}), ':', 1) AS DOUBLE) * 60 + TRY_CAST(split_part(trim({c}), ':', 2) AS DOUBLE) END"
 
 
-@query(rf"""
+_PARSED = rf"""
 WITH {X.TEXTS},
 l AS (SELECT meeting_id, unnest(list_filter(list_transform(string_split(transcript_text, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS line, generate_subscripts(list_filter(list_transform(string_split(transcript_text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1) AS p FROM texts),
 h AS (SELECT *, regexp_matches(line, '{_LOOSE}') AS head FROM l),
@@ -69,12 +84,30 @@ b AS (SELECT meeting_id, grp, min(line) FILTER (head) AS hl, string_agg(CASE WHE
 f AS (SELECT *, regexp_extract(hl, '{_LOOSE}', 1) AS lab, regexp_extract(hl, '{_LOOSE}', 2) AS st, regexp_extract(hl, '{_LOOSE}', 3) AS en FROM b WHERE transcript <> '')
 SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY grp) - 1 AS seg_no,
        CASE WHEN regexp_extract(lab, '(\d+)', 1) <> '' THEN CAST(greatest(0, CAST(regexp_extract(lab, '(\d+)', 1) AS BIGINT) - 1) AS VARCHAR) ELSE trim(lab) END AS speaker_id,
-       {_clock_value("st")} AS start_s, {_clock_value("en")} AS end_s, transcript FROM f""")
+       {_clock_value("st")} AS start_s, {_clock_value("en")} AS end_s, transcript FROM f"""
+
+
+@query(_PARSED)
 def parse_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text form read back into segments."""
     return segments.explode_segments(X.meeting_texts(spark, sf_dir), "transcript_text").withColumn("seg_no", F.col("seg_no").cast("long"))
 
 
+@query(_PARSED)
+def segments_by_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for texts that are too long for one row: by lines and splits of them."""
+    lines = segments.lines_of_texts(X.meeting_texts(spark, sf_dir).withColumn("transcript_text", text.normalise(F.col("transcript_text"))), "transcript_text")
+    return segments.segments_of_lines(lines).withColumn("seg_no", F.col("seg_no").cast("long"))
+
+
+@query(_PARSED)
+def segments_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written in SQL alone."""
+    sql.register(spark)
+    X.meeting_texts(spark, sf_dir).createOrReplaceTempView("confab_meeting_texts")
+    return spark.sql("SELECT m.meeting_id, CAST(s.seg_no AS BIGINT) AS seg_no, s.speaker_id, s.start_s, s.end_s, s.transcript FROM confab_meeting_texts m, LATERAL confab_segments(m.transcript_text) s")
+
+
 _STRICT = r"(?i)^\s*Speaker\s+\S+(?:\s+\[[^\]]+\])?\s*:?\s*$"
 
 
@@ -547,6 +580,32 @@ def cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("cache_key").agg(F.min("doc_id").alias("doc_id")).join(d.where("doc_id % 3 = 0").select("cache_key"), "cache_key", "left_anti")
 
 
+@query("""
+WITH k AS (SELECT doc_id, sha256(text) AS cache_key FROM documents),
+f AS (SELECT cache_key, min(doc_id) AS d FROM k WHERE doc_id % 3 = 0 GROUP BY 1), g AS (SELECT cache_key, min(doc_id) AS d FROM k WHERE doc_id % 2 = 0 GROUP BY 1)
+SELECT doc_id, CASE WHEN g.d IS NOT NULL THEN concat('second ', g.d) WHEN f.d IS NOT NULL THEN concat('first ', f.d) END AS response FROM k LEFT JOIN f USING (cache_key) LEFT JOIN g USING (cache_key)""")
+def cache_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-ups in a durable cache of two generations: the later answer counts."""
+    d = X.table(spark, sf_dir, "documents").select("doc_id", text.content_key(F.col("text")).alias("cache_key"))
+    store = AnswerStore(spark, work_path(spark, "answers"))
+    for name, n in (("first ", 3), ("second ", 2)):
+        store.append(d.where(F.col("doc_id") % n == 0).groupBy("cache_key").agg(F.concat(F.lit(name), F.min("doc_id").cast("string")).alias("response")))
+    return d.join(store.answers(), "cache_key", "left").select("doc_id", "response")
+
+
+@query(f"""
+WITH {X.TEXTS}, k AS (SELECT meeting_id, trim(transcript_text, concat(' ', chr(10))) AS t FROM texts), n AS (SELECT count(DISTINCT t) AS keys, count(DISTINCT t) FILTER (meeting_id % 2 = 0) AS half FROM k)
+SELECT 1 AS run, half AS keys, 0 AS hits, half AS asked, half AS calls, 0 AS retries, 0 AS failed FROM n UNION ALL SELECT 2, keys, half, keys - half, keys - half, 0, 0 FROM n""")
+def call_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two runs asked a backend for: half of the meetings, then all, with one cache."""
+    t, store, rows = X.meeting_texts(spark, sf_dir), AnswerStore(spark, work_path(spark, "answers")), []
+    for run, meetings in ((1, t.where("meeting_id % 2 = 0")), (2, t)):
+        calls = tasks.Calls()
+        tasks.run_task(meetings, "decisions", lambda: tasks.Constant('{"decisions": []}'), cache=store, calls=calls)
+        rows.append((run, calls.keys, calls.hits, calls.asked, calls.calls, calls.retries, calls.failed))
+    return spark.createDataFrame(rows, "run int, keys long, hits long, asked long, calls long, retries int, failed int")
+
+
 @query("SELECT conv_id, turn, concat('Read <transcript>', chr(10), text, chr(10), '</transcript> and ', text) AS prompt FROM conversations")
 def prompt_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.fill("Read <transcript>\n{transcript}\n</transcript> and {transcript}", F.col("text")).alias("prompt"))
@@ -571,6 +630,18 @@ def upload_log_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.changed_rows(X.table(spark, sf_dir, "events"), "event_type", ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
 
 
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE event_type IS DISTINCT FROM b")
+def upload_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream with keyed state, run until the table has been read."""
+    out, check = work_path(spark, "upload-log"), work_path(spark, "upload-log-state")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", keyed.ROCKS)
+    events = X.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    rows = spark.readStream.schema(events.schema).format("parquet").load(f"{sf_dir}/events.parquet")
+    changes = keyed.changed_rows_stream(rows, "event_type", "user_id", "ts", ["event_id"], "0 seconds")
+    changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("event_id", "user_id", "event_type")
+
+
 @query("SELECT doc_id, concat('doc:', n_chars) AS signature, CASE WHEN n_chars * 5000 / 1048576 <= 10 THEN 'about 1-3 minutes' WHEN n_chars * 5000 / 1048576 <= 50 THEN 'about 3-7 minutes' ELSE '7+ minutes' END AS estimate FROM documents")
 def size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "documents").select("doc_id", text.upload_signature(F.lit("doc"), F.col("n_chars")).alias("signature"), text.duration_estimate(F.col("n_chars") * 5000).alias("estimate"))

@@ -76,28 +76,34 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
-def transcripts_of_files(files: DataFrame) -> DataFrame:
-    """(``path``, ``text``, ``segments``, ``transcript``, ``error``) of rows of the binary-file source.
+def transcripts_of_files(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(``path``, ``keep``, ``text``, ``segments``, ``transcript``, ``error``) of rows of the binary-file source.
 
     Spark's file source lists no empty files; rows without content are reported as such.
     Plain UTF-8 text never leaves the JVM; only other encodings and document formats go to Python.
     """
-    src = files.select("path", suffix(F.col("path")).alias("kind"), "content")
+    names = ["path", *keep]
+    src = files.select(*names, suffix(F.col("path")).alias("kind"), "content")
     plain = (F.col("kind") == "txt") & (F.length("content") > 0) & F.is_valid_utf8(F.col("content").cast("string"))
-    native = src.where(plain).select("path", F.regexp_replace(F.col("content").cast("string"), "^﻿", "").alias("raw"), F.lit(None).cast("string").alias("error"))
+    native = src.where(plain).select(*names, F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "").alias("raw"), F.lit(None).cast("string").alias("error"))
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
             got = [extract(k, bytes(c)) for k, c in zip(b["kind"], b["content"])]
-            yield pd.DataFrame({"path": b["path"], "raw": [t for t, _ in got], "error": [e for _, e in got]})
+            yield pd.DataFrame({**{n: b[n] for n in names}, "raw": [t for t, _ in got], "error": [e for _, e in got]})
 
-    rest = src.where(~plain).mapInPandas(run, "path string, raw string, error string")
-    text = native.unionByName(rest).select("path", normalise(F.col("raw")).alias("text"), "error")
+    rest = src.where(~plain).mapInPandas(run, native.schema)
+    return parsed_texts(native.unionByName(rest), names)
+
+
+def parsed_texts(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The texts (``raw``) normalised and parsed, with what is wrong with them."""
+    text = rows.select(*names, normalise(F.col("raw")).alias("text"), "error")
     error = F.coalesce("error", F.when(F.coalesce("text", F.lit("")) == "", F.lit("No readable text was found in the transcript file.")))
-    out = text.select("path", "text", error.alias("error"), F.when(error.isNull(), parse_segments(F.col("text"))).alias("segments"))
-    return out.select("path", "text", "segments", F.when(F.col("error").isNull(), plain_transcript(F.col("text"), F.col("segments"))).alias("transcript"), "error")
+    out = text.select(*names, "text", error.alias("error"), F.when(error.isNull(), parse_segments(F.col("text"))).alias("segments"))
+    return out.select(*names, "text", "segments", F.when(F.col("error").isNull(), plain_transcript(F.col("text"), F.col("segments"))).alias("transcript"), "error")
 
 
 def audio_files(files: DataFrame) -> DataFrame:

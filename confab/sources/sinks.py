@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from confab.functions.clock import SECOND, written_time
 from confab.operators.report import minutes_document, minutes_text, report_model, transcript_document
+from confab.sources.documents import write_documents
 from confab.sources.tables import written
 
 
@@ -43,11 +44,16 @@ LOOKS = {"title": (36, True), "heading": (24, True), "strong": (24, True), "note
 _LISTS = {"bullet": ("1", "bullet", "\u2022"), "numbered": ("2", "decimal", "%1.")}
 
 
+def _shown(text: str) -> str:
+    """XML text; characters that XML does not allow are left out."""
+    return escape("".join(c for c in text if c in "\t\n\r" or c >= " " and c not in "\ufffe\uffff" and not "\ud800" <= c <= "\udfff"))
+
+
 def _paragraph(kind: str, text: str) -> str:
     size, bold = LOOKS.get(kind, (22, False))
     style = f'<w:pStyle w:val="{"Title" if kind == "title" else "Heading1"}"/>' if kind in ("title", "heading") else ""
     style += f'<w:numPr><w:ilvl w:val="0"/><w:numId w:val="{_LISTS[kind][0]}"/></w:numPr>' if kind in _LISTS else ""
-    lines = "<w:br/>".join(f'<w:t xml:space="preserve">{escape(x)}</w:t>' for x in ("_" * 78 if kind == "rule" else text).split("\n"))
+    lines = "<w:br/>".join(f'<w:t xml:space="preserve">{_shown(x)}</w:t>' for x in ("_" * 78 if kind == "rule" else text).split("\n"))
     return f'<w:p><w:pPr>{style}</w:pPr><w:r><w:rPr>{"<w:b/>" * bold}<w:sz w:val="{size}"/></w:rPr>{lines}</w:r></w:p>'
 
 
@@ -167,31 +173,6 @@ def pdf_bytes(pieces: list[dict]) -> bytes:
     return bytes(out) + table + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, len(out))
 
 
-def write_documents(documents: DataFrame, kind: str) -> DataFrame:
-    """Writes rows (``path``, ``parts``) as ``docx`` or ``pdf`` files in parallel; (``path``, ``bytes``) of each.
-
-    Paths are URIs of a file system that the workers reach; a repeated task rewrites the same file.
-    """
-    make = {"docx": docx_bytes, "pdf": pdf_bytes}[kind]
-
-    def run(batches):
-        import pyarrow as pa
-        from pyarrow import fs
-
-        for b in batches:
-            paths, sizes = b.column(0).to_pylist(), []
-            for path, pieces in zip(paths, b.column(1).to_pylist()):
-                data = make(pieces)
-                system, name = fs.FileSystem.from_uri(path)
-                system.create_dir(name.rpartition("/")[0], recursive=True)
-                with system.open_output_stream(name) as f:
-                    f.write(data)
-                sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(sizes, pa.int64())], ["path", "bytes"])
-
-    return documents.select("path", "parts").mapInArrow(run, "path string, bytes long")
-
-
 #: Exports by name: flavour, file name stem, and what makes the pieces from analyses.
 EXPORTS = {
     "minutes_docx": ("docx", "minutes_of_meeting", lambda a, info: minutes_document(report_model(a, "docx", info), "docx")),
@@ -204,13 +185,13 @@ EXPORTS = {
 def export(analyses: DataFrame, name: str, directory: str, prepared: DataFrame | None = None, info: str | None = None, at: Column | None = None) -> DataFrame:
     """(``meeting_id``, ``path``): a file per meeting by one of ``EXPORTS``; meetings in ``prepared`` keep the file they have.
 
-    The list is written once, so files are made once.
+    The list is written once, so files are made once; they are committed together, see :mod:`.documents`.
     """
     flavor, stem, make = EXPORTS[name]
     todo = analyses if prepared is None else analyses.join(prepared.select("meeting_id"), "meeting_id", "left_anti")
     path = output_path(F.lit(directory), stem, at if at is not None else F.current_timestamp(), F.col("meeting_id"), flavor)
     rows = written(make(todo, info).select("meeting_id", path.alias("path"), "parts"), "documents")
-    written(write_documents(rows, flavor), "exported")
+    write_documents(rows.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "parts"), flavor, directory)
     made = rows.select("meeting_id", "path")
     return made if prepared is None else prepared.select("meeting_id", "path").unionByName(made)
 

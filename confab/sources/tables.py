@@ -55,8 +55,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) as Spark itself sees them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
 def discard(table: DataFrame) -> None:
     """Deletes the files of a :func:`written` table that nothing reads any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    fs, path = hadoop_path(table.sparkSession, table.written_path)
+    fs.delete(path, True)
