@@ -636,7 +636,7 @@ def upload_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, check = work_path(spark, "upload-log"), work_path(spark, "upload-log-state")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", keyed.ROCKS)
     events = X.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    rows = spark.readStream.schema(events.schema).format("parquet").load(f"{sf_dir}/events.parquet")
+    rows = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     changes = keyed.changed_rows_stream(rows, "event_type", "user_id", "ts", ["event_id"], "0 seconds")
     changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("event_id", "user_id", "event_type")
