@@ -2,7 +2,7 @@
 
 Each batch of texts is cut at forced boundaries (:mod:`.forced_bpe`), the fragments are encoded
 independently and concatenated, so the work is one narrow pass: no shuffle, memory by batches of
-about a megabyte of text (one text at least).
+about half a megabyte of text (one text at least).
 
 Null and empty texts have no ids and decode to the empty text; null ids decode to null, null
 elements and ids that the file does not have to nothing, bytes that are no UTF-8 to U+FFFD.
@@ -20,7 +20,7 @@ from .common import fresh, named, sliced
 from .forced_bpe import byte_bpe
 
 #: Ids that are decoded at once (a longer list is decoded by itself).
-MOST_IDS = 1 << 18
+MOST_IDS = 1 << 17
 
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", ids_col: str = "ids", special: bool = True) -> DataFrame:
@@ -32,7 +32,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text
     def run(batches):
         import pyarrow as pa
 
-        for b in sliced(batches, k, 1 << 20):
+        for b in sliced(batches, k, 1 << 19):
             ids, counts = byte_bpe(path, special).encode([t or "" for t in b.column(k).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))], schema.names)
 

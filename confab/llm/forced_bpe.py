@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 from itertools import repeat
 
@@ -23,7 +24,7 @@ import numpy as np
 from .common import held
 
 #: Distinct fragments, and the length of long ones together, that a worker keeps before it starts afresh.
-MOST_FRAGMENTS, MOST_LONG, LONG = 500_000, 1 << 23, 64
+MOST_FRAGMENTS, MOST_LONG, LONG = 300_000, 1 << 23, 64
 #: Fixed values of the byte-level format: bytes that stand for themselves; the others are U+0100 and on, in order.
 _SHOWN = (*range(33, 127), *range(161, 173), *range(174, 256))
 #: Fixed values of the byte-level pattern: word parts after an apostrophe.
@@ -203,18 +204,14 @@ class ByteBpe:
     """A byte-level BPE file; ``special``: strings of special tokens in a text are those tokens."""
 
     def __init__(self, path: str, special: bool = True):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = not special
-        spec = json.loads(self.tokenizer.to_str())
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.path, self.as_tokens = path, special
         model, before = spec["model"], spec.get("pre_tokenizer") or {}
         byte_of = {chr(b): b for b in _SHOWN} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
         added = spec.get("added_tokens", [])
         self.special = {t["content"]: t["id"] for t in added} if special else {}
-        vocab = {t: i for t, i in model["vocab"].items()} if model["type"] == "BPE" else {}
+        vocab = model["vocab"] if model["type"] == "BPE" else {}
         self.plain = (
             bool(vocab)
             and spec.get("normalizer") is None
@@ -229,7 +226,6 @@ class ByteBpe:
         )
         if not self.plain:
             return
-        self.words = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         as_bytes = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items() if all(c in byte_of for c in t)}
         as_bytes |= {t["id"]: t["content"].encode() for t in added}
         #: The bytes of every id, one after the other; ids that do not exist have none.
@@ -239,18 +235,58 @@ class ByteBpe:
         self.bytes = np.frombuffer(b"".join(as_bytes.get(i, b"") for i in range(len(self.size))), np.uint8)
         self.start = np.cumsum(self.size) - self.size
         self.single = [vocab[c] for c, _ in sorted(byte_of.items(), key=lambda x: x[1])]
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.pairs = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate(merges)}
-        #: Pairs of bytes that stand next to each other inside some token.
-        self.inside = np.zeros(1 << 16, bool)
-        for t in vocab:
-            b = as_bytes.get(vocab[t], b"")
-            for x, y in zip(b, b[1:]):
-                self.inside[x << 8 | y] = True
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.kind = np.full(0x110000, _UNSEEN, np.int8)
+
+    @cached_property
+    def tokenizer(self):
+        """The library's own tokenizer."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        out.encode_special_tokens = not self.as_tokens
+        return out
+
+    @cached_property
+    def words(self):
+        """The library's own pattern."""
+        from tokenizers import pre_tokenizers
+
+        return pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(rank, what the pair becomes) of each pair of ids that merges."""
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        return {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate(merges)}
+
+    @cached_property
+    def inside(self) -> np.ndarray:
+        """Whether two bytes (first << 8 | second) stand next to each other inside some token."""
+        number = self.bytes.astype(np.int64)
+        ends = np.zeros(len(number) + 1, bool)
+        ends[self.start] = True  # no pair goes from one token to the next
+        key = number[:-1] << 8 | number[1:]
+        out = np.zeros(1 << 16, bool)
+        out[key[~ends[1 : len(number)]]] = True
+        return out
+
+    @cached_property
+    def fragments(self) -> Fragments:
         self.merges, self.symbols = Merges(self.pairs), np.array(self.single, np.int64)
-        self.fragments = Fragments(self._encode)
+        return Fragments(self._encode)
+
+    @cached_property
+    def split(self):
+        """Cuts texts around the strings of special tokens."""
+        return re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    @cached_property
+    def kind(self) -> np.ndarray:
+        return np.full(0x110000, _UNSEEN, np.int8)
 
     def _encode(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, new), np.int64, len(new))
