@@ -56,8 +56,13 @@ def decision_lines(decisions: Column, most: int = 3) -> Column:
 def next_steps(actions: Column, decisions: Column, flavor: str = "docx") -> Column:
     """All action sentences, then up to three decisions.  ``pdf`` says there are none whenever there is no action."""
     lines = F.concat(F.transform(actions, next_step), F.transform(decision_lines(decisions), lambda d: F.concat(F.lit("Team will proceed in line with: "), d, F.lit("."))))
+    return F.when(has_steps(actions, decisions, flavor), lines).otherwise(F.array(F.lit(NO_STEPS)))
+
+
+def has_steps(actions: Column, decisions: Column, flavor: str) -> Column:
+    """False where the report says that there are no next steps."""
     none = F.size(actions) == 0 if flavor == "pdf" else (F.size(actions) == 0) & (F.size(decisions) == 0)
-    return F.when(none, F.array(F.lit(NO_STEPS))).otherwise(lines)
+    return ~F.coalesce(none, F.lit(False))
 
 
 def owners_text(actions: Column) -> Column:
@@ -146,10 +151,12 @@ def report_model(analyses: DataFrame, flavor: str = "docx", info: str | None = N
         F.when(F.coalesce(F.try_element_at(infos, F.lit("Source File")), F.lit("")) != "", F.try_element_at(infos, F.lit("Source File"))).alias("source_file"),
         executive_summary(F.col("summary.detailed_summary"), F.col("summary.short_summary"), decisions, actions).alias("executive_summary"),
         topics(F.col("summary.topics_discussed"), flavor).alias("topics"),
+        F.coalesce(F.size("summary.topics_discussed") > 0, F.lit(False)).alias("has_topics"),
         key_points(points).alias("key_points"),
         decision_sentences(decisions).alias("decisions"),
         action_table(actions).alias("action_items"),
         next_steps(actions, decisions, flavor).alias("next_steps"),
+        has_steps(actions, decisions, flavor).alias("has_steps"),
         blocks(text, flavor == "pdf").alias("transcript"),
     )
 
@@ -190,28 +197,36 @@ def minutes_document(model: DataFrame, flavor: str = "docx", by: str = "meeting_
 
     def pieces(m: Column) -> Column:
         info = [part("row", None, [F.lit(k), m["metadata"][f]]) for k, f in (("Date", "date"), ("Duration", "duration"), ("Speakers Detected", "speakers_detected"), ("Generated By", "generated_by"))]
-        no_topics = m["topics"] == F.array(F.lit(NO_TOPICS[flavor]))
         points = F.flatten(F.transform(m["key_points"], lambda p: F.array(part("bullet", p["point"]), part("note", p["source"]))))
         rows = F.transform(m["action_items"], lambda a: part("row", None, [a[k] for k in ("task", "owner", "due_date", "priority", "status")]))
         table = F.concat(F.array(part("columns", None, [F.lit(c) for c in COLUMNS])), rows)
-        no_steps = m["next_steps"] == F.array(F.lit(NO_STEPS))
         return F.concat(
             F.array(part("title", "MINUTES OF MEETING"), *rule, part("strong", m["title"])),
             head("Meeting Information"), F.array(*info),
             head("EXECUTIVE SUMMARY"), parts("paragraph", m["executive_summary"]),
-            head("TOPICS DISCUSSED"), F.when(no_topics, parts("paragraph", m["topics"])).otherwise(parts("bullet", m["topics"])),
+            head("TOPICS DISCUSSED"), F.when(m["has_topics"], parts("bullet", m["topics"])).otherwise(parts("paragraph", m["topics"])),
             head("KEY DISCUSSION POINTS"), F.when(F.size(m["key_points"]) > 0, points).otherwise(F.array(part("paragraph", NO_POINTS))),
             head("DECISIONS TAKEN"), parts("numbered", m["decisions"], NO_DECISIONS),
             head("ACTION ITEMS"), F.when(F.size(m["action_items"]) > 0, table).otherwise(F.array(part("paragraph", NO_ACTIONS))),
-            head("NEXT STEPS"), F.when(no_steps, parts("paragraph", m["next_steps"])).otherwise(parts("bullet", m["next_steps"])),
+            head("NEXT STEPS"), F.when(m["has_steps"], parts("bullet", m["next_steps"])).otherwise(parts("paragraph", m["next_steps"])),
             F.array(*rule, part("end", f"Generated by {generated_by}")),
         )
 
     # the model's columns are bound once, so that none is computed for every use
-    whole = F.struct("title", "metadata", "executive_summary", "topics", "key_points", "decisions", "action_items", "next_steps")
+    whole = F.struct("title", "metadata", "executive_summary", "topics", "has_topics", "key_points", "decisions", "action_items", "next_steps", "has_steps")
     return model.select(by, let(whole, pieces).alias("parts"))
 
 
+#: What the PDF sink's two standard fonts have no letter for.
+_NO_LETTER = r"[^\x00-\x7f\xa0-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
+
+
+def lost_characters(pieces: Column) -> Column:
+    """How many characters of a document the PDF sink shows as question marks."""
+    lost = lambda c: F.coalesce(F.regexp_count(c, F.lit(_NO_LETTER)), F.lit(0))
+    return F.aggregate(pieces, F.lit(0), lambda n, p: n + lost(p["text"]) + lost(F.array_join(F.coalesce(p["cells"], F.array().cast("array<string>")), "")))
+
+
 def transcript_document(analyses: DataFrame, flavor: str = "docx", info: str | None = None, by: str = "meeting_id") -> DataFrame:
     """(``by``, ``parts``): the transcript report, blocks of a speaker header and a body."""
     given = F.try_element_at(F.col(info), F.lit("Source File")) if info else F.lit(None).cast("string")

@@ -9,6 +9,7 @@ rewrites never call the backend twice.
 from __future__ import annotations
 
 import time
+from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Protocol
@@ -23,7 +24,7 @@ from confab.operators.dispatch import Limits, Unavailable, attempt, dispatch, is
 from confab.sources.answers import AnswerStore
 from confab.sources.tables import work_path, written
 
-__all__ = ["Backend", "Calls", "Constant", "Limits", "ModelBackend", "Options", "Summarizer", "Unavailable", "is_unavailable", "status_of", "with_retries"]
+__all__ = ["Backend", "BaseSummarizer", "Calls", "Constant", "Limits", "ModelBackend", "Options", "Summarizer", "Unavailable", "is_unavailable", "status_of", "with_retries"]
 
 
 class Backend(Protocol):
@@ -208,7 +209,29 @@ def run_task(
     return strict(out) if options.strict else out, kept
 
 
-class Summarizer:
+class BaseSummarizer(ABC):
+    """The six verbs that anything which summarises meetings has; each takes meetings and returns a row for each."""
+
+    @abstractmethod
+    def cleanup_transcript(self, meetings: DataFrame | str | list[str]) -> DataFrame: ...
+
+    @abstractmethod
+    def generate_meeting_summary(self, meetings: DataFrame | str | list[str]) -> DataFrame: ...
+
+    @abstractmethod
+    def extract_action_items(self, meetings: DataFrame | str | list[str]) -> DataFrame: ...
+
+    @abstractmethod
+    def extract_decisions(self, meetings: DataFrame | str | list[str]) -> DataFrame: ...
+
+    @abstractmethod
+    def extract_key_discussion_points(self, meetings: DataFrame | str | list[str]) -> DataFrame: ...
+
+    @abstractmethod
+    def analyze_meeting(self, meetings: DataFrame | str | list[str]) -> DataFrame: ...
+
+
+class Summarizer(BaseSummarizer):
     """The six verbs over meetings, with a durable cache for full analyses.
 
     Meetings are a DataFrame with ``meeting_id`` and ``transcript_text``, or texts (numbered from 0).

@@ -18,7 +18,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confab.sources.tables import hadoop_path
+from confab.sources.tables import hadoop_path, read_text
 
 #: How often a writer tries to be the first with the next manifest.
 TRIES = 40
@@ -59,9 +59,7 @@ class KeyedLog:
         """(number of the newest manifest, the generations that it lists, oldest first); one that is being written does not count."""
         for name in reversed(self._manifests()):
             fs, file = hadoop_path(self.spark, f"{self.path}/manifests/{name}")
-            stream = fs.open(file)
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            stream.close()
+            text = read_text(fs, file)
             if text.endswith("]"):
                 return int(name.removesuffix(".json")), json.loads(text)
         return 0, []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import zipfile
 from collections.abc import Callable
 from typing import Protocol
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from confab.functions.payload import batch_failure, parse_speech
 from confab.functions.text import normalise, suffix
 from confab.operators.segments import parse_segments, plain_transcript
-from confab.sources.tables import written
+from confab.sources.tables import hadoop_path, read_text, written
 
 TRANSCRIPT_SUFFIXES = ("docx", "pdf", "txt")
 #: Clips below this go the direct way.
@@ -240,8 +241,28 @@ def first_results(files: DataFrame, by: Column | None = None) -> DataFrame:
     return out.select("job", "r.transcript", "r.language_code", "r.segments", error.alias("error"))
 
 
+def env_file(spark: SparkSession, path: str) -> dict[str, str]:
+    """The settings of a ``.env`` file: ``NAME=value`` lines, ``export`` before them or not, values in quotes or up to a comment.
+
+    Inside double quotes ``\\n``, ``\\t``, ``\\"`` and ``\\\\`` stand for those characters.  Of a repeated name the last counts; a missing file has none.
+    """
+    fs, file = hadoop_path(spark, path)
+    if not fs.exists(file):
+        return {}
+    out = {}
+    for m in re.finditer(_ENV_LINE, read_text(fs, file)):
+        name, double, single, bare = m.groups()
+        shown = {"n": "\n", "t": "\t"}
+        out[name] = re.sub(r"\\(.)", lambda x: shown.get(x[1], x[1]), double) if double is not None else single if single is not None else re.sub(r"(^|\s+)#.*", "", bare or "").strip()
+    return out
+
+
+#: A setting's name, and its value in double quotes, in single quotes or bare.
+_ENV_LINE = r"""(?m)^[ \t]*(?:export[ \t]+)?([A-Za-z_][A-Za-z0-9_.]*)[ \t]*=[ \t]*(?:"((?:[^"\\]|\\.)*)"|'([^']*)'|([^\r\n]*))"""
+
+
 def setting(spark: SparkSession, name: str, env_file: dict[str, str] | None = None) -> str | None:
-    """A setting from the session, the environment or a given table, in this order; blank counts as missing."""
+    """A setting from the session, the environment or a given table (see :func:`env_file`), in this order; blank counts as missing."""
     found = (spark.conf.get(f"spark.confab.{name}", None), os.environ.get(name), (env_file or {}).get(name))
     return next((v.strip() for v in found if v and v.strip()), None)
 

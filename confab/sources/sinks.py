@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confab.functions.clock import SECOND, written_time
-from confab.operators.report import minutes_document, minutes_text, report_model, transcript_document
+from confab.operators.report import lost_characters, minutes_document, minutes_text, report_model, transcript_document
 from confab.sources.documents import write_documents
 from confab.sources.tables import written
 
@@ -183,17 +183,19 @@ EXPORTS = {
 
 
 def export(analyses: DataFrame, name: str, directory: str, prepared: DataFrame | None = None, info: str | None = None, at: Column | None = None) -> DataFrame:
-    """(``meeting_id``, ``path``): a file per meeting by one of ``EXPORTS``; meetings in ``prepared`` keep the file they have.
+    """(``meeting_id``, ``path``, ``lost``): a file per meeting by one of ``EXPORTS``; meetings in ``prepared`` keep the file they have.
 
     The list is written once, so files are made once; they are committed together, see :mod:`.documents`.
+    ``lost`` counts the characters that a PDF shows as question marks, as its fonts are Western European.
     """
     flavor, stem, make = EXPORTS[name]
     todo = analyses if prepared is None else analyses.join(prepared.select("meeting_id"), "meeting_id", "left_anti")
     path = output_path(F.lit(directory), stem, at if at is not None else F.current_timestamp(), F.col("meeting_id"), flavor)
-    rows = written(make(todo, info).select("meeting_id", path.alias("path"), "parts"), "documents")
+    lost = lost_characters(F.col("parts")) if flavor == "pdf" else F.lit(0)
+    rows = written(make(todo, info).select("meeting_id", path.alias("path"), "parts", lost.alias("lost")), "documents")
     write_documents(rows.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "parts"), flavor, directory)
-    made = rows.select("meeting_id", "path")
-    return made if prepared is None else prepared.select("meeting_id", "path").unionByName(made)
+    made = rows.select("meeting_id", "path", "lost")
+    return made if prepared is None else prepared.select("meeting_id", "path", "lost").unionByName(made)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

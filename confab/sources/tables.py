@@ -61,6 +61,15 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
 
 
+def read_text(fs, path) -> str:
+    """A small UTF-8 file, hidden or not."""
+    stream = fs.open(path)
+    try:
+        return SparkSession.active()._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def discard(table: DataFrame) -> None:
     """Deletes the files of a :func:`written` table that nothing reads any more."""
     fs, path = hadoop_path(table.sparkSession, table.written_path)

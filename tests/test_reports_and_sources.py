@@ -196,6 +196,30 @@ def test_settings(spark, monkeypatch):
         spark.conf.unset("spark.confab.CONFAB_KEY")
 
 
+def test_env_files(spark, tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("# head\nKEY_A = plain # note\nexport KEY_B='single # kept'\nKEY_C=\"a\\nb \\\"q\\\"\"\r\nKEY_D=\n KEY_A=last\nnot a line\nKEY_E=x#y\nKEY_F=#none\n")
+    got = files.env_file(spark, f"file://{tmp_path}/.env")
+    assert got == {"KEY_A": "last", "KEY_B": "single # kept", "KEY_C": 'a\nb "q"', "KEY_D": "", "KEY_E": "x#y", "KEY_F": ""}
+    monkeypatch.setenv("KEY_B", "from the environment")
+    assert files.setting(spark, "KEY_A", got) == "last" and files.setting(spark, "KEY_B", got) == "from the environment" and files.setting(spark, "KEY_D", got) is None
+    assert files.env_file(spark, f"file://{tmp_path}/none") == {}
+
+
+def test_stock_sentences_of_a_meeting_stay_its_own(spark):
+    row = (1, "x", ("t", "s", "d", [report.NO_TOPICS["docx"]]), [], [], [("No next steps were identified", None, None, None, "open")])
+    model = report.report_model(spark.createDataFrame([row], ANALYSIS), today=F.lit("d"))
+    pieces = report.minutes_document(model).first()["parts"]
+    assert ("bullet", report.NO_TOPICS["docx"]) in [(p["kind"], p["text"]) for p in pieces] and [p["kind"] for p in pieces if "next steps" in (p["text"] or "")] == ["bullet"]
+
+
+def test_letters_that_a_pdf_loses_are_counted(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "Żółw é €", ("Ж中", "s", "d", ["x"]), [], [], []), (2, "é € “x”", ("t", "s", "d", ["x"]), [], [], [])], ANALYSIS)
+    lost = {r["meeting_id"]: r["lost"] for r in sinks.export(rows, "transcript_pdf", f"file://{tmp_path}/p").collect()}
+    assert lost == {1: 4, 2: 0} and {r["lost"] for r in sinks.export(rows, "transcript_docx", f"file://{tmp_path}/d").collect()} == {0}
+    text = "Żółw é €Ж中\x85"
+    assert spark.range(1).select(report.lost_characters(F.array(F.struct(F.lit("k").alias("kind"), F.lit(text).alias("text"), F.lit(None).cast("array<string>").alias("cells")))).alias("n")).first()["n"] == sum("?" == c.encode("cp1252", "replace").decode("cp1252") for c in text)
+
+
 def test_display_gate_and_nested_text(spark):
     df = spark.createDataFrame([(1, "a", 1), (2, " ", 1), (3, "b", None)], "id int, transcript string, summary int")
     assert [r["id"] for r in report.shown(df).collect()] == [1]
