@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Words are runs of letters and digits in lower case; numbers, names (capitalised inside a
-sentence) and units (after a number) become typed placeholders, and numbers or names in a row
-become one, so that a name of two words fits one of one word.  Windows of the templates of
+Words are runs of letters and digits in lower case; numbers (in digits or words), names
+(capitalised words that are none of the frequent words that begin sentences; never a text's first
+word) and units (after a number) become typed placeholders, and numbers or names in a row become
+one, so that a name of two words fits one of one word.  Windows of the templates of
 documents and items are joined by hash; a window of hardly any other words is hashed as it is
 instead.  Windows on one diagonal, or on diagonals a few words apart (words were put in or
 left out), are one occurrence of the item.  An occurrence counts if enough of the item's
@@ -11,7 +12,8 @@ of the document and the other way round, so a question asked again with other nu
 is caught, and a text that merely has slots in the same places is not.
 
 Null and blank texts have no windows; an empty table gives an empty result.  Items of fewer
-words than a window are searched by windows of their own length, items of fewer than
+words than a window are searched by windows of their own length (with names inside sentences only,
+as a short item may begin a sentence in one text and not in another), items of fewer than
 ``SHORTEST`` are compared with whole documents.  Of several occurrences of an item in a
 document the one with most windows is returned, then the first.  Rows that repeat an id count
 as one document.  Texts of any length are searched whole.  Columns other than the ids and the
@@ -42,38 +44,63 @@ UNITS = (
     "kg g mg lb lbs oz ton tons km m cm mm mile miles foot feet ft inch inches yard yards second seconds minute minutes hour hours day days week weeks "
     "month months year years dollar dollars euro euros cent cents percent liter liters litre litres ml gallon gallons degree degrees mph kmh"
 ).split()
+# Words that are no names when they are capitalised, in English, German, French and Spanish.
+FREQUENT = (
+    "the this that these those there they then than what when where which who whose why how if in is it its an and are as at by do does did each every find for from give given had has have he her his she "
+    "let many much no not of on one our some to two was we were with you your after all because before but can consider calculate compute determine during "
+    "der die das ein eine einen er sie es wir ihr ich und oder aber wenn als wie was wer wo warum welche welcher welches dann im in am an auf aus bei mit nach von vor zu nicht "
+    "le la les un une des il elle nous vous je et ou mais si que qui quoi quand comment pourquoi combien quel dans avec pour sur ce ces "
+    "el los las una nosotros pero como donde cuando quien cual cuantos porque con para por sobre este esta en"
+).split()
+# Numbers in words, in the same languages; words that are articles or units as well are left out.
+NUMERALS = (
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig hundert tausend "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante mille "
+    "dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce veinte treinta cuarenta cincuenta cien mil"
+).split()
 _SEP = "\u001f"
-_NAME, _UNIT = "\u0002", "\u0003"
-# A name (inside a sentence; what is before it is looked at, not consumed, so names can follow each other) and a unit (after a number).
-NAME_PATTERN = r"(?<=[\p{L}\p{N},;)] )(\p{Lu}\p{Ll})"
-UNIT_PATTERN = rf"([0-9] ?)({'|'.join(UNITS)})([^\p{{L}}]|$)"
-_NUMBER, _LETTERS = r"[0-9]+(?:[.,][0-9]+)*\p{L}*", r"[\p{L}\p{N}]+"
-TOKEN_PATTERN = rf"{_NUMBER}(?:[ ,;]+{_NUMBER})*|\x02{_LETTERS}(?: \x02{_LETTERS})*|\x03?{_LETTERS}"
+_NAME, _UNIT, _NUMERAL = "\u0002", "\u0003", "\u0004"
+_BEGINS, _ENDS = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+# A name, a number in words (the text is in lower case then) and a unit (after a number).
+NAME_PATTERN = rf"{_BEGINS}(?=\p{{Lu}}\p{{Ll}})(?!(?:{'|'.join(dict.fromkeys(w.capitalize() for w in FREQUENT + NUMERALS))}){_ENDS})(\p{{Lu}})"
+#: Names inside a sentence only; what is before one is looked at, not consumed, so names can follow each other.
+INSIDE_PATTERN = r"(?<=[\p{L}\p{N},;)] )(\p{Lu}\p{Ll})"
+NUMERAL_PATTERN = rf"(?<![\p{{L}}\p{{N}}\x02])(?=[a-z])({'|'.join(NUMERALS)}){_ENDS}"
+UNIT_PATTERN = rf"([0-9] ?|\x04[a-zü]+ )({'|'.join(UNITS)})([^\p{{L}}]|$)"
+_LETTERS = r"[\p{L}\p{N}]+"
+_NUMBER = rf"(?:[0-9]+(?:[.,][0-9]+)*\p{{L}}*|\x04{_LETTERS})"
+TOKEN_PATTERN = rf"{_NUMBER}(?:[ ,;-]+{_NUMBER})*|\x02{_LETTERS}(?: \x02{_LETTERS})*|\x03?{_LETTERS}"
+
+
+def marked(text: Column, inside: bool = False) -> Column:
+    """The text in lower case, with a mark before names (with ``inside``, only those inside a sentence), numbers in words and units."""
+    t = F.coalesce(text, F.lit(""))
+    t = F.when(t.rlike("[\\x02-\\x04]"), F.translate(t, _NAME + _UNIT + _NUMERAL, "")).otherwise(t)
+    named_ = F.regexp_replace(t, INSIDE_PATTERN if inside else NAME_PATTERN, f"{_NAME}$1")
+    if not inside:
+        named_ = F.regexp_replace(named_, "^([^\\p{L}\\p{N}\\x02]*)\\x02", "$1")
+    low = F.regexp_replace(F.lower(named_), NUMERAL_PATTERN, f"{_NUMERAL}$1")
+    return let(low, lambda m: F.when(m.rlike("[0-9\\x04]"), F.regexp_replace(m, UNIT_PATTERN, f"$1{_UNIT}$2$3")).otherwise(m))
 
 
-def marked(text: Column) -> Column:
-    """The text in lower case, with a mark before names and before units."""
-    t = F.coalesce(text, F.lit(""))
-    t = F.when(t.rlike("[\\x02\\x03]"), F.translate(t, _NAME + _UNIT, "")).otherwise(t)
-    low = F.lower(F.regexp_replace(t, NAME_PATTERN, f"{_NAME}$1"))
-    return let(low, lambda m: F.when(m.rlike("[0-9]"), F.regexp_replace(m, UNIT_PATTERN, f"$1{_UNIT}$2$3")).otherwise(m))
+def is_number(token: Column) -> Column:
+    return ((token >= "0") & (token < ":")) | F.startswith(token, F.lit(_NUMERAL))
 
 
 def template(token: Column) -> Column:
-    number = (token >= "0") & (token < ":")
-    return F.when(number, F.lit("<num>")).when(F.startswith(token, F.lit(_NAME)), F.lit("<name>")).when(F.startswith(token, F.lit(_UNIT)), F.lit("<unit>")).otherwise(token)
+    return F.when(is_number(token), F.lit("<num>")).when(F.startswith(token, F.lit(_NAME)), F.lit("<name>")).when(F.startswith(token, F.lit(_UNIT)), F.lit("<unit>")).otherwise(token)
 
 
 def value(token: Column) -> Column:
     """What a placeholder stands for; null for other words."""
-    number = (token >= "0") & (token < ":")
-    return F.when(number, token).when(token < "\u0004", F.translate(token, _NAME + _UNIT, ""))
+    return F.when(is_number(token) | (token < "\u0005"), F.translate(token, _NAME + _UNIT + _NUMERAL, ""))
 
 
 def window_array(text: Column, width: int, whole: bool = True) -> Column:
     """Array of (``h``, ``slots``: values, in order, null if none) of a text's windows.
 
-    A shorter text is one window if ``whole``, else none.  One nested expression, so that each
+    A shorter text is one window if ``whole``, else none (and names are those inside sentences).  One nested expression, so that each
     step is computed once for whatever follows.
     """
 
@@ -94,12 +121,12 @@ def window_array(text: Column, width: int, whole: bool = True) -> Column:
         return let(F.transform(w, value), lambda v: let(hashes(w), lambda literal: both(v, literal)))
 
     def of(m: Column) -> Column:
-        some = m.rlike("[0-9\\x02\\x03]")
+        some = m.rlike("[0-9\\x02-\\x04]")
         none = F.array().cast("array<struct<h:bigint,slots:string>>")
         each = lambda w: F.when(F.size(w) == 0, none).when(some, slotted(w)).otherwise(plain(w))
         return let(F.regexp_extract_all(m, F.lit(TOKEN_PATTERN), F.lit(0)), each)
 
-    return let(marked(text), of)
+    return let(marked(text, not whole), of)
 
 
 def windows(rows: DataFrame, id_col: str, text_col: str, width: int = WINDOW, whole: bool = True) -> DataFrame:
@@ -119,11 +146,12 @@ def contaminated(
     docs: DataFrame, benchmark: DataFrame, share: float = SHARE, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """Documents that hold an item: ``id_col``, ``item_col``, ``matched`` of ``windows``, ``place`` (word of the template), ``changed`` slots."""
-    words = F.size(F.regexp_extract_all(marked(named(item_text_col)), F.lit(TOKEN_PATTERN), F.lit(0)))
-    lengths = [r["n"] for r in benchmark.select(words.alias("n")).where(f"n >= {SHORTEST} and n < {width}").distinct().collect()]  # fewer than a window's words
+    words = lambda inside: F.size(F.regexp_extract_all(marked(named(item_text_col), inside), F.lit(TOKEN_PATTERN), F.lit(0)))
+    short = benchmark.where(words(False) < width)
+    lengths = [r["n"] for r in short.select(words(True).alias("n")).where(f"n >= {SHORTEST}").distinct().collect()]  # about a window's words at most
     hits = found(docs, windows(benchmark, item_col, item_text_col, width), id_col, text_col, width, True)
     for n in sorted(lengths):
-        hits = hits.unionByName(found(docs, windows(benchmark.where(words == n), item_col, item_text_col, n), id_col, text_col, n, False))
+        hits = hits.unionByName(found(docs, windows(short.where(words(True) == n), item_col, item_text_col, n, False), id_col, text_col, n, False))
     groups = F.array(*[F.struct(F.lit(k).alias("kind"), x.cast("long").alias("line")) for k, x in enumerate((F.col("d"), F.floor(F.col("d") / BAND), F.floor((F.col("d") + BAND // 2) / BAND)))])
     pair = F.when(F.col("a").isNotNull(), F.struct("a", "b"))
     spread = hits.select("id", "item", "windows", "at", "d", pair.alias("pair"), F.explode(groups).alias("g"))

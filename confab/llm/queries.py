@@ -26,12 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _quality_sql() -> str:
-    from .quality import RULES, STOP_WORDS
-
-    stops = ", ".join(f"'{w}'" for s in STOP_WORDS for w in (s, s.capitalize()))
-    broken = " OR ".join(
-        f"(n_words >= {r.from_words} AND (" + " OR ".join([f"{r.measure} < {r.low}"] * (r.low is not None) + [f"{r.measure} > {r.high}"] * (r.high is not None)) + "))" for r in RULES
+    words = (
+        "the of and to in is that it for was with as on be at by this are from or an der die und den von zu das mit sich des auf ist im nicht ein eine de la le "
+        "et les en un une du que est pour dans qui sur au par el los las del y se con por una para su al lo como"
     )
+    stops = ", ".join(f"'{w}'" for s in words.split() for w in (s, s.capitalize()))
+    broken = """mean_word_chars < 1.5 OR mean_word_chars > 25 OR symbols_per_word > 0.5 OR dup_line_ratio > 0.5 OR (n_words >= 200 AND stop_word_ratio < 0.002)
+                    OR (n_words >= 50 AND bullet_line_ratio > 0.95) OR (n_words >= 50 AND ellipsis_line_ratio > 0.5)"""
     return rf"""
 WITH b AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -227,28 +228,49 @@ def _decontamination_sql() -> str:
         "kg|g|mg|lb|lbs|oz|ton|tons|km|m|cm|mm|mile|miles|foot|feet|ft|inch|inches|yard|yards|second|seconds|minute|minutes|hour|hours|day|days|week|weeks|"
         "month|months|year|years|dollar|dollars|euro|euros|cent|cents|percent|liter|liters|litre|litres|ml|gallon|gallons|degree|degrees|mph|kmh"
     )
-    number = r"[0-9]+(?:[.,][0-9]+)*\p{L}*"
-    token = rf"{number}(?:[ ,;]+{number})*|\x02[\p{{L}}\p{{N}}]+(?: \x02[\p{{L}}\p{{N}}]+)*|\x03?[\p{{L}}\p{{N}}]+"
-    # twice, as a name of two letters is consumed with what stands before the next one
-    name = lambda t: rf"regexp_replace({t}, '([\p{{L}}\p{{N}},;)] )(\p{{Lu}}\p{{Ll}})', concat('\1', chr(2), '\2'), 'g')"
-
-    def texts(to: str, table: str, id_col: str) -> str:
+    frequent = (
+        "the|this|that|these|those|there|they|then|than|what|when|where|which|who|whose|why|how|if|in|is|it|its|an|and|are|as|at|by|do|does|did|each|every|find|for|from|give|given|had|has|have|he|her|his|she|"
+        "let|many|much|no|not|of|on|one|our|some|to|two|was|we|were|with|you|your|after|all|because|before|but|can|consider|calculate|compute|determine|during|der|die|das|ein|eine|einen|er|sie|es|wir|ihr|ich|und|oder|aber|wenn|"
+        "als|wie|wer|wo|warum|welche|welcher|welches|dann|im|am|auf|aus|bei|mit|nach|von|vor|zu|nicht|le|la|les|un|une|des|il|elle|nous|vous|je|et|ou|mais|si|que|qui|quoi|quand|comment|pourquoi|combien|quel|dans|avec|"
+        "pour|sur|ce|ces|el|los|las|una|nosotros|pero|como|donde|cuando|quien|cual|cuantos|porque|con|para|por|sobre|este|esta|en"
+    )
+    numerals = (
+        "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|"
+        "zwei|drei|vier|fünf|sechs|sieben|acht|neun|zehn|elf|zwölf|zwanzig|hundert|tausend|"
+        "deux|trois|quatre|cinq|sept|huit|neuf|dix|onze|douze|treize|quatorze|quinze|seize|vingt|trente|quarante|cinquante|soixante|mille|"
+        "dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez|doce|trece|catorce|veinte|treinta|cuarenta|cincuenta|cien|mil"
+    )
+    number = r"(?:[0-9]+(?:[.,][0-9]+)*\p{L}*|\x04[\p{L}\p{N}]+)"
+    token = rf"{number}(?:[ ,;-]+{number})*|\x02[\p{{L}}\p{{N}}]+(?: \x02[\p{{L}}\p{{N}}]+)*|\x03?[\p{{L}}\p{{N}}]+"
+    capital = "|".join(dict.fromkeys(w[0].upper() + w[1:] for w in f"{frequent}|{numerals}".split("|")))
+    # all capitalised words are marked, then the mark is taken from frequent ones (twice, as the character behind one is consumed)
+    name = rf"regexp_replace(t, '(^|[^\p{{L}}\p{{N}}])(\p{{Lu}}\p{{Ll}})', concat('\1', chr(2), '\2'), 'g')"
+    unname = lambda t: rf"regexp_replace({t}, '\x02({capital})([^\p{{L}}\p{{N}}]|$)', '\1\2', 'g')"
+    count = lambda t: rf"regexp_replace({t}, '(^|[^\p{{L}}\p{{N}}\x02])({numerals})([^\p{{L}}\p{{N}}]|$)', concat('\1', chr(4), '\2\3'), 'g')"
+    first = lambda t: rf"regexp_replace({t}, '^([^\p{{L}}\p{{N}}\x02]*)\x02', '\1')"  # noqa: E731  never the first word
+    # names inside a sentence: twice, as a name of two letters is consumed with what stands before the next one
+    inner = lambda t: rf"regexp_replace({t}, '([\p{{L}}\p{{N}},;)] )(\p{{Lu}}\p{{Ll}})', concat('\1', chr(2), '\2'), 'g')"
+    is_number = "((x >= '0' AND x < ':') OR starts_with(x, chr(4)))"
+
+    def texts(to: str, table: str, id_col: str, names: str) -> str:
         return rf"""
-{to}_w AS (SELECT id, regexp_extract_all(regexp_replace(lower({name(name('t'))}), '([0-9] ?)({units})([^\p{{L}}]|$)', concat('\1', chr(3), '\2\3'), 'g'), '{token}') AS w
-  FROM (SELECT {id_col} AS id, regexp_replace(coalesce(text, ''), '[\x02\x03]', '', 'g') AS t FROM {table})),
-{to}_l AS (SELECT id, w, list_transform(w, lambda x: CASE WHEN x >= '0' AND x < ':' THEN '<num>' WHEN starts_with(x, chr(2)) THEN '<name>' WHEN starts_with(x, chr(3)) THEN '<unit>' ELSE x END) AS t,
-    list_transform(w, lambda x: CASE WHEN x >= '0' AND x < ':' THEN x WHEN starts_with(x, chr(2)) OR starts_with(x, chr(3)) THEN replace(replace(x, chr(2), ''), chr(3), '') END) AS v FROM {to}_w WHERE len(w) > 0)"""
+{to}_w AS (SELECT id, regexp_extract_all(regexp_replace({count(count(f"lower({names})"))}, '([0-9] ?|\x04[a-zü]+ )({units})([^\p{{L}}]|$)', concat('\1', chr(3), '\2\3'), 'g'), '{token}') AS w
+  FROM (SELECT {id_col} AS id, regexp_replace(coalesce(text, ''), '[\x02-\x04]', '', 'g') AS t FROM {table})),
+{to}_l AS (SELECT id, w, list_transform(w, lambda x: CASE WHEN {is_number} THEN '<num>' WHEN starts_with(x, chr(2)) THEN '<name>' WHEN starts_with(x, chr(3)) THEN '<unit>' ELSE x END) AS t,
+    list_transform(w, lambda x: CASE WHEN {is_number} OR starts_with(x, chr(2)) OR starts_with(x, chr(3)) THEN replace(replace(replace(x, chr(2), ''), chr(3), ''), chr(4), '') END) AS v FROM {to}_w WHERE len(w) > 0)"""
 
     def windows(of: str, n: str, where: str) -> str:
         """Windows of n words; shorter texts are one."""
         return f"""SELECT id, p, v[p+1:p+{n}] AS v, CASE WHEN len(list_filter(v[p+1:p+{n}], lambda x: x IS NOT NULL)) > {n} - 3 THEN concat('words ', array_to_string(w[p+1:p+{n}], ' ')) ELSE array_to_string(t[p+1:p+{n}], ' ') END AS h
   FROM (SELECT id, t, v, w, unnest(range(0, greatest(len(t) - {n} + 1, 1))) AS p FROM {of}_l WHERE {where})"""
 
+    everywhere, inside = first(unname(unname(name))), inner(inner("t"))
     short = " UNION ALL ".join(
-        f"""SELECT d.id, i.id AS item, 1 AS n, i.p AS spot, d.p - i.p AS place, i.v AS a, d.v AS b FROM ({windows("d", str(n), f"len(t) >= {n}")}) d JOIN ({windows("b", str(n), f"len(t) = {n}")}) i ON d.h = i.h""" for n in range(4, 8)
+        f"""SELECT d.id, i.id AS item, 1 AS n, i.p AS spot, d.p - i.p AS place, i.v AS a, d.v AS b FROM ({windows("e", str(n), f"len(t) >= {n}")}) d
+  JOIN ({windows("c", str(n), f"len(t) = {n} AND id IN (SELECT id FROM b_l WHERE len(t) < 8)")}) i ON d.h = i.h""" for n in range(4, 13)
     )
     return f"""
-WITH {texts("d", "documents", "doc_id")}, {texts("b", "benchmark", "item_id")},
+WITH {texts("d", "documents", "doc_id", everywhere)}, {texts("b", "benchmark", "item_id", everywhere)}, {texts("e", "documents", "doc_id", inside)}, {texts("c", "benchmark", "item_id", inside)},
 dw AS (SELECT *, CASE WHEN c < 8 THEN 'whole' END AS k FROM ({windows("d", "8", "true")}) JOIN (SELECT id, len(t) AS c FROM d_l) USING (id)),
 bw AS (SELECT *, CASE WHEN c < 8 THEN 'whole' END AS k, count(*) OVER (PARTITION BY id) AS n FROM ({windows("b", "8", "true")}) JOIN (SELECT id, len(t) AS c FROM b_l) USING (id)),
 hits AS (SELECT d.id, i.id AS item, n, i.p AS spot, d.p - i.p AS place, i.v AS a, d.v AS b FROM dw d JOIN bw i ON d.h = i.h AND d.k IS NOT DISTINCT FROM i.k UNION ALL {short}),

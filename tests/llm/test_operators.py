@@ -317,6 +317,57 @@ def test_decontamination_of_dense_slots(spark):
     assert set(leaks(spark, [item, names, dense], texts)) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)}
 
 
+def test_decontamination_of_sentences_that_begin_with_names(spark):
+    items = [
+        "Tom has 5 red apples. Anna has 7 green pears. Tom gives 2 apples to Anna. How many apples does Tom have now?",
+        "Maria buys 3 books for 12 dollars each. Maria pays with a note of 50 dollars. How many dollars does Maria get back?",
+        "A farmer has five cows and seven sheep in the barn and sells three of the cows to a neighbour on Monday",
+        "Zwei Züge fahren um acht Uhr in Bremen los. Karl sitzt im ersten Zug und liest drei Bücher bis nach Köln",
+    ]
+    texts = [
+        "x y. " + items[0].replace("Tom", "Bob").replace("Anna", "Lisa").replace("5", "9").replace("7", "3").replace("2", "4"),
+        items[1].replace("Maria", "Clara").replace("12", "15").replace("3", "4").replace("50", "100") + " That is all.",
+        "so " + items[2].replace("five", "nine").replace("seven", "twenty-one").replace("three", "two").replace("Monday", "Friday"),
+        items[3].replace("acht", "neun").replace("drei", "12").replace("Karl", "Uwe"),
+        items[0].replace("Tom gives 2 apples to Anna", "Anna gives 2 apples to Zoe").replace("does Tom", "does Zoe"),
+        "Tom has red hair. Anna has green eyes. They live in a house by the river and like to eat apples and pears every day of the year.",
+    ]
+    got = leaks(spark, items, texts)
+    assert {k for k in got} >= {(1, 1), (2, 2), (3, 3), (4, 4)} and not any(d == 6 for d, _ in got)
+
+
+def test_decontamination_recall_of_word_problems(spark):
+    """Items made of sentences, asked again with every name and number changed; texts of the same words that are other problems stay out."""
+    import random
+
+    r = random.Random(8)
+    names = ["Anna", "Bob", "Clara", "Dirk", "Emma", "Fritz", "Greta", "Hugo", "Ines", "Jack", "Karla", "Liam", "Mona", "Nils", "Olga", "Paul"]
+    things = [f"{a} {b}" for a in ("red", "old", "small", "round", "heavy", "cheap") for b in ("apples", "books", "stones", "boxes", "coins", "lamps", "ropes")]
+    verbs = ["buys", "finds", "sells", "carries", "hides", "paints", "counts", "returns"]
+    places = ["at the market", "near the river", "in the garden", "behind the school", "on the hill", "under the bridge"]
+
+    def problem():
+        who, plan = r.sample(range(16), 2), []
+        for _ in range(r.randint(3, 5)):
+            plan.append((r.choice(who), r.choice(verbs), r.randint(2, 90), r.choice(things), r.choice(places)))
+        ask = f"How many {r.choice(things)} does {{{who[0]}}} have in the end?"
+        return plan, ask
+
+    def told(plan, ask, change):
+        order = list(range(16))
+        if change:
+            order = order[5:] + order[:5]
+        called = [names[k] for k in order]
+        said = " ".join(f"{called[w]} {v} {n + 7 if change else n} {t} {p}." for w, v, n, t, p in plan)
+        return f"{said} {ask.format(*called)}"
+
+    problems = [problem() for _ in range(50)]
+    items = [told(*p, False) for p in problems]
+    texts = ["It is said. " + told(*p, True) for p in problems] + [told(*problem(), False) for _ in range(50)]
+    got = set(leaks(spark, items, texts))
+    assert len([k for k in range(1, 51) if (k, k) in got]) >= 45 and not {d for d, _ in got if d > 50}
+
+
 def test_decontamination_across_diagonals(spark):
     item = "once upon a day the old farmer and Anna drove over a very long road to the market where they sold all apples and pears they had"
     words = item.split()
