@@ -6,8 +6,8 @@ the product over its words, so no single tokenisation is trusted.  Piece probabi
 fitted by expectation maximisation from uniform ones: each round is a Spark job that sums
 expected piece counts of a bounded sample of labelled documents.
 
-Words are maximal runs of letters, lower-cased; runs above 32 letters are scored in parts of
-32.  Null texts and texts without a letter are ``und`` with score 0.  Without any labelled
+Words are maximal runs of letters, lower-cased, of any length; the forward pass over runs above
+``LONG`` letters keeps its sums near one and their logarithms apart.  Null texts and texts without a letter are ``und`` with score 0.  Without any labelled
 document every text is ``und``.  Of equally likely languages the first by name is taken.
 Repeated rows give repeated results; rows without an id are held out.  Texts of any length are
 scored whole, an empty table gives an empty result.
@@ -27,8 +27,8 @@ from .common import held, named, sliced, written
 #: Labelled documents per language that the fit takes, about (all if there are fewer).
 FIT_ROWS = 500
 ROUNDS = 3
-PIECE_CHARS = 10
-PART = 32
+#: Longer runs of letters take the pass with logarithms, one by one.
+LONG = 32
 #: Each letter counts this much in the forward pass, against underflow; taken back in the logarithm.
 SCALE = 20.0
 UNKNOWN = 1e-7
@@ -37,13 +37,13 @@ _WORD = re.compile(r"[^\W\d_]+")
 _BASE, _MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
 
 
-def vocabulary_pieces(path: str, most: int = PIECE_CHARS) -> list[str]:
-    """The distinct lower-cased pieces of a public sentencepiece file, of ``most`` characters at most."""
+def vocabulary_pieces(path: str) -> list[str]:
+    """The distinct lower-cased pieces of letters of a public sentencepiece file."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     every = (sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return sorted({p for p in every if 0 < len(p) <= most and re.fullmatch(r"▁?[^\W\d_]*", p)})
+    return sorted({p for p in every if p and re.fullmatch(r"▁?[^\W\d_]*", p)})
 
 
 def words_of(text: str) -> list[str]:
@@ -51,8 +51,6 @@ def words_of(text: str) -> list[str]:
     found = _WORD.findall(text.lower())
     if not all(map(str.isalpha, found)):
         found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
-    if found and max(map(len, found)) > PART:
-        found = [w[k : k + PART] for w in found for k in range(0, len(w), PART)]
     return found
 
 
@@ -138,10 +136,10 @@ class Model:
         return out
 
     def by_length(self, words: list[str]):
-        """(places, marked words) in groups of one length."""
+        """(places, marked words) in groups of one length, up to the long ones."""
         marked = ["▁" + w for w in words]
         size = np.fromiter(map(len, marked), np.int64, len(marked))
-        for n in np.unique(size).tolist():
+        for n in np.unique(size[size <= LONG + 1]).tolist():
             at = np.flatnonzero(size == n)
             for k in range(0, len(at), 20_000):
                 yield at[k : k + 20_000], [marked[i] for i in at[k : k + 20_000]], n
@@ -151,10 +149,54 @@ class Model:
         for at, some, n in self.by_length(words):
             end = self.forward(self.pieces.lattice(some), n)[n]
             out[at] = np.log(np.maximum(end, 1e-300)) - n * np.log(SCALE)
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                out[k] = self.forward_log(self.edges("▁" + w))[-1]
         return out
 
+    def edges(self, word: str) -> np.ndarray:
+        """(start, length - 1, language): the probability of the piece of each length at each place of one word."""
+        lattice, n = self.pieces.lattice([word]), len(word)
+        out = np.zeros((n, len(lattice), len(self.languages)))
+        for k, ids in enumerate(lattice):
+            out[: n - k, k] = self.probs[ids[0]]
+        out[:, 0] = np.maximum(out[:, 0], UNKNOWN)
+        return out
+
+    @staticmethod
+    def forward_log(edges: np.ndarray) -> np.ndarray:
+        """(place, language): logarithms of the sums over the segmentations of each beginning of a word."""
+        n, most, languages = edges.shape
+        # what ends at a place: row k of it began k + 1 letters before
+        ending = np.zeros((n, most, languages))
+        for k in range(most):
+            ending[k:, k] = edges[: n - k, k]
+        window, scale, out = np.zeros((most, languages)), np.zeros(languages), np.zeros((n + 1, languages))
+        window[0] = 1
+        for i in range(n):
+            total = (ending[i] * window).sum(0)
+            window[1:] = window[:-1]
+            window[0] = total
+            if total.min() < 1e-100:  # edges are probabilities, so sums only shrink
+                window /= total
+                scale += np.log(total)
+            out[i + 1] = np.log(window[0]) + scale
+        return out
+
+    def _expected_long(self, word: str, weights: np.ndarray, total: np.ndarray) -> None:
+        edges, lattice = self.edges("▁" + word), self.pieces.lattice(["▁" + word])
+        n, most, _ = edges.shape
+        turned = np.zeros_like(edges)  # edges by where they end, from the back
+        for k in range(most):
+            turned[: n - k, k] = edges[: n - k, k][::-1]
+        alpha, beta = self.forward_log(edges), self.forward_log(turned)[::-1]
+        for k in range(most):
+            share = np.exp(alpha[: n - k] + beta[k + 1 :] - alpha[n]) * edges[: n - k, k] * weights
+            for c in range(share.shape[1]):
+                total[:, c] += np.bincount(lattice[k][0], share[:, c], self.pieces.n + 1)
+
     def expected(self, words: list[str], weights: np.ndarray) -> np.ndarray:
-        """Expected count of every piece in words that occur ``weights[word, language]`` times."""
+        """Expected count of every piece in (distinct) words that occur ``weights[word, language]`` times."""
         total = np.zeros((self.pieces.n + 1, len(self.languages)))
         for at, some, n in self.by_length(words):
             lattice = self.pieces.lattice(some)
@@ -169,6 +211,9 @@ class Model:
                     add = alpha[i] * self._steps(lattice, i, k) * beta[i + k] * share
                     for c in range(add.shape[1]):
                         total[:, c] += np.bincount(ids, add[:, c], self.pieces.n + 1)
+        for w, own in zip(words, weights):
+            if len(w) > LONG:
+                self._expected_long(w, own, total)
         return total[:-1]
 
     def _know(self, words: set[str]) -> None:

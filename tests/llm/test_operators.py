@@ -294,6 +294,65 @@ def test_forward_pass_sums_all_segmentations():
     assert np.allclose(np.exp(m.log_probs(["abc"]))[0, 0], want)
 
 
+def segmentations(word, names):
+    """All ways to cut a word into pieces of ``names`` or single letters."""
+    if not word:
+        yield ()
+    for k in range(1, len(word) + 1):
+        if word[:k] in names or k == 1:
+            for rest in segmentations(word[k:], names):
+                yield (word[:k], *rest)
+
+
+@pytest.mark.parametrize("long", [32, 3])
+def test_texts_by_all_segmentations(monkeypatch, long):
+    import math
+    import random
+
+    monkeypatch.setattr(langid, "LONG", long)
+    r = random.Random(6)
+    names = sorted({"▁" + "".join(r.choice("abc") for _ in range(r.randint(0, 4))) for _ in range(12)} | {"".join(r.choice("abc") for _ in range(r.randint(1, 13))) for _ in range(40)})
+    raw = np.array([[r.random() for _ in range(3)] for _ in names])
+    probs, prior = raw / raw.sum(0), np.log([0.5, 0.3, 0.2])
+    m = langid.Model(langid.Pieces(names), probs, ["x", "y", "z"], prior)
+    texts = [" ".join("".join(r.choice("abcd") for _ in range(r.choice((1, 2, 5, 9, 14)))) for _ in range(r.randint(1, 4))) + r.choice(("", " 12!", "\nB")) for _ in range(25)] + [None, "", "12 ²½"]
+    counts = np.zeros_like(probs)
+    for text, (lang, score) in zip(texts, m.predict(texts)):
+        words = re.findall("[a-z]+", (text or "").lower())
+        if not words:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        logs = list(prior)
+        for w in words:
+            for c in range(3):
+                each = [(cut, math.prod(max(probs[names.index(p), c] if p in names else 0.0, langid.UNKNOWN if len(p) == 1 else 0.0) for p in cut)) for cut in segmentations("▁" + w, set(names))]
+                whole = math.fsum(v for _, v in each)
+                logs[c] += math.log(whole)
+                for cut, v in each:
+                    for p in cut:
+                        if p in names:
+                            counts[names.index(p), c] += v / whole
+        post = [math.exp(x - max(logs)) for x in logs]
+        assert lang == "xyz"[post.index(1.0)] and abs(score - 1 / sum(post)) < 1e-9
+    from collections import Counter
+
+    seen = Counter(w for t in texts for w in langid.words_of(t or ""))
+    assert np.allclose(m.expected(list(seen), np.array([[n] * 3 for n in seen.values()], float)), counts)
+
+
+def test_every_piece_and_whole_runs_count():
+    names = langid.vocabulary_pieces(queries.pieces())
+    assert max(map(len, names)) == 16
+    r = np.random.default_rng(1)
+    probs = r.random((len(names), 2))
+    m = langid.Model(langid.Pieces(names), probs / probs.sum(0), ["x", "y"], np.zeros(2))
+    run = "donaudampfschifffahrtsgesellschaft" * 600
+    assert langid.words_of(run) == [run]
+    short = m.log_probs(["internationalisierungen"])
+    langid_long = langid.Model.forward_log(m.edges("▁internationalisierungen"))[-1]
+    assert np.allclose(short[0], langid_long) and np.isfinite(m.log_probs([run])).all()
+
+
 def leaks(spark, items, texts):
     b = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
     d = spark.createDataFrame(list(enumerate(texts, 1)), SCHEMA)
