@@ -117,7 +117,30 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _url_sql() -> str:
     contract = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
     rules = " UNION ALL ".join(f"SELECT '{r}' AS rule, '{r.partition('/')[0]}' AS rh, '/{r.partition('/')[2]}' AS rp, '{v}' AS rv" for r, v in contract)
-    second = "regexp_matches(two, '^(ac|co|com|edu|go|gob|gouv|gov|gv|ltd|mil|ne|net|nom|or|org|plc|sch)[.][a-z][a-z]$')"
+    suffixes = (
+        "ac.uk co.uk gov.uk ltd.uk me.uk net.uk nhs.uk org.uk plc.uk police.uk *.sch.uk "
+        "asn.au com.au edu.au gov.au id.au net.au org.au "
+        "ab.ca bc.ca gc.ca mb.ca nb.ca nl.ca ns.ca on.ca qc.ca sk.ca yk.ca "
+        "asso.fr com.fr gouv.fr nom.fr prd.fr tm.fr "
+        "ac.nz co.nz geek.nz gen.nz govt.nz iwi.nz kiwi.nz maori.nz net.nz org.nz school.nz "
+        "ac.in co.in firm.in gen.in gov.in ind.in net.in nic.in org.in res.in "
+        "ad.jp gr.jp lg.jp "
+        "*.kawasaki.jp !city.kawasaki.jp *.kitakyushu.jp !city.kitakyushu.jp *.kobe.jp !city.kobe.jp *.nagoya.jp !city.nagoya.jp "
+        "*.sapporo.jp !city.sapporo.jp *.sendai.jp !city.sendai.jp *.yokohama.jp !city.yokohama.jp "
+        "aichi.jp chiba.jp fukuoka.jp hiroshima.jp hokkaido.jp hyogo.jp kanagawa.jp kyoto.jp nagano.jp okinawa.jp osaka.jp saitama.jp shizuoka.jp tokyo.jp "
+        "adv.br art.br blog.br eng.br ind.br inf.br jus.br leg.br med.br *.nom.br "
+        "*.bd *.ck !www.ck *.er *.fk *.jm *.kh *.mm *.np *.pg "
+        "k12.il muni.il bel.tr k12.tr pol.tr kiev.ua lviv.ua odessa.ua "
+        "br.com cn.com co.com com.de de.com eu.com gb.net jpn.com ru.com sa.com se.net uk.com uk.net us.com za.com "
+        "appspot.com azurewebsites.net blogspot.com cloudfront.net ddns.net duckdns.org dyndns.org firebaseapp.com fly.dev github.io githubusercontent.com gitlab.io glitch.me "
+        "herokuapp.com myshopify.com neocities.org netlify.app no-ip.org onrender.com pages.dev readthedocs.io surge.sh vercel.app web.app webflow.io weebly.com wixsite.com workers.dev "
+        "s3.amazonaws.com *.compute.amazonaws.com *.elb.amazonaws.com "
+    ).split()
+    listed = lambda mark, cut: ", ".join(f"'{x[cut:]}'" for x in suffixes if (x[0] == mark if mark else x[0] not in "*!"))
+    usual = "^(ac|co|com|edu|go|gob|gouv|gov|gv|ltd|mil|ne|net|nom|or|org|plc|sch)[.][a-z][a-z]$|^((cc|k12|lib)[.])?[a-z][a-z][.]us$"
+    end = lambda k: f"array_to_string(l[-{k}:], '.')"
+    is_rule = lambda k: f"len(l) >= {k} AND ({end(k)} IN ({listed('', 0)}) OR regexp_matches({end(k)}, '{usual}')" + (f" OR {end(k - 1)} IN ({listed('*', 2)})" if k > 1 else "") + ")"
+    n_labels = f"CASE WHEN len(l) >= 3 AND {end(3)} IN ({listed('!', 1)}) THEN 2 WHEN len(l) >= 2 AND {end(2)} IN ({listed('!', 1)}) THEN 1 " + " ".join(f"WHEN {is_rule(k)} THEN {k}" for k in (4, 3, 2)) + " ELSE 1 END"
     rho = "least(greatest((q - n * p * p - p * (1 - p) * (g - 1)) / (p * (1 - p) * (n - nn / n - (g - 1))), 0.001), 0.999)"
     k = lambda name, t: f"""{name} AS (SELECT CASE WHEN g < 2 OR p * (1 - p) <= 0 OR n - nn / n - (g - 1) <= 0 THEN 2.0 ELSE 1 / ({rho}) - 1 END AS k, p
   FROM (SELECT count(*) AS g, sum(n)::DOUBLE AS n, sum(n * n)::DOUBLE AS nn, sum(bad * bad / n) AS q, sum(bad) / sum(n) AS p FROM {t}))"""
@@ -127,9 +150,9 @@ b AS (
   SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
 hd AS (
-  SELECT host, CASE WHEN num THEN bare WHEN {second} THEN three ELSE two END AS domain, CASE WHEN num THEN '' WHEN {second} THEN two ELSE l[-1] END AS suffix
-  FROM (SELECT host, bare, l, regexp_matches(bare, '^[0-9.]+$|^\[') AS num, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three
-        FROM (SELECT host, bare, string_split(bare, '.') AS l FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*|\.)$', '') AS bare FROM b)))),
+  SELECT host, CASE WHEN num THEN bare ELSE array_to_string(l[-(n + 1):], '.') END AS domain, CASE WHEN num THEN '' ELSE array_to_string(l[-n:], '.') END AS suffix
+  FROM (SELECT *, {n_labels} AS n
+        FROM (SELECT host, bare, string_split(bare, '.') AS l, regexp_matches(bare, '^[0-9.]+$|^\[') AS num FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*|\.)$', '') AS bare FROM b)))),
 h AS (SELECT host, domain, suffix, count(*) AS n, sum(toxic)::BIGINT AS bad FROM b JOIN labels ON page_id = doc_id JOIN hd USING (host) WHERE toxic IS NOT NULL GROUP BY ALL),
 d AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM h GROUP BY ALL),

@@ -6,8 +6,11 @@ from the spread between the groups of that level (an ANOVA estimate of the intra
 correlation).  A host is blocked where the lower bound of its posterior bad share exceeds a
 threshold.  Hosts without labels inherit their domain's or suffix's prior.
 
-Public suffixes follow a rule: the last label, or the last two where the last is a country's
-(two letters) and the one before is a usual second-level name; further suffixes are a parameter.
+Public suffixes follow rules: a table with wildcards (``*.ck``: every name below) and exceptions
+(``!www.ck``), usual second-level names below countries' domains of two letters, and the states
+of ``us`` with their schools, colleges and libraries.  Exceptions win, then the rule of most labels; with
+none the last label is the suffix.  The registered domain has one label more.  Further rules are a
+parameter, in the same form; the table holds the common ones, not every rule there is.
 
 Posteriors of hosts are sent to all tasks while hosts are few (counted), else joined with salted
 hosts, so a host that holds a third of all pages is no single task.
@@ -30,6 +33,28 @@ from .common import ascii_lower, named, written
 
 # Usual second-level names below countries' domains.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "gv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+# Public suffixes.
+PUBLIC_SUFFIXES = (
+    "ac.uk co.uk gov.uk ltd.uk me.uk net.uk nhs.uk org.uk plc.uk police.uk *.sch.uk "
+    "asn.au com.au edu.au gov.au id.au net.au org.au "
+    "ab.ca bc.ca gc.ca mb.ca nb.ca nl.ca ns.ca on.ca qc.ca sk.ca yk.ca "
+    "asso.fr com.fr gouv.fr nom.fr prd.fr tm.fr "
+    "ac.nz co.nz geek.nz gen.nz govt.nz iwi.nz kiwi.nz maori.nz net.nz org.nz school.nz "
+    "ac.in co.in firm.in gen.in gov.in ind.in net.in nic.in org.in res.in "
+    "ad.jp gr.jp lg.jp "
+    "*.kawasaki.jp !city.kawasaki.jp *.kitakyushu.jp !city.kitakyushu.jp *.kobe.jp !city.kobe.jp *.nagoya.jp !city.nagoya.jp "
+    "*.sapporo.jp !city.sapporo.jp *.sendai.jp !city.sendai.jp *.yokohama.jp !city.yokohama.jp "
+    "aichi.jp chiba.jp fukuoka.jp hiroshima.jp hokkaido.jp hyogo.jp kanagawa.jp kyoto.jp nagano.jp okinawa.jp osaka.jp saitama.jp shizuoka.jp tokyo.jp "
+    "adv.br art.br blog.br eng.br ind.br inf.br jus.br leg.br med.br *.nom.br "
+    "*.bd *.ck !www.ck *.er *.fk *.jm *.kh *.mm *.np *.pg "
+    "k12.il muni.il bel.tr k12.tr pol.tr kiev.ua lviv.ua odessa.ua "
+    "br.com cn.com co.com com.de de.com eu.com gb.net jpn.com ru.com sa.com se.net uk.com uk.net us.com za.com "
+    "appspot.com azurewebsites.net blogspot.com cloudfront.net ddns.net duckdns.org dyndns.org firebaseapp.com fly.dev github.io githubusercontent.com gitlab.io glitch.me "
+    "herokuapp.com myshopify.com neocities.org netlify.app no-ip.org onrender.com pages.dev readthedocs.io surge.sh vercel.app web.app webflow.io weebly.com wixsite.com workers.dev "
+    "s3.amazonaws.com *.compute.amazonaws.com *.elb.amazonaws.com "
+).split()
+# Suffixes below states of ``us``.
+STATE_LEVEL = ("cc", "k12", "lib")
 #: So many hosts are sent to all tasks; beyond, pages and hosts meet under ``SALTS`` keys a host.
 BROADCAST_HOSTS = 1_000_000
 SALTS = 16
@@ -67,20 +92,27 @@ def path_of(url: Column) -> Column:
 def with_domain(hosts: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``domain`` and ``suffix`` to a table with ``host``; ports and user names don't count.
 
-    ``suffixes`` are further public suffixes of two labels.
+    ``suffixes`` are further rules.
     """
+    rules = (*PUBLIC_SUFFIXES, *suffixes)
+    exact, below, but = [r for r in rules if r[0] not in "*!"], [r[2:] for r in rules if r[0] == "*"], [r[1:] for r in rules if r[0] == "!"]
+    most = max(r.count(".") for r in rules) + 1
     bare = F.regexp_replace(F.regexp_replace("host", r"^.*@", ""), r"(:[0-9]*|\.)$", "")
     parts = hosts.select("*", bare.alias("_bare"), F.split(bare, r"\.").alias("_labels"))
     last = lambda k: F.array_join(F.slice("_labels", F.greatest(F.size("_labels") - k + 1, F.lit(1)), k), ".")
-    number = F.col("_bare").rlike(r"^[0-9.]+$|^\[")
-    two = F.col("_two").rlike(rf"^(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$")
-    if suffixes:
-        two = two | F.col("_two").isin(list(suffixes))
-    parts = parts.select("*", last(1).alias("_one"), last(2).alias("_two"), last(3).alias("_three"), number.alias("_number"))
+    usual = rf"^(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$|^(?:(?:{'|'.join(STATE_LEVEL)})\.)?[a-z]{{2}}\.us$"
+    length, except_ = F.lit(1), F.lit(None).cast("int")
+    for k in range(1, most + 1):
+        name, enough = F.col(f"_{k}"), F.size("_labels") >= k
+        rule = name.isin(exact) | name.rlike(usual) | (F.col(f"_{k - 1}").isin(below) if k > 1 else F.lit(False))
+        length = F.when(enough & rule, k).otherwise(length)
+        except_ = F.coalesce(except_, F.when(enough & name.isin(but), k - 1))
+    parts = parts.select("*", bare.rlike(r"^[0-9.]+$|^\[").alias("_number"), *[last(k).alias(f"_{k}") for k in range(1, most + 1)])
+    parts = parts.select("*", F.coalesce(except_, length).alias("_n"))
     return parts.select(
         *hosts.columns,
-        F.when(F.col("_number"), F.col("_bare")).when(two, F.col("_three")).otherwise(F.col("_two")).alias("domain"),
-        F.when(F.col("_number"), F.lit("")).when(two, F.col("_two")).otherwise(F.col("_one")).alias("suffix"),
+        F.when(F.col("_number"), F.col("_bare")).otherwise(last(F.col("_n") + 1)).alias("domain"),
+        F.when(F.col("_number"), F.lit("")).otherwise(last(F.col("_n"))).alias("suffix"),
     )
 
 

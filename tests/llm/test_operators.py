@@ -165,6 +165,13 @@ def test_url_suffixes_and_salted_hosts(spark, monkeypatch):
     got = {r["host"]: (r["domain"], r["suffix"]) for r in url_filter.with_domain(spark.createDataFrame([(h,) for h in hosts], "host string")).collect()}
     assert got["a.b.co.uk"] == got["b.co.uk"] == ("b.co.uk", "co.uk") and got["y.x.com"] == got["x.com"] == ("x.com", "com")
     assert got["user@h.example.org:80"] == ("example.org", "org") and got["10.0.0.1"] == ("10.0.0.1", "") and got["z.or.at."] == ("z.or.at", "or.at")
+    rules = {
+        "x.k12.ca.us": ("x.k12.ca.us", "k12.ca.us"), "a.x.ca.us": ("x.ca.us", "ca.us"), "a.city.kawasaki.jp": ("city.kawasaki.jp", "kawasaki.jp"), "a.b.c.kawasaki.jp": ("b.c.kawasaki.jp", "c.kawasaki.jp"),
+        "a.b.github.io": ("b.github.io", "github.io"), "github.io": ("github.io", "github.io"), "www.shop.com.de": ("shop.com.de", "com.de"), "x.y.foo.ck": ("y.foo.ck", "foo.ck"), "a.www.ck": ("www.ck", "ck"),
+        "i.eu-1.compute.amazonaws.com": ("i.eu-1.compute.amazonaws.com", "eu-1.compute.amazonaws.com"), "a.amazonaws.com": ("amazonaws.com", "com"), "a.b.own.test": ("b.own.test", "own.test"),
+    }
+    found = url_filter.with_domain(spark.createDataFrame([(h,) for h in rules], "host string"), ("own.test",)).collect()
+    assert {r["host"]: (r["domain"], r["suffix"]) for r in found} == rules
     pages = spark.createDataFrame([(i, f"http://h{i % 7}.org/{i}") for i in range(200)] + [(5, "http://h5.org/5"), (None, None)], "page_id long, url string").select("*", F.lit(1).alias("host"), F.lit(2).alias("salt"), F.lit(3).alias("bad"))
     outcomes = spark.createDataFrame([(i, int(i % 7 < 3)) for i in range(0, 200, 2)] + [(3, None)], "page_id long, bad int").select("*", F.lit("z").alias("path"))
     show = lambda df: sorted(map(repr, df.collect()))
