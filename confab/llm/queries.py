@@ -277,7 +277,7 @@ def _decontamination_sql() -> str:
 
     def texts(to: str, table: str, id_col: str, names: str) -> str:
         return rf"""
-{to}_w AS (SELECT id, regexp_extract_all(regexp_replace({count(count(f"lower({names})"))}, '([0-9] ?|\x04[a-zü]+ )({units})([^\p{{L}}]|$)', concat('\1', chr(3), '\2\3'), 'g'), '{token}') AS w
+{to}_w AS (SELECT id, regexp_extract_all(regexp_replace({count(count(f"lower({names})"))}, '([0-9] ?)({units})([^\p{{L}}]|$)', concat('\1', chr(3), '\2\3'), 'g'), '{token}') AS w
   FROM (SELECT {id_col} AS id, regexp_replace(coalesce(text, ''), '[\x02-\x04]', '', 'g') AS t FROM {table})),
 {to}_l AS (SELECT id, w, list_transform(w, lambda x: CASE WHEN {is_number} THEN '<num>' WHEN starts_with(x, chr(2)) THEN '<name>' WHEN starts_with(x, chr(3)) THEN '<unit>' ELSE x END) AS t,
     list_transform(w, lambda x: CASE WHEN {is_number} OR starts_with(x, chr(2)) OR starts_with(x, chr(3)) THEN replace(replace(replace(x, chr(2), ''), chr(3), ''), chr(4), '') END) AS v FROM {to}_w WHERE len(w) > 0)"""
