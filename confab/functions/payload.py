@@ -71,6 +71,7 @@ class Items:
     one_of: tuple[str, tuple[str, ...]] | None = None
 
 
+# Keys, fields and what a response without its list is told.
 ACTIONS = Items(
     "action_items", "Action item", "Action item response must include an action_items list.",
     (("task", "text"), ("owner", "optional"), ("due_date", "optional"), ("timestamp", "optional"), ("status", "text")), (("task", "task"), ("status", "status")),

@@ -21,6 +21,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+class E:
+    """What the SQL expects, written out once more: nothing here is read from the code under test."""
+
+    RANGE = r"\[([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)\s*-\s*([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)\]"
+    CLEANUP = {"lets": "let's", "teh": "the", "api": "API", "rahul": "Rahul", "okay": "Okay"}
+    DECISIONS_RESPONSE = "Decision response must include a decisions list."
+    ACTIONS_RESPONSE = "Action item response must include an action_items list."
+    COLUMNS = ("Task", "Owner", "Due Date", "Priority", "Status")
+    HIGH = ("urgent", "today", "tomorrow", "blocked", "critical")
+    MEDIUM = ("this week", "friday", "next demo", "review", "validate")
+    NO_ACTIONS = "No action items were extracted."
+    NO_DECISIONS = "No decisions were extracted."
+    NO_STEPS = "No next steps were identified."
+    STOCK = "The meeting covered the listed agenda items and produced the outcomes captured in this report."
+    TRANSCRIPT_TITLES = {"docx": "Minutes of Meeting", "pdf": "Transcript Report"}
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -128,7 +145,7 @@ _SECONDS = "list_reduce(list_transform(string_split({x}, ':'), lambda v: CAST(v
 
 
 @query(rf"""
-WITH {X.TEXTS}, r AS (SELECT meeting_id, regexp_extract_all(transcript_text, '{metrics.RANGE}', 1) AS a, regexp_extract_all(transcript_text, '{metrics.RANGE}', 2) AS b FROM texts),
+WITH {X.TEXTS}, r AS (SELECT meeting_id, regexp_extract_all(transcript_text, '{E.RANGE}', 1) AS a, regexp_extract_all(transcript_text, '{E.RANGE}', 2) AS b FROM texts),
 s AS (SELECT meeting_id, CASE WHEN len(a) > 0 THEN {_SECONDS.format(x="a[1]")} END AS f, CASE WHEN len(b) > 0 THEN {_SECONDS.format(x="b[-1]")} END AS l FROM r)
 SELECT meeting_id, CASE WHEN l > f THEN concat(greatest(1, CAST(round_even((l - f) / 60, 0) AS BIGINT)), ' min') ELSE 'N/A' END AS duration FROM s""")
 def transcript_duration_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +185,7 @@ def transcript_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CLEAN = "x"
-for _k, _v in text.CLEANUP.items():
+for _k, _v in E.CLEANUP.items():
     _CLEAN = f"regexp_replace({_CLEAN}, '(?i)\\b{_k}\\b', '{_v.replace(chr(39), chr(39) * 2)}', 'g')"
 
 
@@ -196,7 +213,7 @@ def _shape_errors(one: str, response: str, checks: str) -> str:
 _BAD_DECISION = "list_filter(list_transform(range(1, len(items) + 1), lambda i: CASE WHEN items[i].decision = '' THEN concat('Decision ', i, ' is missing decision text.') END), lambda e: e IS NOT NULL)[1]"
 _DECISION_ROWS = f"""
 WITH {X.DECISIONS}, {_answers("a", "decided", "{'decision': decision, 'confidence': lower(trim(confidence))}", "decisions")},
-e AS (SELECT *, {_shape_errors("Decision", payload.DECISIONS.response, _BAD_DECISION)} AS error FROM a)"""
+e AS (SELECT *, {_shape_errors("Decision", E.DECISIONS_RESPONSE, _BAD_DECISION)} AS error FROM a)"""
 
 
 @query(f"""{_DECISION_ROWS}
@@ -214,7 +231,7 @@ def payload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ACTION_ROWS = f"""
 WITH {X.ACTIONS}, {_answers("a", "actions", "{'task': task, 'owner': owner, 'due_date': due_date, 'status': status}", "action_items")},
-e AS (SELECT *, {_shape_errors("Action item", payload.ACTIONS.response, "NULL")} AS error FROM a)"""
+e AS (SELECT *, {_shape_errors("Action item", E.ACTIONS_RESPONSE, "NULL")} AS error FROM a)"""
 
 
 @query(f"""{_ACTION_ROWS}
@@ -285,7 +302,7 @@ j AS (SELECT *, CASE WHEN k = 0 THEN 'Meeting summary response is not valid JSON
   WHEN k = 8 AND list_contains(ds, '') THEN concat('Decision ', list_position(ds, ''), ' is missing decision text.')
   WHEN k = 7 AND steps IS NOT NULL THEN 'Action item 1 is missing status.' END AS error
   FROM h LEFT JOIN ds USING (meeting_id) LEFT JOIN ac USING (meeting_id))""".replace(
-    "{priority}", f"CASE WHEN regexp_matches(x, '{'|'.join(report.HIGH)}') THEN 'High' WHEN regexp_matches(x, '{'|'.join(report.MEDIUM)}') THEN 'Medium' ELSE 'Low' END"
+    "{priority}", f"CASE WHEN regexp_matches(x, '{'|'.join(E.HIGH)}') THEN 'High' WHEN regexp_matches(x, '{'|'.join(E.MEDIUM)}') THEN 'Medium' ELSE 'Low' END"
 )
 
 
@@ -306,7 +323,7 @@ def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SENTENCE = "concat(upper(x[1]), x[2:], CASE WHEN right(x, 1) IN ('.', '?', '!') THEN '' ELSE '.' END)"
 _MODEL = rf"""{_ANALYSIS},
-t AS (SELECT *, regexp_extract_all(transcript_text, '{metrics.RANGE}', 1) AS f, regexp_extract_all(transcript_text, '{metrics.RANGE}', 2) AS l, len(list_distinct(regexp_extract_all(transcript_text, '(?m)^(Speaker\s+\S+)', 1))) AS n FROM j WHERE error IS NULL),
+t AS (SELECT *, regexp_extract_all(transcript_text, '{E.RANGE}', 1) AS f, regexp_extract_all(transcript_text, '{E.RANGE}', 2) AS l, len(list_distinct(regexp_extract_all(transcript_text, '(?m)^(Speaker\s+\S+)', 1))) AS n FROM j WHERE error IS NULL),
 t2 AS (SELECT *, CASE WHEN len(f) > 0 THEN {_SECONDS.format(x="f[1]")} END AS began, CASE WHEN len(l) > 0 THEN {_SECONDS.format(x="l[-1]")} END AS ended FROM t),
 model AS (SELECT meeting_id, transcript_text, concat('Meeting ', meeting_id) AS title, '2024-01-01' AS date, CASE WHEN ended > began THEN concat(greatest(1, CAST(round_even((ended - began) / 60, 0) AS BIGINT)), ' min') ELSE 'N/A' END AS duration,
   CASE WHEN n > 0 THEN CAST(n AS VARCHAR) ELSE 'N/A' END AS speakers,
@@ -315,7 +332,7 @@ model AS (SELECT meeting_id, transcript_text, concat('Meeting ', meeting_id) AS
   list_transform(range(1, least(meeting_id % 11, 8) + 1), lambda i: concat('topic ', i)) AS topics,
   list_transform(range(1, least(meeting_id % 9 + 1, 6) + 1), lambda i: {{{{'point': concat('Point ', i), 'source': concat('Timestamp: ', CASE WHEN i % 2 = 0 THEN concat('00:0', i) ELSE 'N/A' END, ' | Speaker(s): Speaker 1')}}}}) AS points,
   list_transform(coalesce(ds, []), lambda x: {_SENTENCE}) AS sentences, coalesce(rows, []) AS rows,
-  CASE WHEN steps IS NULL AND ds IS NULL THEN ['{report.NO_STEPS}'] ELSE list_concat(coalesce(steps, []), list_transform(coalesce(phrases, [])[1:3], lambda x: concat('Team will proceed in line with: ', x, '.'))) END AS next
+  CASE WHEN steps IS NULL AND ds IS NULL THEN ['{E.NO_STEPS}'] ELSE list_concat(coalesce(steps, []), list_transform(coalesce(phrases, [])[1:3], lambda x: concat('Team will proceed in line with: ', x, '.'))) END AS next
   FROM t2)""".replace("{{", "{").replace("}}", "}")
 
 
@@ -342,13 +359,13 @@ def _document_sql(flavor: str) -> str:
     rule = [one("rule", "NULL")] if flavor == "docx" else []
     head = lambda t: one("heading", f"'{t}'")
     none = f"len(rows) = 0 AND len(sentences) = 0" if flavor == "docx" else "len(rows) = 0"
-    steps = f"CASE WHEN {none} THEN {one('paragraph', chr(39) + report.NO_STEPS + chr(39))} ELSE {each('bullet', 'next')} END"
+    steps = f"CASE WHEN {none} THEN {one('paragraph', chr(39) + E.NO_STEPS + chr(39))} ELSE {each('bullet', 'next')} END"
     parts = [
         one("title", "'MINUTES OF MEETING'"), *rule, one("strong", "title"), head("Meeting Information"), each("row", "[concat('Date | ', date), concat('Duration | ', duration), concat('Speakers Detected | ', speakers), 'Generated By | confab']"),
         head("EXECUTIVE SUMMARY"), each("paragraph", "paras"), head("TOPICS DISCUSSED"), each("bullet", "topics"), head("KEY DISCUSSION POINTS"),
         "flatten(list_transform(points, lambda x: [{'kind': 'bullet', 'text': x.point}, {'kind': 'note', 'text': x.source}]))",
-        head("DECISIONS TAKEN"), f"CASE WHEN len(sentences) > 0 THEN {each('numbered', 'sentences')} ELSE {one('paragraph', chr(39) + report.NO_DECISIONS + chr(39))} END",
-        head("ACTION ITEMS"), f"CASE WHEN len(rows) > 0 THEN list_concat({one('columns', chr(39) + ' | '.join(report.COLUMNS) + chr(39))}, {each('row', 'rows')}) ELSE {one('paragraph', chr(39) + report.NO_ACTIONS + chr(39))} END",
+        head("DECISIONS TAKEN"), f"CASE WHEN len(sentences) > 0 THEN {each('numbered', 'sentences')} ELSE {one('paragraph', chr(39) + E.NO_DECISIONS + chr(39))} END",
+        head("ACTION ITEMS"), f"CASE WHEN len(rows) > 0 THEN list_concat({one('columns', chr(39) + ' | '.join(E.COLUMNS) + chr(39))}, {each('row', 'rows')}) ELSE {one('paragraph', chr(39) + E.NO_ACTIONS + chr(39))} END",
         head("NEXT STEPS"), steps, *rule, one("end", "'Generated by confab'"),
     ]
     return f"""WITH {_MODEL}, d AS (SELECT meeting_id, list_concat({', '.join(parts)}) AS parts FROM model)
@@ -373,7 +390,7 @@ def _transcript_sql(flavor: str) -> str:
     text = f"trim(array_to_string({lines}[2:], chr(10)), concat(' ', chr(10)))" if flavor == "docx" else f"array_to_string(list_filter({lines}[2:], lambda l: l <> ''), ' ')"
     return rf"""
 WITH {X.TEXTS}, b AS (SELECT meeting_id, list_transform(list_filter(string_split_regex(trim(transcript_text, concat(' ', chr(10))), '\n\s*\n'), lambda x: trim(x, concat(' ', chr(10))) <> ''), lambda x: {{'header': {lines}[1], 'body': {text}}}) AS b FROM texts),
-d AS (SELECT meeting_id, list_concat([{{'kind': 'title', 'text': CASE WHEN meeting_id % 4 = 0 THEN '{report.TRANSCRIPT_TITLES[flavor]}' ELSE concat('Meeting ', meeting_id) END}}, {{'kind': 'note', 'text': 'Transcript Report'}}],
+d AS (SELECT meeting_id, list_concat([{{'kind': 'title', 'text': CASE WHEN meeting_id % 4 = 0 THEN '{E.TRANSCRIPT_TITLES[flavor]}' ELSE concat('Meeting ', meeting_id) END}}, {{'kind': 'note', 'text': 'Transcript Report'}}],
   CASE WHEN meeting_id % 3 = 0 THEN [{{'kind': 'paragraph', 'text': concat('Source Audio File: ', meeting_id, '.wav')}}] ELSE [] END, [{{'kind': 'heading', 'text': 'Cleaned Transcript'}}],
   flatten(list_transform(b, lambda y: CASE WHEN y.body <> '' THEN list_concat({strong}, {body}) ELSE {strong} END))) AS parts FROM b)
 SELECT meeting_id, CAST(i - 1 AS BIGINT) AS ord, parts[i].kind AS kind, parts[i].text AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM d)"""
@@ -499,7 +516,7 @@ def phrases_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {X.ACTIONS}, t AS (SELECT *, lower(concat_ws(' ', task, coalesce(due_date, ''), status)) AS x FROM actions)
-SELECT meeting_id, ord, coalesce(owner, 'Unassigned') AS owner, coalesce(due_date, 'N/A') AS due_date, CASE WHEN regexp_matches(x, '{"|".join(report.HIGH)}') THEN 'High' WHEN regexp_matches(x, '{"|".join(report.MEDIUM)}') THEN 'Medium' ELSE 'Low' END AS priority FROM t""")
+SELECT meeting_id, ord, coalesce(owner, 'Unassigned') AS owner, coalesce(due_date, 'N/A') AS due_date, CASE WHEN regexp_matches(x, '{"|".join(E.HIGH)}') THEN 'High' WHEN regexp_matches(x, '{"|".join(E.MEDIUM)}') THEN 'Medium' ELSE 'Low' END AS priority FROM t""")
 def action_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = X.action_items(spark, sf_dir).select("meeting_id", "ord", "owner", "due_date", F.struct("task", "owner", "due_date", "status").alias("a"))
     return a.select("meeting_id", "ord", text.or_else(F.col("owner"), "Unassigned").alias("owner"), text.or_else(F.col("due_date"), "N/A").alias("due_date"), report.priority(F.col("a")).alias("priority"))
@@ -524,13 +541,13 @@ def next_steps_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lists(spark, sf_dir).select("meeting_id", F.array_join(report.next_steps(F.col("actions"), F.col("decided"), "docx"), "\n").alias("next_steps"))
 
 
-@query(f"WITH {_LISTS} SELECT meeting_id, CASE WHEN steps IS NULL THEN '{report.NO_STEPS}' ELSE {_STEPS} END AS next_steps FROM j")
+@query(f"WITH {_LISTS} SELECT meeting_id, CASE WHEN steps IS NULL THEN '{E.NO_STEPS}' ELSE {_STEPS} END AS next_steps FROM j")
 def next_steps_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lists(spark, sf_dir).select("meeting_id", F.array_join(report.next_steps(F.col("actions"), F.col("decided"), "pdf"), "\n").alias("next_steps"))
 
 
 @query(f"""WITH {_LISTS}
-SELECT meeting_id, array_to_string(list_filter([CASE WHEN meeting_id % 3 = 0 THEN '{report.STOCK}' ELSE 'The meeting focused on orders.' END,
+SELECT meeting_id, array_to_string(list_filter([CASE WHEN meeting_id % 3 = 0 THEN '{E.STOCK}' ELSE 'The meeting focused on orders.' END,
   CASE WHEN len(coalesce(phrases, [])) > 0 THEN concat('Key decisions included ', array_to_string(phrases, '; '), '.') END,
   CASE WHEN steps IS NOT NULL THEN concat('Follow-up activities were assigned to ', CASE WHEN len(coalesce(owners, [])) > 0 THEN array_to_string(owners[1:4], ', ') ELSE 'the assigned owners' END, ', with progress to be tracked through the action items below.') END],
   lambda x: x IS NOT NULL), chr(10)) AS summary FROM j""")
@@ -547,7 +564,7 @@ def topk_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH {X.TEXTS}, r AS (SELECT meeting_id, transcript_text, regexp_extract_all(transcript_text, '{metrics.RANGE}', 1) AS a, regexp_extract_all(transcript_text, '{metrics.RANGE}', 2) AS b FROM texts),
+WITH {X.TEXTS}, r AS (SELECT meeting_id, transcript_text, regexp_extract_all(transcript_text, '{E.RANGE}', 1) AS a, regexp_extract_all(transcript_text, '{E.RANGE}', 2) AS b FROM texts),
 s AS (SELECT *, CASE WHEN len(a) > 0 THEN {_SECONDS.format(x="a[1]")} END AS f, CASE WHEN len(b) > 0 THEN {_SECONDS.format(x="b[-1]")} END AS l, len(list_distinct(regexp_extract_all(transcript_text, '(?m)^(Speaker\s+\S+)', 1))) AS n FROM r)
 SELECT meeting_id, CASE meeting_id % 3 WHEN 0 THEN '2024-05-01' WHEN 1 THEN '2024-06-01' ELSE '2024-01-01' END AS date,
   CASE WHEN meeting_id % 2 = 0 THEN '1 hour' WHEN l > f THEN concat(greatest(1, CAST(round_even((l - f) / 60, 0) AS BIGINT)), ' min') ELSE 'N/A' END AS duration, CASE WHEN n > 0 THEN CAST(n AS VARCHAR) ELSE 'N/A' END AS speakers_detected FROM s""")

@@ -58,6 +58,7 @@ def pdf_text(data: bytes) -> str:
     return "\n\n".join(p for p in pages if p)
 
 
+# The messages of this function and of those below for files that are refused.
 def extract(kind: str, data: bytes) -> tuple[str | None, str | None]:
     """(text, error) of one file's bytes."""
     if kind not in TRANSCRIPT_SUFFIXES:
