@@ -136,8 +136,12 @@ def hash_array(text: Column, width: int, whole: bool = True) -> Column:
         return F.when(F.size(w) < width, F.array(F.size(F.filter(w, is_slot)))).otherwise(let(flags, lambda f: window_sums(f, width)))
 
     def slotted(w: Column) -> Column:
-        both = F.zip_with(let(F.transform(w, template), hashes), hashes(w), lambda t, x: F.struct(t.alias("t"), x.alias("x")))
-        return F.filter(F.zip_with(both, counts(w), lambda b, n: F.when(n > width - LITERALS, F.xxhash64(b["x"], F.lit(1))).otherwise(b["t"])), lambda h: h.isNotNull())
+        ours = let(F.transform(w, template), hashes)
+        literal = lambda n: n > width - LITERALS
+        both = F.zip_with(ours, hashes(w), lambda t, x: F.struct(t.alias("t"), x.alias("x")))
+        mixed = lambda c: F.filter(F.zip_with(both, c, lambda b, n: F.when(literal(n), F.xxhash64(b["x"], F.lit(1))).otherwise(b["t"])), lambda h: h.isNotNull())
+        # words are hashed for the few texts alone that have such a window
+        return let(counts(w), lambda c: F.when(F.exists(c, literal), mixed(c)).otherwise(ours))
 
     def of(m: Column) -> Column:
         none = F.array().cast("array<bigint>")
