@@ -655,6 +655,21 @@ def test_copies_of_texts_do_not_hide_what_they_share_with_others(spark, all_pair
     assert {x["members"] for d in range(whole, len(rows)) for x in got[d]} == {50}
 
 
+def test_similar_passages_do_not_hide_behind_common_signatures(spark):
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
+    rows, twins = [], []
+    for _ in range(6):
+        q = words(120)
+        # many texts hold a part too short to be a passage, so the signatures of the whole are common
+        for part in (q[:40], q[41:80], q[81:]):
+            rows += [words(60) + part + words(60) for _ in range(20)]
+        twins.append((len(rows), len(rows) + 1))
+        rows += [words(30) + q[:40] + ["x"] + q[41:] + words(30), words(30) + q[:80] + ["y"] + q[81:] + words(30)]
+    found = compact_windows.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], SCHEMA), all_pairs=2, leaders=1).collect()
+    assert {x["doc_id"]: x["class_id"] for x in found} == {d: a for a, b in twins for d in (a, b)}
+
+
 def test_repeats_inside_and_across_documents(spark):
     import random
 
