@@ -77,7 +77,7 @@ NAME_PATTERN = rf"(?=\p{{Lu}}\p{{Ll}}){_BEGINS}(?!{_any_of(w.capitalize() for w
 #: Names inside a sentence only; what is before one is looked at, not consumed, so names can follow each other.
 INSIDE_PATTERN = r"(?<=[\p{L}\p{N},;)] )(\p{Lu}\p{Ll})"
 UNIT_PATTERN = rf"([0-9] ?)({'|'.join(UNITS)})([^\p{{L}}]|$)"
-_LETTERS = r"[\p{L}\p{N}]+"
+_LETTERS = r"[a-z0-9\p{L}\p{N}]+"  # the plain ones first: they are looked up at once
 _NUMBER = rf"(?:[0-9]+(?:[.,][0-9]+)*\p{{L}}*|{_any_of(NUMERALS)}{_ENDS})"
 TOKEN_PATTERN = rf"{_NUMBER}(?:[ ,;-]+{_NUMBER})*|\x02{_LETTERS}(?: \x02{_LETTERS})*|\x03?{_LETTERS}"
 
@@ -131,22 +131,26 @@ def hash_array(text: Column, width: int, whole: bool = True) -> Column:
         one = F.array(F.xxhash64(F.array_join(t, " "), F.lit(width))) if whole else F.array().cast("array<bigint>")
         return F.when(F.size(t) < width, one).otherwise(window_hashes(t, width))
 
-    def counts(w: Column) -> Column:
-        flags = F.transform(w, lambda x: F.when(is_slot(x), 1).otherwise(0))
-        return F.when(F.size(w) < width, F.array(F.size(F.filter(w, is_slot)))).otherwise(let(flags, lambda f: window_sums(f, width)))
+    # of all templates only placeholders begin below the letters
+    slot = lambda x: x < "="
 
-    def slotted(w: Column) -> Column:
-        ours = let(F.transform(w, template), hashes)
+    def counts(t: Column) -> Column:
+        flags = F.transform(t, lambda x: F.when(slot(x), 1).otherwise(0))
+        return F.when(F.size(t) < width, F.array(F.size(F.filter(t, slot)))).otherwise(let(flags, lambda f: window_sums(f, width)))
+
+    def slotted(w: Column, t: Column) -> Column:
         literal = lambda n: n > width - LITERALS
+        ours = hashes(t)
         both = F.zip_with(ours, hashes(w), lambda t, x: F.struct(t.alias("t"), x.alias("x")))
         mixed = lambda c: F.filter(F.zip_with(both, c, lambda b, n: F.when(literal(n), F.xxhash64(b["x"], F.lit(1))).otherwise(b["t"])), lambda h: h.isNotNull())
-        # words are hashed for the few texts alone that have such a window
-        return let(counts(w), lambda c: F.when(F.exists(c, literal), mixed(c)).otherwise(ours))
+        # words are hashed for the few texts alone that have such a window, and windows counted where the text has slots for one
+        some = let(counts(t), lambda c: F.when(F.exists(c, literal), mixed(c)).otherwise(ours))
+        return F.when(literal(F.size(F.filter(t, slot))), some).otherwise(ours)
 
     def of(m: Column) -> Column:
         none = F.array().cast("array<bigint>")
-        each = lambda w: F.when(F.size(w) == 0, none).when(F.exists(w, is_slot), slotted(w)).otherwise(hashes(w))
-        return let(F.regexp_extract_all(m, F.lit(TOKEN_PATTERN), F.lit(0)), each)
+        each = lambda w, t: F.when(F.size(t) == 0, none).when(F.exists(t, slot), slotted(w, t)).otherwise(hashes(t))
+        return let(F.regexp_extract_all(m, F.lit(TOKEN_PATTERN), F.lit(0)), lambda w: let(F.transform(w, template), lambda t: each(w, t)))
 
     return let(marked(text, not whole), of)
 

@@ -655,6 +655,14 @@ def test_copies_of_texts_do_not_hide_what_they_share_with_others(spark, all_pair
     assert {x["members"] for d in range(whole, len(rows)) for x in got[d]} == {50}
 
 
+def test_window_hashes_alone_equal_those_with_slots(spark):
+    texts = ["", "a b", "It costs 5 kg and 7 km", "In Rome Ann Lee paid 3 euros 4 cents to Bob Ray 5 times two kg 6 km Anna 7 kg 8 cm Otto 9 g", "\u00b2 \u216b \u00e9t\u00e9 \u4e2d\u6587 x2 2x 1,000.5 Zwei one-two " * 4, "plain words only here " * 9]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], SCHEMA)
+    for width, whole in ((8, True), (5, False), (4, True)):
+        for r in df.select(decontaminate.hash_array(df.text, width, whole).alias("a"), decontaminate.window_array(df.text, width, whole)["h"].alias("b")).collect():
+            assert r["a"] == r["b"]
+
+
 def test_similar_passages_do_not_hide_behind_common_signatures(spark):
     rng = np.random.default_rng(11)
     words = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
