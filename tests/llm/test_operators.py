@@ -678,6 +678,40 @@ def test_similar_passages_do_not_hide_behind_common_signatures(spark):
     assert {x["doc_id"]: x["class_id"] for x in found} == {d: a for a, b in twins for d in (a, b)}
 
 
+def test_counterparts_are_as_long_as_passages():
+    rng = np.random.default_rng(3)
+    line, other = rng.integers(0, 1 << 32, 10).astype(np.uint32), lambda n: rng.integers(0, 1 << 32, n).astype(np.uint32)
+    # a line said eight times has the elements of one said twice, which is no passage
+    assert compact_windows.shared_parts(np.tile(line, 8), np.r_[other(60), line, line, other(60)], 0.8, 46, 5) == []
+    assert compact_windows.shared_parts(np.tile(line, 8), np.r_[other(60), np.tile(line, 5), other(60)], 0.8, 46, 5)
+
+
+def test_stretches_that_stand_for_others_are_searched_alone():
+    place = np.r_[0:60, 80:140]
+    rank = np.arange(len(place))
+    every = compact_windows.rarest(place, rank, 46, 9, 10)
+    # stretches begin at 0 to 14 and 80 to 94, none crosses the gap
+    assert every[:36].all() and every[60:96].all() and not every[42:60].any()
+    some = compact_windows.rarest(place, rank, 46, 9, 10, (np.array([0]), np.array([14])))
+    assert not some[:60].any() and (some[60:] == every[60:]).all()
+    assert not compact_windows.rarest(place[15:], rank[:105], 46, 9, 10, (np.array([80]), np.array([94]))).any()
+
+
+def test_lines_said_often_meet_once(spark):
+    """Two texts of one line many times, each with a word of its own in each line, are one pair however often the line comes."""
+    rng = np.random.default_rng(5)
+    line = [f"w{k}" for k in rng.integers(0, 10**6, 60)]
+    rows = [(i, " ".join((line[:30] + [f"own{i}"] + line[31:]) * 20)) for i in range(3)]
+    texts = spark.createDataFrame(rows, "doc long, t string")
+    open_ = spark.createDataFrame([(i, 0, 1200) for i in range(3)], "doc long, a int, b int")
+    labels = spark.createDataFrame([], "d long, a int, b int, label long")
+    exact = spark.createDataFrame([], "doc long, s int, e int, head long, hs int, he int, again boolean")
+    units = compact_windows.similar_pairs(texts, open_, labels, exact, 0.8, 46, 5).collect()
+    assert sorted((u["doc"], u["head"]) for u in units) == [(1, 0), (2, 0), (2, 1)]
+    classes = compact_windows.with_similar(texts, compact_windows.similar_pairs(texts, open_, labels, exact, 0.8, 46, 5), labels, 0.8, 46, 5).collect()
+    assert {c["d"] for c in classes} == {0, 1, 2} and len({c["label"] for c in classes}) == 1
+
+
 def test_repeats_inside_and_across_documents(spark):
     import random
 
